@@ -96,3 +96,93 @@ for _name, _args in {
 }.items():
     _fn, _sql = _rollup_query(*_args)
     register(_name, _sql)(_fn)
+
+
+# ---------------------------------------------------------------- style audit
+from webdiag.operators import audit as AU  # noqa: E402
+
+_A6_PRESENT = [k for k, _ in A.A6_PROPERTIES]
+_A6_ISSUES = f"""with {S.a6_sql()},
+fired as ({S.issues_sql('a6', _A6_PRESENT)}),
+iss as (select rid, row_number() over (partition by rid order by rule_no) as issue_no, rule_no,
+               type, property, value, severity, note from fired)"""
+
+
+@register("styles_filtered", f"""with {S.a6_sql()}
+select capture_id, selector, property, value from a6_long where {S.css_keep_sql()}
+""")
+def styles_filtered(spark, sf_dir):
+    e = AU.filter_styles(A.element_styles(spark, sf_dir))
+    return e.select("capture_id", "selector", F.explode("styles").alias("property", "value"))
+
+
+@register("styles_no_box", f"""with {S.a6_sql()}
+select capture_id, selector, property, value from a6_long where {S.css_keep_sql()} and not {S.box_sql()}
+""")
+def styles_no_box(spark, sf_dir):
+    e = AU.filter_styles(A.element_styles(spark, sf_dir), include_box_model=False)
+    return e.select("capture_id", "selector", F.explode("styles").alias("property", "value"))
+
+
+@register("element_issues", f"""{_A6_ISSUES}
+select a6.capture_id, a6.selector, iss.issue_no, iss.type, iss.property, iss.value, iss.severity, iss.note
+from iss join a6 using (rid)
+""")
+def element_issues(spark, sf_dir):
+    return AU.element_issues(A.element_styles(spark, sf_dir))
+
+
+_HIGH_PART = "string_agg(property || ':' || value, ', ' order by rule_no) filter (where severity = 'high')"
+_OTHER_PART = ("string_agg(coalesce(note, property || ':' || value), '; ' order by rule_no) "
+               "filter (where severity is distinct from 'high')")
+
+
+@register("element_summary", f"""{_A6_ISSUES},
+per as (
+  select rid, count(*) as n_issues, {_HIGH_PART} as high_part, {_OTHER_PART} as other_part
+  from iss group by rid
+)
+select a6.capture_id, a6.selector, coalesce(per.n_issues, 0) as n_issues,
+  case when per.rid is null then concat(a6.selector, ': No obvious visual issues detected. display:',
+         coalesce(a6."display", '?'), ', opacity:', coalesce(a6."opacity", '?'), ', visibility:',
+         coalesce(a6."visibility", '?'), '.')
+       else concat(a6.selector, ': ', concat_ws('; ', high_part || ' (likely cause)', other_part)) end as summary
+from a6 left join per using (rid)
+""")
+def element_summary(spark, sf_dir):
+    r = AU.element_report(A.element_styles(spark, sf_dir))
+    return r.select("capture_id", "selector", "n_issues", "summary")
+
+
+@register("batch_summary", f"""{_A6_ISSUES},
+ranked as (
+  select rid, property, value, case severity when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as r,
+         issue_no from iss
+),
+top_el as (
+  select rid, arg_min(property, struct_pack(nr := -r, i := issue_no)) as property,
+         arg_min(value, struct_pack(nr := -r, i := issue_no)) as value, max(r) as r
+  from ranked group by rid
+),
+el as (
+  select a6.capture_id, a6.pos, a6.selector, t.property, t.value, t.r, t.rid is not null as has_issue
+  from a6 left join top_el t using (rid)
+),
+g as (
+  select capture_id, count(*) as n_elements, count(*) filter (where has_issue) as n_with_issues,
+         cast(0 as bigint) as n_not_found,
+         arg_min(selector || ' ' || property || ':' || value,
+                 struct_pack(nr := -r, p := pos, s := selector, pp := property, v := value))
+           filter (where has_issue) as top
+  from el group by capture_id
+)
+select capture_id, n_elements, n_with_issues, n_not_found,
+  concat(cast(n_elements as varchar), ' element', case when n_elements > 1 then 's' else '' end,
+         ' diagnosed, ', cast(n_with_issues as varchar), ' with issues',
+         case when n_not_found > 0 then ', ' || cast(n_not_found as varchar) || ' not found' else '' end,
+         case when top is not null then '. Top: ' || top else '' end, '.') as summary
+from g
+""")
+def batch_summary(spark, sf_dir):
+    r = AU.element_report(A.element_styles(spark, sf_dir))
+    return AU.batch_report(r)

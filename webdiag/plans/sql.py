@@ -74,3 +74,73 @@ r as (
 select {kc}issue_no, level, message, count, source, first_seq, fingerprint
 from r where issue_no <= {limit}
 """
+
+
+def a6_sql() -> str:
+    """A6 in long form: base rows with a row id, and one row per present
+    property (DuckDB)."""
+    from webdiag.sources import adapters as A
+    props = ",\n    ".join(f"{v} as \"{k}\"" for k, v in A.A6_PROPERTIES)
+    longs = "\n  union all ".join(
+        f"select rid, capture_id, pos, selector, {i} as prop_no, {q(k)} as property, \"{k}\" as value "
+        f"from a6 where \"{k}\" is not null" for i, (k, _) in enumerate(A.A6_PROPERTIES))
+    return f"""
+a6 as (
+  select row_number() over () as rid, {A.A6_CAPTURE} as capture_id, {A.A6_POS} as pos,
+    {A.A6_SELECTOR} as selector,
+    {props}
+  from lineitem
+),
+a6_long as (
+  {longs}
+)"""
+
+
+def css_keep_sql(prop: str = "property", value: str = "value") -> str:
+    from webdiag.functions import css
+    t1 = ", ".join(q(x) for x in css.TIER1)
+    t2 = ", ".join(q(x) for x in css.TIER2)
+    dull = ", ".join(q(x) for x in css.DULL_VALUES)
+    return f"({prop} in ({t1}) or ({prop} in ({t2}) and {value} not in ({dull})))"
+
+
+def box_sql(prop: str = "property") -> str:
+    from webdiag.functions import css
+    return f"{prop} in ({', '.join(q(x) for x in css.BOX_MODEL)})"
+
+
+def pf_sql(v: str) -> str:
+    """parseFloat in DuckDB."""
+    from webdiag.functions import css
+    return f"try_cast(nullif(regexp_extract({v}, {q(css.PARSE_FLOAT_RE)}, 1), '') as double)"
+
+
+def issues_sql(src: str, present) -> str:
+    """The 12 rules over a wide relation ``src`` (one column per property,
+    quoted css names; ``present`` lists them, others are absent), one row
+    per fired rule with ``rule_no``."""
+    from webdiag.functions import rules as RU
+    present = set(present)
+    c = lambda k: f'"{k}"' if k in present else "cast(null as varchar)"
+    op, w, h = pf_sql(c("opacity")), pf_sql(c("width")), pf_sql(c("height"))
+    anch = " or ".join(f"(coalesce({c(s)}, '') <> '' and {c(s)} <> 'auto')" for s in ("top", "left", "right", "bottom"))
+    rl = [
+        (f"{c('display')} = 'none'", "'hidden'", "'display'", "'none'", "'high'", "null"),
+        (f"{c('visibility')} in ('hidden', 'collapse')", "'hidden'", "'visibility'", c("visibility"), "'high'", "null"),
+        (f"{op} = 0", "'invisible'", "'opacity'", "'0'", "'high'", "null"),
+        (f"{op} <> 0 and {op} < 0.1", "'nearly-invisible'", "'opacity'", c("opacity"), "'medium'", "null"),
+        (f"coalesce({c('clip-path')}, '') <> '' and {c('clip-path')} <> 'none'", "'clipped'", "'clip-path'", c("clip-path"), "'medium'", "null"),
+        (f"{c('overflow')} = 'hidden' and ({w} = 0 or {h} = 0)", "'clipped-zero-size'", "'overflow+size'",
+         f"concat('overflow:hidden with ', coalesce({c('width')}, 'undefined'), 'x', coalesce({c('height')}, 'undefined'))", "'high'", "null"),
+        (f"{c('pointer-events')} = 'none'", "'unclickable'", "'pointer-events'", "'none'", "'low'", "null"),
+        (f"{c('display')} in ('flex', 'grid') and {c('overflow')} = 'hidden'", "'flex-grid-overflow-hidden'", "'overflow'", "'hidden'", "'low'", q(RU.NOTE_FLEX_OVERFLOW)),
+        (f"{w} = 0 and {c('min-width')} is distinct from '0px' and {c('max-width')} is distinct from '0px'", "'zero-width'", "'width'", c("width"), "'high'", "null"),
+        (f"{h} = 0 and {c('min-height')} is distinct from '0px'", "'zero-height'", "'height'", c("height"), "'high'", "null"),
+        (f"{c('position')} in ('absolute', 'fixed') and not coalesce({anch}, false)", "'unanchored-positioned'", "'position'", c("position"), "'low'",
+         "concat('position:', " + c("position") + ", " + q(RU.NOTE_UNANCHORED.split("{}")[1]) + ")"),
+        (f"coalesce({c('z-index')}, '') <> '' and {c('z-index')} <> 'auto' and {c('position')} = 'static'", "'ineffective-z-index'", "'z-index'", c("z-index"), "'low'", q(RU.NOTE_Z_INDEX)),
+    ]
+    parts = [f"select rid, {i} as rule_no, {t} as type, {p} as property, {v} as value, {s} as severity, "
+             f"cast({n} as varchar) as note from {src} where coalesce({cond}, false)"
+             for i, (cond, t, p, v, s, n) in enumerate(rl)]
+    return "\n  union all ".join(parts)

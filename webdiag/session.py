@@ -32,6 +32,7 @@ def get_spark(master: str | None = None, app: str = "webdiag",
     conf = dict(DEFAULT_CONF)
     conf.update({
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("WEBDIAG_DRIVER_MEMORY", "16g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     })

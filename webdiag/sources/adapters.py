@@ -44,3 +44,43 @@ def console_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("source").alias("capture_id"),
                         (d * SEQ_STRIDE + F.col("pos")).alias("seq"),
                         level.alias("level"), message.alias("message"), url.alias("url"))
+
+
+# A6: one element per lineitem row. (css property, SQL expression) — the same
+# text runs in Spark and in DuckDB; a null value means "property absent".
+A6_PROPERTIES = (
+    ("display", "case l_returnflag when 'R' then 'flex' when 'N' then 'none' else 'block' end"),
+    ("visibility", "case when l_partkey % 9 = 0 then 'hidden' when l_partkey % 9 = 1 then 'collapse' else 'visible' end"),
+    ("opacity", "cast(l_discount as string)"),
+    ("position", "case l_linestatus when 'O' then 'static' else 'absolute' end"),
+    ("z-index", "case when l_linenumber > 5 then cast(l_linenumber as string) else 'auto' end"),
+    ("width", "concat(cast(cast(floor(l_quantity) as bigint) - 1 as string), 'px')"),
+    ("height", "concat(cast(l_partkey % 10 as string), 'px')"),
+    ("overflow", "case when l_partkey % 3 = 0 then 'hidden' else 'visible' end"),
+    ("top", "case when l_partkey % 4 = 0 then 'auto' end"),
+    ("left", "case when l_partkey % 8 = 1 then '4px' end"),
+    ("min-width", "case when l_partkey % 6 = 0 then '0px' end"),
+    ("pointer-events", "case when l_partkey % 7 = 0 then 'none' else 'auto' end"),
+    ("clip-path", "case when l_partkey % 11 = 0 then 'circle(50%)' else 'none' end"),
+    ("margin", "concat(cast(l_linenumber as string), 'px')"),
+    ("border-width", "case when l_linenumber % 2 = 0 then '1px' end"),
+    ("border-style", "'solid'"),
+    ("cursor", "case when l_linenumber % 3 = 0 then 'pointer' else 'auto' end"),
+    ("color", "case when l_partkey % 5 = 0 then 'rgb(0, 0, 0)' else 'rgb(10, 20, 30)' end"),
+    ("background-color", "case when l_partkey % 2 = 0 then 'transparent' else 'rgb(255, 0, 0)' end"),
+    ("-webkit-font-smoothing", "'antialiased'"),
+)
+A6_CAPTURE = "cast(l_suppkey as string)"
+A6_SELECTOR = ("concat('#o', cast(l_orderkey as string), '-', cast(l_linenumber as string), "
+               "'-p', cast(l_partkey as string))")
+A6_POS = "l_orderkey * 10 + l_linenumber"
+
+
+def element_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6: elements (capture_id, pos, selector, styles map) from lineitem."""
+    li = read_table(spark, sf_dir, "lineitem")
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(v).alias("value"))
+                        for k, v in A6_PROPERTIES])
+    styles = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return li.select(F.expr(A6_CAPTURE).alias("capture_id"), F.expr(A6_POS).alias("pos"),
+                     F.expr(A6_SELECTOR).alias("selector"), styles.alias("styles"))
