@@ -186,3 +186,37 @@ from g
 def batch_summary(spark, sf_dir):
     r = AU.element_report(A.element_styles(spark, sf_dir))
     return AU.batch_report(r)
+
+
+# ---------------------------------------------------------------- stack frames
+from webdiag.functions import frames as FR  # noqa: E402
+from webdiag.operators import stacks as ST  # noqa: E402
+
+
+@register("frames_parsed", f"""with {S.a2_frames_sql()}
+select capture_id, seq, frame_no, function_name, url, line, col, raw from parsed
+""")
+def frames_parsed(spark, sf_dir):
+    e = A.stack_entries(spark, sf_dir)
+    x = e.select("capture_id", "seq", F.posexplode(ST.parsed_frames(e)).alias("i", "f"))
+    return x.select("capture_id", "seq", (F.col("i") + 1).cast("bigint").alias("frame_no"), "f.*")
+
+
+@register("frames_kept", f"""with {S.a2_frames_sql()}
+select capture_id, seq, frame_no, {S.frame_text_sql()} as text from kept
+""")
+def frames_kept(spark, sf_dir):
+    x = ST.explode_frames(A.stack_entries(spark, sf_dir))
+    return x.select("capture_id", "seq", "frame_no",
+                    FR.frame_to_string(F.struct(*[F.col(c) for c in
+                                                  ("function_name", "url", "line", "col", "raw")])).alias("text"))
+
+
+@register("stack_compressed", f"""with {S.a2_frames_sql()}
+select capture_id, seq, count(*) as n_frames, string_agg({S.frame_text_sql()}, chr(10) order by frame_no) as stack_trace
+from kept group by capture_id, seq
+""")
+def stack_compressed(spark, sf_dir):
+    c = ST.compress_stacks(A.stack_entries(spark, sf_dir))
+    return c.select("capture_id", "seq", F.size("stack_trace").cast("bigint").alias("n_frames"),
+                    F.array_join("stack_trace", "\n").alias("stack_trace"))

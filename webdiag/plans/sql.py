@@ -144,3 +144,44 @@ def issues_sql(src: str, present) -> str:
              f"cast({n} as varchar) as note from {src} where coalesce({cond}, false)"
              for i, (cond, t, p, v, s, n) in enumerate(rl)]
     return "\n  union all ".join(parts)
+
+
+def a2_frames_sql() -> str:
+    """A2 stacks split, trimmed and parsed (DuckDB): relation ``parsed``
+    (capture_id, seq, frame_no, function_name, url, line, col, raw)."""
+    from webdiag.functions import frames as FR
+    from webdiag.sources import adapters as A
+    RE = q(FR.FRAME_RE)
+    return f"""
+a2 as (select cast(user_id as varchar) as capture_id, event_id as seq, {A.A2_STACK} as stack from events),
+a2_lines as (
+  select capture_id, seq, generate_subscripts(string_split(stack, chr(10)), 1) as lpos,
+         unnest(string_split(stack, chr(10))) as line
+  from a2 where coalesce(stack, '') <> ''
+),
+a2_trim as (select capture_id, seq, lpos, regexp_replace(line, {q(FR.TRIM_RE)}, '', 'g') as t from a2_lines),
+a2_m as (select *, regexp_matches(t, {RE}) as m from a2_trim where t <> ''),
+parsed as (
+  select capture_id, seq, row_number() over (partition by seq order by lpos) as frame_no,
+    case when m then nullif(regexp_extract(t, {RE}, 1), '') end as function_name,
+    case when m then regexp_extract(t, {RE}, 2) end as url,
+    case when m then try_cast(regexp_extract(t, {RE}, 3) as bigint) end as line,
+    case when m then try_cast(regexp_extract(t, {RE}, 4) as bigint) end as col,
+    t as raw
+  from a2_m
+),
+kept as (
+  select capture_id, seq, row_number() over (partition by seq order by frame_no) as frame_no,
+         function_name, url, line, col, raw
+  from parsed
+  where not regexp_matches(concat(coalesce(url, ''), ' ', coalesce(function_name, ''), ' ', coalesce(raw, '')),
+                           {q(FR.INTERNAL_RE)})
+  qualify row_number() over (partition by seq order by frame_no) <= {FR.KEEP_FRAMES}
+)"""
+
+
+def frame_text_sql() -> str:
+    return ("case when coalesce(raw, '') <> '' and coalesce(url, '') = '' then raw "
+            "when coalesce(url, '') <> '' and line is not null then concat('at ', coalesce(function_name, '?'), "
+            "' (', url, ':', cast(line as varchar), ':', cast(coalesce(col, 0) as varchar), ')') "
+            "else coalesce(raw, concat('at ', coalesce(function_name, '?'))) end")

@@ -22,7 +22,7 @@ def _s(c) -> F.Column:
 
 def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document (whole texts), with its position."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
     return docs.select("doc_id", "source",
                        F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
@@ -74,13 +74,31 @@ A6_CAPTURE = "cast(l_suppkey as string)"
 A6_SELECTOR = ("concat('#o', cast(l_orderkey as string), '-', cast(l_linenumber as string), "
                "'-p', cast(l_partkey as string))")
 A6_POS = "l_orderkey * 10 + l_linenumber"
+A6_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
+              "l_returnflag", "l_linestatus"]
 
 
 def element_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6: elements (capture_id, pos, selector, styles map) from lineitem."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", A6_COLUMNS)
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(v).alias("value"))
                         for k, v in A6_PROPERTIES])
     styles = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     return li.select(F.expr(A6_CAPTURE).alias("capture_id"), F.expr(A6_POS).alias("pos"),
                      F.expr(A6_SELECTOR).alias("selector"), styles.alias("styles"))
+
+
+# A2: a stack string per event (both dialects).
+A2_STACK = ("concat('Error: ', event_type, chr(10), "
+            "'at f', cast(user_id as string), ' (https://cdn.example.com/dist/app', cast(user_id % 5 as string), "
+            "'.min.js:1:', cast(event_id % 5000 as string), ')', chr(10), "
+            "'    at g (webpack-internal:///x.js:3:4)', chr(10), "
+            "'    at https://cdn.example.com/src/a.js:', cast(event_id % 90 + 1 as string), ':7', chr(10), "
+            "'    at h (/app/node_modules/lib/i.js:1:1)', chr(10), 'tail@x.js:1:2')")
+
+
+def stack_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: (capture_id, seq, stack) from events."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
+    return ev.select(F.col("user_id").cast("string").alias("capture_id"), F.col("event_id").alias("seq"),
+                     F.expr(A2_STACK).alias("stack"))
