@@ -220,3 +220,120 @@ def stack_compressed(spark, sf_dir):
     c = ST.compress_stacks(A.stack_entries(spark, sf_dir))
     return c.select("capture_id", "seq", F.size("stack_trace").cast("bigint").alias("n_frames"),
                     F.array_join("stack_trace", "\n").alias("stack_trace"))
+
+
+# ---------------------------------------------------------------- source maps
+from webdiag.operators import asof as AS  # noqa: E402
+from webdiag.operators import sourcemaps as SM  # noqa: E402
+
+
+@register("frames_minified", f"""
+select page_id, {A.A3_URL} as url, cast(1 as bigint) as line, page_id as col,
+  cast({S.minified_sql(A.A3_URL, '1', 'page_id')} as bigint) as is_minified
+from pages
+""")
+def frames_minified(spark, sf_dir):
+    p = A.script_positions(spark, sf_dir)
+    return p.select("page_id", "url", "line", "col",
+                    FR.looks_minified(F.col("url"), F.col("line"), F.col("col")).cast("bigint").alias("is_minified"))
+
+
+_A5_REF = f"nullif(regexp_extract(body, {S.q(SM.MAP_REFERENCE_RE)}, 1), '')"
+
+
+@register("map_references", f"""
+with a5 as (select page_id, url, {A.A5_BODY} as body from pages),
+r as (select page_id, url, {_A5_REF} as ref from a5)
+select page_id, ref,
+  case when ref is null then null when starts_with(ref, 'data:') then 'data' else 'url' end as ref_kind,
+  case when starts_with(ref, 'data:') and regexp_matches(ref, {S.q(SM.DATA_BASE64_RE)})
+       then decode(from_base64(regexp_extract(ref, {S.q(SM.DATA_BASE64_RE)}, 1))) end as inline_json,
+  case when ref is not null and not starts_with(ref, 'data:') then {S.resolve_url_sql('ref', 'url')} end as ref_url
+from r
+""")
+def map_references(spark, sf_dir):
+    r = SM.map_references(A.page_scripts(spark, sf_dir))
+    return r.select("page_id", "ref", "ref_kind", "inline_json", "ref_url")
+
+
+@register("map_segments", f"""
+with {S.a4_sql()}
+select url, gen_line, gen_col, lead(gen_col) over (partition by url, gen_line order by gen_col) as next_gen_col,
+  source, orig_line, orig_col, name
+from a4 where not ({A.A4_BAD_VERSION})
+""")
+def map_segments(spark, sf_dir):
+    d = A.source_map_docs(spark, sf_dir)
+    return SM.build_segments(d.select("url", "map_json"))
+
+
+_A2_FIRST = f"""with {S.a2_frames_sql()}, {S.a4_sql().strip()},
+gated as (select * from kept where {S.minified_sql()})"""
+
+
+def _frames_and_maps(spark, sf_dir):
+    frames = ST.explode_frames(A.stack_entries(spark, sf_dir))
+    map_files, scripts = A.map_files_and_scripts(spark, sf_dir)
+    return frames, map_files, scripts
+
+
+@register("map_selected", f"""{_A2_FIRST}, {S.selection_sql('gated').strip()}
+select url, map_origin, map_url from sel
+""")
+def map_selected(spark, sf_dir):
+    frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
+    urls = frames.where(FR.looks_minified(F.col("url"), F.col("line"), F.col("col"))).select("url")
+    return SM.select_maps(urls, map_files, scripts).select("url", "map_origin", "map_url")
+
+
+_RESOLVED = f"""{_A2_FIRST}, {S.selection_sql('gated').strip()},
+pos as (select distinct url, line, coalesce(col, 0) as col from gated where line >= 1 and coalesce(col, 0) >= 0),
+hit as (
+  select pos.url, pos.line, pos.col, s.source as r_source, s.orig_line as r_line, s.orig_col as r_col, s.name as r_name
+  from pos asof left join segs s on pos.url = s.url and pos.line = s.gen_line and pos.col >= s.gen_col
+),
+res as (
+  select k.capture_id, k.seq, k.frame_no,
+    coalesce(h.r_source is not null, false) as resolved,
+    case when h.r_source is not null
+         then concat('at ', coalesce(h.r_name, k.function_name, '?'), ' (', h.r_source, ':',
+                     cast(h.r_line as varchar), ':', cast(h.r_col as varchar), ')')
+         else {S.frame_text_sql().replace('raw', 'k.raw').replace('url', 'k.url').replace('line', 'k.line').replace('function_name', 'k.function_name').replace('coalesce(col', 'coalesce(k.col')} end as text
+  from kept k left join hit h
+    on {S.minified_sql('k.url', 'k.line', 'k.col')} and h.url = k.url and h.line = k.line and h.col = coalesce(k.col, 0)
+)"""
+
+
+@register("frames_resolved", f"""{_RESOLVED}
+select capture_id, seq, frame_no, cast(resolved as bigint) as resolved, text from res
+""")
+def frames_resolved(spark, sf_dir):
+    frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
+    segs = SM.segments_for_frames(frames, map_files, scripts)
+    r = AS.resolve_frames(frames, segs, bucket_width=64)
+    return r.select("capture_id", "seq", "frame_no", F.col("resolved").cast("bigint").alias("resolved"), "text")
+
+
+@register("resolved_counts", f"""{_RESOLVED}
+select capture_id, count(*) as n_frames, count(*) filter (where resolved) as resolved_count from res group by capture_id
+""")
+def resolved_counts(spark, sf_dir):
+    frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
+    segs = SM.segments_for_frames(frames, map_files, scripts)
+    r = AS.resolve_frames(frames, segs)
+    return r.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_frames"),
+                                       F.count_if("resolved").alias("resolved_count"))
+
+
+@register("stack_resolved", f"""{_RESOLVED}
+select capture_id, seq, string_agg(text, chr(10) order by frame_no) as stack_trace,
+  count(*) filter (where resolved) as resolved_count
+from res group by capture_id, seq
+""")
+def stack_resolved(spark, sf_dir):
+    entries = A.stack_entries(spark, sf_dir)
+    _, map_files, scripts = _frames_and_maps(spark, sf_dir)
+    frames = ST.explode_frames(entries)
+    segs = SM.segments_for_frames(frames, map_files, scripts)
+    c = AS.compress_with_maps(entries, segs)
+    return c.select("capture_id", "seq", F.array_join("stack_trace", "\n").alias("stack_trace"), "resolved_count")

@@ -185,3 +185,80 @@ def frame_text_sql() -> str:
             "when coalesce(url, '') <> '' and line is not null then concat('at ', coalesce(function_name, '?'), "
             "' (', url, ':', cast(line as varchar), ':', cast(coalesce(col, 0) as varchar), ')') "
             "else coalesce(raw, concat('at ', coalesce(function_name, '?'))) end")
+
+
+def fold_sql(p: str) -> str:
+    return ("('/' || array_to_string(list_reduce(string_split(" + p + ", '/')[2:], "
+            "lambda acc, x: case when x = '.' then acc when x = '..' then acc[1:len(acc) - 1] "
+            "else list_append(acc, x) end, []::varchar[]), '/'))")
+
+
+def resolve_url_sql(ref: str, base: str) -> str:
+    """DuckDB form of ``webdiag.functions.urls.resolve_url``."""
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
+    bpath = f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
+    bdir = f"coalesce(nullif(regexp_extract({bpath}, '^(.*/)', 1), ''), '/')"
+    rpath = f"regexp_extract({ref}, '^([^?#]*)', 1)"
+    rrest = f"regexp_extract({ref}, '^[^?#]*(.*)\\z', 1)"
+    return f"""(case when {ref} is null or {base} is null then null
+  when regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') then {ref}
+  when starts_with({ref}, '//') then regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) || ':' || {ref}
+  when starts_with({ref}, '/') then {origin} || {fold_sql(rpath)} || {rrest}
+  when starts_with({ref}, '?') then regexp_replace({base}, '[?#].*\\z', '') || {ref}
+  when starts_with({ref}, '#') then regexp_replace({base}, '#.*\\z', '') || {ref}
+  when {ref} = '' then regexp_replace({base}, '#.*\\z', '')
+  else {origin} || {fold_sql(f"{bdir} || {rpath}")} || {rrest} end)"""
+
+
+def minified_sql(url: str = "url", line: str = "line", col: str = "col") -> str:
+    from webdiag.functions import frames as FR
+    return (f"(coalesce({url}, '') <> '' and coalesce(regexp_matches({url}, {q(FR.MINIFIED_URL_RE)}) "
+            f"or ({line} = 1 and {col} > {FR.MINIFIED_MIN_COLUMN}), regexp_matches({url}, {q(FR.MINIFIED_URL_RE)}), false))")
+
+
+def a4_sql() -> str:
+    """A4 facts deduplicated on the generated position, hosting tables, and
+    which frame url resolves through which customer's map (DuckDB)."""
+    from webdiag.sources import adapters as A
+    facts = ",\n    ".join(f"{e} as {n}" for n, e in A.A4_FACTS)
+    copy = f"'{A.MAP_DIR}app' || cast(cust as varchar) || '.js.map'"
+    return f"""
+a4_all as (select {facts} from orders),
+a4 as (select * from a4_all qualify okey = min(okey) over (partition by url, gen_line, gen_col)),
+a4_docs as (select distinct cust, url, ({A.A4_BAD_VERSION}) as bad_version from a4),
+map_files as (
+  select url || '.map' as murl, cust, ({A.A4_BROKEN_SIBLING}) as not_json from a4_docs where cust % 3 = 0
+  union all
+  select {copy} as murl, cust, false as not_json from a4_docs where cust % 3 <> 2
+),
+scripts as (
+  select url as surl, cust, case when cust % 3 = 2 then 'data' else 'url' end as ref_kind,
+    case when cust % 3 <> 2 then {resolve_url_sql("'../maps/app' || cast(cust as varchar) || '.js.map'", 'url')} end as ref_url
+  from a4_docs
+)"""
+
+
+def selection_sql(urls: str) -> str:
+    """Map selection for the distinct urls of relation ``urls`` (DuckDB):
+    relation ``sel(url, map_origin, map_url, cust, usable)``."""
+    return f"""
+sel as (
+  select u.url,
+    case when m1.murl is not null then 'sibling' when s.ref_kind = 'data' then 'inline'
+         when m2.murl is not null then 'reference' end as map_origin,
+    case when m1.murl is not null then m1.murl when s.ref_kind = 'url' and m2.murl is not null then m2.murl end as map_url,
+    case when m1.murl is not null then m1.cust when s.ref_kind = 'data' then s.cust else m2.cust end as cust,
+    case when m1.murl is not null then not m1.not_json else true end as parses
+  from (select distinct url from {urls}) u
+  left join map_files m1 on m1.murl = regexp_replace(u.url, '\\?.*\\z', '') || '.map'
+  left join scripts s on m1.murl is null and s.surl = u.url
+  left join map_files m2 on m1.murl is null and s.ref_kind = 'url' and m2.murl = s.ref_url
+),
+usable as (
+  select sel.url, sel.cust from sel join a4_docs d on d.cust = sel.cust
+  where sel.parses and not d.bad_version
+),
+segs as (
+  select usable.url, a4.gen_line, a4.gen_col, a4.source, a4.orig_line, a4.orig_col, a4.name
+  from usable join a4 on a4.cust = usable.cust
+)"""

@@ -88,10 +88,17 @@ def element_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.expr(A6_SELECTOR).alias("selector"), styles.alias("styles"))
 
 
-# A2: a stack string per event (both dialects).
+# A2: a stack string per event (both dialects). The first frame points into a
+# per-user minified bundle (a chunk without any map for every fourth user, a
+# query string for another fourth), on generated line 1-3.
+A2_BUNDLE_URL = ("case when user_id % 4 = 3 then concat('https://cdn.example.com/dist/vendor', "
+                 "cast(user_id as string), '.chunk.js') "
+                 "when user_id % 4 = 1 then concat('https://cdn.example.com/dist/app', cast(user_id as string), "
+                 "'.min.js?v=2') "
+                 "else concat('https://cdn.example.com/dist/app', cast(user_id as string), '.min.js') end")
 A2_STACK = ("concat('Error: ', event_type, chr(10), "
-            "'at f', cast(user_id as string), ' (https://cdn.example.com/dist/app', cast(user_id % 5 as string), "
-            "'.min.js:1:', cast(event_id % 5000 as string), ')', chr(10), "
+            "'at f', cast(user_id as string), ' (', " + A2_BUNDLE_URL + ", ':', cast(event_id % 3 + 1 as string), "
+            "':', cast(event_id % 5000 as string), ')', chr(10), "
             "'    at g (webpack-internal:///x.js:3:4)', chr(10), "
             "'    at https://cdn.example.com/src/a.js:', cast(event_id % 90 + 1 as string), ':7', chr(10), "
             "'    at h (/app/node_modules/lib/i.js:1:1)', chr(10), 'tail@x.js:1:2')")
@@ -102,3 +109,133 @@ def stack_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
     return ev.select(F.col("user_id").cast("string").alias("capture_id"), F.col("event_id").alias("seq"),
                      F.expr(A2_STACK).alias("stack"))
+
+
+# A4: one source map per customer, one mapping per order (both dialects for
+# the facts). Equal generated positions keep the lowest order key.
+A4_FACTS = (
+    ("cust", "o_custkey"),
+    ("okey", "o_orderkey"),
+    ("url", "concat('https://cdn.example.com/dist/app', cast(o_custkey as string), '.min.js')"),
+    ("gen_line", "o_orderkey % 3 + 1"),
+    ("gen_col", "o_orderkey * 37 % 5000 + 1"),
+    ("source", "case when o_orderkey % 13 = 0 then null "
+               "else concat('src/', lower(replace(o_orderpriority, ' ', '-')), '.jsx') end"),
+    ("orig_line", "case when o_orderkey % 13 = 0 then null else o_orderkey % 400 + 1 end"),
+    ("orig_col", "case when o_orderkey % 13 = 0 then null else cast(floor(o_totalprice) as bigint) % 120 end"),
+    ("name", "case when o_orderkey % 13 = 0 or o_orderstatus = 'P' then null else concat('fn_', o_orderstatus) end"),
+)
+A4_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+MAP_DIR = "https://cdn.example.com/maps/"
+# customers whose map claims version 2 (unsupported) and whose sibling map is not JSON
+A4_BAD_VERSION = "cust % 50 = 7"
+A4_BROKEN_SIBLING = "cust % 3 = 0 and cust % 7 = 0"
+
+
+def map_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 facts: the intended (url, gen_line, gen_col) → original positions."""
+    o = read_table(spark, sf_dir, "orders", A4_COLUMNS)
+    f = o.select(*[F.expr(e).alias(n) for n, e in A4_FACTS])
+    first = f.groupBy("url", "gen_line", "gen_col").agg(F.min("okey").alias("okey"))
+    return f.join(first, ["url", "gen_line", "gen_col", "okey"], "inner")
+
+
+def _vlq(v):
+    """Base64 VLQ text of a bigint Column (test-data encoder)."""
+    from webdiag.functions.vlq import BASE64_ALPHABET
+    u = F.when(v < 0, (-v) * 2 + 1).otherwise(v * 2)
+    def shifted(i):  # u >> 5i
+        return F.floor(u / F.pow(F.lit(32.0), i))
+    n = F.greatest(F.lit(1), F.size(F.filter(F.sequence(F.lit(0), F.lit(12)), lambda i: shifted(i) > 0)))
+    digits = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lit(BASE64_ALPHABET).substr(
+        (shifted(i) % 32 + F.when(i < n - 1, 32).otherwise(0) + 1).cast("int"), F.lit(1)))
+    return F.array_join(digits, "")
+
+
+def source_map_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 maps: (cust, url, map_json) — a v3 source map per customer that
+    encodes its facts (deltas, VLQ), 'version 2' for some."""
+    f = map_facts(spark, sf_dir)
+    per = f.groupBy("cust", "url").agg(
+        F.array_sort(F.array_distinct(F.collect_list("source"))).alias("sources"),
+        F.array_sort(F.array_distinct(F.collect_list("name"))).alias("names"),
+        F.max("gen_line").alias("max_line"))
+    f = f.join(per, ["cust", "url"])
+    f = f.withColumn("src_idx", F.array_position("sources", F.col("source")) - 1) \
+         .withColumn("name_idx", F.array_position("names", F.col("name")) - 1)
+    from pyspark.sql import Window
+    in_line = Window.partitionBy("url", "gen_line").orderBy("gen_col")
+    before = Window.partitionBy("url").orderBy("gen_line", "gen_col").rowsBetween(Window.unboundedPreceding, -1)
+    prev = lambda c: F.coalesce(F.last(F.col(c), ignorenulls=True).over(before), F.lit(0))
+    has_src = F.col("source").isNotNull()
+    seg = F.concat(
+        _vlq(F.col("gen_col") - F.coalesce(F.lag("gen_col").over(in_line), F.lit(0))),
+        F.when(has_src, F.concat(_vlq(F.col("src_idx").cast("bigint") - prev("src_idx")),
+                                 _vlq(F.col("orig_line") - 1 - prev("line0")),
+                                 _vlq(F.col("orig_col") - prev("orig_col")))).otherwise(F.lit("")),
+        F.when(has_src & F.col("name").isNotNull(),
+               _vlq(F.col("name_idx").cast("bigint") - prev("name_idx"))).otherwise(F.lit("")))
+    f = f.withColumn("line0", F.col("orig_line") - 1)
+    f = f.select("cust", "url", "sources", "names", "max_line", "gen_line", "gen_col", seg.alias("seg"))
+    docs = f.groupBy("cust", "url", "sources", "names", "max_line").agg(
+        F.array_sort(F.collect_list(F.struct("gen_line", "gen_col", "seg"))).alias("segs"))
+    lines = F.transform(F.sequence(F.lit(1), F.col("max_line").cast("int")), lambda ln: F.array_join(
+        F.transform(F.filter("segs", lambda s: s["gen_line"] == ln), lambda s: s["seg"]), ","))
+    version = F.when(F.expr(A4_BAD_VERSION), 2).otherwise(3)
+    doc = F.to_json(F.struct(version.alias("version"),
+                             F.concat(F.lit("app"), F.col("cust").cast("string"), F.lit(".min.js")).alias("file"),
+                             F.col("sources"), F.col("names"), F.array_join(lines, ";").alias("mappings")))
+    return docs.select("cust", "url", doc.alias("map_json"))
+
+
+def _base64(text):
+    """Unbroken base64 of UTF-8 text (Spark's ``base64`` wraps MIME lines)."""
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
+
+
+def map_files_and_scripts(spark: SparkSession, sf_dir: str):
+    """A4 hosting: ``map_files(url, map_json)`` and ``scripts(url, body)``.
+    cust % 3 = 0: map next to the bundle (not JSON for some) and a
+    reference to a second copy; = 1: relative reference to the copy;
+    = 2: inline base64 reference."""
+    d = source_map_docs(spark, sf_dir)
+    c3 = F.col("cust") % 3
+    copy_url = F.concat(F.lit(MAP_DIR), F.lit("app"), F.col("cust").cast("string"), F.lit(".js.map"))
+    sib_json = F.when(F.expr(A4_BROKEN_SIBLING), F.lit("not json")).otherwise(F.col("map_json"))
+    # each map is hosted at up to two places: next to its bundle, and in MAP_DIR
+    hosted = F.array(
+        F.struct(F.when(c3 == 0, F.concat(F.col("url"), F.lit(".map"))).alias("url"), sib_json.alias("map_json")),
+        F.struct(F.when(c3 != 2, copy_url).alias("url"), F.col("map_json").alias("map_json")))
+    map_files = d.select(F.explode(F.filter(hosted, lambda h: h["url"].isNotNull())).alias("h")).select("h.*")
+    ref = F.when(F.col("cust") % 3 == 2, F.concat(
+        F.lit("data:application/json;charset=utf-8;base64,"), _base64(F.col("map_json")))) \
+        .otherwise(F.concat(F.lit("../maps/app"), F.col("cust").cast("string"), F.lit(".js.map")))
+    body = F.concat(F.lit("/*app "), F.col("cust").cast("string"), F.lit("*/var a=1;"), F.lit("\n"),
+                    F.when(F.col("cust") % 2 == 0, F.lit("//# ")).otherwise(F.lit("//@ ")),
+                    F.lit("sourceMappingURL="), ref, F.lit("\n"))
+    scripts = d.select("url", body.alias("body"))
+    return map_files, scripts
+
+
+# A3: script urls for the minified test (from pages).
+A3_URL = ("concat(url, case page_id % 5 when 0 then '/a.min.js' when 1 then '/dist/a.js' when 2 then '/a.js' "
+          "when 3 then '/a.chunk.js?v=1' else '/_next/static/chunks/x.js' end)")
+
+
+def script_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    return p.select("page_id", F.expr(A3_URL).alias("url"), F.lit(1).cast("bigint").alias("line"),
+                    F.col("page_id").alias("col"))
+
+
+# A5: page bodies with a map reference (four kinds, none for some).
+A5_BODY = ("concat(html, case page_id % 4 "
+           "when 0 then concat('//# sourceMappingURL=a', cast(page_id as string), '.js.map') "
+           "when 1 then '//@ sourceMappingURL=data:application/json;base64,eyJ2ZXJzaW9uIjozfQ==' "
+           "when 2 then concat(chr(10), '//# sourceMappingURL=../maps/./p', cast(page_id as string), '.map?x=1') "
+           "else '' end)")
+
+
+def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return p.select("page_id", "url", F.expr(A5_BODY).alias("body"))
