@@ -337,3 +337,39 @@ def stack_resolved(spark, sf_dir):
     segs = SM.segments_for_frames(frames, map_files, scripts)
     c = AS.compress_with_maps(entries, segs)
     return c.select("capture_id", "seq", F.array_join("stack_trace", "\n").alias("stack_trace"), "resolved_count")
+
+
+# ---------------------------------------------------------------- lookup and suggestions
+from webdiag.operators import suggest as SG  # noqa: E402
+
+
+@register("element_lookup", f"""with {S.a7_sql()}
+select capture_id, cast(pos as bigint) as pos, selector, cast(found as bigint) as found from looked
+""")
+def element_lookup(spark, sf_dir):
+    r = SG.lookup(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir))
+    return r.select("capture_id", F.col("pos").cast("bigint").alias("pos"), "selector",
+                    F.col("found").cast("bigint").alias("found"))
+
+
+@register("selector_suggestions", f"""with {S.a7_sql()}
+select capture_id, selector, rank, suggestion from top
+""")
+def selector_suggestions(spark, sf_dir):
+    looked = SG.lookup(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir))
+    miss = looked.where(~F.col("found"))
+    return SG.suggest_selectors(miss, A.dom_tokens(spark, sf_dir))
+
+
+@register("not_found_summary", f"""with {S.a7_sql()},
+lists as (select capture_id, selector, string_agg(suggestion, ', ' order by rank) as s from top group by all)
+select m.capture_id, m.selector,
+  case when l.s is not null then m.selector || ': element not found. Closest matches: ' || l.s
+       else m.selector || ': element not found, no similar selectors detected.' end as summary
+from miss m left join lists l using (capture_id, selector)
+""")
+def not_found_summary(spark, sf_dir):
+    rows = SG.not_found_rows(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),
+                             A.dom_tokens(spark, sf_dir))
+    return rows.select("capture_id", "selector",
+                       AU.not_found_summary(F.col("selector"), F.col("suggestions")).alias("summary")).distinct()

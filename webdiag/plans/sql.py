@@ -262,3 +262,56 @@ segs as (
   select usable.url, a4.gen_line, a4.gen_col, a4.source, a4.orig_line, a4.orig_col, a4.name
   from usable join a4 on a4.cust = usable.cust
 )"""
+
+
+def a7_sql() -> str:
+    """A7 tokens, elements, requests, misses and candidate suggestions (DuckDB)."""
+    from webdiag.operators import suggest as SG
+    from webdiag.sources import adapters as A
+    reqs = "[" + ", ".join(q(s) for s in A.A7_REQUESTS) + "]"
+    ids = f"list_transform(regexp_extract_all(selector, {q(SG.ID_TOKEN_RE)}, 1), lambda t: lower(t))"
+    cls = f"list_transform(regexp_extract_all(selector, {q(SG.CLASS_TOKEN_RE)}, 1), lambda t: lower(t))"
+    return f"""
+a7_raw as (
+  select cast(p_size as varchar) as capture_id, 'id' as kind, {A.A7_ID} as token, p_partkey as doc_order from part
+  union all
+  select cast(p_size as varchar), 'class', {A.A7_CLASS}, p_partkey from part
+),
+dom as (
+  select capture_id, kind, token, lower(token) as lc, min(doc_order) as doc_order
+  from a7_raw where length(coalesce(token, '')) > 0 group by capture_id, kind, token
+),
+els as (select distinct capture_id, '#' || token as selector from a7_raw where kind = 'id'),
+caps as (select distinct cast(p_size as varchar) as capture_id from part),
+req as (
+  select capture_id, generate_subscripts({reqs}, 1) - 1 as pos, unnest({reqs}) as selector from caps
+),
+looked as (
+  select r.capture_id, r.pos, r.selector, e.selector is not null as found
+  from req r left join els e on e.capture_id = r.capture_id and e.selector = r.selector
+),
+miss as (select distinct capture_id, selector from looked where not found),
+toks0 as (
+  select capture_id, selector, {ids} as ids, {cls} as cls,
+    coalesce(list_max(list_transform(list_concat({ids}, {cls}), lambda t: length(t))), 0) as ref_len
+  from miss
+),
+toks as (
+  select distinct capture_id, selector, ref_len, 'id' as kind, unnest(ids) as want from toks0
+  union
+  select distinct capture_id, selector, ref_len, 'class' as kind, unnest(cls) as want from toks0
+),
+cand as (
+  select distinct t.capture_id, t.selector, t.ref_len, d.kind, d.token, d.doc_order
+  from dom d join toks t on d.capture_id = t.capture_id and d.kind = t.kind
+    and (d.lc = t.want or contains(d.lc, t.want) or contains(t.want, d.lc))
+),
+ranked as (
+  select capture_id, selector,
+    (case when kind = 'id' then '#' else '.' end) || token as suggestion,
+    row_number() over (partition by capture_id, selector
+      order by abs(length((case when kind = 'id' then '#' else '.' end) || token) - ref_len),
+               kind = 'class', doc_order, (case when kind = 'id' then '#' else '.' end) || token) as rank
+  from cand
+),
+top as (select * from ranked where rank <= 5)"""

@@ -239,3 +239,32 @@ A5_BODY = ("concat(html, case page_id % 4 "
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     return p.select("page_id", "url", F.expr(A5_BODY).alias("body"))
+
+
+# A7: a page per part size; every part contributes an element id and a class.
+A7_ID = "concat(upper(substr(p_name, 1, 1)), replace(substr(p_name, 2), ' ', '-'))"
+A7_CLASS = "replace(p_brand, '#', '-')"
+A7_REQUESTS = ("#Small-ring", ".brand-1", "#ring", "#blue-bolt.brand-2", "nav > .zz", "#RED-widget")
+
+
+def dom_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 tokens (capture_id, kind, token, doc_order) in document order."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_size"])
+    both = F.array(F.struct(F.lit("id").alias("kind"), F.expr(A7_ID).alias("token")),
+                   F.struct(F.lit("class").alias("kind"), F.expr(A7_CLASS).alias("token")))
+    x = p.select(F.col("p_size").cast("string").alias("capture_id"), F.col("p_partkey").alias("doc_order"),
+                 F.explode(both).alias("t"))
+    return x.select("capture_id", "t.kind", "t.token", "doc_order")
+
+
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 elements: every id of a page is a selectable element."""
+    t = dom_tokens(spark, sf_dir)
+    return t.where(F.col("kind") == "id").select("capture_id", F.concat(F.lit("#"), F.col("token")).alias("selector"))
+
+
+def selector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 requests: the same selectors asked on every page."""
+    p = read_table(spark, sf_dir, "part", ["p_size"])
+    caps = p.select(F.col("p_size").cast("string").alias("capture_id")).distinct()
+    return caps.select("capture_id", F.posexplode(F.array(*[F.lit(s) for s in A7_REQUESTS])).alias("pos", "selector"))
