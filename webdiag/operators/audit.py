@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webdiag.functions import css, rules
-from webdiag.operators.common import as_keys
+from webdiag.operators.common import as_keys, posexplode_rows
 
 
 def filter_styles(elements: DataFrame, include_box_model: bool = True) -> DataFrame:
@@ -36,7 +36,7 @@ def element_issues(elements: DataFrame, keys=("capture_id", "selector")) -> Data
     """Long form: one row per issue, ``issue_no`` 1-based in rule order."""
     keys = as_keys(keys)
     d = detect_issues(elements)
-    x = d.select(*keys, F.posexplode("issues").alias("i", "issue"))
+    x = posexplode_rows(d, keys, F.col("issues"), "i", "issue")
     return x.select(*keys, (F.col("i") + 1).cast("bigint").alias("issue_no"), "issue.*")
 
 

@@ -47,3 +47,22 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | No
     ranked = df.orderBy(*order).limit(k)
     # position inside k rows: a window over at most k rows
     return ranked.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
+
+
+def posexplode_rows(df: DataFrame, keep: Sequence, array: Column, pos: str, value: str) -> DataFrame:
+    """``select(*keep, posexplode(array))`` without the ``size(array) > 0``
+    filter Spark infers for ``explode``: that filter is pushed below the
+    projections and evaluates a costly array expression (a JSON parse, a
+    text split) a second time. ``posexplode_outer`` + a null test on the
+    position keeps it to one evaluation."""
+    x = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return x.where(F.col(pos).isNotNull())
+
+
+def where_computed(df: DataFrame, cond: Column) -> DataFrame:
+    """``df.where(cond)`` for a condition on columns computed by costly
+    expressions (JSON parsing). A plain filter is pushed below the
+    projections and re-evaluates them inside the filter; selecting through a
+    generator keeps one evaluation per row."""
+    x = df.select("*", F.posexplode_outer(F.when(cond, F.array(F.lit(True)))).alias("_wc_pos", "_wc_hit"))
+    return x.where(F.col("_wc_pos").isNotNull()).drop("_wc_pos", "_wc_hit")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webdiag.operators.common import posexplode_rows
+
 from webdiag.functions import urls as U
 from webdiag.functions import vlq
 
@@ -76,11 +78,13 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     are windows partitioned by url: one map is one input value, so a task
     holds at most one map's segments."""
     m = source_maps.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m"))
-    m = m.where(F.col("m.version") == SUPPORTED_VERSION).select(
-        "url", "m.sourceRoot", "m.sources", "m.names",
-        F.posexplode(F.split(F.coalesce("m.mappings", F.lit("")), ";")).alias("li", "line_text"))
-    segs = m.select("url", "sourceRoot", "sources", "names", (F.col("li") + 1).cast("bigint").alias("gen_line"),
-                    F.posexplode(F.split("line_text", ",")).alias("seg_no", "seg"))
+    m = m.where(F.col("m.version") == SUPPORTED_VERSION).select("url", "m.*")
+    m = posexplode_rows(m, ["url", "sourceRoot", "sources", "names"],
+                        F.split(F.coalesce("mappings", F.lit("")), ";"), "li", "line_text")
+    m = m.select("url", "sourceRoot", "sources", "names", (F.col("li") + 1).cast("bigint").alias("gen_line"),
+                 "line_text")
+    segs = posexplode_rows(m, ["url", "sourceRoot", "sources", "names", "gen_line"],
+                           F.split("line_text", ","), "seg_no", "seg")
     segs = segs.where(F.col("seg") != "")
     segs = segs.withColumn("f", vlq.decode_segment(F.col("seg"))).withColumn("ok", vlq.valid_segment(F.col("seg")))
     by_line = Window.partitionBy("url", "gen_line").orderBy("seg_no")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webdiag.functions import frames as FR
-from webdiag.operators.common import as_keys
+from webdiag.operators.common import as_keys, posexplode_rows
 
 
 def parsed_frames(df: DataFrame, stack_col: str = "stack") -> Column:
@@ -26,11 +26,35 @@ def parsed_frames(df: DataFrame, stack_col: str = "stack") -> Column:
     elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType):
         names = dt.elementType.fieldNames()
         arr = F.transform(s, lambda o: FR.object_frame(o, names))
+    elif isinstance(dt, T.VariantType):
+        arr = _variant_frames(s)
     else:
         raise TypeError(f"unsupported stack type {dt.simpleString()}")
     return F.filter(arr, lambda f: f.isNotNull())
 
 
+def _variant_frames(s: Column) -> Column:
+    """Frames of a VARIANT stack: a string (split on newlines) or an array
+    of strings and frame objects. Any other shape gives no frames."""
+    kind = F.schema_of_variant(s)
+    text = F.try_variant_get(s, "$", "string")
+    from_text = F.transform(F.split(text, "\n"), FR.parse_text_frame)
+
+    def one(e):
+        k = F.schema_of_variant(e)
+        g = lambda path, t="string": F.try_variant_get(e, path, t)
+        obj = F.struct(F.coalesce(g("$.functionName"), g("$.name")).alias("function_name"),
+                       F.coalesce(g("$.url"), g("$.scriptUrl"), g("$.source")).alias("url"),
+                       F.coalesce(g("$.lineNumber", "bigint"), g("$.line", "bigint")).alias("line"),
+                       F.coalesce(g("$.columnNumber", "bigint"), g("$.column", "bigint")).alias("col"),
+                       F.lit(None).cast("string").alias("raw"))
+        return (F.when(k == "STRING", FR.parse_text_frame(g("$")))
+                .when(k.startswith("OBJECT"), obj))
+    from_array = F.transform(F.try_variant_get(s, "$", "array<variant>"), one)
+    return (F.when(kind == "STRING", F.when(text != "", from_text))
+            .when(kind.startswith("ARRAY"), from_array))
+
+
 def kept_frames(frames: Column) -> Column:
     """First 3 non-internal frames (unparsed text lines count too)."""
     return F.slice(F.filter(frames, lambda f: ~FR.is_internal(f)), 1, FR.KEEP_FRAMES)
@@ -51,5 +75,5 @@ def compress_stacks(df: DataFrame, stack_col: str = "stack") -> DataFrame:
 def explode_frames(df: DataFrame, keys=("capture_id", "seq"), stack_col: str = "stack") -> DataFrame:
     """Long table of the kept frames: keys…, frame_no (1-based), fields."""
     keys = as_keys(keys)
-    x = df.select(*keys, F.posexplode(kept_frames(parsed_frames(df, stack_col))).alias("i", "f"))
+    x = posexplode_rows(df, keys, kept_frames(parsed_frames(df, stack_col)), "i", "f")
     return x.select(*keys, (F.col("i") + 1).cast("bigint").alias("frame_no"), "f.*")

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webdiag.operators.common import posexplode_rows
+
 from webdiag.operators import rollup as R
 from webdiag.plans import sql as S
 from webdiag.sources import adapters as A
@@ -198,7 +200,7 @@ select capture_id, seq, frame_no, function_name, url, line, col, raw from parsed
 """)
 def frames_parsed(spark, sf_dir):
     e = A.stack_entries(spark, sf_dir)
-    x = e.select("capture_id", "seq", F.posexplode(ST.parsed_frames(e)).alias("i", "f"))
+    x = posexplode_rows(e, ["capture_id", "seq"], ST.parsed_frames(e), "i", "f")
     return x.select("capture_id", "seq", (F.col("i") + 1).cast("bigint").alias("frame_no"), "f.*")
 
 
@@ -373,3 +375,47 @@ def not_found_summary(spark, sf_dir):
                              A.dom_tokens(spark, sf_dir))
     return rows.select("capture_id", "selector",
                        AU.not_found_summary(F.col("selector"), F.col("suggestions")).alias("summary")).distinct()
+
+
+# ---------------------------------------------------------------- payloads
+from webdiag.sources import payloads as PL  # noqa: E402
+
+
+@register("console_payloads", f"""with {S.console_payloads_sql()}
+select capture_id, seq, level, message, source, has_stack from centries
+""")
+def console_payloads(spark, sf_dir):
+    parsed = PL.parse_console_payloads(A.console_payloads(spark, sf_dir))
+    e = PL.console_entries(parsed)
+    n = R.normalize(e)
+    return n.select("capture_id", "seq", "level", "message", "source",
+                    F.col("stack").isNotNull().cast("bigint").alias("has_stack"))
+
+
+@register("console_payload_kinds", f"""with {S.console_payloads_sql()}
+select payload_kind, count(*) as n_payloads from ck group by payload_kind
+""")
+def console_payload_kinds(spark, sf_dir):
+    parsed = PL.parse_console_payloads(A.console_payloads(spark, sf_dir))
+    return parsed.groupBy("payload_kind").agg(F.count(F.lit(1)).alias("n_payloads"))
+
+
+@register("element_payloads", f"""with {S.element_payloads_sql()}
+select capture_id, pos, selector, not_found, n_styles, display, n_suggestions from eentries
+""")
+def element_payloads(spark, sf_dir):
+    parsed = PL.parse_element_payloads(A.element_payloads(spark, sf_dir))
+    e = PL.element_rows(parsed)
+    return e.select("capture_id", F.col("pos").cast("bigint").alias("pos"), "selector",
+                    F.col("not_found").cast("bigint").alias("not_found"),
+                    F.size("styles").cast("bigint").alias("n_styles"), F.col("styles")["display"].alias("display"),
+                    F.coalesce(F.size("suggestions"), F.lit(0)).cast("bigint").alias("n_suggestions"))
+
+
+@register("payload_quarantine", f"""with {S.console_payloads_sql()}, {S.element_payloads_sql().strip().replace('pl as (', 'pl2 as (', 1).replace('from pl)', 'from pl2)', 1).replace('pj0 as', 'epj0 as').replace('pj1 as', 'epj1 as').replace('pj2 as', 'epj2 as').replace('pp as', 'epp as').replace('from pj0', 'from epj0').replace('from pj1', 'from epj1').replace('from pj2', 'from epj2').replace('from pp', 'from epp')}
+{S.quarantine_sql()}
+""")
+def payload_quarantine(spark, sf_dir):
+    c = PL.quarantine(PL.parse_console_payloads(A.console_payloads(spark, sf_dir)), source="console")
+    e = PL.quarantine(PL.parse_element_payloads(A.element_payloads(spark, sf_dir)), source="element")
+    return c.unionByName(e)

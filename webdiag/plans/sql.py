@@ -315,3 +315,121 @@ ranked as (
   from cand
 ),
 top as (select * from ranked where rank <= 5)"""
+
+
+def shaped_sql(shapes, col: str, key: str) -> str:
+    n = len(shapes)
+    parts = " ".join(f"when {i} then " + (q(pre) if suf is None else f"{q(pre)} || {col} || {q(suf)}")
+                     for i, (pre, suf) in enumerate(shapes))
+    return f"(case {key} % {n} {parts} end)"
+
+
+def _truthy_sql(j: str, path: str) -> str:
+    t = f"json_type({j}, {q(path)})"
+    return (f"(case when {t} is null or {t} = 'NULL' then false "
+            f"when {t} = 'BOOLEAN' then cast(json_extract({j}, {q(path)}) as boolean) "
+            f"when {t} = 'VARCHAR' then json_extract_string({j}, {q(path)}) <> '' "
+            f"when {t} in ('BIGINT', 'UBIGINT', 'DOUBLE') then cast(json_extract({j}, {q(path)}) as double) <> 0 "
+            f"else true end)")
+
+
+def payloads_sql(shapes, kind: str) -> str:
+    """Parsed payload relation ``pp`` (DuckDB): capture_id, payload, j, text, pj."""
+    from webdiag.sources import payloads as P
+    return f"""
+pl as (select cast(event_id as varchar) as capture_id, {shaped_sql(shapes, 'event_type', 'event_id')} as payload from events),
+pj0 as (select *, case when json_valid(payload) then payload end as j from pl),
+pj1 as (select *, json_extract_string(j, '$.content[0].text') as text from pj0),
+pj2 as (select *, case when regexp_matches(text, {q(P.FENCE_RE)}) then regexp_extract(text, {q(P.FENCE_RE)}, 1) else text end as jt from pj1),
+pp as (select *, case when json_valid(jt) then jt end as pj, coalesce(text, '') <> '' as has_text from pj2)"""
+
+
+def console_payloads_sql() -> str:
+    from webdiag.sources import adapters as A
+    from webdiag.sources import payloads as P
+    return payloads_sql(A.A8_SHAPES, "console") + f""",
+ck as (
+  select *, case
+    when json_type(j) = 'ARRAY' then 'array'
+    when json_type(j, '$.result') = 'ARRAY' then 'result'
+    when json_type(j, '$.logs') = 'ARRAY' then 'logs'
+    when json_type(j, '$.messages') = 'ARRAY' then 'messages'
+    when has_text and (regexp_matches(text, {q(P.NO_MESSAGES_RE)}) or regexp_matches(text, {q(P.MARKDOWN_HEADING_RE)})) then 'markdown'
+    when has_text and (json_type(pj) = 'ARRAY' or json_type(pj, '$.result') = 'ARRAY'
+                       or json_type(pj, '$.messages') = 'ARRAY' or json_type(pj, '$.logs') = 'ARRAY') then 'text'
+    else 'failed' end as payload_kind
+  from pp
+),
+cl as (
+  select *, case payload_kind when 'array' then j when 'result' then json_extract(j, '$.result')
+    when 'logs' then json_extract(j, '$.logs') when 'messages' then json_extract(j, '$.messages')
+    when 'text' then case when json_type(pj) = 'ARRAY' then pj
+                          when json_type(pj, '$.result') = 'ARRAY' then json_extract(pj, '$.result')
+                          when json_type(pj, '$.messages') = 'ARRAY' then json_extract(pj, '$.messages')
+                          else json_extract(pj, '$.logs') end end as logs
+  from ck
+),
+ce as (
+  select capture_id, generate_subscripts(json_extract(logs, '$[*]'), 1) - 1 as seq,
+         unnest(json_extract(logs, '$[*]')) as e
+  from cl where logs is not null
+),
+centries as (
+  select capture_id, cast(seq as bigint) as seq,
+    coalesce(json_extract_string(e, '$.level'), json_extract_string(e, '$.type'), 'log') as level,
+    coalesce(json_extract_string(e, '$.text'), json_extract_string(e, '$.message'), '') as message,
+    coalesce(json_extract_string(e, '$.source'), json_extract_string(e, '$.url')) as source,
+    cast(coalesce(json_type(e, '$.stackTrace'), 'NULL') <> 'NULL' or coalesce(json_type(e, '$.stack'), 'NULL') <> 'NULL' as bigint) as has_stack
+  from ce
+)"""
+
+
+def element_payloads_sql() -> str:
+    from webdiag.sources import adapters as A
+    from webdiag.sources import payloads as P
+    return payloads_sql(A.A9_SHAPES, "element") + f""",
+ek as (
+  select *, case
+    when has_text and pj is null then 'failed'
+    when has_text and json_type(pj) = 'NULL' then 'failed'
+    when has_text and {_truthy_sql('pj', '$.results')} then 'text'
+    when has_text and {_truthy_sql('pj', '$.result.results')} then 'text_result'
+    when {_truthy_sql('j', '$.results')} then 'direct'
+    when {_truthy_sql('j', '$.result.results')} then 'result'
+    else 'failed' end as payload_kind
+  from pp
+),
+er as (
+  select *, case payload_kind when 'text' then json_extract(pj, '$.results') when 'text_result' then json_extract(pj, '$.result.results')
+    when 'direct' then json_extract(j, '$.results') when 'result' then json_extract(j, '$.result.results') end as res
+  from ek
+),
+ee as (
+  select capture_id, generate_subscripts(json_extract(res, '$[*]'), 1) - 1 as pos, unnest(json_extract(res, '$[*]')) as r
+  from er where json_type(res) = 'ARRAY'
+),
+eentries as (
+  select capture_id, cast(pos as bigint) as pos, json_extract_string(r, '$.selector') as selector,
+    cast({_truthy_sql('r', '$.notFound')} as bigint) as not_found,
+    cast(coalesce(len(json_keys(r, '$.styles')), 0) as bigint) as n_styles,
+    json_extract_string(r, '$.styles.display') as display,
+    cast(coalesce(json_array_length(r, '$.suggestions'), 0) as bigint) as n_suggestions
+  from ee
+)"""
+
+
+def quarantine_sql() -> str:
+    from webdiag.sources import payloads as P
+    return f"""
+select capture_id, 'console' as source,
+  {q(P.CONSOLE_WARNING)} || case when has_text and pj is null then {q(P.INVALID_JSON)}
+    else {q(P.CONSOLE_UNRECOGNIZED)} || substring(payload, 1, {P.RAW_KEEP_CHARS}) end as warning,
+  substring(payload, 1, {P.RAW_KEEP_CHARS}) as raw
+from ck where payload_kind = 'failed'
+union all
+select capture_id, 'element' as source,
+  {q(P.STYLE_WARNING)} || case when has_text and pj is null then {q(P.INVALID_JSON)}
+    when has_text and json_type(pj) = 'NULL' then {q(P.STYLE_NULL)}
+    else {q(P.STYLE_UNRECOGNIZED)} || substring(payload, 1, {P.RAW_KEEP_CHARS}) end as warning,
+  substring(payload, 1, {P.RAW_KEEP_CHARS}) as raw
+from ek where payload_kind = 'failed'"""

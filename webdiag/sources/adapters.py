@@ -8,9 +8,11 @@ DuckDB. Shapes follow FIXTURES.md §3.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webdiag.operators.common import posexplode_rows
+
 from webdiag.sources.tables import read_table
 
 SEQ_STRIDE = 100000  # documents hold < 100000 lines, so doc_id*stride+pos is unique
@@ -23,8 +25,7 @@ def _s(c) -> F.Column:
 def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document (whole texts), with its position."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    return docs.select("doc_id", "source",
-                       F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return posexplode_rows(docs, ["doc_id", "source"], F.split("text", "\n"), "pos", "line")
 
 
 def console_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,3 +269,50 @@ def selector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", ["p_size"])
     caps = p.select(F.col("p_size").cast("string").alias("capture_id")).distinct()
     return caps.select("capture_id", F.posexplode(F.array(*[F.lit(s) for s in A7_REQUESTS])).alias("pos", "selector"))
+
+
+# A8: console payloads from events, one shape per event_id % 8. Each shape
+# is (prefix, suffix) around event_type; None = the payload is the prefix.
+A8_SHAPES = (
+    ('[{"level":"error","text":"', '","stackTrace":"at f (https://x.example.com/dist/a.min.js:1:5)"}]'),
+    ('{"result":[{"type":"warn","message":"', '"},{"type":"warn","message":"0x1F at :3:4"}]}'),
+    ('{"logs":[{"text":"', '","url":"https://x.example.com/p"}]}'),
+    ('{"messages":[{"level":"info","text":"', '"},{"level":"log"}]}'),
+    ('{"content":[{"text":"No console messages found"}]}', None),
+    ('{"content":[{"text":"```json [{\\"level\\":\\"error\\",\\"text\\":\\"', '\\"}] ```"}]}'),
+    ('{"content":[{"text":"Page log\\n## Console\\n- ', '"}]}'),
+    ('not json ', ''),
+)
+# A9: style payloads from events, one shape per event_id % 6.
+A9_SHAPES = (
+    ('{"results":[{"selector":"#e-', '","styles":{"display":"none","opacity":"1","color":"red"}}]}'),
+    ('{"result":{"results":[{"selector":"#a","styles":{"opacity":"0.05"}},'
+     '{"selector":"#', '","notFound":true,"suggestions":["#b1","#b2"]}]}}'),
+    ('{"content":[{"text":"```json {\\"results\\":[{\\"selector\\":\\".', '\\",\\"styles\\":{\\"visibility\\":\\"hidden\\"}}]} ```"}]}'),
+    ('{"content":[{"text":"null"}]}', None),
+    ('{"results":"', '"}'),
+    ('<html>', '</html>'),
+)
+
+
+def _shaped(col: Column, key: Column, shapes) -> Column:
+    n = len(shapes)
+    expr = None
+    for i, (pre, suf) in enumerate(shapes):
+        val = F.lit(pre) if suf is None else F.concat(F.lit(pre), col, F.lit(suf))
+        expr = F.when(key % n == i, val) if expr is None else expr.when(key % n == i, val)
+    return expr
+
+
+def console_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8: (capture_id, payload) per event."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    return ev.select(F.col("event_id").cast("string").alias("capture_id"),
+                     _shaped(F.col("event_type"), F.col("event_id"), A8_SHAPES).alias("payload"))
+
+
+def element_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9: (capture_id, payload) per event."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    return ev.select(F.col("event_id").cast("string").alias("capture_id"),
+                     _shaped(F.col("event_type"), F.col("event_id"), A9_SHAPES).alias("payload"))
