@@ -419,3 +419,57 @@ def payload_quarantine(spark, sf_dir):
     c = PL.quarantine(PL.parse_console_payloads(A.console_payloads(spark, sf_dir)), source="console")
     e = PL.quarantine(PL.parse_element_payloads(A.element_payloads(spark, sf_dir)), source="element")
     return c.unionByName(e)
+
+
+# ---------------------------------------------------------------- reports
+from webdiag.operators import reports as RP  # noqa: E402
+
+
+def _summary_query(severity, limit):
+    def q(spark, sf_dir):
+        _, s = RP.error_report(A.console_entries(spark, sf_dir), severity=severity, limit=limit)
+        return s
+    none = "No " + ("" if severity == "all" else severity + " ") + "messages found in console."
+    sql = f"""with {A1_NORMALIZED},
+issues as ({S.rollup_sql("x as (select 1)", "n", severity, limit, ["capture_id"]).replace("with x as (select 1),", "with")}),
+totals as (select capture_id, count(*) as total_log_entries from n group by capture_id),
+per as (select capture_id, count(*) as unique_issues, max(case when issue_no = 1 then message end) as top_message
+        from issues group by capture_id)
+select t.capture_id, t.total_log_entries, coalesce(p.unique_issues, 0) as unique_issues,
+  case when coalesce(p.unique_issues, 0) = 0 then {S.q(none)}
+       else cast(p.unique_issues as varchar) || ' unique issue' || case when p.unique_issues > 1 then 's' else '' end
+            || ' (from ' || cast(t.total_log_entries as varchar) || ' total log entries). Top: '
+            || substring(p.top_message, 1, 100) end as summary
+from totals t left join per p using (capture_id)
+"""
+    return q, sql
+
+
+for _name, _args in {"error_summary": ("error", 20), "error_summary_all": ("all", 3)}.items():
+    _fn, _sql = _summary_query(*_args)
+    register(_name, _sql)(_fn)
+
+
+@register("diagnose_batch", f"""with {S.a7_sql()}, {S.a7_diagnose_sql().strip()}
+select capture_id, n_elements, n_with_issues, n_not_found, summary from diag
+""")
+def diagnose_batch(spark, sf_dir):
+    _, batch = RP.diagnose(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),
+                           A.dom_tokens(spark, sf_dir))
+    return batch
+
+
+@register("diagnose_elements", f"""with {S.a7_sql()},
+lists as (select capture_id, selector, string_agg(suggestion, ', ' order by rank) as s from top group by all)
+select l.capture_id, cast(l.pos as bigint) as pos, l.selector, cast(not l.found as bigint) as not_found,
+  case when l.found then null
+       when li.s is not null then l.selector || ': element not found. Closest matches: ' || li.s
+       else l.selector || ': element not found, no similar selectors detected.' end as summary
+from looked l left join lists li on li.capture_id = l.capture_id and li.selector = l.selector
+""")
+def diagnose_elements(spark, sf_dir):
+    report, _ = RP.diagnose(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),
+                            A.dom_tokens(spark, sf_dir))
+    return report.select("capture_id", F.col("pos").cast("bigint").alias("pos"), "selector",
+                         F.col("is_not_found").cast("bigint").alias("not_found"),
+                         F.when(F.col("is_not_found"), F.col("summary")).alias("summary"))

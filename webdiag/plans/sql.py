@@ -433,3 +433,48 @@ select capture_id, 'element' as source,
     else {q(P.STYLE_UNRECOGNIZED)} || substring(payload, 1, {P.RAW_KEEP_CHARS}) end as warning,
   substring(payload, 1, {P.RAW_KEEP_CHARS}) as raw
 from ek where payload_kind = 'failed'"""
+
+
+def a7_diagnose_sql() -> str:
+    """Element diagnosis of the A7 requests (DuckDB): relation ``diag``
+    (capture_id, n_elements, n_with_issues, n_not_found, summary)."""
+    from webdiag.sources import adapters as A
+    cols = ",\n    ".join(f"{v} as \"{k}\"" for k, v in A.A7_STYLES)
+    return f"""
+a7_el as (
+  select cast(p_size as varchar) as capture_id, '#' || {A.A7_ID} as selector, p_partkey as doc_order,
+    {cols}
+  from part
+  qualify p_partkey = min(p_partkey) over (partition by cast(p_size as varchar), '#' || {A.A7_ID})
+),
+fnd as (
+  select row_number() over () as rid, l.capture_id, l.pos, l.selector, e.*
+  from looked l join a7_el e on e.capture_id = l.capture_id and e.selector = l.selector
+),
+fired as ({issues_sql('fnd', [k for k, _ in A.A7_STYLES])}),
+iss as (select rid, row_number() over (partition by rid order by rule_no) as issue_no, property, value,
+               case severity when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as r from fired),
+top_el as (
+  select rid, arg_min(property, struct_pack(nr := -r, i := issue_no)) as property,
+         arg_min(value, struct_pack(nr := -r, i := issue_no)) as value, max(r) as r from iss group by rid
+),
+el as (
+  select l.capture_id, l.pos, l.selector, not l.found as nf, t.rid is not null as has_issue, t.property, t.value, t.r
+  from looked l left join fnd f on f.capture_id = l.capture_id and f.pos = l.pos
+  left join top_el t on t.rid = f.rid
+),
+g as (
+  select capture_id, count(*) as n_elements, count(*) filter (where has_issue) as n_with_issues,
+    count(*) filter (where nf) as n_not_found,
+    arg_min(selector || ' ' || property || ':' || value,
+            struct_pack(nr := -r, p := pos, s := selector, pp := property, v := value)) filter (where has_issue) as top
+  from el group by capture_id
+),
+diag as (
+  select capture_id, n_elements, n_with_issues, n_not_found,
+    concat(cast(n_elements as varchar), ' element', case when n_elements > 1 then 's' else '' end,
+           ' diagnosed, ', cast(n_with_issues as varchar), ' with issues',
+           case when n_not_found > 0 then ', ' || cast(n_not_found as varchar) || ' not found' else '' end,
+           case when top is not null then '. Top: ' || top else '' end, '.') as summary
+  from g
+)"""

@@ -258,10 +258,25 @@ def dom_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("capture_id", "t.kind", "t.token", "doc_order")
 
 
+A7_STYLES = (
+    ("display", "case when p_partkey % 4 = 0 then 'none' else 'flex' end"),
+    ("opacity", "case when p_partkey % 7 = 0 then '0.05' else '1' end"),
+    ("visibility", "case when p_type like '%BRASS%' then 'hidden' else 'visible' end"),
+    ("overflow", "case when p_partkey % 3 = 0 then 'hidden' else 'visible' end"),
+    ("pointer-events", "case when p_size % 2 = 0 then 'none' else 'auto' end"),
+)
+
+
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7 elements: every id of a page is a selectable element."""
-    t = dom_tokens(spark, sf_dir)
-    return t.where(F.col("kind") == "id").select("capture_id", F.concat(F.lit("#"), F.col("token")).alias("selector"))
+    """A7 elements: every id of a page is a selectable element (the first
+    part carrying it, in document order), with computed styles."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_size"])
+    styles = F.create_map(*[x for k, v in A7_STYLES for x in (F.lit(k), F.expr(v))])
+    e = p.select(F.col("p_size").cast("string").alias("capture_id"),
+                 F.concat(F.lit("#"), F.expr(A7_ID)).alias("selector"), F.col("p_partkey").alias("doc_order"),
+                 styles.alias("styles"))
+    first = e.groupBy("capture_id", "selector").agg(F.min("doc_order").alias("doc_order"))
+    return e.join(first, ["capture_id", "selector", "doc_order"], "inner")
 
 
 def selector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
