@@ -9,8 +9,8 @@ last segment of its line is sent to the bucket of that last segment.
 Join keys are thus fine-grained even when a minified file has a single
 generated line, and each (url, line, bucket) key holds at most about W
 segments, so no task compares a hot position against a whole map.
-Positions are deduplicated first, so a frame repeated across a third of
-all rows is looked up once.
+``resolve_positions`` looks up a table of distinct positions;
+``resolve_frames`` joins frames directly.
 """
 
 from __future__ import annotations
@@ -32,18 +32,11 @@ def resolve_positions(positions: DataFrame, segments: DataFrame,
     (nulls when unresolved: no segment on the line at or before col, or the
     segment has no source)."""
     W = int(bucket_width)
-    seg = segments.select("url", F.col("gen_line"), "gen_col", "next_gen_col", "source",
-                          "orig_line", "orig_col", "name")
-    lo = F.floor(F.col("gen_col") / W)
-    hi = F.when(F.col("next_gen_col").isNull(), lo).otherwise(F.floor((F.col("next_gen_col") - 1) / W))
-    seg_b = seg.select("*", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("bucket"))
-    last = segments.where(F.col("next_gen_col").isNull()).select(
-        F.col("url").alias("l_url"), F.col("gen_line").alias("l_line"),
-        F.floor(F.col("gen_col") / W).alias("last_bucket"))
+    seg_b, last = _bucketed(segments, W)
     p = positions.select("url", "line", "col")
     p = p.join(last, (p.url == last.l_url) & (p.line == last.l_line), "left")
     p = p.select("url", "line", "col", F.least(F.floor(F.col("col") / W), F.col("last_bucket")).alias("bucket"))
-    cond = ((p.url == seg_b.url) & (p.line == seg_b.gen_line) & (p.bucket == seg_b.bucket) &
+    cond = ((p.url == seg_b.s_url) & (p.line == seg_b.gen_line) & (p.bucket == seg_b.s_bucket) &
             (p.col >= seg_b.gen_col) & (seg_b.next_gen_col.isNull() | (p.col < seg_b.next_gen_col)))
     j = p.join(seg_b, cond, "left")
     return j.select(p.url, p.line, p.col,
@@ -52,26 +45,49 @@ def resolve_positions(positions: DataFrame, segments: DataFrame,
                     F.when(F.col("source").isNotNull(), F.col("name")).alias("r_name"))
 
 
+def _bucketed(segments: DataFrame, W: int):
+    """(segment copies keyed by bucket, last bucket of each line)."""
+    seg = segments.select("url", "gen_line", "gen_col", "next_gen_col", "source", "orig_line", "orig_col", "name")
+    lo = F.floor(F.col("gen_col") / W)
+    hi = F.when(F.col("next_gen_col").isNull(), lo).otherwise(F.floor((F.col("next_gen_col") - 1) / W))
+    seg_b = seg.select("*", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("s_bucket"))
+    last = segments.where(F.col("next_gen_col").isNull()).select(
+        F.col("url").alias("l_url"), F.col("gen_line").alias("l_line"),
+        F.floor(F.col("gen_col") / W).alias("last_bucket"))
+    return seg_b.withColumnRenamed("url", "s_url"), last
+
+
 def resolve_frames(frames: DataFrame, segments: DataFrame,
                    bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """frames(…, function_name, url, line, col, raw) → + resolved (bool) and
-    text (printed frame; the original position is printed when the frame
-    is not minified-looking or does not resolve)."""
-    col0 = F.coalesce(F.col("col"), F.lit(0)).alias("lookup_col")
-    f = frames.select("*", col0)
+    """frames(…, function_name, url, line, col, raw) → + resolved (bool),
+    text (printed frame: the original position when the frame does not
+    look minified or does not resolve) and r_source/r_line/r_col/r_name.
+
+    Two left joins of the frames: to the last segment bucket of their line
+    (url, line), then to the segment copies of their bucket (url, line,
+    bucket). Both stream the frames and look up small per-key groups; a
+    position hit by a third of all frames is one skewed key that AQE's
+    skew-join splits across tasks."""
+    W = int(bucket_width)
+    seg_b, last = _bucketed(segments, W)
+    col0 = F.coalesce(F.col("col"), F.lit(0))
     gate = (FR.looks_minified(F.col("url"), F.col("line"), F.col("col")) &
-            (F.col("line") >= 1) & (F.col("lookup_col") >= 0))
-    pos = (f.where(gate).select("url", "line", F.col("lookup_col").alias("col")).distinct())
-    res = resolve_positions(pos, segments, bucket_width).select(
-        F.col("url").alias("p_url"), F.col("line").alias("p_line"), F.col("col").alias("p_col"), *RESOLVED_COLS)
-    j = f.join(res, (f.url == res.p_url) & (f.line == res.p_line) & (f.lookup_col == res.p_col) & gate, "left")
-    resolved = F.col("r_source").isNotNull()
-    name = F.coalesce(F.col("r_name"), F.col("function_name"), F.lit(FR.UNKNOWN_NAME))
+            (F.col("line") >= 1) & (col0 >= 0))
+    f = frames.select("*", col0.alias("lookup_col"), gate.alias("gated"))
+    f = f.join(last, (f.url == last.l_url) & (f.line == last.l_line) & f.gated, "left")
+    f = f.select(*frames.columns, "lookup_col", "gated",
+                 F.least(F.floor(F.col("lookup_col") / W), F.col("last_bucket")).alias("bucket"))
+    cond = ((f.url == seg_b.s_url) & (f.line == seg_b.gen_line) & (f.bucket == seg_b.s_bucket) &
+            (f.lookup_col >= seg_b.gen_col) & (seg_b.next_gen_col.isNull() | (f.lookup_col < seg_b.next_gen_col)))
+    j = f.join(seg_b, cond, "left")
+    resolved = F.col("source").isNotNull()
+    name = F.coalesce(F.col("name"), F.col("function_name"), F.lit(FR.UNKNOWN_NAME))
     frame = F.struct(*[F.col(c) for c in ("function_name", "url", "line", "col", "raw")])
-    text = F.when(resolved, FR.resolved_to_string(name, F.col("r_source"), F.col("r_line"), F.col("r_col"))) \
+    text = F.when(resolved, FR.resolved_to_string(name, F.col("source"), F.col("orig_line"), F.col("orig_col"))) \
         .otherwise(FR.frame_to_string(frame))
-    keep = [c for c in frames.columns]
-    return j.select(*keep, resolved.alias("resolved"), text.alias("text"), *RESOLVED_COLS)
+    return j.select(*[f[c] for c in frames.columns], resolved.alias("resolved"), text.alias("text"),
+                    F.col("source").alias("r_source"), F.when(resolved, F.col("orig_line")).alias("r_line"),
+                    F.when(resolved, F.col("orig_col")).alias("r_col"), F.when(resolved, F.col("name")).alias("r_name"))
 
 
 def compress_with_maps(entries: DataFrame, segments: DataFrame, keys=("capture_id", "seq"),

@@ -16,6 +16,7 @@ from webdiag.operators.common import posexplode_rows
 
 from webdiag.operators import rollup as R
 from webdiag.plans import sql as S
+from webdiag.session import materialize
 from webdiag.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,7 +266,7 @@ select url, gen_line, gen_col, lead(gen_col) over (partition by url, gen_line or
 from a4 where not ({A.A4_BAD_VERSION})
 """)
 def map_segments(spark, sf_dir):
-    d = A.source_map_docs(spark, sf_dir)
+    d = A._map_docs_table(spark, sf_dir)
     return SM.build_segments(d.select("url", "map_json"))
 
 
@@ -311,7 +312,7 @@ select capture_id, seq, frame_no, cast(resolved as bigint) as resolved, text fro
 """)
 def frames_resolved(spark, sf_dir):
     frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
-    segs = SM.segments_for_frames(frames, map_files, scripts)
+    segs = materialize(SM.segments_for_frames(frames, map_files, scripts), "segments")
     r = AS.resolve_frames(frames, segs, bucket_width=64)
     return r.select("capture_id", "seq", "frame_no", F.col("resolved").cast("bigint").alias("resolved"), "text")
 
@@ -321,7 +322,7 @@ select capture_id, count(*) as n_frames, count(*) filter (where resolved) as res
 """)
 def resolved_counts(spark, sf_dir):
     frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
-    segs = SM.segments_for_frames(frames, map_files, scripts)
+    segs = materialize(SM.segments_for_frames(frames, map_files, scripts), "segments")
     r = AS.resolve_frames(frames, segs)
     return r.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_frames"),
                                        F.count_if("resolved").alias("resolved_count"))
@@ -336,7 +337,7 @@ def stack_resolved(spark, sf_dir):
     entries = A.stack_entries(spark, sf_dir)
     _, map_files, scripts = _frames_and_maps(spark, sf_dir)
     frames = ST.explode_frames(entries)
-    segs = SM.segments_for_frames(frames, map_files, scripts)
+    segs = materialize(SM.segments_for_frames(frames, map_files, scripts), "segments")
     c = AS.compress_with_maps(entries, segs)
     return c.select("capture_id", "seq", F.array_join("stack_trace", "\n").alias("stack_trace"), "resolved_count")
 

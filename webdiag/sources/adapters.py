@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webdiag.operators.common import posexplode_rows
 
+from webdiag.session import materialize
 from webdiag.sources.tables import read_table
 
 SEQ_STRIDE = 100000  # documents hold < 100000 lines, so doc_id*stride+pos is unique
@@ -141,16 +142,20 @@ def map_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(first, ["url", "gen_line", "gen_col", "okey"], "inner")
 
 
+_B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # digits of conv(x, 10, 32)
+
+
 def _vlq(v):
-    """Base64 VLQ text of a bigint Column (test-data encoder)."""
+    """Base64 VLQ text of a bigint Column (test-data encoder): base-32
+    digits of the sign-folded value, least significant first; every digit
+    but the last carries the continuation bit."""
     from webdiag.functions.vlq import BASE64_ALPHABET
     u = F.when(v < 0, (-v) * 2 + 1).otherwise(v * 2)
-    def shifted(i):  # u >> 5i
-        return F.floor(u / F.pow(F.lit(32.0), i))
-    n = F.greatest(F.lit(1), F.size(F.filter(F.sequence(F.lit(0), F.lit(12)), lambda i: shifted(i) > 0)))
-    digits = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lit(BASE64_ALPHABET).substr(
-        (shifted(i) % 32 + F.when(i < n - 1, 32).otherwise(0) + 1).cast("int"), F.lit(1)))
-    return F.array_join(digits, "")
+    rev = F.reverse(F.conv(u.cast("string"), 10, 32))
+    n = F.length(rev)
+    head = F.translate(rev.substr(F.lit(1), n - 1), _B32, BASE64_ALPHABET[32:])
+    tail = F.translate(rev.substr(n, F.lit(1)), _B32, BASE64_ALPHABET[:32])
+    return F.concat(head, tail)
 
 
 def source_map_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +194,19 @@ def source_map_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("cust", "url", doc.alias("map_json"))
 
 
+_BUILT: dict = {}
+
+
+def _map_docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map documents feed two tables and several queries: build them
+    once per application and data folder, as a table written to the shared
+    checkpoint folder, and read that table afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _BUILT:
+        _BUILT[key] = materialize(source_map_docs(spark, sf_dir), "a4_map_docs")
+    return _BUILT[key]
+
+
 def _base64(text):
     """Unbroken base64 of UTF-8 text (Spark's ``base64`` wraps MIME lines)."""
     return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
@@ -199,7 +217,7 @@ def map_files_and_scripts(spark: SparkSession, sf_dir: str):
     cust % 3 = 0: map next to the bundle (not JSON for some) and a
     reference to a second copy; = 1: relative reference to the copy;
     = 2: inline base64 reference."""
-    d = source_map_docs(spark, sf_dir)
+    d = _map_docs_table(spark, sf_dir)
     c3 = F.col("cust") % 3
     copy_url = F.concat(F.lit(MAP_DIR), F.lit("app"), F.col("cust").cast("string"), F.lit(".js.map"))
     sib_json = F.when(F.expr(A4_BROKEN_SIBLING), F.lit("not json")).otherwise(F.col("map_json"))
