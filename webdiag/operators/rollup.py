@@ -36,6 +36,23 @@ def filter_severity(entries: DataFrame, severity: str = "error") -> DataFrame:
     return entries.where(C.severity_predicate(F.col("level"), severity))
 
 
+def filter_severity_raw(entries: DataFrame, severity: str = "error") -> DataFrame:
+    """The severity filter on the raw ``level``/``type`` columns, before
+    normalisation, so a parquet scan takes it as a pushed filter:
+    level ?? type ?? 'log' passes ⟺ level passes, or level is null and
+    (type passes, or type is null and 'log' passes)."""
+    lvl = F.col("level") if "level" in entries.columns else None
+    typ = F.col("type") if "type" in entries.columns else None
+    dflt = C.severity_predicate(F.lit(C.DEFAULT_LEVEL), severity)
+    if lvl is None and typ is None:
+        return entries.where(dflt)
+    if lvl is None:
+        lvl, typ = typ, None
+    fallback = dflt if typ is None else (
+        (typ.isNotNull() & C.severity_predicate(typ, severity)) | (typ.isNull() & dflt))
+    return entries.where((lvl.isNotNull() & C.severity_predicate(lvl, severity)) | (lvl.isNull() & fallback))
+
+
 def drop_noise(entries: DataFrame, patterns: Iterable[str] = C.NOISE_PATTERNS) -> DataFrame:
     return entries.where(~C.is_noise(F.col("message"), patterns))
 
@@ -75,8 +92,11 @@ def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None
     Output: by…, issue_no, level, message, count, source, first_seq,
     fingerprint[, stack]."""
     keys = as_keys(by)
-    e = entries if normalized else normalize(entries, keys)
-    e = drop_noise(filter_severity(e, severity), noise_patterns)
+    if normalized:
+        e = filter_severity(entries, severity)
+    else:
+        e = normalize(filter_severity_raw(entries, severity), keys)
+    e = drop_noise(e, noise_patterns)
     g = with_rank(group_issues(with_fingerprint(e), keys))
     order = [F.col("severity_rank").desc(), F.col("count").desc(), F.col("first_seq").asc()]
     ranked = top_k(g, keys, order, limit)
