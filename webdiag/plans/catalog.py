@@ -474,3 +474,23 @@ def diagnose_elements(spark, sf_dir):
     return report.select("capture_id", F.col("pos").cast("bigint").alias("pos"), "selector",
                          F.col("is_not_found").cast("bigint").alias("not_found"),
                          F.when(F.col("is_not_found"), F.col("summary")).alias("summary"))
+
+
+# ---------------------------------------------------------------- streaming
+from webdiag.session import checkpoint_dir  # noqa: E402
+from webdiag.streaming import rollup as SR  # noqa: E402
+
+
+@register("error_rollup_stream", S.rollup_sql(A1_NORMALIZED, "n", "all", 20, ["capture_id"]))
+def error_rollup_stream(spark, sf_dir):
+    """The continuous rollup over the documents table read as a file stream
+    (one file per trigger), run to the end of the available input."""
+    import uuid
+    docs_schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = (spark.readStream.schema(docs_schema).option("maxFilesPerTrigger", 1)
+            .parquet(f"{sf_dir}/documents*.parquet"))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    q = SR.start(A.console_entries_of(docs), f"{base}/out", f"{base}/ckpt", severity="all", limit=20,
+                 trigger={"availableNow": True})
+    q.awaitTermination()
+    return SR.latest_report(spark, f"{base}/out")

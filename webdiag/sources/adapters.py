@@ -23,15 +23,20 @@ def _s(c) -> F.Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
 
-def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def console_lines(docs: DataFrame) -> DataFrame:
     """Every line of every document (whole texts), with its position."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    return posexplode_rows(docs, ["doc_id", "source"], F.split("text", "\n"), "pos", "line")
+    return posexplode_rows(docs.select("doc_id", "source", "text"), ["doc_id", "source"],
+                           F.split("text", "\n"), "pos", "line")
 
 
 def console_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: console entries, one per document line; capture = document source."""
-    lines = console_lines(spark, sf_dir)
+    return console_entries_of(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
+
+
+def console_entries_of(docs: DataFrame) -> DataFrame:
+    """A1 over a documents DataFrame (batch or stream)."""
+    lines = console_lines(docs)
     d = F.col("doc_id")
     level = (F.when(d % 8 == 0, "error").when(d % 8 == 1, "error")
              .when(d % 8 == 2, "warning").when(d % 8 == 3, "warn")
