@@ -46,11 +46,13 @@ def test_asof_lookup_semantics(spark):
                     "mappings": "AAAA,UACAA,E;;gBCAA,KAAK"})
     segs = sourcemaps.build_segments(spark.createDataFrame([("u.min.js", m)], "url string, map_json string"))
     pos = spark.createDataFrame([("u.min.js", 1, c) for c in (0, 5, 10, 11, 12, 5000)] +
-                                [("u.min.js", 2, 3), ("u.min.js", 3, 15), ("u.min.js", 3, 16), ("u.min.js", 3, 99),
+                                [("u.min.js", 1, 1), ("u.min.js", 2, 3), ("u.min.js", 3, 15), ("u.min.js", 3, 16),
+                                 ("u.min.js", 3, 99),
                                  ("other.min.js", 1, 1)], "url string, line bigint, col bigint")
-    for w in (1, 4, 256):
+    for w, c in ((1, 1), (1, 3), (4, 1), (4, 8), (256, 8)):
         got = {(r.line, r.col): (r.r_source, r.r_line, r.r_col, r.r_name)
-               for r in asof.resolve_positions(pos, segs, bucket_width=w).collect()}
+               for r in asof.resolve_positions(pos, segs, bucket_width=w, max_copies=c).collect()
+               if r.url == "u.min.js"}
         assert got[(1, 0)] == ("a.js", 1, 0, None)
         assert got[(1, 5)] == ("a.js", 1, 0, None)
         # line 1: col 0 → a.js:1:0; col 10 → a.js:2:0 name n; col 12 → a 1-field segment
@@ -63,6 +65,9 @@ def test_asof_lookup_semantics(spark):
         assert got[(3, 15)] == (None, None, None, None)  # before the first segment of the line
         assert got[(3, 16)] == ("b.js", 2, 0, None)
         assert got[(3, 99)] == ("b.js", 2, 5, None)
+        assert got[(1, 1)] == ("a.js", 1, 0, None)
+    other = asof.resolve_positions(pos, segs).where("url = 'other.min.js'").collect()
+    assert len(other) == 1 and other[0].r_source is None
 
 
 def test_broken_or_foreign_maps_yield_no_segments(spark):
@@ -139,3 +144,34 @@ def test_map_selection(spark):
     assert got["https://h/dist/d.min.js"] == (None, None)
     assert got["https://h/dist/e.min.js"] == (None, None)
     assert got["https://h/dist/f.min.js"] == (None, None)
+
+
+def test_asof_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    seg_rows, pos_rows = [], []
+    for u in range(3):
+        for line in (1, 2):
+            starts = sorted(rnd.sample(range(0, 3000), rnd.randint(1, 25)))
+            for i, s in enumerate(starts):
+                nxt = starts[i + 1] if i + 1 < len(starts) else None
+                src = None if rnd.random() < 0.2 else f"s{u}.js"
+                seg_rows.append((f"u{u}", line, s, nxt, src, i + 1, s % 7, None))
+            pos_rows += [(f"u{u}", line, rnd.randint(0, 3500)) for _ in range(40)]
+    pos_rows += [("u0", 3, 5), ("zz", 1, 5)]
+    segs = spark.createDataFrame(seg_rows, "url string, gen_line bigint, gen_col bigint, next_gen_col bigint, "
+                                           "source string, orig_line bigint, orig_col bigint, name string")
+    pos = spark.createDataFrame(sorted(set(pos_rows)), "url string, line bigint, col bigint")
+
+    def brute(u, ln, c):
+        best = None
+        for r in seg_rows:
+            if r[0] == u and r[1] == ln and r[2] <= c and (best is None or r[2] > best[2]):
+                best = r
+        return (best[4], best[5], best[6]) if best and best[4] else (None, None, None)
+
+    want = {p: brute(*p) for p in set(pos_rows)}
+    for w, c in ((1, 2), (16, 1), (64, 4), (1024, 8)):
+        got = {(r.url, r.line, r.col): (r.r_source, r.r_line, r.r_col)
+               for r in asof.resolve_positions(pos, segs, bucket_width=w, max_copies=c).collect()}
+        assert got == want

@@ -1,16 +1,23 @@
 """As-of lookup of frame positions in source-map segments (O4.1, O7.9–O7.11).
 
 A position (url, line, col) resolves to the segment of the same url and
-generated line with the greatest ``gen_col <= col``. Spark has no as-of
-join, so it is an equi-join on (url, line, column bucket) plus a range
-condition: each segment is copied into every bucket of width ``W`` its
-column range [gen_col, next_gen_col) overlaps, and a position past the
-last segment of its line is sent to the bucket of that last segment.
-Join keys are thus fine-grained even when a minified file has a single
-generated line, and each (url, line, bucket) key holds at most about W
-segments, so no task compares a hot position against a whole map.
-``resolve_positions`` looks up a table of distinct positions;
-``resolve_frames`` joins frames directly.
+generated line with the greatest ``gen_col <= col``; segments of a line
+are disjoint column ranges [gen_col, next_gen_col), the last one open.
+Spark has no as-of join, so it is two equi-joins with a range condition:
+
+1. column buckets of width ``W``: every segment is copied into the buckets
+   its range overlaps, at most ``C`` of them; a position joins the copies
+   of its own bucket on (url, line, bucket). A bucket holds at most W+1
+   overlapping segments, so a minified file whose code sits on one
+   generated line still spreads over many small join keys.
+2. positions left unmatched by (1) join, on (url, line), only the *long*
+   segments — those whose range reaches past their C copied buckets (the
+   last, open segment of every line among them). A line has few of them
+   (each spans more than C·W columns), so the lookup stays small, and the
+   result is exact without an unbounded number of copies.
+
+Both joins stream the frames; a position hit by a third of all frames is
+one skewed key that AQE's skew-join handling splits across tasks.
 """
 
 from __future__ import annotations
@@ -22,70 +29,70 @@ from webdiag.functions import frames as FR
 from webdiag.operators.common import as_keys
 
 DEFAULT_BUCKET_WIDTH = 256
+DEFAULT_MAX_COPIES = 8
 
+SEG_COLS = ("gen_col", "next_gen_col", "source", "orig_line", "orig_col", "name")
 RESOLVED_COLS = ("r_source", "r_line", "r_col", "r_name")
 
 
-def resolve_positions(positions: DataFrame, segments: DataFrame,
-                      bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """positions(url, line, col) distinct → + r_source, r_line, r_col, r_name
-    (nulls when unresolved: no segment on the line at or before col, or the
+def _split_segments(segments: DataFrame, W: int, C: int):
+    """(bucket copies, long segments)."""
+    seg = segments.select(F.col("url").alias("s_url"), F.col("gen_line").alias("s_line"), *SEG_COLS)
+    lo = F.floor(F.col("gen_col") / W)
+    hi = F.floor((F.col("next_gen_col") - 1) / W)  # null for the open last segment
+    top = F.least(F.coalesce(hi, lo + (C - 1)), lo + (C - 1))
+    copies = seg.select("*", F.explode(F.sequence(lo, F.greatest(lo, top))).alias("s_bucket"))
+    long_ = seg.where(F.col("next_gen_col").isNull() | (hi > lo + (C - 1)))
+    long_ = long_.select(*[F.col(c).alias("l_" + c) for c in long_.columns])
+    return copies, long_
+
+
+def _lookup(df: DataFrame, segments: DataFrame, url: str, line: str, col: str, gate, W: int, C: int) -> DataFrame:
+    """df + gen_col…name of the segment holding (url, line, col), where
+    ``gate`` is true; nulls elsewhere."""
+    copies, long_ = _split_segments(segments, W, C)
+    d = df.select("*", gate.alias("_gated"), F.floor(F.col(col) / W).alias("_bucket"))
+    in_seg = lambda c: (d[col] >= c("gen_col")) & (c("next_gen_col").isNull() | (d[col] < c("next_gen_col")))
+    j1 = d.join(copies, (d[url] == copies.s_url) & (d[line] == copies.s_line) & (d._bucket == copies.s_bucket) &
+                d._gated & in_seg(lambda c: copies[c]), "left")
+    j1 = j1.select(*[d[c] for c in d.columns], *[copies[c] for c in SEG_COLS],
+                   copies.s_url.isNotNull().alias("_hit1"))
+    j2 = j1.join(long_, (j1[url] == long_.l_s_url) & (j1[line] == long_.l_s_line) & j1._gated & ~j1._hit1 &
+                 (j1[col] >= long_.l_gen_col) & (long_.l_next_gen_col.isNull() | (j1[col] < long_.l_next_gen_col)),
+                 "left")
+    pick = [F.when(j2._hit1, j2[c]).otherwise(j2["l_" + c]).alias(c) for c in SEG_COLS]
+    return j2.select(*[j2[c] for c in df.columns], *pick)
+
+
+def resolve_positions(positions: DataFrame, segments: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+                      max_copies: int = DEFAULT_MAX_COPIES) -> DataFrame:
+    """positions(url, line, col) → + r_source, r_line, r_col, r_name (nulls
+    when unresolved: no segment on the line at or before col, or the
     segment has no source)."""
-    W = int(bucket_width)
-    seg_b, last = _bucketed(segments, W)
     p = positions.select("url", "line", "col")
-    p = p.join(last, (p.url == last.l_url) & (p.line == last.l_line), "left")
-    p = p.select("url", "line", "col", F.least(F.floor(F.col("col") / W), F.col("last_bucket")).alias("bucket"))
-    cond = ((p.url == seg_b.s_url) & (p.line == seg_b.gen_line) & (p.bucket == seg_b.s_bucket) &
-            (p.col >= seg_b.gen_col) & (seg_b.next_gen_col.isNull() | (p.col < seg_b.next_gen_col)))
-    j = p.join(seg_b, cond, "left")
-    return j.select(p.url, p.line, p.col,
-                    F.col("source").alias("r_source"), F.when(F.col("source").isNotNull(), F.col("orig_line")).alias("r_line"),
-                    F.when(F.col("source").isNotNull(), F.col("orig_col")).alias("r_col"),
-                    F.when(F.col("source").isNotNull(), F.col("name")).alias("r_name"))
-
-
-def _bucketed(segments: DataFrame, W: int):
-    """(segment copies keyed by bucket, last bucket of each line)."""
-    seg = segments.select("url", "gen_line", "gen_col", "next_gen_col", "source", "orig_line", "orig_col", "name")
-    lo = F.floor(F.col("gen_col") / W)
-    hi = F.when(F.col("next_gen_col").isNull(), lo).otherwise(F.floor((F.col("next_gen_col") - 1) / W))
-    seg_b = seg.select("*", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("s_bucket"))
-    last = segments.where(F.col("next_gen_col").isNull()).select(
-        F.col("url").alias("l_url"), F.col("gen_line").alias("l_line"),
-        F.floor(F.col("gen_col") / W).alias("last_bucket"))
-    return seg_b.withColumnRenamed("url", "s_url"), last
+    r = _lookup(p, segments, "url", "line", "col", F.lit(True), int(bucket_width), int(max_copies))
+    ok = F.col("source").isNotNull()
+    return r.select("url", "line", "col", F.col("source").alias("r_source"),
+                    F.when(ok, F.col("orig_line")).alias("r_line"), F.when(ok, F.col("orig_col")).alias("r_col"),
+                    F.when(ok, F.col("name")).alias("r_name"))
 
 
-def resolve_frames(frames: DataFrame, segments: DataFrame,
-                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+def resolve_frames(frames: DataFrame, segments: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+                   max_copies: int = DEFAULT_MAX_COPIES) -> DataFrame:
     """frames(…, function_name, url, line, col, raw) → + resolved (bool),
     text (printed frame: the original position when the frame does not
     look minified or does not resolve) and r_source/r_line/r_col/r_name.
-
-    Two left joins of the frames: to the last segment bucket of their line
-    (url, line), then to the segment copies of their bucket (url, line,
-    bucket). Both stream the frames and look up small per-key groups; a
-    position hit by a third of all frames is one skewed key that AQE's
-    skew-join splits across tasks."""
-    W = int(bucket_width)
-    seg_b, last = _bucketed(segments, W)
+    The lookup column is ``col ?? 0``."""
     col0 = F.coalesce(F.col("col"), F.lit(0))
-    gate = (FR.looks_minified(F.col("url"), F.col("line"), F.col("col")) &
-            (F.col("line") >= 1) & (col0 >= 0))
-    f = frames.select("*", col0.alias("lookup_col"), gate.alias("gated"))
-    f = f.join(last, (f.url == last.l_url) & (f.line == last.l_line) & f.gated, "left")
-    f = f.select(*frames.columns, "lookup_col", "gated",
-                 F.least(F.floor(F.col("lookup_col") / W), F.col("last_bucket")).alias("bucket"))
-    cond = ((f.url == seg_b.s_url) & (f.line == seg_b.gen_line) & (f.bucket == seg_b.s_bucket) &
-            (f.lookup_col >= seg_b.gen_col) & (seg_b.next_gen_col.isNull() | (f.lookup_col < seg_b.next_gen_col)))
-    j = f.join(seg_b, cond, "left")
+    gate = (FR.looks_minified(F.col("url"), F.col("line"), F.col("col")) & (F.col("line") >= 1) & (col0 >= 0))
+    f = frames.select("*", col0.alias("_lookup_col"))
+    r = _lookup(f, segments, "url", "line", "_lookup_col", gate, int(bucket_width), int(max_copies))
     resolved = F.col("source").isNotNull()
     name = F.coalesce(F.col("name"), F.col("function_name"), F.lit(FR.UNKNOWN_NAME))
     frame = F.struct(*[F.col(c) for c in ("function_name", "url", "line", "col", "raw")])
     text = F.when(resolved, FR.resolved_to_string(name, F.col("source"), F.col("orig_line"), F.col("orig_col"))) \
         .otherwise(FR.frame_to_string(frame))
-    return j.select(*[f[c] for c in frames.columns], resolved.alias("resolved"), text.alias("text"),
+    return r.select(*frames.columns, resolved.alias("resolved"), text.alias("text"),
                     F.col("source").alias("r_source"), F.when(resolved, F.col("orig_line")).alias("r_line"),
                     F.when(resolved, F.col("orig_col")).alias("r_col"), F.when(resolved, F.col("name")).alias("r_name"))
 

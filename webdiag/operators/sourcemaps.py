@@ -77,7 +77,9 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     segment yields no rows at all (every lookup of it fails). Running sums
     are windows partitioned by url: one map is one input value, so a task
     holds at most one map's segments."""
-    m = source_maps.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m"))
+    # one map per url (copies of a url collapse before the per-url windows)
+    one = source_maps.groupBy("url").agg(F.min("map_json").alias("map_json"))
+    m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m"))
     m = m.where(F.col("m.version") == SUPPORTED_VERSION).select("url", "m.*")
     m = posexplode_rows(m, ["url", "sourceRoot", "sources", "names"],
                         F.split(F.coalesce("mappings", F.lit("")), ";"), "li", "line_text")
