@@ -1,6 +1,7 @@
 """Continuous rollup equals the batch rollup once the stream is drained."""
 
 import os
+import uuid
 
 from fixtures import noisy_entries
 from webdiag.operators import rollup
@@ -14,8 +15,9 @@ def test_stream_matches_batch(spark, tmp_path):
     e2 = noisy_entries(spark, "p2")
     e1.where("seq < 6").write.parquet(f"{src}/part=0")
     base = checkpoint_dir(spark)
-    out = os.path.join(base, "stream-test-out")
-    ckpt = os.path.join(base, "stream-test-ckpt")
+    run = uuid.uuid4().hex[:12]
+    out = os.path.join(base, f"stream-test-{run}", "out")
+    ckpt = os.path.join(base, f"stream-test-{run}", "ckpt")
     stream = spark.readStream.schema(e1.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
     q = SR.start(stream, str(out), str(ckpt), severity="all", limit=20)
     q.processAllAvailable()

@@ -32,9 +32,9 @@ def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, b
         captures = None
         issues, summary = error_report(entries, severity, limit, [key], segments, None, noise_patterns)
         return issues.drop(key), summary.drop(key)
-    n = rollup.normalize(entries, keys)
-    issues = rollup.error_rollup(n, severity=severity, limit=limit, by=keys, noise_patterns=noise_patterns,
-                                 normalized=True)
+    # issues: severity pushed to the scan; totals: a count over the key
+    # columns only (a narrow columnar scan of the same table)
+    issues = rollup.error_rollup(entries, severity=severity, limit=limit, by=keys, noise_patterns=noise_patterns)
     if "stack" in issues.columns:
         if segments is not None:
             from webdiag.operators.asof import compress_with_maps
@@ -42,15 +42,15 @@ def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, b
         else:
             from webdiag.operators.stacks import compress_stacks
             issues = compress_stacks(issues).withColumn("resolved_count", F.lit(None).cast("bigint"))
-    totals = n.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_log_entries"))
+    totals = rollup.normalize(entries, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("total_log_entries"))
     if captures is not None:
         totals = captures.select(*keys).distinct().join(totals, keys, "left").fillna(0, ["total_log_entries"])
-    aggs = [F.count(F.lit(1)).alias("unique_issues")]
+    # count, resolved frames and the top message in one aggregate (one branch)
+    aggs = [F.count(F.lit(1)).alias("unique_issues"), F.min_by("message", "issue_no").alias("top_message")]
     if "resolved_count" in issues.columns:
         aggs.append(F.sum("resolved_count").alias("sourcemap_resolved"))
-    per = issues.groupBy(*keys).agg(*aggs) if keys else issues.agg(*aggs)
-    top = issues.where(F.col("issue_no") == 1).select(*keys, F.col("message").alias("top_message"))
-    s = totals.join(per, keys, "left").join(top, keys, "left")
+    per = issues.groupBy(*keys).agg(*aggs)
+    s = totals.join(per, keys, "left")
     u = F.coalesce(F.col("unique_issues"), F.lit(0))
     none = "No " + ("" if severity == "all" else severity + " ") + "messages found in console."
     text = F.when(u == 0, F.lit(none)).otherwise(F.concat(

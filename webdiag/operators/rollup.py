@@ -83,6 +83,15 @@ def group_issues(entries: DataFrame, by=("capture_id",)) -> DataFrame:
                     *[F.col(f"rep.{f}").alias(f) for f in rep_fields])
 
 
+def _rank_groups(g: DataFrame, keys, limit) -> DataFrame:
+    order = [F.col("severity_rank").desc(), F.col("count").desc(), F.col("first_seq").asc()]
+    ranked = top_k(with_rank(g), keys, order, limit)
+    cols = [*keys, "issue_no", "level", "message", "count", "source", "first_seq", "fingerprint"]
+    if "stack" in ranked.columns:
+        cols.append("stack")
+    return ranked.select(*cols)
+
+
 def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None = 20,
                  by=("capture_id",), noise_patterns: Iterable[str] = C.NOISE_PATTERNS,
                  normalized: bool = False) -> DataFrame:
@@ -97,10 +106,4 @@ def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None
     else:
         e = normalize(filter_severity_raw(entries, severity), keys)
     e = drop_noise(e, noise_patterns)
-    g = with_rank(group_issues(with_fingerprint(e), keys))
-    order = [F.col("severity_rank").desc(), F.col("count").desc(), F.col("first_seq").asc()]
-    ranked = top_k(g, keys, order, limit)
-    cols = [*keys, "issue_no", "level", "message", "count", "source", "first_seq", "fingerprint"]
-    if "stack" in ranked.columns:
-        cols.append("stack")
-    return ranked.select(*cols)
+    return _rank_groups(group_issues(with_fingerprint(e), keys), keys, limit)

@@ -226,11 +226,12 @@ def a4_sql() -> str:
 a4_all as (select {facts} from orders),
 a4 as (select * from a4_all qualify okey = min(okey) over (partition by url, gen_line, gen_col)),
 a4_docs as (select distinct cust, url, ({A.A4_BAD_VERSION}) as bad_version from a4),
-map_files as (
-  select url || '.map' as murl, cust, ({A.A4_BROKEN_SIBLING}) as not_json from a4_docs where cust % 3 = 0
+hosted as (
+  select case when cust % 3 = 0 then url || '.map' end as murl, cust, ({A.A4_BROKEN_SIBLING}) as not_json from a4_docs
   union all
-  select {copy} as murl, cust, false as not_json from a4_docs where cust % 3 <> 2
+  select case when cust % 3 <> 2 then {copy} end as murl, cust, false as not_json from a4_docs
 ),
+map_files as (select * from hosted where murl is not null),
 scripts as (
   select url as surl, cust, case when cust % 3 = 2 then 'data' else 'url' end as ref_kind,
     case when cust % 3 <> 2 then {resolve_url_sql("'../maps/app' || cast(cust as varchar) || '.js.map'", 'url')} end as ref_url
