@@ -28,10 +28,6 @@ def _issue(type_: str, prop: str, value: Column, severity: str, note: Column | N
                     (note if note is not None else F.lit(None).cast("string")).alias("note"))
 
 
-def _rule(cond: Column, issue: Column) -> Column:
-    return F.when(F.coalesce(cond, F.lit(False)), issue)
-
-
 def _truthy(v: Column) -> Column:
     """JavaScript truthiness of a string value: present and non-empty."""
     return v.isNotNull() & (v != "")
@@ -42,7 +38,21 @@ def _not_eq(v: Column, lit: str) -> Column:
     return ~v.eqNullSafe(F.lit(lit))
 
 
-def rule_columns(styles: Column) -> list[Column]:
+class Rule:
+    """One rule: when ``fired`` (never null), the issue (type, property,
+    value, severity, note). Severity and note text are fixed per rule."""
+
+    def __init__(self, fired: Column, type_: str, prop: str, value: Column, severity: str,
+                 note: Column | None = None):
+        self.fired = F.coalesce(fired, F.lit(False))
+        self.type, self.prop, self.value, self.severity, self.note = type_, prop, value, severity, note
+
+    def issue(self, value: Column | None = None) -> Column:
+        return _issue(self.type, self.prop, self.value if value is None else value, self.severity, self.note)
+
+
+def rule_specs(styles: Column) -> list[Rule]:
+    """The 12 rules in reference order (visibility V1–V7, layout L1–L5)."""
     g = styles.getItem
     display, visibility, opacity = g("display"), g("visibility"), g("opacity")
     overflow, width, height = g("overflow"), g("width"), g("height")
@@ -55,29 +65,33 @@ def rule_columns(styles: Column) -> list[Column]:
         t = _truthy(v) & (v != "auto")
         anchored = t if anchored is None else (anchored | t)
     return [
-        _rule(display == "none", _issue("hidden", "display", F.lit("none"), "high")),
-        _rule(visibility.isin("hidden", "collapse"), _issue("hidden", "visibility", visibility, "high")),
-        _rule(op == 0, _issue("invisible", "opacity", F.lit("0"), "high")),
-        _rule((op != 0) & (op < 0.1), _issue("nearly-invisible", "opacity", opacity, "medium")),
-        _rule(_truthy(clip_path) & (clip_path != "none"), _issue("clipped", "clip-path", clip_path, "medium")),
-        _rule((overflow == "hidden") & ((w == 0) | (h == 0)),
-              _issue("clipped-zero-size", "overflow+size",
-                     F.concat(F.lit("overflow:hidden with "), F.coalesce(width, undefined), F.lit("x"),
-                              F.coalesce(height, undefined)), "high")),
-        _rule(pointer == "none", _issue("unclickable", "pointer-events", F.lit("none"), "low")),
-        _rule(display.isin("flex", "grid") & (overflow == "hidden"),
-              _issue("flex-grid-overflow-hidden", "overflow", F.lit("hidden"), "low", F.lit(NOTE_FLEX_OVERFLOW))),
-        _rule((w == 0) & _not_eq(g("min-width"), "0px") & _not_eq(g("max-width"), "0px"),
-              _issue("zero-width", "width", width, "high")),
-        _rule((h == 0) & _not_eq(g("min-height"), "0px"), _issue("zero-height", "height", height, "high")),
-        _rule(position.isin("absolute", "fixed") & ~F.coalesce(anchored, F.lit(False)),
-              _issue("unanchored-positioned", "position", position, "low",
-                     F.format_string(NOTE_UNANCHORED.replace("{}", "%s"), position))),
-        _rule(_truthy(z) & (z != "auto") & (position == "static"),
-              _issue("ineffective-z-index", "z-index", z, "low", F.lit(NOTE_Z_INDEX))),
+        Rule(display == "none", "hidden", "display", F.lit("none"), "high"),
+        Rule(visibility.isin("hidden", "collapse"), "hidden", "visibility", visibility, "high"),
+        Rule(op == 0, "invisible", "opacity", F.lit("0"), "high"),
+        Rule((op != 0) & (op < 0.1), "nearly-invisible", "opacity", opacity, "medium"),
+        Rule(_truthy(clip_path) & (clip_path != "none"), "clipped", "clip-path", clip_path, "medium"),
+        Rule((overflow == "hidden") & ((w == 0) | (h == 0)), "clipped-zero-size", "overflow+size",
+             F.concat(F.lit("overflow:hidden with "), F.coalesce(width, undefined), F.lit("x"),
+                      F.coalesce(height, undefined)), "high"),
+        Rule(pointer == "none", "unclickable", "pointer-events", F.lit("none"), "low"),
+        Rule(display.isin("flex", "grid") & (overflow == "hidden"), "flex-grid-overflow-hidden", "overflow",
+             F.lit("hidden"), "low", F.lit(NOTE_FLEX_OVERFLOW)),
+        Rule((w == 0) & _not_eq(g("min-width"), "0px") & _not_eq(g("max-width"), "0px"),
+             "zero-width", "width", width, "high"),
+        Rule((h == 0) & _not_eq(g("min-height"), "0px"), "zero-height", "height", height, "high"),
+        Rule(position.isin("absolute", "fixed") & ~F.coalesce(anchored, F.lit(False)),
+             "unanchored-positioned", "position", position, "low",
+             F.format_string(NOTE_UNANCHORED.replace("{}", "%s"), position)),
+        Rule(_truthy(z) & (z != "auto") & (position == "static"), "ineffective-z-index", "z-index", z, "low",
+             F.lit(NOTE_Z_INDEX)),
     ]
 
 
+def rule_columns(styles: Column) -> list[Column]:
+    """Per rule: the issue struct, or null when the rule does not fire."""
+    return [F.when(r.fired, r.issue()) for r in rule_specs(styles)]
+
+
 def issues(styles: Column) -> Column:
     """array<issue> in rule order (visibility rules, then layout rules)."""
     return F.filter(F.array(*rule_columns(styles)), lambda x: x.isNotNull())

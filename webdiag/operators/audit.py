@@ -8,6 +8,8 @@ aggregate on the capture key with partial aggregation before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,21 +77,53 @@ def top_issue(issues: Column) -> Column:
         acc.isNull() | (rules.issue_rank(x["severity"]) > rules.issue_rank(acc["severity"])), x).otherwise(acc))
 
 
+def _static_report_columns(styles: Column, selector: Column):
+    """(n_issues, summary, top) of a found element, straight from the rule
+    conditions: each rule's severity and note text are fixed, so the
+    summary parts and the top issue are concat_ws / coalesce over the 12
+    rules — no array functions, all inside whole-stage codegen."""
+    specs = rules.rule_specs(styles)
+    pv = lambda r: F.concat(F.lit(r.prop + ":"), r.value)
+    high = [r for r in specs if r.severity == "high"]
+    other = [r for r in specs if r.severity != "high"]
+    any_of = lambda rs: reduce(lambda a, b: a | b, [r.fired for r in rs])
+    n = reduce(lambda a, b: a + b, [r.fired.cast("bigint") for r in specs])
+    high_part = F.when(any_of(high), F.concat(
+        F.concat_ws(", ", *[F.when(r.fired, pv(r)) for r in high]), F.lit(" (likely cause)")))
+    other_part = F.when(any_of(other), F.concat_ws("; ", *[
+        F.when(r.fired, r.note if r.note is not None else pv(r)) for r in other]))
+    clean = F.concat(selector, F.lit(": No obvious visual issues detected. display:"),
+                     F.coalesce(styles.getItem("display"), F.lit("?")), F.lit(", opacity:"),
+                     F.coalesce(styles.getItem("opacity"), F.lit("?")), F.lit(", visibility:"),
+                     F.coalesce(styles.getItem("visibility"), F.lit("?")), F.lit("."))
+    summary = F.when(n == 0, clean).otherwise(
+        F.concat(selector, F.lit(": "), F.concat_ws("; ", high_part, other_part)))
+    # first issue of the highest severity: rules by severity, then rule order
+    by_rank = sorted(specs, key=lambda r: -rules.ISSUE_SEVERITY_RANK.get(r.severity, 0))
+    top = F.coalesce(*[F.when(r.fired, r.issue()) for r in by_rank])
+    return n, summary, top
+
+
 def element_report(elements: DataFrame, include_box_model: bool = True) -> DataFrame:
-    """One row per element: filtered styles, issues, summary, top issue.
+    """One row per element: filtered styles, issues, n_issues, summary, top
+    issue, is_not_found.
 
     Input: capture_id, pos, selector, styles map, [not_found, suggestions].
     Rules run on the filtered map before the box-model keys are dropped."""
-    e = detect_issues(filter_styles(elements, True))
-    if not include_box_model:
-        e = e.withColumn("styles", css.drop_box_model(F.col("styles")))
+    e = filter_styles(elements, True)
     nf = F.coalesce(F.col("not_found"), F.lit(False)) if "not_found" in e.columns else F.lit(False)
     sugg = F.col("suggestions") if "suggestions" in e.columns else F.array().cast("array<string>")
-    summary = F.when(nf, not_found_summary(F.col("selector"), sugg)).otherwise(
-        element_summary(F.col("selector"), F.col("issues"), F.col("styles")))
-    return e.select("*", nf.alias("is_not_found"), summary.alias("summary"),
-                    F.size("issues").cast("bigint").alias("n_issues"),
-                    top_issue(F.col("issues")).alias("top"))
+    n, found_summary, top = _static_report_columns(F.col("styles"), F.col("selector"))
+    empty = F.array().cast(f"array<{rules.ISSUE_TYPE}>")
+    out = e.select(
+        "*", nf.alias("is_not_found"),
+        F.when(nf, empty).otherwise(rules.issues(F.col("styles"))).alias("issues"),
+        F.when(nf, not_found_summary(F.col("selector"), sugg)).otherwise(found_summary).alias("summary"),
+        F.when(nf, F.lit(0).cast("bigint")).otherwise(n).alias("n_issues"),
+        F.when(~nf, top).alias("top"))
+    if not include_box_model:
+        out = out.withColumn("styles", css.drop_box_model(F.col("styles")))
+    return out
 
 
 def batch_report(report: DataFrame, by=("capture_id",), order=("pos", "selector")) -> DataFrame:
