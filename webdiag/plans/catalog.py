@@ -494,3 +494,42 @@ def error_rollup_stream(spark, sf_dir):
                  trigger={"availableNow": True})
     q.awaitTermination()
     return SR.latest_report(spark, f"{base}/out")
+
+
+# ---------------------------------------------------------------- sinks, validation
+from webdiag.sources import sinks as SK  # noqa: E402
+
+
+@register("error_report_json", f"""with {A1_NORMALIZED},
+issues as ({S.rollup_sql("x as (select 1)", "n", "error", 5, ["capture_id"]).replace("with x as (select 1),", "with")}),
+totals as (select capture_id, count(*) as total_log_entries from n group by capture_id),
+per as (
+  select capture_id, count(*) as unique_issues, max(case when issue_no = 1 then message end) as top_message,
+    to_json(list(json_object('level', level, 'message', message, 'count', count, 'source', source,
+                             'stackTrace', null) order by issue_no)) as items
+  from issues group by capture_id
+)
+select t.capture_id,
+  json_object('summary',
+    case when coalesce(p.unique_issues, 0) = 0 then 'No error messages found in console.'
+         else cast(p.unique_issues as varchar) || ' unique issue' || case when p.unique_issues > 1 then 's' else '' end
+              || ' (from ' || cast(t.total_log_entries as varchar) || ' total log entries). Top: '
+              || substring(p.top_message, 1, 100) end,
+    'details', json_object('total_log_entries', t.total_log_entries,
+                           'unique_issues', coalesce(p.items, json('[]'))))::varchar as report
+from totals t left join per p using (capture_id)
+""")
+def error_report_json(spark, sf_dir):
+    issues, summary = RP.error_report(A.console_entries(spark, sf_dir), severity="error", limit=5)
+    return SK.error_report_json(issues, summary)
+
+
+@register("request_counts", f"""with {S.a7_sql()}
+select capture_id, count(*) as n_selectors, cast(count(*) > 20 as bigint) as too_many from req group by capture_id
+""")
+def request_counts(spark, sf_dir):
+    req = A.selector_requests(spark, sf_dir)
+    n = req.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_selectors"))
+    bad = SG.check_batch_size(req).select("capture_id", F.lit(1).cast("bigint").alias("too_many"))
+    return n.join(bad, "capture_id", "left").select(
+        "capture_id", "n_selectors", F.coalesce("too_many", F.lit(0)).cast("bigint").alias("too_many"))
