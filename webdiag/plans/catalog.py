@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from webdiag.operators.common import posexplode_rows
 
 from webdiag.operators import rollup as R
+from webdiag.operators.common import where_computed
 from webdiag.plans import sql as S
 from webdiag.session import materialize
 from webdiag.sources import adapters as A
@@ -533,3 +534,26 @@ def request_counts(spark, sf_dir):
     bad = SG.check_batch_size(req).select("capture_id", F.lit(1).cast("bigint").alias("too_many"))
     return n.join(bad, "capture_id", "left").select(
         "capture_id", "n_selectors", F.coalesce("too_many", F.lit(0)).cast("bigint").alias("too_many"))
+
+
+@register("payload_error_summary", f"""with {S.console_payloads_sql()},
+n as (select capture_id, seq, level, message, source from centries),
+issues as ({S.rollup_sql("x as (select 1)", "n", "all", 20, ["capture_id"]).replace("with x as (select 1),", "with")}),
+totals as (select capture_id, count(*) as total_log_entries from n group by capture_id),
+per as (select capture_id, count(*) as unique_issues, max(case when issue_no = 1 then message end) as top_message
+        from issues group by capture_id)
+select c.capture_id, coalesce(t.total_log_entries, 0) as total_log_entries, coalesce(p.unique_issues, 0) as unique_issues,
+  case when coalesce(p.unique_issues, 0) = 0 then 'No messages found in console.'
+       else cast(p.unique_issues as varchar) || ' unique issue' || case when p.unique_issues > 1 then 's' else '' end
+            || ' (from ' || cast(t.total_log_entries as varchar) || ' total log entries). Top: '
+            || substring(p.top_message, 1, 100) end as summary
+from (select capture_id from ck where payload_kind <> 'failed') c
+left join totals t using (capture_id) left join per p using (capture_id)
+""")
+def payload_error_summary(spark, sf_dir):
+    """Raw console payloads → entries → error report per capture; captures
+    whose payload held no entries (markdown) report 'No messages found'."""
+    parsed = PL.parse_console_payloads(A.console_payloads(spark, sf_dir))
+    ok = where_computed(parsed, F.col("payload_kind") != "failed").select("capture_id")
+    _, summary = RP.error_report(PL.console_entries(parsed), severity="all", limit=20, captures=ok)
+    return summary
