@@ -557,3 +557,38 @@ def payload_error_summary(spark, sf_dir):
     ok = where_computed(parsed, F.col("payload_kind") != "failed").select("capture_id")
     _, summary = RP.error_report(PL.console_entries(parsed), severity="all", limit=20, captures=ok)
     return summary
+
+
+_STYLE_JSON = ", ".join(f"'{k}', f.\"{k}\"" for k, _ in A.A7_STYLES)
+
+
+@register("diagnose_json", f"""with {S.a7_sql()}, {S.a7_diagnose_sql().strip()},
+issue_json as (
+  select rid, to_json(list(case when note is null
+      then json_object('type', type, 'property', property, 'value', value, 'severity', severity)
+      else json_object('type', type, 'property', property, 'value', value, 'severity', severity, 'note', note) end
+    order by rule_no)) as issues
+  from fired group by rid
+),
+sugg as (select capture_id, selector, list(suggestion order by rank) as lst from top group by all),
+det as (
+  select l.capture_id, l.pos,
+    case when l.found then json_object('selector', l.selector, 'issues', coalesce(ij.issues, json('[]')),
+                                       'styles', json_object({_STYLE_JSON}))
+         else json_object('selector', l.selector, 'not_found', true,
+                          'suggestions', coalesce(to_json(sg.lst), json('[]'))) end as d
+  from looked l
+  left join fnd f on f.capture_id = l.capture_id and f.pos = l.pos
+  left join issue_json ij on ij.rid = f.rid
+  left join sugg sg on sg.capture_id = l.capture_id and sg.selector = l.selector
+)
+select det.capture_id,
+  '{{"summary":' || to_json(diag.summary)::varchar || ',"details":{{"results":['
+    || string_agg(d::varchar, ',' order by pos) || ']}}}}' as report
+from det join diag using (capture_id)
+group by det.capture_id, diag.summary
+""")
+def diagnose_json(spark, sf_dir):
+    report, batch = RP.diagnose(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),
+                                A.dom_tokens(spark, sf_dir))
+    return SK.diagnose_json(report, batch)

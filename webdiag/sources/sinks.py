@@ -43,3 +43,41 @@ def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwr
     if partition_by:
         w = w.partitionBy(*as_keys(partition_by))
     w.parquet(path)
+
+
+def _element_details_json(report: DataFrame):
+    """JSON text of one element's details: found → {selector, issues,
+    styles}; not found → {selector, not_found, suggestions}. An issue's
+    missing note is left out, as JSON.stringify leaves out undefined."""
+    found = F.to_json(F.struct(F.col("selector").alias("selector"), F.col("issues").alias("issues"),
+                               F.col("styles").alias("styles")))
+    missing = F.to_json(F.struct(F.col("selector").alias("selector"), F.lit(True).alias("not_found"),
+                                 F.coalesce(F.col("suggestions"), F.array().cast("array<string>")).alias("suggestions")),
+                        JSON_OPTIONS)
+    return F.when(F.col("is_not_found"), missing).otherwise(found)
+
+
+def diagnose_json(report: DataFrame, batch: DataFrame, by=("capture_id",), single=None) -> DataFrame:
+    """keys…, report: the diagnosis envelope per capture. ``single`` (a
+    DataFrame of keys…, is_single) marks captures asked with one selector
+    string rather than a list: those answer ``{summary, details}`` of their
+    one element; all others ``{summary: batch summary, details: {results}}``."""
+    keys = as_keys(by)
+    items = report.select(*keys, "pos", "summary", _element_details_json(report).alias("_d"))
+    g = items.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "_d"))).alias("_items"),
+        F.min_by(F.struct("summary", "_d"), "pos").alias("_first"))
+    g = g.join(batch.select(*keys, F.col("summary").alias("_batch_summary")), keys, "inner")
+    if single is not None:
+        g = g.join(single.select(*keys, "is_single"), keys, "left")
+    else:
+        g = g.withColumn("is_single", F.lit(False))
+
+    def summary_json(col):
+        head = F.to_json(F.struct(col.alias("summary")))
+        return F.substring(head, 1, F.length(head) - 1)  # '{"summary":"…"' without the closing brace
+    results = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda x: x["_d"]), ","), F.lit("]"))
+    batch_doc = F.concat(summary_json(F.col("_batch_summary")), F.lit(',"details":{"results":'), results, F.lit("}}"))
+    single_doc = F.concat(summary_json(F.col("_first.summary")), F.lit(',"details":'), F.col("_first._d"), F.lit("}"))
+    return g.select(*keys, F.when(F.coalesce("is_single", F.lit(False)), single_doc).otherwise(batch_doc)
+                    .alias("report"))
