@@ -38,3 +38,15 @@ def test_diagnose_json_single_and_batch(spark):
     s = docs["s"]
     assert s["summary"] == "#main: No obvious visual issues detected. display:?, opacity:1, visibility:?."
     assert s["details"] == {"selector": "#main", "issues": [], "styles": {"opacity": "1"}}
+
+
+def test_diagnose_json_parts(spark):
+    req = spark.createDataFrame([("b", i, f"#e{i}") for i in range(45)], "capture_id string, pos int, selector string")
+    els = spark.createDataFrame([("b", f"#e{i}", {"opacity": "1"}) for i in range(45)],
+                                "capture_id string, selector string, styles map<string,string>")
+    report, batch = reports.diagnose(req, els)
+    rows = sinks.diagnose_json(report, batch).orderBy("part").collect()
+    assert [r.part for r in rows] == [0, 1, 2]
+    sizes = [len(json.loads(r.report)["details"]["results"]) for r in rows]
+    assert sizes == [20, 20, 5]
+    assert json.loads(rows[0].report)["summary"] == "45 elements diagnosed, 0 with issues."

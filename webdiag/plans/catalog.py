@@ -582,11 +582,11 @@ det as (
   left join issue_json ij on ij.rid = f.rid
   left join sugg sg on sg.capture_id = l.capture_id and sg.selector = l.selector
 )
-select det.capture_id,
+select det.capture_id, cast(floor(det.pos / 20) as bigint) as part,
   '{{"summary":' || to_json(diag.summary)::varchar || ',"details":{{"results":['
     || string_agg(d::varchar, ',' order by pos) || ']}}}}' as report
 from det join diag using (capture_id)
-group by det.capture_id, diag.summary
+group by det.capture_id, floor(det.pos / 20), diag.summary
 """)
 def diagnose_json(spark, sf_dir):
     report, batch = RP.diagnose(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),

@@ -57,14 +57,21 @@ def _element_details_json(report: DataFrame):
     return F.when(F.col("is_not_found"), missing).otherwise(found)
 
 
-def diagnose_json(report: DataFrame, batch: DataFrame, by=("capture_id",), single=None) -> DataFrame:
-    """keys…, report: the diagnosis envelope per capture. ``single`` (a
-    DataFrame of keys…, is_single) marks captures asked with one selector
-    string rather than a list: those answer ``{summary, details}`` of their
-    one element; all others ``{summary: batch summary, details: {results}}``."""
+def diagnose_json(report: DataFrame, batch: DataFrame, by=("capture_id",), single=None,
+                  part_size: int = 20) -> DataFrame:
+    """keys…, part, report: the diagnosis envelope. ``single`` (a DataFrame
+    of keys…, is_single) marks captures asked with one selector string
+    rather than a list: those answer ``{summary, details}`` of their one
+    element; all others ``{summary: batch summary, details: {results}}``.
+
+    ``results`` holds the elements of request positions
+    [part·part_size, (part+1)·part_size): a request within the reference's
+    bound of 20 selectors is one document (part 0); a larger one is split
+    into several, so no capture's elements are gathered into one group."""
     keys = as_keys(by)
-    items = report.select(*keys, "pos", "summary", _element_details_json(report).alias("_d"))
-    g = items.groupBy(*keys).agg(
+    items = report.select(*keys, F.floor(F.col("pos") / part_size).cast("bigint").alias("part"), "pos",
+                          "summary", _element_details_json(report).alias("_d"))
+    g = items.groupBy(*keys, "part").agg(
         F.array_sort(F.collect_list(F.struct("pos", "_d"))).alias("_items"),
         F.min_by(F.struct("summary", "_d"), "pos").alias("_first"))
     g = g.join(batch.select(*keys, F.col("summary").alias("_batch_summary")), keys, "inner")
@@ -79,5 +86,5 @@ def diagnose_json(report: DataFrame, batch: DataFrame, by=("capture_id",), singl
     results = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda x: x["_d"]), ","), F.lit("]"))
     batch_doc = F.concat(summary_json(F.col("_batch_summary")), F.lit(',"details":{"results":'), results, F.lit("}}"))
     single_doc = F.concat(summary_json(F.col("_first.summary")), F.lit(',"details":'), F.col("_first._d"), F.lit("}"))
-    return g.select(*keys, F.when(F.coalesce("is_single", F.lit(False)), single_doc).otherwise(batch_doc)
+    return g.select(*keys, "part", F.when(F.coalesce("is_single", F.lit(False)), single_doc).otherwise(batch_doc)
                     .alias("report"))
