@@ -24,6 +24,18 @@ def filter_styles(elements: DataFrame, include_box_model: bool = True) -> DataFr
     return elements.withColumn("styles", s)
 
 
+def style_rows(elements: DataFrame, include_box_model: bool = True, keys=("capture_id", "selector")) -> DataFrame:
+    """Long form of the filtered styles: keys…, property, value — explode
+    then filter rows, which stays in whole-stage codegen (``map_filter``
+    runs an interpreted lambda per map entry)."""
+    keys = as_keys(keys)
+    x = elements.select(*keys, F.explode("styles").alias("property", "value"))
+    keep = css.keep_property(F.col("property"), F.col("value"))
+    if not include_box_model:
+        keep = keep & ~F.col("property").isin(list(css.BOX_MODEL))
+    return x.where(keep)
+
+
 def detect_issues(elements: DataFrame) -> DataFrame:
     """Adds ``issues`` (array of issue structs, rule order). Not-found rows
     (``not_found`` true) get an empty array."""
@@ -109,8 +121,10 @@ def element_report(elements: DataFrame, include_box_model: bool = True) -> DataF
     issue, is_not_found.
 
     Input: capture_id, pos, selector, styles map, [not_found, suggestions].
-    Rules run on the filtered map before the box-model keys are dropped."""
-    e = filter_styles(elements, True)
+    The rules and the summary read only tier-1 properties, which the filter
+    keeps as they are, so they run on the captured map directly; the
+    filtered ``styles`` column is only computed where it is used."""
+    e = elements
     nf = F.coalesce(F.col("not_found"), F.lit(False)) if "not_found" in e.columns else F.lit(False)
     sugg = F.col("suggestions") if "suggestions" in e.columns else F.array().cast("array<string>")
     n, found_summary, top = _static_report_columns(F.col("styles"), F.col("selector"))
@@ -121,9 +135,8 @@ def element_report(elements: DataFrame, include_box_model: bool = True) -> DataF
         F.when(nf, not_found_summary(F.col("selector"), sugg)).otherwise(found_summary).alias("summary"),
         F.when(nf, F.lit(0).cast("bigint")).otherwise(n).alias("n_issues"),
         F.when(~nf, top).alias("top"))
-    if not include_box_model:
-        out = out.withColumn("styles", css.drop_box_model(F.col("styles")))
-    return out
+    styles = css.filter_styles_map(F.col("styles"))
+    return out.withColumn("styles", styles if include_box_model else css.drop_box_model(styles))
 
 
 def batch_report(report: DataFrame, by=("capture_id",), order=("pos", "selector")) -> DataFrame:

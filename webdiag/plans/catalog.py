@@ -116,16 +116,14 @@ iss as (select rid, row_number() over (partition by rid order by rule_no) as iss
 select capture_id, selector, property, value from a6_long where {S.css_keep_sql()}
 """)
 def styles_filtered(spark, sf_dir):
-    e = AU.filter_styles(A.element_styles(spark, sf_dir))
-    return e.select("capture_id", "selector", F.explode("styles").alias("property", "value"))
+    return AU.style_rows(A.element_styles(spark, sf_dir))
 
 
 @register("styles_no_box", f"""with {S.a6_sql()}
 select capture_id, selector, property, value from a6_long where {S.css_keep_sql()} and not {S.box_sql()}
 """)
 def styles_no_box(spark, sf_dir):
-    e = AU.filter_styles(A.element_styles(spark, sf_dir), include_box_model=False)
-    return e.select("capture_id", "selector", F.explode("styles").alias("property", "value"))
+    return AU.style_rows(A.element_styles(spark, sf_dir), include_box_model=False)
 
 
 @register("element_issues", f"""{_A6_ISSUES}
