@@ -50,3 +50,29 @@ def test_diagnose_json_parts(spark):
     sizes = [len(json.loads(r.report)["details"]["results"]) for r in rows]
     assert sizes == [20, 20, 5]
     assert json.loads(rows[0].report)["summary"] == "45 elements diagnosed, 0 with issues."
+
+
+def test_error_report_with_source_maps(spark):
+    from test_frames import BUNDLE, FIXTURE_MAP
+    from webdiag.operators import sourcemaps
+    e = spark.createDataFrame([
+        ("c", 0, "error", "TypeError: oops", [("z", BUNDLE, 1, 0), ("y", "https://h/src/a.js", 4, 2)]),
+        ("c", 1, "error", "TypeError: oops", None),
+        ("c", 2, "error", "Other", [])],
+        "capture_id string, seq bigint, level string, text string, "
+        "stack array<struct<functionName:string,url:string,lineNumber:bigint,columnNumber:bigint>>")
+    segs = sourcemaps.build_segments(spark.createDataFrame([(BUNDLE, FIXTURE_MAP)], "url string, map_json string"))
+    issues, summary = reports.error_report(e, severity="error", limit=20, segments=segs)
+    got = {r.message: (r["count"], r.stack_trace, r.resolved_count) for r in issues.collect()}
+    assert got["TypeError: oops"] == (2, ["at z (src/ProductList.jsx:1:0)", "at y (https://h/src/a.js:4:2)"], 1)
+    assert got["Other"] == (1, [], 0)  # a resolver gives [] for an empty stack
+    doc = json.loads(sinks.error_report_json(issues, summary).collect()[0].report)
+    assert doc["details"]["_sourcemap_resolved"] == 1
+    assert doc["details"]["unique_issues"][1]["stackTrace"] == []
+
+
+def test_error_report_parameter_contract(spark):
+    import pytest
+    for sev, lim in (("fatal", 20), ("error", 0), ("error", 101)):
+        with pytest.raises(ValueError):
+            reports.error_report(noisy_entries(spark), severity=sev, limit=lim)

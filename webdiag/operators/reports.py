@@ -12,9 +12,19 @@ from webdiag.operators.common import as_keys
 
 # --- fixed values (must equal the reference's for equal results) ---------
 SUMMARY_TOP_CHARS = 100
+SEVERITIES = ("error", "warning", "all")
+LIMIT_RANGE = (1, 100)
 # ------------------------------------------------------------------------
 
 
+def check_error_params(severity: str, limit: int) -> None:
+    """The report's parameter contract: severity error|warning|all, limit 1–100."""
+    if severity not in SEVERITIES:
+        raise ValueError(f"severity must be one of {SEVERITIES}, got {severity!r}")
+    if not isinstance(limit, int) or not LIMIT_RANGE[0] <= limit <= LIMIT_RANGE[1]:
+        raise ValueError(f"limit must be an integer in {LIMIT_RANGE}, got {limit!r}")
+
+
 def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, by=("capture_id",),
                  segments: DataFrame | None = None, captures: DataFrame | None = None,
                  noise_patterns=C.NOISE_PATTERNS) -> tuple[DataFrame, DataFrame]:
@@ -25,6 +35,7 @@ def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, b
     compressed only. ``summary``: one row per capture — total entries before
     any filter, unique issues after the limit, resolved frames, summary
     text. ``captures`` (keys only) adds captures that have no entry."""
+    check_error_params(severity, limit)
     keys = as_keys(by)
     if not keys:  # one global group: a constant key keeps every step a keyed join
         key = "_all"
