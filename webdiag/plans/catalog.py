@@ -431,7 +431,7 @@ def _summary_query(severity, limit):
         return s
     none = "No " + ("" if severity == "all" else severity + " ") + "messages found in console."
     sql = f"""with {A1_NORMALIZED},
-issues as ({S.rollup_sql("x as (select 1)", "n", severity, limit, ["capture_id"]).replace("with x as (select 1),", "with")}),
+issues as ({S.rollup_body_sql("n", severity, limit, ["capture_id"])}),
 totals as (select capture_id, count(*) as total_log_entries from n group by capture_id),
 per as (select capture_id, count(*) as unique_issues, max(case when issue_no = 1 then message end) as top_message
         from issues group by capture_id)
@@ -500,7 +500,7 @@ from webdiag.sources import sinks as SK  # noqa: E402
 
 
 @register("error_report_json", f"""with {A1_NORMALIZED},
-issues as ({S.rollup_sql("x as (select 1)", "n", "error", 5, ["capture_id"]).replace("with x as (select 1),", "with")}),
+issues as ({S.rollup_body_sql("n", "error", 5, ["capture_id"])}),
 totals as (select capture_id, count(*) as total_log_entries from n group by capture_id),
 per as (
   select capture_id, count(*) as unique_issues, max(case when issue_no = 1 then message end) as top_message,
@@ -536,7 +536,7 @@ def request_counts(spark, sf_dir):
 
 @register("payload_error_summary", f"""with {S.console_payloads_sql()},
 n as (select capture_id, seq, level, message, source from centries),
-issues as ({S.rollup_sql("x as (select 1)", "n", "all", 20, ["capture_id"]).replace("with x as (select 1),", "with")}),
+issues as ({S.rollup_body_sql("n", "all", 20, ["capture_id"])}),
 totals as (select capture_id, count(*) as total_log_entries from n group by capture_id),
 per as (select capture_id, count(*) as unique_issues, max(case when issue_no = 1 then message end) as top_message
         from issues group by capture_id)

@@ -53,12 +53,20 @@ def severity_where(severity: str, level: str = "level") -> str:
 def rollup_sql(source_cte: str, source: str, severity: str, limit: int, by: list[str]) -> str:
     """Top-k issue groups (O3.1, O3.3, O5.1, O5.2) over a normalised entry
     relation ``source`` with columns by…, seq, level, message, source."""
+    return f"with {source_cte},\n" + _rollup_steps(source, severity, limit, by)
+
+
+def rollup_body_sql(source: str, severity: str, limit: int, by: list[str]) -> str:
+    """The rollup query over relation ``source`` as a nested query (its own
+    WITH, no outer CTEs), usable inside another CTE."""
+    return "with " + _rollup_steps(source, severity, limit, by)
+
+
+def _rollup_steps(source: str, severity: str, limit: int, by: list[str]) -> str:
     keys = ", ".join(by)
     kc = keys + ", " if by else ""
     part = f"partition by {keys} " if by else ""
-    return f"""
-with {source_cte},
-f as (
+    return f"""f as (
   select *, {fingerprint_sql()} as fingerprint from {source}
   where {severity_where(severity)} and not regexp_matches(message, {NOISE_RE})
 ),

@@ -24,7 +24,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None,
     if columns is not None:
         df = df.select(*columns)
     if fan_out:
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par)
+        try:  # classic sessions only (no RDD access over Spark Connect)
+            par = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < par:
+                df = df.repartition(par)
+        except Exception:  # noqa: BLE001 — the spread is an optimisation only
+            pass
     return df
