@@ -163,42 +163,6 @@ def _vlq(v):
     return F.concat(head, tail)
 
 
-def source_map_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4 maps: (cust, url, map_json) — a v3 source map per customer that
-    encodes its facts (deltas, VLQ), 'version 2' for some."""
-    f = map_facts(spark, sf_dir)
-    per = f.groupBy("cust", "url").agg(
-        F.array_sort(F.array_distinct(F.collect_list("source"))).alias("sources"),
-        F.array_sort(F.array_distinct(F.collect_list("name"))).alias("names"),
-        F.max("gen_line").alias("max_line"))
-    f = f.join(per, ["cust", "url"])
-    f = f.withColumn("src_idx", F.array_position("sources", F.col("source")) - 1) \
-         .withColumn("name_idx", F.array_position("names", F.col("name")) - 1)
-    from pyspark.sql import Window
-    in_line = Window.partitionBy("url", "gen_line").orderBy("gen_col")
-    before = Window.partitionBy("url").orderBy("gen_line", "gen_col").rowsBetween(Window.unboundedPreceding, -1)
-    prev = lambda c: F.coalesce(F.last(F.col(c), ignorenulls=True).over(before), F.lit(0))
-    has_src = F.col("source").isNotNull()
-    seg = F.concat(
-        _vlq(F.col("gen_col") - F.coalesce(F.lag("gen_col").over(in_line), F.lit(0))),
-        F.when(has_src, F.concat(_vlq(F.col("src_idx").cast("bigint") - prev("src_idx")),
-                                 _vlq(F.col("orig_line") - 1 - prev("line0")),
-                                 _vlq(F.col("orig_col") - prev("orig_col")))).otherwise(F.lit("")),
-        F.when(has_src & F.col("name").isNotNull(),
-               _vlq(F.col("name_idx").cast("bigint") - prev("name_idx"))).otherwise(F.lit("")))
-    f = f.withColumn("line0", F.col("orig_line") - 1)
-    f = f.select("cust", "url", "sources", "names", "max_line", "gen_line", "gen_col", seg.alias("seg"))
-    docs = f.groupBy("cust", "url", "sources", "names", "max_line").agg(
-        F.array_sort(F.collect_list(F.struct("gen_line", "gen_col", "seg"))).alias("segs"))
-    lines = F.transform(F.sequence(F.lit(1), F.col("max_line").cast("int")), lambda ln: F.array_join(
-        F.transform(F.filter("segs", lambda s: s["gen_line"] == ln), lambda s: s["seg"]), ","))
-    version = F.when(F.expr(A4_BAD_VERSION), 2).otherwise(3)
-    doc = F.to_json(F.struct(version.alias("version"),
-                             F.concat(F.lit("app"), F.col("cust").cast("string"), F.lit(".min.js")).alias("file"),
-                             F.col("sources"), F.col("names"), F.array_join(lines, ";").alias("mappings")))
-    return docs.select("cust", "url", doc.alias("map_json"))
-
-
 _BUILT: dict = {}
 
 
@@ -217,6 +181,55 @@ def _base64(text):
     return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
 
 
+def source_map_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 maps: (cust, url, map_json) — a v3 source map per customer that
+    encodes its facts (deltas, VLQ), 'version 2' for some. One grouped
+    aggregation per document; the delta encoding is a fold over the
+    document's sorted segments."""
+    f = map_facts(spark, sf_dir)
+    seg = F.struct("gen_line", "gen_col", "source", "orig_line", "orig_col", "name")
+    docs = f.groupBy("cust", "url").agg(
+        F.array_sort(F.collect_list(seg)).alias("segs"),
+        F.array_sort(F.array_distinct(F.collect_list("source"))).alias("sources"),
+        F.array_sort(F.array_distinct(F.collect_list("name"))).alias("names"),
+        F.max("gen_line").alias("max_line"))
+    zero = F.lit(0).cast("bigint")
+    init = F.struct(zero.alias("line"), zero.alias("col"), zero.alias("src"), zero.alias("oline"),
+                    zero.alias("ocol"), zero.alias("nm"),
+                    F.array().cast("array<struct<line:bigint,text:string>>").alias("out"))
+    sources, names = F.col("sources"), F.col("names")
+
+    def step(acc, x):
+        src = (F.array_position(sources, x["source"]) - 1).cast("bigint")
+        nm = (F.array_position(names, x["name"]) - 1).cast("bigint")
+        oline = x["orig_line"] - 1
+        has_src, has_name = x["source"].isNotNull(), x["source"].isNotNull() & x["name"].isNotNull()
+        base = F.when(x["gen_line"] == acc["line"], acc["col"]).otherwise(zero)
+        text = F.concat(
+            _vlq(x["gen_col"] - base),
+            F.when(has_src, F.concat(_vlq(src - acc["src"]), _vlq(oline - acc["oline"]),
+                                     _vlq(x["orig_col"] - acc["ocol"]))).otherwise(F.lit("")),
+            F.when(has_name, _vlq(nm - acc["nm"])).otherwise(F.lit("")))
+        return F.struct(
+            x["gen_line"].cast("bigint").alias("line"), x["gen_col"].cast("bigint").alias("col"),
+            F.when(has_src, src).otherwise(acc["src"]).alias("src"),
+            F.when(has_src, oline).otherwise(acc["oline"]).cast("bigint").alias("oline"),
+            F.when(has_src, x["orig_col"]).otherwise(acc["ocol"]).cast("bigint").alias("ocol"),
+            F.when(has_name, nm).otherwise(acc["nm"]).alias("nm"),
+            F.concat(acc["out"], F.array(F.struct(x["gen_line"].cast("bigint").alias("line"),
+                                                  text.alias("text")))).alias("out"))
+
+    out = F.aggregate("segs", init, step)["out"]
+    lines = F.transform(F.sequence(F.lit(1), F.col("max_line").cast("int")), lambda ln: F.array_join(
+        F.transform(F.filter(out, lambda o: o["line"] == ln), lambda o: o["text"]), ","))
+    version = F.when(F.expr(A4_BAD_VERSION), 2).otherwise(3)
+    doc = F.to_json(F.struct(version.alias("version"),
+                             F.concat(F.lit("app"), F.col("cust").cast("string"), F.lit(".min.js")).alias("file"),
+                             sources.alias("sources"), names.alias("names"),
+                             F.array_join(lines, ";").alias("mappings")))
+    return docs.select("cust", "url", doc.alias("map_json"))
+
+
 def map_files_and_scripts(spark: SparkSession, sf_dir: str):
     """A4 hosting: ``map_files(url, map_json)`` and ``scripts(url, body)``.
     cust % 3 = 0: map next to the bundle (not JSON for some) and a
