@@ -11,6 +11,7 @@ ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 PATH_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 QUERY_RE = r"\?.*\z"
 
+
 def fold_path(path: Column) -> Column:
     """Fold '.' and '..' segments of an absolute path ('/a/./b/../c' → '/a/c')."""
     parts = F.split(path, "/")
