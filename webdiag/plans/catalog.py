@@ -590,3 +590,44 @@ def diagnose_json(spark, sf_dir):
     report, batch = RP.diagnose(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),
                                 A.dom_tokens(spark, sf_dir))
     return SK.diagnose_json(report, batch)
+
+
+_PAYLOAD_PROPS = ["display", "opacity", "visibility"]
+
+
+@register("payload_batch_summary", f"""with {S.element_payloads_sql()},
+pe as (
+  select row_number() over () as rid, capture_id, pos, selector, not_found,
+    {", ".join(f"json_extract_string(r, '$.styles.{k}') as \"{k}\"" for k in _PAYLOAD_PROPS)}
+  from ee_full
+),
+fired as ({S.issues_sql('pe', _PAYLOAD_PROPS)}),
+iss as (select rid, row_number() over (partition by rid order by rule_no) as issue_no, property, value,
+               case severity when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as r
+        from fired join pe using (rid) where not pe.not_found),
+top_el as (
+  select rid, arg_min(property, struct_pack(nr := -r, i := issue_no)) as property,
+         arg_min(value, struct_pack(nr := -r, i := issue_no)) as value, max(r) as r from iss group by rid
+),
+el as (select pe.capture_id, pe.pos, pe.selector, pe.not_found = 1 as nf, t.rid is not null as has_issue,
+              t.property, t.value, t.r
+       from pe left join top_el t using (rid)),
+g as (
+  select capture_id, count(*) as n_elements, count(*) filter (where has_issue) as n_with_issues,
+    count(*) filter (where nf) as n_not_found,
+    arg_min(coalesce(selector, 'undefined') || ' ' || property || ':' || value,
+            struct_pack(nr := -r, p := pos, s := selector, pp := property, v := value)) filter (where has_issue) as top
+  from el group by capture_id
+)
+select capture_id, n_elements, n_with_issues, n_not_found,
+  concat(cast(n_elements as varchar), ' element', case when n_elements > 1 then 's' else '' end,
+         ' diagnosed, ', cast(n_with_issues as varchar), ' with issues',
+         case when n_not_found > 0 then ', ' || cast(n_not_found as varchar) || ' not found' else '' end,
+         case when top is not null then '. Top: ' || top else '' end, '.') as summary
+from g
+""")
+def payload_batch_summary(spark, sf_dir):
+    """Raw style payloads → elements → rules → batch summary per capture
+    (captures whose payload held no element have no batch)."""
+    rows = PL.element_rows(PL.parse_element_payloads(A.element_payloads(spark, sf_dir)))
+    return AU.batch_report(AU.element_report(rows))

@@ -417,6 +417,11 @@ ee as (
   select capture_id, generate_subscripts(json_extract(res, '$[*]'), 1) - 1 as pos, unnest(json_extract(res, '$[*]')) as r
   from er where json_type(res) = 'ARRAY'
 ),
+ee_full as (
+  select capture_id, cast(pos as bigint) as pos, r, json_extract_string(r, '$.selector') as selector,
+    cast({_truthy_sql('r', '$.notFound')} as bigint) as not_found
+  from ee
+),
 eentries as (
   select capture_id, cast(pos as bigint) as pos, json_extract_string(r, '$.selector') as selector,
     cast({_truthy_sql('r', '$.notFound')} as bigint) as not_found,
