@@ -4,9 +4,10 @@ The per-(capture, fingerprint) count and first entry run as a streaming
 aggregation in update mode: Spark keeps the groups in its state store and
 emits the groups a micro-batch changed. ``row_number`` is not allowed on a
 stream, so ranking happens in ``foreachBatch``: the changed groups are
-merged into a groups table (anti-join + union, written as a new version
-named by the batch id, so a replayed batch rewrites the same version) and
-the top-k report of the captures touched by the batch is rewritten from it.
+merged into a groups table (anti-join + union; a replayed batch writes the
+same result again) and the top-k report of the captures touched by the batch is rewritten from it;
+both tables are partitioned by a hash bucket of the capture, so a batch
+rewrites only the buckets it touched.
 
 Console entries carry no event time, so no watermark is set and the state
 holds every group; bound it upstream (for instance one stream per day) when
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from webdiag.functions import console as C
 from webdiag.operators import rollup
 from webdiag.operators.common import as_keys
+from webdiag.session import materialize
 
 
 def group_stream(entries: DataFrame, severity: str = "error", by=("capture_id",),
@@ -41,35 +43,51 @@ def _rank(groups: DataFrame, keys, limit: int) -> DataFrame:
                     "source", "first_seq", "fingerprint")
 
 
-def merge_batch(updates: DataFrame, batch_id: int, out_dir: str, by=("capture_id",), limit: int = 20) -> None:
-    """foreachBatch body: fold ``updates`` into groups version ``batch_id``
-    and rewrite the report of the touched captures."""
-    keys = as_keys(by)
+DEFAULT_BUCKETS = 64
+
+
+def _bucket(keys, buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def merge_batch(updates: DataFrame, batch_id: int, out_dir: str, by=("capture_id",), limit: int = 20,
+                buckets: int = DEFAULT_BUCKETS) -> None:
+    """foreachBatch body. The groups table and the report are partitioned
+    by a hash bucket of the capture key and written with dynamic partition
+    overwrite, so a batch rewrites only the buckets it touched: merged
+    groups = stored groups of those buckets minus the updated ones, plus
+    the updates (update mode emits a group's full current value, so a
+    replayed batch writes the same result again)."""
+    keys = as_keys(by) or ["_all"]
+    if "_all" in keys and "_all" not in updates.columns:
+        updates = updates.withColumn("_all", F.lit(0))
     spark = updates.sparkSession
     out = out_dir.rstrip("/")
     cols = [*keys, "fingerprint", "count", "first_seq", "level", "message", "source", "severity_rank"]
-    updates = updates.select(*cols)
-    if batch_id > 0:
-        prev = spark.read.parquet(f"{out}/groups/v={batch_id - 1}")
-        kept = prev.join(updates.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
-        groups = kept.unionByName(updates)
-    else:
-        groups = updates
-    groups.write.mode("overwrite").parquet(f"{out}/groups/v={batch_id}")
-    current = spark.read.parquet(f"{out}/groups/v={batch_id}")
-    touched = updates.select(*keys).distinct()
-    report = _rank(current.join(touched, keys, "left_semi"), keys, limit)
-    report.withColumn("batch_id", F.lit(batch_id).cast("bigint")) \
-        .write.mode("overwrite").parquet(f"{out}/report/batch_id={batch_id}")
+    updates = updates.select(*cols, _bucket(keys, buckets).alias("bucket"))
+    touched = updates.select("bucket").distinct()
+    groups_path, report_path = f"{out}/groups", f"{out}/report"
+    try:
+        stored = spark.read.parquet(groups_path).join(touched, "bucket", "left_semi")
+        kept = stored.join(updates.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
+        merged = kept.unionByName(updates.select(*stored.columns))
+    except Exception as e:  # noqa: BLE001 — first batch: no groups table yet
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+        merged = updates
+    # cut the lineage that reads the table about to be overwritten
+    merged = materialize(merged, f"stream-merge-{batch_id}")
+    dyn = {"partitionOverwriteMode": "dynamic"}
+    merged.write.mode("overwrite").options(**dyn).partitionBy("bucket").parquet(groups_path)
+    current = spark.read.parquet(groups_path).join(touched, "bucket", "left_semi")
+    report = _rank(current, keys, limit).withColumn("bucket", _bucket(keys, buckets))
+    report.write.mode("overwrite").options(**dyn).partitionBy("bucket").parquet(report_path)
 
 
 def latest_report(spark, out_dir: str, by=("capture_id",)) -> DataFrame:
-    """Current top-k per capture: each capture's rows from the last batch
-    that touched it."""
-    keys = as_keys(by)
-    r = spark.read.parquet(f"{out_dir.rstrip('/')}/report")
-    last = r.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
-    return r.join(last, [*keys, "batch_id"], "inner").drop("batch_id")
+    """Current top-k per capture."""
+    r = spark.read.parquet(f"{out_dir.rstrip('/')}/report").drop("bucket")
+    return r.drop("_all") if "_all" in r.columns else r
 
 
 def start(entries: DataFrame, out_dir: str, checkpoint_location: str, severity: str = "error",
