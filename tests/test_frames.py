@@ -175,3 +175,15 @@ def test_asof_matches_brute_force(spark):
         got = {(r.url, r.line, r.col): (r.r_source, r.r_line, r.r_col)
                for r in asof.resolve_positions(pos, segs, bucket_width=w, max_copies=c).collect()}
         assert got == want
+
+
+def test_source_normalisation(spark):
+    cases = [("src/./a.js", "src/a.js"), ("../x.js", "../x.js"), ("a/../../b", "../b"), ("/../a", "/a"),
+             ("a//b", "a/b"), ("webpack:///./src/App.js", "webpack:///src/App.js"),
+             ("http://h.com/a/../b.js", "http://h.com/b.js"), ("./", "."), ("a/..", "."), ("webpack://", "webpack://")]
+    df = spark.createDataFrame(cases, "s string, want string")
+    for r in df.select("want", urls.normalize_source(F.col("s")).alias("got")).collect():
+        assert r.got == r.want
+    m = json.dumps({"version": 3, "sourceRoot": "webpack:///", "sources": ["./src/x.js"], "mappings": "AAAA"})
+    segs = sourcemaps.build_segments(spark.createDataFrame([("u", m)], "url string, map_json string"))
+    assert segs.collect()[0].source == "webpack:///src/x.js"

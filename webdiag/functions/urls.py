@@ -48,3 +48,41 @@ def resolve_url(ref: Column, base: Column) -> Column:
             .when(ref.startswith("#"), F.concat(no_frag, ref))
             .when(ref == "", no_frag)
             .otherwise(F.concat(origin, fold_path(F.concat(bdir, rpath)), rrest)))
+
+
+# --- fixed values (source-map path normalisation) ---------------------------
+# url-shaped source: scheme, //, optional user:pass@, host, optional :port, path
+SOURCE_URL_RE = r"^((?:[\w+\-.]+:)?//(?:\w+:\w+@)?[\w.\-]*(?::\d+)?)(.*)\z"
+# ---------------------------------------------------------------------------
+
+
+def normalize_path(path: Column) -> Column:
+    """Normalise a source path as source maps do: runs of '/' collapse, '.'
+    segments go, '..' folds into the segment before it (and is dropped at
+    the root of an absolute path, kept at the start of a relative one); an
+    empty result is '/' for an absolute path, '.' for a relative one."""
+    parts = F.split(path, "/+")
+    absolute = path.startswith("/")
+
+    def step(acc, x):
+        top = F.element_at(acc, -1)
+        can_pop = (F.size(acc) > 0) & (top != "..") & (top != "")
+        at_root = (F.size(acc) > 0) & (top == "")
+        return (F.when(x == ".", acc)
+                .when((x == "..") & can_pop, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                .when((x == "..") & at_root, acc)
+                .otherwise(F.concat(acc, F.array(x))))
+    folded = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(folded == "", F.when(absolute, F.lit("/")).otherwise(F.lit("."))).otherwise(folded)
+
+
+def normalize_source(src: Column) -> Column:
+    """``normalize_path`` of a source name, applied to the path part only
+    when the name is url-shaped ('webpack:///./src/a.js' → 'webpack:///src/a.js')."""
+    prefix = F.regexp_extract(src, SOURCE_URL_RE, 1)
+    rest = F.regexp_extract(src, SOURCE_URL_RE, 2)
+    is_url = src.rlike(SOURCE_URL_RE)
+    return (F.when(src.isNull(), F.lit(None).cast("string"))
+            .when(is_url & (rest == ""), src)
+            .when(is_url, F.concat(prefix, normalize_path(rest)))
+            .otherwise(normalize_path(src)))

@@ -71,7 +71,8 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     position: url, gen_line (1-based), gen_col, next_gen_col (start of the
     next position on the line, null for the last), source, orig_line
     (1-based), orig_col, name. 1-field segments stay with a null source
-    (they end the previous segment and resolve to nothing).
+    (they end the previous segment and resolve to nothing). Source names
+    are joined to ``sourceRoot`` and normalised like paths.
 
     A map that is not valid JSON, not version 3, or holds any malformed
     segment yields no rows at all (every lookup of it fails). Running sums
@@ -119,7 +120,7 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     bad_name = F.col("name_idx").isNotNull() & name.isNull()
     nxt = F.lead("gen_col").over(Window.partitionBy("url", "gen_line").orderBy("gen_col"))
     return d.select("url", "gen_line", "gen_col", nxt.alias("next_gen_col"),
-                    F.when(~bad_name, src).alias("source"),
+                    F.when(~bad_name, U.normalize_source(src)).alias("source"),
                     "orig_line", "orig_col", name.alias("name"))
 
 

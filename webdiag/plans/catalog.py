@@ -261,7 +261,7 @@ def map_references(spark, sf_dir):
 @register("map_segments", f"""
 with {S.a4_sql()}
 select url, gen_line, gen_col, lead(gen_col) over (partition by url, gen_line order by gen_col) as next_gen_col,
-  source, orig_line, orig_col, name
+  {S.normalize_source_sql('source')} as source, orig_line, orig_col, name
 from a4 where not ({A.A4_BAD_VERSION})
 """)
 def map_segments(spark, sf_dir):

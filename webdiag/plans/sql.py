@@ -268,7 +268,8 @@ usable as (
   where sel.parses and not d.bad_version
 ),
 segs as (
-  select usable.url, a4.gen_line, a4.gen_col, a4.source, a4.orig_line, a4.orig_col, a4.name
+  select usable.url, a4.gen_line, a4.gen_col, {normalize_source_sql('a4.source')} as source,
+    a4.orig_line, a4.orig_col, a4.name
   from usable join a4 on a4.cust = usable.cust
 )"""
 
@@ -492,3 +493,23 @@ diag as (
            case when top is not null then '. Top: ' || top else '' end, '.') as summary
   from g
 )"""
+
+
+def normalize_source_sql(src: str) -> str:
+    """DuckDB form of ``webdiag.functions.urls.normalize_source``."""
+    from webdiag.functions import urls as U
+
+    def norm(p):
+        folded = ("array_to_string(list_reduce(regexp_split_to_array(" + p + ", '/+'), "
+                  "lambda acc, x: case when x = '.' then acc "
+                  "when x = '..' and len(acc) > 0 and acc[-1] <> '..' and acc[-1] <> '' then acc[1:len(acc) - 1] "
+                  "when x = '..' and len(acc) > 0 and acc[-1] = '' then acc "
+                  "else list_append(acc, x) end, []::varchar[]), '/')")
+        return (f"(case when {folded} = '' then (case when starts_with({p}, '/') then '/' else '.' end) "
+                f"else {folded} end)")
+    re_ = q(U.SOURCE_URL_RE)
+    rest = f"regexp_extract({src}, {re_}, 2)"
+    return (f"(case when {src} is null then null "
+            f"when regexp_matches({src}, {re_}) and {rest} = '' then {src} "
+            f"when regexp_matches({src}, {re_}) then regexp_extract({src}, {re_}, 1) || {norm(rest)} "
+            f"else {norm(src)} end)")

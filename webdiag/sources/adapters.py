@@ -127,7 +127,8 @@ A4_FACTS = (
     ("gen_line", "o_orderkey % 3 + 1"),
     ("gen_col", "o_orderkey * 37 % 5000 + 1"),
     ("source", "case when o_orderkey % 13 = 0 then null "
-               "else concat('src/', lower(replace(o_orderpriority, ' ', '-')), '.jsx') end"),
+               "else concat(case when o_custkey % 4 = 1 then 'webpack:///./src/' else 'src/' end, "
+               "lower(replace(o_orderpriority, ' ', '-')), '.jsx') end"),
     ("orig_line", "case when o_orderkey % 13 = 0 then null else o_orderkey % 400 + 1 end"),
     ("orig_col", "case when o_orderkey % 13 = 0 then null else cast(floor(o_totalprice) as bigint) % 120 end"),
     ("name", "case when o_orderkey % 13 = 0 or o_orderstatus = 'P' then null else concat('fn_', o_orderstatus) end"),
