@@ -82,6 +82,14 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     one = source_maps.groupBy("url").agg(F.min("map_json").alias("map_json"))
     m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m"))
     m = m.where(F.col("m.version") == SUPPORTED_VERSION).select("url", "m.*")
+    # source names: joined to sourceRoot and normalised once per map
+    root = F.col("sourceRoot")
+
+    def full_name(src):
+        joined = F.when(F.coalesce(root, F.lit("")) == "", src).otherwise(F.concat(
+            root, F.when(root.endswith("/") | src.startswith("/"), F.lit("")).otherwise(F.lit("/")), src))
+        return U.normalize_source(joined)
+    m = m.withColumn("sources", F.transform("sources", full_name))
     m = posexplode_rows(m, ["url", "sourceRoot", "sources", "names"],
                         F.split(F.coalesce("mappings", F.lit("")), ";"), "li", "line_text")
     m = m.select("url", "sourceRoot", "sources", "names", (F.col("li") + 1).cast("bigint").alias("gen_line"),
@@ -112,15 +120,12 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     def pick(arr, idx):
         return F.when(idx >= 0, F.try_element_at(arr, (idx + 1).cast("int")))
     src = pick(F.col("sources"), F.col("src_idx"))
-    root = F.col("sourceRoot")
-    src = F.when(F.coalesce(root, F.lit("")) == "", src).otherwise(F.concat(
-        root, F.when(root.endswith("/") | src.startswith("/"), F.lit("")).otherwise(F.lit("/")), src))
     name = pick(F.col("names"), F.col("name_idx"))
     # a name index outside ``names`` makes the lookup fail: no source then
     bad_name = F.col("name_idx").isNotNull() & name.isNull()
     nxt = F.lead("gen_col").over(Window.partitionBy("url", "gen_line").orderBy("gen_col"))
     return d.select("url", "gen_line", "gen_col", nxt.alias("next_gen_col"),
-                    F.when(~bad_name, U.normalize_source(src)).alias("source"),
+                    F.when(~bad_name, src).alias("source"),
                     "orig_line", "orig_col", name.alias("name"))
 
 
