@@ -187,3 +187,26 @@ def test_source_normalisation(spark):
     m = json.dumps({"version": 3, "sourceRoot": "webpack:///", "sources": ["./src/x.js"], "mappings": "AAAA"})
     segs = sourcemaps.build_segments(spark.createDataFrame([("u", m)], "url string, map_json string"))
     assert segs.collect()[0].source == "webpack:///src/x.js"
+
+
+def test_indexed_map_sections(spark):
+    sec_a = {"version": 3, "sources": ["a.js"], "names": [], "mappings": "AAAA;AACA"}
+    sec_b = {"version": 3, "sources": ["b.js"], "names": ["f"], "mappings": "GAAAA,KAAKA;CACA"}
+    m = json.dumps({"version": 3, "sections": [{"offset": {"line": 0, "column": 0}, "map": sec_a},
+                                               {"offset": {"line": 1, "column": 100}, "map": sec_b}]})
+    bad = json.dumps({"version": 3, "sections": [{"offset": {"line": 0, "column": 0}, "map": sec_a},
+                                                 {"offset": {"line": 5, "column": 0}, "url": "x.map"}]})
+    segs = sourcemaps.build_segments(spark.createDataFrame([("u", m), ("v", bad)], "url string, map_json string"))
+    pos = spark.createDataFrame([("u", 1, 7), ("u", 2, 50), ("u", 2, 101), ("u", 2, 103), ("u", 2, 104),
+                                 ("u", 2, 109), ("u", 3, 0), ("u", 3, 1), ("v", 1, 0)],
+                                "url string, line bigint, col bigint")
+    got = {(r.url, r.line, r.col): (r.r_source, r.r_line, r.r_col, r.r_name)
+           for r in asof.resolve_positions(pos, segs, bucket_width=4, max_copies=2).collect()}
+    assert got[("u", 1, 7)] == ("a.js", 1, 0, None)
+    assert got[("u", 2, 50)] == ("a.js", 2, 0, None)       # section a, before section b starts
+    assert got[("u", 2, 101)] == (None, None, None, None)  # in section b, before its first mapping
+    assert got[("u", 2, 103)] == ("b.js", 1, 0, "f")       # 'GAAAA' at column 3 of the section line
+    assert got[("u", 2, 109)] == ("b.js", 1, 5, "f")       # 'KAAKA' five columns on
+    assert got[("u", 3, 0)] == (None, None, None, None)    # the offset column only shifts the first line
+    assert got[("u", 3, 1)] == ("b.js", 2, 5, None)        # 'CACA': column 1, next line, no name
+    assert got[("v", 1, 0)] == (None, None, None, None)    # a url section fails the whole map

@@ -21,8 +21,9 @@ DATA_BASE64_RE = r";base64,(.*)\z"
 SUPPORTED_VERSION = 3
 # ------------------------------------------------------------------------
 
-MAP_SCHEMA = ("struct<version:int,file:string,sourceRoot:string,sources:array<string>,"
-              "names:array<string>,mappings:string>")
+_MAP_FIELDS = "version:int,sourceRoot:string,sources:array<string>,names:array<string>,mappings:string"
+MAP_SCHEMA = (f"struct<{_MAP_FIELDS},file:string,"
+              f"sections:array<struct<offset:struct<line:bigint,column:bigint>,url:string,map:struct<{_MAP_FIELDS}>>>>")
 
 
 def map_references(scripts: DataFrame) -> DataFrame:
@@ -66,6 +67,31 @@ def select_maps(urls: DataFrame, map_files: DataFrame, scripts: DataFrame) -> Da
     return out.select("url", origin.alias("map_origin"), map_url.alias("map_url"), text.alias("map_json"))
 
 
+def _map_parts(source_maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parts, section starts). A plain map is one part; an indexed map
+    (``sections``) is one part per section with its generated offset. A
+    section given by ``url`` instead of an inline map fails the whole map."""
+    # one map per url (copies of a url collapse before the per-url windows)
+    one = source_maps.groupBy("url").agg(F.min("map_json").alias("map_json"))
+    m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m")).where(
+        F.col("m.version") == SUPPORTED_VERSION)
+    fields = ["version", "sourceRoot", "sources", "names", "mappings"]
+    zero = F.lit(0).cast("bigint")
+    plain = m.where(F.col("m.sections").isNull()).select(
+        "url", zero.alias("section_no"), zero.alias("off_line"), zero.alias("off_col"),
+        *[F.col(f"m.{c}").alias(c) for c in fields])
+    indexed = m.where(F.col("m.sections").isNotNull() &
+                      ~F.exists("m.sections", lambda x: x["url"].isNotNull()))
+    sec = posexplode_rows(indexed, ["url"], F.col("m.sections"), "section_no", "s")
+    sec = sec.select("url", F.col("section_no").cast("bigint").alias("section_no"),
+                     F.coalesce("s.offset.line", zero).alias("off_line"),
+                     F.coalesce("s.offset.column", zero).alias("off_col"),
+                     *[F.col(f"s.map.{c}").alias(c) for c in fields])
+    starts = sec.select("url", (F.col("off_line") + 1).alias("gen_line"), F.col("off_col").alias("gen_col"))
+    parts = plain.unionByName(sec).where(F.col("version") == SUPPORTED_VERSION)
+    return parts, starts
+
+
 def build_segments(source_maps: DataFrame) -> DataFrame:
     """Decode ``source_maps(url, map_json)`` into one row per generated
     position: url, gen_line (1-based), gen_col, next_gen_col (start of the
@@ -75,48 +101,57 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     are joined to ``sourceRoot`` and normalised like paths.
 
     A map that is not valid JSON, not version 3, or holds any malformed
-    segment yields no rows at all (every lookup of it fails). Running sums
-    are windows partitioned by url: one map is one input value, so a task
-    holds at most one map's segments."""
-    # one map per url (copies of a url collapse before the per-url windows)
-    one = source_maps.groupBy("url").agg(F.min("map_json").alias("map_json"))
-    m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m"))
-    m = m.where(F.col("m.version") == SUPPORTED_VERSION).select("url", "m.*")
-    # source names: joined to sourceRoot and normalised once per map
+    segment yields no rows at all (every lookup of it fails). Indexed maps
+    decode each section on its own and shift it by the section offset (the
+    column only on the section's first line); the start of every section
+    is a position without source, so a lookup never falls back into the
+    previous section. Running sums are windows partitioned by url and
+    section: one map is one input value, so a task holds at most one map."""
+    parts, starts = _map_parts(source_maps)
+    # source names: joined to sourceRoot and normalised once per map part
     root = F.col("sourceRoot")
 
     def full_name(src):
         joined = F.when(F.coalesce(root, F.lit("")) == "", src).otherwise(F.concat(
             root, F.when(root.endswith("/") | src.startswith("/"), F.lit("")).otherwise(F.lit("/")), src))
         return U.normalize_source(joined)
-    m = m.withColumn("sources", F.transform("sources", full_name))
-    m = posexplode_rows(m, ["url", "sourceRoot", "sources", "names"],
-                        F.split(F.coalesce("mappings", F.lit("")), ";"), "li", "line_text")
-    m = m.select("url", "sourceRoot", "sources", "names", (F.col("li") + 1).cast("bigint").alias("gen_line"),
-                 "line_text")
-    segs = posexplode_rows(m, ["url", "sourceRoot", "sources", "names", "gen_line"],
-                           F.split("line_text", ","), "seg_no", "seg")
+    part_cols = ["url", "section_no", "off_line", "off_col", "sources", "names"]
+    m = parts.withColumn("sources", F.transform("sources", full_name))
+    m = posexplode_rows(m, part_cols, F.split(F.coalesce("mappings", F.lit("")), ";"), "li", "line_text")
+    m = m.select(*part_cols, (F.col("li") + 1).cast("bigint").alias("rel_line"), "line_text")
+    segs = posexplode_rows(m, [*part_cols, "rel_line"], F.split("line_text", ","), "seg_no", "seg")
     segs = segs.where(F.col("seg") != "")
     segs = segs.withColumn("f", vlq.decode_segment(F.col("seg"))).withColumn("ok", vlq.valid_segment(F.col("seg")))
-    by_line = Window.partitionBy("url", "gen_line").orderBy("seg_no")
-    by_file = Window.partitionBy("url").orderBy("gen_line", "seg_no")
-    whole = Window.partitionBy("url")
-    cum = lambda i: F.sum(F.try_element_at("f", F.lit(i))).over(by_file)
+    by_line = Window.partitionBy("url", "section_no", "rel_line").orderBy("seg_no")
+    by_part = Window.partitionBy("url", "section_no").orderBy("rel_line", "seg_no")
+    whole = Window.partitionBy("url", "section_no")
+    cum = lambda i: F.sum(F.try_element_at("f", F.lit(i))).over(by_part)
     has_src = F.size("f") >= 4
+    rel_col = F.sum(F.try_element_at("f", F.lit(1))).over(by_line)
     d = segs.select(
-        "url", "gen_line", "seg_no", "sourceRoot", "sources", "names",
-        F.sum(F.try_element_at("f", F.lit(1))).over(by_line).alias("gen_col"),
+        "url", "section_no", "seg_no", "sources", "names",
+        (F.col("rel_line") + F.col("off_line")).alias("gen_line"),
+        (rel_col + F.when(F.col("rel_line") == 1, F.col("off_col")).otherwise(0)).alias("gen_col"),
         F.when(has_src, cum(2)).alias("src_idx"),
         F.when(has_src, cum(3) + 1).alias("orig_line"),
         F.when(has_src, cum(4)).alias("orig_col"),
         F.when(F.size("f") == 5, cum(5)).alias("name_idx"),
-        F.min(F.col("ok").cast("int")).over(whole).alias("map_ok"))
-    d = d.where(F.col("map_ok") == 1)
-    # equal generated positions: the first by (source, line, column, name) wins
+        F.min(F.col("ok").cast("int")).over(whole).alias("map_ok"),
+        F.lit(0).alias("blocker"))
+    d = d.where(F.col("map_ok") == 1).drop("map_ok")
+    no_arr = F.lit(None).cast("array<string>")
+    nulls = [F.lit(None).cast("bigint").alias(c) for c in ("src_idx", "orig_line", "orig_col", "name_idx")]
+    blockers = starts.select("url", F.lit(-1).cast("bigint").alias("section_no"), F.lit(-1).alias("seg_no"),
+                             no_arr.alias("sources"), no_arr.alias("names"), "gen_line", "gen_col", *nulls,
+                             F.lit(1).alias("blocker"))
+    d = d.unionByName(blockers)
+    # equal generated positions: a mapping before a section start; among
+    # mappings the first by (source, line, column, name) wins
     first = Window.partitionBy("url", "gen_line", "gen_col").orderBy(
-        F.col("src_idx").asc_nulls_first(), F.col("orig_line").asc_nulls_first(),
-        F.col("orig_col").asc_nulls_first(), F.col("name_idx").asc_nulls_first(), "seg_no")
+        "blocker", F.col("src_idx").asc_nulls_first(), F.col("orig_line").asc_nulls_first(),
+        F.col("orig_col").asc_nulls_first(), F.col("name_idx").asc_nulls_first(), "section_no", "seg_no")
     d = d.withColumn("dup", F.row_number().over(first)).where(F.col("dup") == 1)
+
     def pick(arr, idx):
         return F.when(idx >= 0, F.try_element_at(arr, (idx + 1).cast("int")))
     src = pick(F.col("sources"), F.col("src_idx"))
