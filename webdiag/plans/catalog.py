@@ -259,10 +259,21 @@ def map_references(spark, sf_dir):
 
 
 @register("map_segments", f"""
-with {S.a4_sql()}
+with {S.a4_sql().rstrip()},
+-- indexed maps: each section start (generated line 1 and 2, column 0) is a position without source
+starts as (
+  select distinct url, case when gen_line >= 2 then 2 else 1 end as gen_line, 0 as gen_col
+  from a4 where ({A.A4_INDEXED}) and not ({A.A4_BAD_VERSION})
+),
+allseg as (
+  select url, gen_line, gen_col, {S.normalize_source_sql('source')} as source, orig_line, orig_col, name
+  from a4 where not ({A.A4_BAD_VERSION})
+  union all
+  select url, gen_line, gen_col, null, null, null, null from starts
+)
 select url, gen_line, gen_col, lead(gen_col) over (partition by url, gen_line order by gen_col) as next_gen_col,
-  {S.normalize_source_sql('source')} as source, orig_line, orig_col, name
-from a4 where not ({A.A4_BAD_VERSION})
+  source, orig_line, orig_col, name
+from allseg
 """)
 def map_segments(spark, sf_dir):
     d = A._map_docs_table(spark, sf_dir)
