@@ -41,7 +41,7 @@ def _bigint(df: DataFrame, *names: str) -> DataFrame:
 # ---------------------------------------------------------------- console
 @register("console_normalized", f"""
 with {S.A1_ENTRIES}
-select capture_id, seq, level, message, url as source, {S.rank_sql()} as severity_rank from a1
+select capture_id, seq, level, message, url as source, cast({S.rank_sql()} as bigint) as severity_rank from a1
 """)
 def console_normalized(spark, sf_dir):
     e = R.with_rank(R.normalize(A.console_entries(spark, sf_dir)))
