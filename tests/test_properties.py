@@ -82,3 +82,60 @@ def test_frame_parse_matches_js(spark, lines):
             assert g is None, s
         else:
             assert (g.function_name, g.url, g.line, g.col, g.raw) == want, (s, g, want)
+
+
+JS_NOISE = [re.compile(p, re.ASCII) for p in (
+    r'^Warning: Each child in a list should have a unique "key" prop',
+    r"^Warning: React does not recognize the `\w+` prop on a DOM element",
+    r"^\[HMR\]", r"^\[vite\]", r"^Download the React DevTools",
+    r"^Warning: ReactDOM.render is no longer supported")] + [
+    re.compile(r"is deprecated and will be removed", re.I | re.ASCII), re.compile(r"^\[webpack\]", re.ASCII)]
+FRAGMENTS = ['Warning: Each child in a list should have a unique "key" prop', "Warning: React does not recognize the `",
+             "onClick", "` prop on a DOM element", "[HMR]", "[vite]", "[webpack]", "Download the React DevTools",
+             "Warning: ReactDOM.render is no longer supported", "Warning: ReactDOMxrender is no longer supported",
+             "is DEPRECATED and will be removed", " ", "x", "\n", "é"]
+noise_msgs = st.lists(st.lists(st.sampled_from(FRAGMENTS), max_size=4).map("".join), min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(noise_msgs)
+def test_noise_matches_js(spark, msgs):
+    df = spark.createDataFrame([(m,) for m in msgs], "m string")
+    got = [r.n for r in df.select(C.is_noise(F.col("m")).alias("n")).collect()]
+    assert got == [any(p.search(m) for p in JS_NOISE) for m in msgs]
+
+
+JS_INTERNAL = re.compile(r"node_modules|webpack-internal")
+url_parts = st.lists(st.sampled_from(["https://h", "/dist/", "/build", "/_next/static/chunks/", "a", ".min", ".js",
+                                      ".bundle", ".chunk", "?v=1", "node_modules", "webpack-internal:", "\n", "/"]),
+                     max_size=6).map("".join)
+
+
+@SETTINGS
+@given(st.lists(url_parts, min_size=1, max_size=40))
+def test_url_gates_match_js(spark, urls):
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = df.select(frames.looks_minified(F.col("u"), F.lit(2), F.lit(0)).alias("m"),
+                    F.col("u").rlike(frames.INTERNAL_RE).alias("i")).collect()
+    for u, r in zip(urls, got):
+        # JavaScript's $ (no m flag) is the end of input; an empty url is falsy
+        assert r.m == (bool(u) and _js_min(u)), u
+        assert r.i == bool(JS_INTERNAL.search(u)), u
+
+
+def _js_min(u):
+    """JS test of the minified-url pattern ($ = end of input only)."""
+    return re.search(r"\.(min|bundle|chunk)\.js(\?|\Z)|/dist/|/build/|/_next/static/chunks/", u) is not None
+
+
+@SETTINGS
+@given(st.lists(st.lists(st.sampled_from(["//# sourceMappingURL=", "//@ sourceMappingURL=", "//#  sourceMappingURL=",
+                                          "a.map", "data:x;base64,eyJ9", " ", "\n", "var x;", "/"]),
+                         max_size=5).map("".join), min_size=1, max_size=40))
+def test_map_reference_matches_js(spark, bodies):
+    from webdiag.operators import sourcemaps
+    df = spark.createDataFrame([(f"u{i}", b) for i, b in enumerate(bodies)], "url string, body string")
+    got = {r.url: r.ref for r in sourcemaps.map_references(df).collect()}
+    for i, b in enumerate(bodies):
+        m = re.search(r"//[#@]\s*sourceMappingURL=(\S+)", b, re.ASCII)
+        assert got[f"u{i}"] == (m.group(1) if m else None), b
