@@ -31,22 +31,20 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | No
     """First ``k`` rows per ``by`` group in ``order`` (a total order), with
     their 1-based position in ``rank_col``.
 
-    Grouped: ``row_number() <= k`` — Spark adds a partial WindowGroupLimit
-    before the shuffle, so a hot group sends at most k rows per map task.
-    Global (``by == []``): sort + limit, planned as TakeOrderedAndProject,
-    never a single-partition window over all rows.
-    """
+    ``row_number() <= k``: Spark adds a partial WindowGroupLimit before the
+    shuffle, so a hot group sends at most k rows per map task. A global
+    top-k (``by == []``) runs the same plan on a constant key, so its one
+    final task receives at most k rows per map task; a global ranking
+    without a limit would put every row into one task and is refused."""
     by = list(by)
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order)
-        out = df.withColumn(rank_col, F.row_number().over(w))
-        return out.where(F.col(rank_col) <= k) if k is not None else out
-    if k is None:
-        w = Window.orderBy(*order)  # whole-table ranking only when asked for all rows
-        return df.withColumn(rank_col, F.row_number().over(w))
-    ranked = df.orderBy(*order).limit(k)
-    # position inside k rows: a window over at most k rows
-    return ranked.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
+    if not by:
+        if k is None:
+            raise ValueError("a global ranking needs a limit")
+        out = top_k(df.withColumn("_top_k_all", F.lit(0)), ["_top_k_all"], order, k, rank_col)
+        return out.drop("_top_k_all")
+    w = Window.partitionBy(*by).orderBy(*order)
+    out = df.withColumn(rank_col, F.row_number().over(w))
+    return out.where(F.col(rank_col) <= k) if k is not None else out
 
 
 def posexplode_rows(df: DataFrame, keep: Sequence, array: Column, pos: str, value: str) -> DataFrame:
