@@ -12,13 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdiag.operators.common import posexplode_rows
-
+from webdiag.functions import frames as FR
+from webdiag.operators import asof as AS
+from webdiag.operators import audit as AU
+from webdiag.operators import reports as RP
 from webdiag.operators import rollup as R
-from webdiag.operators.common import where_computed
+from webdiag.operators import sourcemaps as SM
+from webdiag.operators import stacks as ST
+from webdiag.operators import suggest as SG
+from webdiag.operators.common import posexplode_rows, where_computed
 from webdiag.plans import sql as S
-from webdiag.session import materialize
+from webdiag.session import checkpoint_dir, materialize
 from webdiag.sources import adapters as A
+from webdiag.sources import payloads as PL
+from webdiag.sources import sinks as SK
+from webdiag.streaming import rollup as SR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,7 +111,6 @@ for _name, _args in {
 
 
 # ---------------------------------------------------------------- style audit
-from webdiag.operators import audit as AU  # noqa: E402
 
 _A6_PRESENT = [k for k, _ in A.A6_PROPERTIES]
 _A6_ISSUES = f"""with {S.a6_sql()},
@@ -191,8 +198,6 @@ def batch_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- stack frames
-from webdiag.functions import frames as FR  # noqa: E402
-from webdiag.operators import stacks as ST  # noqa: E402
 
 
 @register("frames_parsed", f"""with {S.a2_frames_sql()}
@@ -225,8 +230,6 @@ def stack_compressed(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- source maps
-from webdiag.operators import asof as AS  # noqa: E402
-from webdiag.operators import sourcemaps as SM  # noqa: E402
 
 
 @register("frames_minified", f"""
@@ -353,7 +356,6 @@ def stack_resolved(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- lookup and suggestions
-from webdiag.operators import suggest as SG  # noqa: E402
 
 
 @register("element_lookup", f"""with {S.a7_sql()}
@@ -389,7 +391,6 @@ def not_found_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- payloads
-from webdiag.sources import payloads as PL  # noqa: E402
 
 
 @register("console_payloads", f"""with {S.console_payloads_sql()}
@@ -433,7 +434,6 @@ def payload_quarantine(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- reports
-from webdiag.operators import reports as RP  # noqa: E402
 
 
 def _summary_query(severity, limit):
@@ -487,8 +487,6 @@ def diagnose_elements(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-from webdiag.session import checkpoint_dir  # noqa: E402
-from webdiag.streaming import rollup as SR  # noqa: E402
 
 
 @register("error_rollup_stream", S.rollup_sql(A1_NORMALIZED, "n", "all", 20, ["capture_id"]))
@@ -507,7 +505,6 @@ def error_rollup_stream(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sinks, validation
-from webdiag.sources import sinks as SK  # noqa: E402
 
 
 @register("error_report_json", f"""with {A1_NORMALIZED},
