@@ -36,3 +36,17 @@ def test_diagnose_element_from_payload(spark):
     doc = json.loads(r.report.collect()[0].report)
     assert doc["summary"] == "2 elements diagnosed, 1 with issues, 1 not found. Top: #a opacity:0."
     assert doc["details"]["results"][0]["styles"] == {"opacity": "0", "color": "red"}
+
+
+def test_diagnose_element_payload_only_keeps_page_suggestions(spark):
+    reply = json.dumps({"result": {"results": [
+        {"selector": ".card", "styles": {"display": "flex", "overflow": "hidden"}},
+        {"selector": "#gone", "notFound": True, "suggestions": ["#gone-1", "#gone2"]}]}})
+    p = spark.createDataFrame([("c", reply)], "capture_id string, payload string")
+    r = api.diagnose_element(style_payloads=p)
+    by_sel = {x.selector: x.summary for x in r.elements.collect()}
+    assert by_sel["#gone"] == "#gone: element not found. Closest matches: #gone-1, #gone2"
+    assert by_sel[".card"] == ".card: overflow:hidden on a flex/grid container can clip children unexpectedly"
+    doc = json.loads(r.report.collect()[0].report)
+    assert doc["summary"] == "2 elements diagnosed, 1 with issues, 1 not found. Top: .card overflow:hidden."
+    assert doc["details"]["results"][1] == {"selector": "#gone", "not_found": True, "suggestions": ["#gone-1", "#gone2"]}

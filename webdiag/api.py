@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webdiag.operators import reports, sourcemaps, stacks
+from webdiag.operators import audit, reports, sourcemaps, stacks
 from webdiag.operators.common import as_keys, where_computed
 from webdiag.sources import payloads, sinks
 
@@ -62,25 +62,34 @@ def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int
                         payloads.quarantine(parsed, keys, "console"))
 
 
-def diagnose_element(requests: DataFrame, style_payloads: DataFrame | None = None,
+def diagnose_element(requests: DataFrame | None = None, style_payloads: DataFrame | None = None,
                      elements: DataFrame | None = None, dom_tokens: DataFrame | None = None,
                      include_box_model: bool = True, single: DataFrame | None = None,
                      by=("capture_id",)) -> DiagnoseResult:
-    """``requests(by…, pos, selector)`` diagnosed against captured elements,
-    given either as ``style_payloads(by…, payload)`` (the capture script's
-    reply) or as ``elements(by…, selector, styles)``. A request with no
-    element is a not-found row; ``dom_tokens`` supplies its suggestions.
-    ``single(by…, is_single)`` marks captures asked with one selector
-    string (answered as one element instead of a batch)."""
+    """Diagnose captured elements.
+
+    * ``style_payloads(by…, payload)`` alone: the capture script's reply
+      already lists one result per requested selector, in request order —
+      found ones with their computed styles, missing ones with the
+      suggestions computed in the page; they are reported as they are.
+    * ``requests(by…, pos, selector)`` with ``elements(by…, selector,
+      styles)``: each request is looked up; a miss becomes a not-found row
+      whose suggestions come from ``dom_tokens``.
+
+    ``single(by…, is_single)`` marks captures asked with one selector string
+    (answered as one element instead of a batch)."""
     keys = as_keys(by)
-    quarantine = None
-    if elements is None:
+    spark = (requests if requests is not None else style_payloads).sparkSession
+    quarantine = spark.createDataFrame(
+        [], ", ".join(f"{k} string" for k in keys) + ", source string, warning string, raw string")
+    if style_payloads is not None:
         parsed = payloads.parse_element_payloads(style_payloads, keys)
+        quarantine = payloads.quarantine(parsed, keys, "element")
         rows = payloads.element_rows(parsed, keys)
+        if requests is None:
+            report = audit.element_report(rows, include_box_model)
+            batch = audit.batch_report(report, keys)
+            return DiagnoseResult(report, batch, sinks.diagnose_json(report, batch, keys, single), quarantine)
         elements = rows.where(~F.col("not_found")).select(*keys, "selector", "styles")
-        quarantine = payloads.quarantine(parsed, keys, "element")
     report, batch = reports.diagnose(requests, elements, dom_tokens, include_box_model, keys)
-    if quarantine is None:
-        quarantine = requests.sparkSession.createDataFrame(
-            [], ", ".join(f"{k} string" for k in keys) + ", source string, warning string, raw string")
     return DiagnoseResult(report, batch, sinks.diagnose_json(report, batch, keys, single), quarantine)
