@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from webdiag.operators import audit, reports, sourcemaps, stacks
 from webdiag.operators.common import as_keys, where_computed
+from webdiag.session import materialize
 from webdiag.sources import payloads, sinks
 
 
@@ -37,14 +38,20 @@ class DiagnoseResult:
 
 def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int = 20,
                resolve_sourcemaps: bool = True, map_files: DataFrame | None = None,
-               scripts: DataFrame | None = None, by=("capture_id",)) -> ErrorsResult:
+               scripts: DataFrame | None = None, by=("capture_id",), write_intermediate: bool = True
+               ) -> ErrorsResult:
     """``console_payloads(by…, payload)`` → errors report. With
     ``resolve_sourcemaps`` minified frames are looked up in the maps found
     through ``map_files(url, map_json)`` / ``scripts(url, body)``; without
     those tables no frame resolves (the reference's resolver finding no
-    map), which still prints empty stacks as ``[]`` and reports 0 resolved."""
+    map), which still prints empty stacks as ``[]`` and reports 0 resolved.
+
+    ``write_intermediate``: the parsed payloads and the segment table feed
+    several outputs; they are written once to the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read back, which cuts the lineage too."""
     keys = as_keys(by)
-    parsed = payloads.parse_console_payloads(console_payloads, keys)
+    keep = materialize if write_intermediate else (lambda df, _name: df)
+    parsed = keep(payloads.parse_console_payloads(console_payloads, keys), "console_payloads")
     ok = where_computed(parsed, F.col("payload_kind") != "failed").select(*keys)
     entries = payloads.console_entries(parsed, keys)
     segments = None
@@ -52,7 +59,7 @@ def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int
         spark = console_payloads.sparkSession
         if map_files is not None and scripts is not None:
             frames = stacks.explode_frames(entries, [*keys, "seq"])
-            segments = sourcemaps.segments_for_frames(frames, map_files, scripts)
+            segments = keep(sourcemaps.segments_for_frames(frames, map_files, scripts), "segments")
         else:
             segments = spark.createDataFrame([], "url string, gen_line bigint, gen_col bigint, next_gen_col bigint, "
                                                  "source string, orig_line bigint, orig_col bigint, name string")
@@ -65,7 +72,7 @@ def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int
 def diagnose_element(requests: DataFrame | None = None, style_payloads: DataFrame | None = None,
                      elements: DataFrame | None = None, dom_tokens: DataFrame | None = None,
                      include_box_model: bool = True, single: DataFrame | None = None,
-                     by=("capture_id",)) -> DiagnoseResult:
+                     by=("capture_id",), write_intermediate: bool = True) -> DiagnoseResult:
     """Diagnose captured elements.
 
     * ``style_payloads(by…, payload)`` alone: the capture script's reply
@@ -83,7 +90,8 @@ def diagnose_element(requests: DataFrame | None = None, style_payloads: DataFram
     quarantine = spark.createDataFrame(
         [], ", ".join(f"{k} string" for k in keys) + ", source string, warning string, raw string")
     if style_payloads is not None:
-        parsed = payloads.parse_element_payloads(style_payloads, keys)
+        keep = materialize if write_intermediate else (lambda df, _name: df)
+        parsed = keep(payloads.parse_element_payloads(style_payloads, keys), "style_payloads")
         quarantine = payloads.quarantine(parsed, keys, "element")
         rows = payloads.element_rows(parsed, keys)
         if requests is None:
