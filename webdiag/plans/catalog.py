@@ -652,3 +652,82 @@ def payload_batch_summary(spark, sf_dir):
     (captures whose payload held no element have no batch)."""
     rows = PL.element_rows(PL.parse_element_payloads(A.element_payloads(spark, sf_dir)))
     return AU.batch_report(AU.element_report(rows))
+
+
+_RANK = S.rank_sql()
+
+
+@register("payload_error_report_json", f"""with {S.console_payloads_sql()}, {S.a4_sql().strip()},
+n as (select capture_id, seq, level, message, source, stack from centries),
+f as (
+  select *, {S.fingerprint_sql()} as fingerprint from n
+  where {S.severity_where("all")} and not regexp_matches(message, {S.NOISE_RE})
+),
+g as (
+  select capture_id, fingerprint, count(*) as count, min(seq) as first_seq,
+    arg_min_null(level, seq) as level, arg_min_null(message, seq) as message,
+    arg_min_null(source, seq) as source, arg_min_null(stack, seq) as stack, max({_RANK}) as severity_rank
+  from f group by capture_id, fingerprint
+),
+issues as (
+  select * from (select *, row_number() over (partition by capture_id
+                   order by severity_rank desc, count desc, first_seq) as issue_no from g)
+  where issue_no <= 20
+),
+istack as (select capture_id, issue_no as seq, stack from issues),
+{S.frames_sql("istack", "i_").strip()},
+gated as (select * from i_kept where {S.minified_sql()}),
+{S.selection_sql("gated").strip()},
+pos as (select distinct url, line, coalesce(col, 0) as col from gated where line >= 1 and coalesce(col, 0) >= 0),
+hit as (
+  select pos.url, pos.line, pos.col, s.source as r_source, s.orig_line as r_line, s.orig_col as r_col, s.name as r_name
+  from pos asof left join segs s on pos.url = s.url and pos.line = s.gen_line and pos.col >= s.gen_col
+),
+ftext as (
+  select k.capture_id, k.seq as issue_no, k.frame_no, h.r_source is not null as resolved,
+    case when h.r_source is not null
+         then concat('at ', coalesce(h.r_name, k.function_name, '?'), ' (', h.r_source, ':',
+                     cast(h.r_line as varchar), ':', cast(h.r_col as varchar), ')')
+         else {S.frame_text_sql().replace('raw', 'k.raw').replace('url', 'k.url').replace('line', 'k.line').replace('function_name', 'k.function_name').replace('coalesce(col', 'coalesce(k.col')} end as text
+  from i_kept k left join hit h
+    on {S.minified_sql('k.url', 'k.line', 'k.col')} and h.url = k.url and h.line = k.line and h.col = coalesce(k.col, 0)
+),
+st as (
+  select capture_id, issue_no, to_json(list(text order by frame_no)) as frames,
+         count(*) filter (where resolved) as resolved_count
+  from ftext group by capture_id, issue_no
+),
+items as (
+  select i.capture_id, i.issue_no, i.message,
+    json_object('level', i.level, 'message', i.message, 'count', i.count, 'source', i.source,
+                'stackTrace', case when coalesce(i.stack, '') = '' then null
+                                   else coalesce(st.frames, json('[]')) end) as item,
+    coalesce(st.resolved_count, 0) as resolved_count
+  from issues i left join st on st.capture_id = i.capture_id and st.issue_no = i.issue_no
+),
+per as (
+  select capture_id, count(*) as unique_issues, max(case when issue_no = 1 then message end) as top_message,
+    to_json(list(item order by issue_no)) as lst, sum(resolved_count) as resolved
+  from items group by capture_id
+),
+totals as (select capture_id, count(*) as total_log_entries from n group by capture_id),
+caps as (select capture_id from ck where payload_kind <> 'failed')
+select c.capture_id,
+  json_object('summary',
+    case when coalesce(p.unique_issues, 0) = 0 then 'No messages found in console.'
+         else cast(p.unique_issues as varchar) || ' unique issue' || case when p.unique_issues > 1 then 's' else '' end
+              || ' (from ' || cast(coalesce(t.total_log_entries, 0) as varchar) || ' total log entries). Top: '
+              || substring(p.top_message, 1, 100) end,
+    'details', json_object('total_log_entries', coalesce(t.total_log_entries, 0),
+                           'unique_issues', coalesce(p.lst, json('[]')),
+                           '_sourcemap_resolved', coalesce(p.resolved, 0)))::varchar as report
+from caps c left join totals t using (capture_id) left join per p using (capture_id)
+""")
+def payload_error_report_json(spark, sf_dir):
+    """api.get_errors end to end: raw console payloads, severity all, stacks
+    resolved through the A4 maps, one JSON envelope per capture."""
+    from webdiag import api
+    map_files, scripts = A.map_files_and_scripts(spark, sf_dir)
+    r = api.get_errors(A.console_payloads(spark, sf_dir), severity="all", limit=20,
+                       map_files=map_files, scripts=scripts)
+    return r.report

@@ -157,34 +157,43 @@ def issues_sql(src: str, present) -> str:
 def a2_frames_sql() -> str:
     """A2 stacks split, trimmed and parsed (DuckDB): relation ``parsed``
     (capture_id, seq, frame_no, function_name, url, line, col, raw)."""
-    from webdiag.functions import frames as FR
     from webdiag.sources import adapters as A
-    RE = q(FR.FRAME_RE)
     return f"""
 a2 as (select cast(user_id as varchar) as capture_id, event_id as seq, {A.A2_STACK} as stack from events),
-a2_lines as (
+{frames_sql("a2")}"""
+
+
+def frames_sql(src: str, prefix: str = "") -> str:
+    """Split, trim, parse and keep the first 3 non-internal frames of the
+    stacks of relation ``src(capture_id, seq, stack)`` (DuckDB): relations
+    ``{prefix}parsed`` and ``{prefix}kept``."""
+    from webdiag.functions import frames as FR
+    RE = q(FR.FRAME_RE)
+    return f"""
+{prefix}a2_lines as (
   select capture_id, seq, generate_subscripts(string_split(stack, chr(10)), 1) as lpos,
          unnest(string_split(stack, chr(10))) as line
-  from a2 where coalesce(stack, '') <> ''
+  from {src} where coalesce(stack, '') <> ''
 ),
-a2_trim as (select capture_id, seq, lpos, regexp_replace(line, {q(FR.TRIM_RE)}, '', 'g') as t from a2_lines),
-a2_m as (select *, regexp_matches(t, {RE}) as m from a2_trim where t <> ''),
-parsed as (
-  select capture_id, seq, row_number() over (partition by seq order by lpos) as frame_no,
+{prefix}a2_trim as (select capture_id, seq, lpos, regexp_replace(line, {q(FR.TRIM_RE)}, '', 'g') as t
+                   from {prefix}a2_lines),
+{prefix}a2_m as (select *, regexp_matches(t, {RE}) as m from {prefix}a2_trim where t <> ''),
+{prefix}parsed as (
+  select capture_id, seq, row_number() over (partition by capture_id, seq order by lpos) as frame_no,
     case when m then nullif(regexp_extract(t, {RE}, 1), '') end as function_name,
     case when m then regexp_extract(t, {RE}, 2) end as url,
     case when m then try_cast(regexp_extract(t, {RE}, 3) as bigint) end as line,
     case when m then try_cast(regexp_extract(t, {RE}, 4) as bigint) end as col,
     t as raw
-  from a2_m
+  from {prefix}a2_m
 ),
-kept as (
-  select capture_id, seq, row_number() over (partition by seq order by frame_no) as frame_no,
+{prefix}kept as (
+  select capture_id, seq, row_number() over (partition by capture_id, seq order by frame_no) as frame_no,
          function_name, url, line, col, raw
-  from parsed
+  from {prefix}parsed
   where not regexp_matches(concat(coalesce(url, ''), ' ', coalesce(function_name, ''), ' ', coalesce(raw, '')),
                            {q(FR.INTERNAL_RE)})
-  qualify row_number() over (partition by seq order by frame_no) <= {FR.KEEP_FRAMES}
+  qualify row_number() over (partition by capture_id, seq order by frame_no) <= {FR.KEEP_FRAMES}
 )"""
 
 
@@ -329,7 +338,10 @@ top as (select * from ranked where rank <= 5)"""
 
 def shaped_sql(shapes, col: str, key: str) -> str:
     n = len(shapes)
-    parts = " ".join(f"when {i} then " + (q(pre) if suf is None else f"{q(pre)} || {col} || {q(suf)}")
+    def tail(suf):
+        pieces = suf if isinstance(suf, list) else [suf]
+        return " || ".join(f"({x[1]})" if isinstance(x, tuple) else q(x) for x in pieces)
+    parts = " ".join(f"when {i} then " + (q(pre) if suf is None else f"{q(pre)} || {col} || {tail(suf)}")
                      for i, (pre, suf) in enumerate(shapes))
     return f"(case {key} % {n} {parts} end)"
 
@@ -389,7 +401,8 @@ centries as (
     coalesce(json_extract_string(e, '$.level'), json_extract_string(e, '$.type'), 'log') as level,
     coalesce(json_extract_string(e, '$.text'), json_extract_string(e, '$.message'), '') as message,
     coalesce(json_extract_string(e, '$.source'), json_extract_string(e, '$.url')) as source,
-    cast(coalesce(json_type(e, '$.stackTrace'), 'NULL') <> 'NULL' or coalesce(json_type(e, '$.stack'), 'NULL') <> 'NULL' as bigint) as has_stack
+    cast(coalesce(json_type(e, '$.stackTrace'), 'NULL') <> 'NULL' or coalesce(json_type(e, '$.stack'), 'NULL') <> 'NULL' as bigint) as has_stack,
+    case when json_type(e, '$.stackTrace') = 'VARCHAR' then json_extract_string(e, '$.stackTrace') end as stack
   from ce
 )"""
 

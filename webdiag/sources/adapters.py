@@ -339,9 +339,14 @@ def selector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A8: console payloads from events, one shape per event_id % 8. Each shape
-# is (prefix, suffix) around event_type; None = the payload is the prefix.
+# is (prefix, suffix) around event_type; None = the payload is the prefix; a
+# suffix may be a list of literal pieces and ("sql", expression) pieces. The
+# stack of shape 0 points into the A4 bundles.
 A8_SHAPES = (
-    ('[{"level":"error","text":"', '","stackTrace":"at f (https://x.example.com/dist/a.min.js:1:5)"}]'),
+    ('[{"level":"error","text":"', ['","stackTrace":"at f (https://cdn.example.com/dist/app',
+                                    ("sql", "cast(event_id % 1500 as string)"), '.min.js:',
+                                    ("sql", "cast(event_id % 3 + 1 as string)"), ':',
+                                    ("sql", "cast(event_id % 5000 as string)"), ')"}]']),
     ('{"result":[{"type":"warn","message":"', '"},{"type":"warn","message":"0x1F at :3:4"}]}'),
     ('{"logs":[{"text":"', '","url":"https://x.example.com/p"}]}'),
     ('{"messages":[{"level":"info","text":"', '"},{"level":"log"}]}'),
@@ -366,7 +371,9 @@ def _shaped(col: Column, key: Column, shapes) -> Column:
     n = len(shapes)
     expr = None
     for i, (pre, suf) in enumerate(shapes):
-        val = F.lit(pre) if suf is None else F.concat(F.lit(pre), col, F.lit(suf))
+        pieces = suf if isinstance(suf, list) else [suf]
+        tail = [F.expr(x[1]) if isinstance(x, tuple) else F.lit(x) for x in pieces]
+        val = F.lit(pre) if suf is None else F.concat(F.lit(pre), col, *tail)
         expr = F.when(key % n == i, val) if expr is None else expr.when(key % n == i, val)
     return expr
 
