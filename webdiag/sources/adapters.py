@@ -2,8 +2,8 @@
 
 The driver tables hold no browser captures, so these projections make
 deterministic ones. Every adapter reads its whole table (no row subsets);
-the oracle SQL in ``webdiag.plans.catalog`` spells the same projection for
-DuckDB. Shapes follow FIXTURES.md §3.
+the oracle SQL in ``webdiag.plans.sql`` spells the same projection for
+DuckDB. Shapes start from FIXTURES.md §3; README "Adapters" lists them.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webdiag.operators.common import posexplode_rows
-
 from webdiag.session import materialize
 from webdiag.sources.tables import read_table
 
-SEQ_STRIDE = 100000  # documents hold < 100000 lines, so doc_id*stride+pos is unique
+# documents hold at most 20,000 words (TESTDATA.md), so fewer lines than the
+# stride, and doc_id * stride + line position is unique and in arrival order
+SEQ_STRIDE = 100000
 
 
 def _s(c) -> F.Column:
