@@ -45,3 +45,18 @@ def test_counts_within_total(spark):
     per = issues.groupBy("capture_id").agg(F.sum("count").alias("s"))
     bad = per.join(summary, "capture_id").where(F.col("s") > F.col("total_log_entries"))
     assert bad.count() == 0
+
+
+def test_ansi_off_null_arrays(spark):
+    """Legacy size(null) = -1 with ANSI off must not leak into results."""
+    from webdiag.operators import audit
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = spark.createDataFrame([("#x", None), ("#y", ["#y1"])], "selector string, suggestions array<string>")
+        got = {r.selector: r.s for r in df.select(
+            "selector", audit.not_found_summary(F.col("selector"), F.col("suggestions")).alias("s")).collect()}
+        assert got["#x"] == "#x: element not found, no similar selectors detected."
+        assert got["#y"] == "#y: element not found. Closest matches: #y1"
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)

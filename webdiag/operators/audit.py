@@ -76,7 +76,7 @@ def element_summary(selector: Column, issues: Column, styles: Column) -> Column:
 
 def not_found_summary(selector: Column, suggestions: Column) -> Column:
     """O9.3 summary of a selector that matched nothing."""
-    return F.when(F.coalesce(F.size(suggestions), F.lit(0)) > 0,
+    return F.when(F.coalesce(F.array_size(suggestions), F.lit(0)) > 0,
                   F.concat(selector, F.lit(": element not found. Closest matches: "),
                            F.array_join(suggestions, ", "))) \
         .otherwise(F.concat(selector, F.lit(": element not found, no similar selectors detected.")))

@@ -225,7 +225,7 @@ from kept group by capture_id, seq
 """)
 def stack_compressed(spark, sf_dir):
     c = ST.compress_stacks(A.stack_entries(spark, sf_dir))
-    return c.select("capture_id", "seq", F.size("stack_trace").cast("bigint").alias("n_frames"),
+    return c.select("capture_id", "seq", F.array_size("stack_trace").cast("bigint").alias("n_frames"),
                     F.array_join("stack_trace", "\n").alias("stack_trace"))
 
 
@@ -433,8 +433,8 @@ def element_payloads(spark, sf_dir):
     e = PL.element_rows(parsed)
     return e.select("capture_id", F.col("pos").cast("bigint").alias("pos"), "selector",
                     F.col("not_found").cast("bigint").alias("not_found"),
-                    F.size("styles").cast("bigint").alias("n_styles"), F.col("styles")["display"].alias("display"),
-                    F.coalesce(F.size("suggestions"), F.lit(0)).cast("bigint").alias("n_suggestions"))
+                    F.cardinality("styles").cast("bigint").alias("n_styles"), F.col("styles")["display"].alias("display"),
+                    F.coalesce(F.array_size("suggestions"), F.lit(0)).cast("bigint").alias("n_suggestions"))
 
 
 @register("payload_quarantine", f"""with {S.console_payloads_sql()}, {S.element_payloads_sql().strip().replace('pl as (', 'pl2 as (', 1).replace('from pl)', 'from pl2)', 1).replace('pj0 as', 'epj0 as').replace('pj1 as', 'epj1 as').replace('pj2 as', 'epj2 as').replace('pp as', 'epp as').replace('from pj0', 'from epj0').replace('from pj1', 'from epj1').replace('from pj2', 'from epj2').replace('from pp', 'from epp')}
