@@ -75,10 +75,13 @@ def group_issues(entries: DataFrame, by=("capture_id",)) -> DataFrame:
     keys = as_keys(by)
     rep_fields = [f for f in ENTRY_FIELDS if f in entries.columns]
     rep = F.struct(*[F.col(f) for f in rep_fields])
+    # first arrival; equal seq (bad input) falls back to the text, so a
+    # recomputed partition picks the same representative
+    order = F.struct(F.col("seq"), F.col("message"), F.col("source") if "source" in entries.columns else F.lit(None))
     g = (entries.groupBy(*keys, "fingerprint")
          .agg(F.count(F.lit(1)).alias("count"),
               F.min("seq").alias("first_seq"),
-              F.min_by(rep, F.col("seq")).alias("rep")))
+              F.min_by(rep, order).alias("rep")))
     return g.select(*keys, "fingerprint", "count", "first_seq",
                     *[F.col(f"rep.{f}").alias(f) for f in rep_fields])
 

@@ -73,7 +73,7 @@ def diagnose_json(report: DataFrame, batch: DataFrame, by=("capture_id",), singl
                           "summary", _element_details_json(report).alias("_d"))
     g = items.groupBy(*keys, "part").agg(
         F.array_sort(F.collect_list(F.struct("pos", "_d"))).alias("_items"),
-        F.min_by(F.struct("summary", "_d"), "pos").alias("_first"))
+        F.min_by(F.struct("summary", "_d"), F.struct("pos", "_d")).alias("_first"))
     g = g.join(batch.select(*keys, F.col("summary").alias("_batch_summary")), keys, "inner")
     if single is not None:
         g = g.join(single.select(*keys, "is_single"), keys, "left")
