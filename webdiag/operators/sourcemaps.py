@@ -19,6 +19,7 @@ from webdiag.functions import vlq
 MAP_REFERENCE_RE = r"//[#@]\s*sourceMappingURL=(\S+)"
 DATA_BASE64_RE = r";base64,(.*)\z"
 SUPPORTED_VERSION = 3
+SECTION_START = "A,"  # a 1-field segment at column 0: where a section begins
 # ------------------------------------------------------------------------
 
 _MAP_FIELDS = "version:int,sourceRoot:string,sources:array<string>,names:array<string>,mappings:string"
@@ -67,29 +68,27 @@ def select_maps(urls: DataFrame, map_files: DataFrame, scripts: DataFrame) -> Da
     return out.select("url", origin.alias("map_origin"), map_url.alias("map_url"), text.alias("map_json"))
 
 
-def _map_parts(source_maps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parts, section starts). A plain map is one part; an indexed map
-    (``sections``) is one part per section with its generated offset. A
-    section given by ``url`` instead of an inline map fails the whole map."""
+def _map_parts(source_maps: DataFrame) -> DataFrame:
+    """One row per map part, from one parse of each map: a plain map is one
+    part at offset (0, 0); an indexed map (``sections``) one part per
+    section with its generated offset. A section given by ``url`` instead of
+    an inline map fails the whole map."""
     # one map per url (copies of a url collapse before the per-url windows)
     one = source_maps.groupBy("url").agg(F.min("map_json").alias("map_json"))
     m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m")).where(
-        F.col("m.version") == SUPPORTED_VERSION)
+        (F.col("m.version") == SUPPORTED_VERSION) &
+        ~F.coalesce(F.exists("m.sections", lambda x: x["url"].isNotNull()), F.lit(False)))
     fields = ["version", "sourceRoot", "sources", "names", "mappings"]
     zero = F.lit(0).cast("bigint")
-    plain = m.where(F.col("m.sections").isNull()).select(
-        "url", zero.alias("section_no"), zero.alias("off_line"), zero.alias("off_col"),
-        *[F.col(f"m.{c}").alias(c) for c in fields])
-    indexed = m.where(F.col("m.sections").isNotNull() &
-                      ~F.exists("m.sections", lambda x: x["url"].isNotNull()))
-    sec = posexplode_rows(indexed, ["url"], F.col("m.sections"), "section_no", "s")
-    sec = sec.select("url", F.col("section_no").cast("bigint").alias("section_no"),
-                     F.coalesce("s.offset.line", zero).alias("off_line"),
-                     F.coalesce("s.offset.column", zero).alias("off_col"),
-                     *[F.col(f"s.map.{c}").alias(c) for c in fields])
-    starts = sec.select("url", (F.col("off_line") + 1).alias("gen_line"), F.col("off_col").alias("gen_col"))
-    parts = plain.unionByName(sec).where(F.col("version") == SUPPORTED_VERSION)
-    return parts, starts
+
+    def part(sec_no, line, col, src, is_section):
+        return F.struct(sec_no.cast("bigint").alias("section_no"), line.alias("off_line"), col.alias("off_col"),
+                        F.lit(is_section).alias("is_section"), *[src[c].alias(c) for c in fields])
+    plain = F.array(part(zero, zero, zero, F.col("m"), False))
+    sections = F.transform("m.sections", lambda x, i: part(
+        i, F.coalesce(x["offset"]["line"], zero), F.coalesce(x["offset"]["column"], zero), x["map"], True))
+    parts = posexplode_rows(m, ["url"], F.when(F.col("m.sections").isNull(), plain).otherwise(sections), "_i", "p")
+    return parts.select("url", "p.*").where(F.col("version") == SUPPORTED_VERSION)
 
 
 def build_segments(source_maps: DataFrame) -> DataFrame:
@@ -104,10 +103,11 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     segment yields no rows at all (every lookup of it fails). Indexed maps
     decode each section on its own and shift it by the section offset (the
     column only on the section's first line); the start of every section
-    is a position without source, so a lookup never falls back into the
-    previous section. Running sums are windows partitioned by url and
-    section: one map is one input value, so a task holds at most one map."""
-    parts, starts = _map_parts(source_maps)
+    is a position without source (a leading 1-field segment), so a lookup
+    never falls back into the previous section. Each map is parsed once;
+    running sums are windows partitioned by url and section: one map is one
+    input value, so a task holds at most one map."""
+    parts = _map_parts(source_maps)
     # source names: joined to sourceRoot and normalised once per map part
     root = F.col("sourceRoot")
 
@@ -115,9 +115,12 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
         joined = F.when(F.coalesce(root, F.lit("")) == "", src).otherwise(F.concat(
             root, F.when(root.endswith("/") | src.startswith("/"), F.lit("")).otherwise(F.lit("/")), src))
         return U.normalize_source(joined)
-    part_cols = ["url", "section_no", "off_line", "off_col", "sources", "names"]
+    part_cols = ["url", "section_no", "off_line", "off_col", "is_section", "sources", "names"]
+    mappings = F.coalesce("mappings", F.lit(""))
+    # a section starts with a 1-field segment at its column 0 (changes no VLQ state)
+    mappings = F.when(F.col("is_section"), F.concat(F.lit(SECTION_START), mappings)).otherwise(mappings)
     m = parts.withColumn("sources", F.transform("sources", full_name))
-    m = posexplode_rows(m, part_cols, F.split(F.coalesce("mappings", F.lit("")), ";"), "li", "line_text")
+    m = posexplode_rows(m, part_cols, F.split(mappings, ";"), "li", "line_text")
     m = m.select(*part_cols, (F.col("li") + 1).cast("bigint").alias("rel_line"), "line_text")
     segs = posexplode_rows(m, [*part_cols, "rel_line"], F.split("line_text", ","), "seg_no", "seg")
     segs = segs.where(F.col("seg") != "")
@@ -128,6 +131,7 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     cum = lambda i: F.sum(F.try_element_at("f", F.lit(i))).over(by_part)
     has_src = F.size("f") >= 4
     rel_col = F.sum(F.try_element_at("f", F.lit(1))).over(by_line)
+    blocker = F.col("is_section") & (F.col("rel_line") == 1) & (F.col("seg_no") == 0)
     d = segs.select(
         "url", "section_no", "seg_no", "sources", "names",
         (F.col("rel_line") + F.col("off_line")).alias("gen_line"),
@@ -137,14 +141,8 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
         F.when(has_src, cum(4)).alias("orig_col"),
         F.when(F.size("f") == 5, cum(5)).alias("name_idx"),
         F.min(F.col("ok").cast("int")).over(whole).alias("map_ok"),
-        F.lit(0).alias("blocker"))
+        blocker.cast("int").alias("blocker"))
     d = d.where(F.col("map_ok") == 1).drop("map_ok")
-    no_arr = F.lit(None).cast("array<string>")
-    nulls = [F.lit(None).cast("bigint").alias(c) for c in ("src_idx", "orig_line", "orig_col", "name_idx")]
-    blockers = starts.select("url", F.lit(-1).cast("bigint").alias("section_no"), F.lit(-1).alias("seg_no"),
-                             no_arr.alias("sources"), no_arr.alias("names"), "gen_line", "gen_col", *nulls,
-                             F.lit(1).alias("blocker"))
-    d = d.unionByName(blockers)
     # equal generated positions: a mapping before a section start; among
     # mappings the first by (source, line, column, name) wins
     first = Window.partitionBy("url", "gen_line", "gen_col").orderBy(
