@@ -75,9 +75,12 @@ def _map_parts(source_maps: DataFrame) -> DataFrame:
     an inline map fails the whole map."""
     # one map per url (copies of a url collapse before the per-url windows)
     one = source_maps.groupBy("url").agg(F.min("map_json").alias("map_json"))
-    m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m")).where(
-        (F.col("m.version") == SUPPORTED_VERSION) &
-        ~F.coalesce(F.exists("m.sections", lambda x: x["url"].isNotNull()), F.lit(False)))
+    m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m"))
+    # validity is part of the explode input (a filter here would be pushed
+    # below the projection and parse the document a second time)
+    valid = F.coalesce((F.col("m.version") == SUPPORTED_VERSION) &
+                       ~F.coalesce(F.exists("m.sections", lambda x: x["url"].isNotNull()), F.lit(False)),
+                       F.lit(False))
     fields = ["version", "sourceRoot", "sources", "names", "mappings"]
     zero = F.lit(0).cast("bigint")
 
@@ -87,7 +90,8 @@ def _map_parts(source_maps: DataFrame) -> DataFrame:
     plain = F.array(part(zero, zero, zero, F.col("m"), False))
     sections = F.transform("m.sections", lambda x, i: part(
         i, F.coalesce(x["offset"]["line"], zero), F.coalesce(x["offset"]["column"], zero), x["map"], True))
-    parts = posexplode_rows(m, ["url"], F.when(F.col("m.sections").isNull(), plain).otherwise(sections), "_i", "p")
+    arr = F.when(~valid, F.lit(None)).when(F.col("m.sections").isNull(), plain).otherwise(sections)
+    parts = posexplode_rows(m, ["url"], arr, "_i", "p")
     return parts.select("url", "p.*").where(F.col("version") == SUPPORTED_VERSION)
 
 
