@@ -572,8 +572,9 @@ left join totals t using (capture_id) left join per p using (capture_id)
 def payload_error_summary(spark, sf_dir):
     """Raw console payloads → entries → error report per capture; captures
     whose payload held no entries (markdown) report 'No messages found'."""
-    parsed = PL.parse_console_payloads(A.console_payloads(spark, sf_dir))
-    ok = where_computed(parsed, F.col("payload_kind") != "failed").select("capture_id")
+    # the parsed payloads feed three branches: parse once, write, read back
+    parsed = materialize(PL.parse_console_payloads(A.console_payloads(spark, sf_dir)), "console_payloads")
+    ok = parsed.where(F.col("payload_kind") != "failed").select("capture_id")
     _, summary = RP.error_report(PL.console_entries(parsed), severity="all", limit=20, captures=ok)
     return summary
 
