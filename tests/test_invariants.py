@@ -60,3 +60,14 @@ def test_ansi_off_null_arrays(spark):
         assert got["#y"] == "#y: element not found. Closest matches: #y1"
     finally:
         spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_style_rows_equal_filtered_map(spark):
+    from webdiag.operators import audit
+    from webdiag.sources import adapters as A
+    e = A.element_styles(spark, SF)
+    for box in (True, False):
+        long_form = audit.style_rows(e, include_box_model=box).select("selector", "property", "value")
+        via_map = audit.filter_styles(e, include_box_model=box).select(
+            "selector", F.explode("styles").alias("property", "value"))
+        assert rows(long_form) == rows(via_map)
