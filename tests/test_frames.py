@@ -210,3 +210,12 @@ def test_indexed_map_sections(spark):
     assert got[("u", 3, 0)] == (None, None, None, None)    # the offset column only shifts the first line
     assert got[("u", 3, 1)] == ("b.js", 2, 5, None)        # 'CACA': column 1, next line, no name
     assert got[("v", 1, 0)] == (None, None, None, None)    # a url section fails the whole map
+
+
+def test_map_selection_duplicate_hosting(spark):
+    map_files = spark.createDataFrame([("https://h/a.min.js.map", FIXTURE_MAP), ("https://h/a.min.js.map", "not json")],
+                                      "url string, map_json string")
+    scripts = spark.createDataFrame([], "url string, body string")
+    urls_df = spark.createDataFrame([("https://h/a.min.js",)], "url string")
+    got = sourcemaps.select_maps(urls_df, map_files, scripts).collect()
+    assert len(got) == 1 and got[0].map_origin == "sibling"

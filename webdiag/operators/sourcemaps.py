@@ -65,7 +65,12 @@ def select_maps(urls: DataFrame, map_files: DataFrame, scripts: DataFrame) -> Da
     text = (F.when(F.col("sib_url").isNotNull(), F.col("sib_json"))
             .when(F.col("ref_kind") == "data", F.col("inline_json"))
             .otherwise(F.col("ref_json")))
-    return out.select("url", origin.alias("map_origin"), map_url.alias("map_url"), text.alias("map_json"))
+    picked = out.select("url", F.struct(origin.alias("map_origin"), map_url.alias("map_url"),
+                                        text.alias("map_json")).alias("m"))
+    # a url hosted twice in map_files gives several rows here (few: one per
+    # frame url); keep one, the same one on every run
+    one = picked.groupBy("url").agg(F.min("m").alias("m"))
+    return one.select("url", "m.map_origin", "m.map_url", "m.map_json")
 
 
 def _map_parts(source_maps: DataFrame) -> DataFrame:
