@@ -43,3 +43,13 @@ def test_diagnose_with_misses(spark):
 def test_batch_size_check(spark):
     req = spark.createDataFrame([("p", i, f"#s{i}") for i in range(21)], "capture_id string, pos int, selector string")
     assert [r.n_selectors for r in suggest.check_batch_size(req).collect()] == [21]
+
+
+def test_diagnose_first_element_in_document_order(spark):
+    req = spark.createDataFrame([("p", 0, ".item")], "capture_id string, pos int, selector string")
+    els = spark.createDataFrame([("p", ".item", 7, {"display": "none"}), ("p", ".item", 2, {"opacity": "1"})],
+                                "capture_id string, selector string, doc_order bigint, styles map<string,string>")
+    report, batch = reports.diagnose(req, els)
+    rows = report.collect()
+    assert len(rows) == 1 and rows[0].styles == {"opacity": "1"}
+    assert batch.collect()[0].summary == "1 element diagnosed, 0 with issues."

@@ -83,7 +83,10 @@ def diagnose(requests: DataFrame, elements: DataFrame, dom_tokens: DataFrame | N
     are the captured elements. A request without an element is a not-found
     row with suggestions from ``dom_tokens``."""
     keys = as_keys(keys)
-    e = elements.select(*keys, "selector", "styles")  # one element per (keys, selector)
+    # one element per (keys, selector): the first in document order when the
+    # table says (querySelector returns the first match), else a fixed pick
+    order = F.col("doc_order") if "doc_order" in elements.columns else F.to_json("styles")
+    e = elements.groupBy(*keys, "selector").agg(F.min_by("styles", order).alias("styles"))
     found = requests.join(e, [*keys, "selector"], "inner").withColumn("not_found", F.lit(False)) \
         .withColumn("suggestions", F.array().cast("array<string>"))
     if dom_tokens is not None:
