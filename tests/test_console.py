@@ -132,3 +132,14 @@ def test_global_group_and_invariants(spark):
     per = rollup.error_rollup(e, severity="all", limit=None)
     total = e.count()
     assert per.agg(F.sum("count")).first()[0] <= total
+
+
+def test_first_entry_modes_agree(spark):
+    from webdiag.sources import adapters as A
+    for e in (noisy_entries(spark), A.console_entries(spark, "/root/testdata/sf0.001")):
+        for sev in ("error", "all"):
+            a = rollup.error_rollup(e, severity=sev, limit=7)
+            b = rollup.error_rollup(e, severity=sev, limit=7, first_entry="join")
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    plan = rollup.error_rollup(noisy_entries(spark), first_entry="join")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -97,10 +97,16 @@ def _rank_groups(g: DataFrame, keys, limit) -> DataFrame:
 
 def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None = 20,
                  by=("capture_id",), noise_patterns: Iterable[str] = C.NOISE_PATTERNS,
-                 normalized: bool = False) -> DataFrame:
+                 normalized: bool = False, first_entry: str = "min_by") -> DataFrame:
     """Ranked unique issues per capture: severity rank desc, count desc,
     first arrival asc; at most ``limit`` per capture.
 
+    ``first_entry``: "min_by" keeps the first entry inside the one
+    aggregation (a SortAggregate: strings in the buffer, sorted map-side);
+    "join" aggregates count and first seq by hash and fetches the ≤ limit
+    representatives per capture by a join back to the entries (a second
+    scan, no sort of the entries). Both give the same rows.
+
     Output: by…, issue_no, level, message, count, source, first_seq,
     fingerprint[, stack]."""
     keys = as_keys(by)
@@ -108,5 +114,21 @@ def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None
         e = filter_severity(entries, severity)
     else:
         e = normalize(filter_severity_raw(entries, severity), keys)
-    e = drop_noise(e, noise_patterns)
-    return _rank_groups(group_issues(with_fingerprint(e), keys), keys, limit)
+    e = with_fingerprint(drop_noise(e, noise_patterns))
+    if first_entry == "min_by":
+        return _rank_groups(group_issues(e, keys), keys, limit)
+    if first_entry != "join":
+        raise ValueError("first_entry must be 'min_by' or 'join'")
+    # hash aggregation of count and first seq only, rank, then fetch the
+    # (at most limit per capture) representatives by joining back
+    # (the first entry's rank: int and bigint buffers keep this a hash aggregate)
+    g = with_rank(e).groupBy(*keys, "fingerprint").agg(
+        F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"),
+        F.min_by("severity_rank", "seq").alias("severity_rank"))
+    ranked = top_k(g, keys, [F.col("severity_rank").desc(), F.col("count").desc(),
+                             F.col("first_seq").asc()], limit)
+    rep_fields = [f for f in ENTRY_FIELDS if f in e.columns]
+    reps = e.select(*keys, F.col("seq").alias("first_seq"), "fingerprint", *rep_fields)
+    out = ranked.join(reps, [*keys, "first_seq", "fingerprint"], "inner")
+    cols = [*keys, "issue_no", "level", "message", "count", "source", "first_seq", "fingerprint"]
+    return out.select(*cols, *(["stack"] if "stack" in out.columns else []))

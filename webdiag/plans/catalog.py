@@ -732,3 +732,11 @@ def payload_error_report_json(spark, sf_dir):
     r = api.get_errors(A.console_payloads(spark, sf_dir), severity="all", limit=20,
                        map_files=map_files, scripts=scripts)
     return r.report
+
+
+@register("error_rollup_join", S.rollup_sql(A1_NORMALIZED, "n", "error", 20, ["capture_id"]))
+def error_rollup_join(spark, sf_dir):
+    """The flagship rollup with hash aggregation only: the representatives
+    are fetched by a join back to the entries (first_entry="join")."""
+    out = R.error_rollup(A.console_entries(spark, sf_dir), severity="error", limit=20, first_entry="join")
+    return _bigint(out, "issue_no")
