@@ -116,7 +116,9 @@ def test_url_resolution(spark):
             ("a.map", "https://h/x/y.js", "https://h/x/a.map"),
             ("/r/./s.map", "https://h:8080/x/y.js", "https://h:8080/r/s.map"),
             ("//c.com/m.map", "http://h/y.js", "http://c.com/m.map"),
-            ("https://o/m.map", "http://h/y.js", "https://o/m.map")]
+            ("https://o/m.map", "http://h/y.js", "https://o/m.map"),
+            ("..", "http://h:8080/a/b/c.js?v=2", "http://h:8080/a/"),
+            ("x/.", "https://h/d/e.js", "https://h/d/x/")]
     df = spark.createDataFrame(rows, "ref string, base string, want string")
     for r in df.select("want", urls.resolve_url(F.col("ref"), F.col("base")).alias("got")).collect():
         assert r.want == r.got

@@ -19,6 +19,9 @@ def fold_path(path: Column) -> Column:
     folded = F.aggregate(body, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc)
                          .when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
                          .otherwise(F.concat(acc, F.array(x))))
+    # a path ending in '.' or '..' names a directory: keep the trailing '/'
+    last = F.try_element_at(body, F.lit(-1))
+    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
     return F.concat(F.lit("/"), F.array_join(folded, "/"))
 
 

@@ -205,9 +205,12 @@ def frame_text_sql() -> str:
 
 
 def fold_sql(p: str) -> str:
-    return ("('/' || array_to_string(list_reduce(string_split(" + p + ", '/')[2:], "
-            "lambda acc, x: case when x = '.' then acc when x = '..' then acc[1:len(acc) - 1] "
-            "else list_append(acc, x) end, []::varchar[]), '/'))")
+    body = "string_split(" + p + ", '/')[2:]"
+    folded = (f"list_reduce({body}, "
+              "lambda acc, x: case when x = '.' then acc when x = '..' then acc[1:len(acc) - 1] "
+              "else list_append(acc, x) end, []::varchar[])")
+    folded = f"(case when {body}[-1] in ('.', '..') then list_append({folded}, '') else {folded} end)"
+    return f"('/' || array_to_string({folded}, '/'))"
 
 
 def resolve_url_sql(ref: str, base: str) -> str:
