@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .html_blocks import op6_html_blocks
 from .packing import op5_cost_packing
+from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_cost_packing": op5_cost_packing,
+    "op6_html_blocks": op6_html_blocks,
+    "op8_warc_archive": op8_warc_archive,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_warc_archive": OP8_SQL,
+}
