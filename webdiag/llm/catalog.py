@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .fingerprint import op9_weighted_sampling
 from .html_blocks import op6_html_blocks
 from .packing import op5_cost_packing
+from .pii import op3_weak_pii
 from .toxicity import op7_mil_toxicity
 from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_weak_pii": op3_weak_pii,
     "op5_cost_packing": op5_cost_packing,
     "op6_html_blocks": op6_html_blocks,
     "op7_mil_toxicity": op7_mil_toxicity,
     "op8_warc_archive": op8_warc_archive,
+    "op9_weighted_sampling": op9_weighted_sampling,
 }
 
 ORACLE: dict[str, str] = {

@@ -1,0 +1,287 @@
+"""Personal data by weak supervision, in Spark SQL alone.
+
+Base spans are the matches of four strict patterns (email, ip, card, phone)
+that pass their checks. Further spans come from candidates: the words that hold
+a digit or an @. Seven labelers look at a candidate and its neighbours: regex
+labelers at its shape, a gazetteer labeler at the names in it, context
+labelers at the words beside it; each votes for personal data, against it, or
+abstains. Votes and features of all candidates are counted by pattern (at most
+3^7 by 2^6 rows whatever the corpus). Expectation-maximisation on those counts
+estimates what each labeler's votes are worth and the probability of each
+pattern; a logistic span classifier is then fitted to these probabilities on
+the features alone, so it also decides where no labeler votes. Candidates that
+it accepts and that touch no base span are added, as kind ``other``.
+
+Positions are code points, ends exclusive. The patterns use possessive groups
+and start only where a match can start, so a text costs time in its length,
+without recursion. Positions follow from the lengths of the pieces between
+matches, summed in blocks.
+
+Rows: null texts are empty; repeated rows and null ids give a row each; an
+empty table gives no row and a model that accepts nothing. Other columns are
+not read (``redact`` passes them on).
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table, whole_text
+
+KINDS = ("email", "ip", "card", "phone")
+# The strict patterns of the four kinds; \G lets a match begin where the last one ended. Fixed values.
+PATTERNS = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+# A text without this has no match.
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+OPENING, CLOSING = r"^[\"'(\[{<]+", r"[\"'.,;:!?)\]}>]+$"
+BLOCK = 256
+CONTEXT_CHARS = 48  # beside a candidate, in which its neighbours are looked for
+
+GAZETTEER = r"(?i)(?:akia|asia|api|key|token|secret|passw|pwd|bearer|mail|iban|ssn|@)"
+CONTEXT_FOR = (r"(?i)\b(?:e-?mail|mail|phone|tel|telephone|mobile|call|fax|contact|card|visa|account|iban|ssn|passport|"
+               r"password|key|token|secret|login|address|ip)\W*$")
+CONTEXT_AGAINST = r"(?i)(?:\b(?:page|chapter|section|figure|table|vol|no|since|in|version)\W*$)"
+UNIT_AFTER = r"(?i)^\s*(?:%|kg|km|cm|mm|m|years?|days?|hours?|minutes?|times|pages?|people|euros?|dollars?)\b"
+LABELERS = 7
+ROUNDS = 50           # of expectation-maximisation
+STEPS = 400           # of the classifier's gradient descent
+PRIOR_VOTES = 1.0     # pseudo-counts of a labeler's votes
+THRESHOLD = 0.5
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, end, match, before, after) of a pattern's leftmost
+    non-overlapping matches; before and after are the pieces beside it."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+                     F.split(text, pattern, -1).alias("p"))
+
+    def spans(s):
+        steps = F.transform(F.sequence(F.lit(0), F.size(s["m"]) - 1),
+                            lambda i: F.char_length(s["p"][i]) + F.when(i == 0, 0).otherwise(F.char_length(s["m"][i - 1])))
+
+        def placed(steps):
+            sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")),
+                               lambda j: _total(F.slice(steps, j * BLOCK + 1, BLOCK)))
+
+            def starts(sums):
+                befores = F.transform(sums, lambda x, j: _total(F.slice(sums, F.lit(1), j)))
+                return _let(befores, lambda b: F.transform(s["m"], lambda m, i: _let(
+                    b[F.floor(i / BLOCK).cast("int")] + _total(F.slice(
+                        steps, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)),
+                    lambda at: F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("match"),
+                                        s["p"][i].alias("before"), s["p"][i + 1].alias("after")))))
+
+            return _let(sums, starts)
+
+        return F.when(F.size(s["m"]) > 0, _let(steps, placed))
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
+    return F.coalesce(_let(found, spans), none)
+
+
+def _passes(kind: str, m: Column) -> Column:
+    if kind == "email":
+        return F.lit(True)
+    if kind == "ip":
+        return m.rlike(rf"^(?:{BYTE}\.){{3}}{BYTE}$")
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    if kind == "card":
+        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
+    return F.length(digits).between(10, 15)
+
+
+def base_spans(text: Column) -> Column:
+    """Array of (start, rank, end, kind) of the four kinds, in that order."""
+    def of(rank, kind):
+        has = text.rlike("[0-9]") if kind != "email" else F.lit(True)
+        has = has & F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else has
+        got = F.transform(F.filter(matches(text, PATTERNS[kind]), lambda x: _passes(kind, x["match"])),
+                          lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"),
+                                             x["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.when(has, got).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
+
+    return F.sort_array(F.concat(*[of(rank, kind) for rank, kind in enumerate(KINDS)]))
+
+
+def candidates(text: Column) -> Column:
+    """Array of (start, end, votes, features) of the words with a digit or @,
+    without the punctuation around them."""
+    def look(x):
+        def trimmed(lead):
+            word = F.regexp_replace(F.regexp_replace(x["match"], OPENING, ""), CLOSING, "")
+
+            def described(w):
+                before, after = F.right(x["before"], F.lit(CONTEXT_CHARS)), F.left(x["after"], F.lit(CONTEXT_CHARS))
+                start = x["start"] + lead
+                return F.struct(start.alias("start"), (start + F.char_length(w)).alias("end"),
+                                _votes(w, before, after).alias("votes"), _features(w, before).alias("features"))
+
+            return _let(word, described)
+
+        return _let(F.char_length(x["match"]) - F.char_length(F.regexp_replace(x["match"], OPENING, "")), trimmed)
+
+    got = F.filter(F.transform(matches(text, CANDIDATE), look), lambda c: c["end"] > c["start"])
+    none = F.array().cast("array<struct<start:int,end:int,votes:string,features:array<int>>>")
+    return F.when(text.rlike("[0-9@]"), got).otherwise(none)
+
+
+def _votes(w: Column, before: Column, after: Column) -> Column:
+    """A letter per labeler: p for, n against, - abstains."""
+    digits = F.char_length(F.regexp_replace(w, "[^0-9]", ""))
+    yes, no, none = F.lit("p"), F.lit("n"), F.lit("-")
+    return F.concat(
+        F.when(w.rlike(r"^(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|\+?[0-9](?:[().-]?[0-9]){9,18}+|"
+                       rf"(?:{BYTE}\.){{3}}{BYTE})$"), yes).otherwise(none),
+        F.when(w.rlike(r"^(?:AKIA[0-9A-Z]{16}|[A-Za-z_]{0,32}(?:key|token|secret|password|pwd)[=:]\"?[A-Za-z0-9+/_-]{8,}+.*|"
+                       r"[0-9a-f]{32,}+|[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30})$"), yes)
+         .when(w.rlike(r"^[A-Za-z]*[0-9]{1,4}[A-Za-z]{0,2}$"), no).otherwise(none),
+        F.when(w.rlike(GAZETTEER), yes).otherwise(none),
+        F.when(before.rlike(CONTEXT_FOR), yes).when(before.rlike(CONTEXT_AGAINST), no).otherwise(none),
+        F.when(after.rlike(UNIT_AFTER), no).otherwise(none),
+        F.when((F.char_length(w) >= 16) & w.rlike("[A-Za-z]") & (digits >= 4), yes)
+         .when((F.char_length(w) <= 5) & ~w.contains("@"), no).otherwise(none),
+        F.when(w.rlike(r"^[0-9]{1,3}(?:[.,][0-9]{1,3})?$"), no).when(digits >= 9, yes).otherwise(none))
+
+
+def _features(w: Column, before: Column) -> Column:
+    """What the classifier sees: 0 or 1 each."""
+    digits = F.char_length(F.regexp_replace(w, "[^0-9]", ""))
+    tests = (F.char_length(w) >= 12, F.char_length(w) >= 24, digits >= 7, w.contains("@") & w.contains("."),
+             w.rlike("[A-Za-z]") & (digits >= 3), before.rlike(CONTEXT_FOR) | w.rlike(r"[A-Za-z]{3,}[=:]"))
+    return F.array(*[t.cast("int") for t in tests])
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> list[float] | None:
+    """Weights of the span classifier, the bias first; None without candidates.
+
+    The driver receives counts by pattern of votes and features alone."""
+    rows = (docs.select(F.explode(candidates(whole_text(F.col(text_col)))).alias("c"))
+            .groupBy("c.votes", "c.features").agg(F.count("*").alias("n")).orderBy("votes", "features").collect())
+    return train([(r["votes"], tuple(r["features"]), r["n"]) for r in rows])
+
+
+def train(counts: list[tuple[str, tuple[int, ...], int]]) -> list[float] | None:
+    """Classifier weights from (votes, features, number of candidates)."""
+    if not counts:
+        return None
+    patterns: dict[str, int] = {}
+    for votes, _, n in counts:
+        patterns[votes] = patterns.get(votes, 0) + n
+    total = sum(patterns.values())
+
+    def first(votes):  # where EM starts: the balance of votes
+        p, n = votes.count("p"), votes.count("n")
+        return (p + .5) / (p + n + 1)
+
+    post = {v: first(v) for v in patterns}
+    for _ in range(ROUNDS):
+        prior = min(max(sum(post[v] * n for v, n in patterns.items()) / total, 1e-3), 1 - 1e-3)
+        worth = []  # log of P(vote | personal) / P(vote | other) by labeler
+        for k in range(LABELERS):
+            yes = {x: PRIOR_VOTES for x in "pn-"}
+            no = dict(yes)
+            for v, n in patterns.items():
+                yes[v[k]] += n * post[v]
+                no[v[k]] += n * (1 - post[v])
+            a, b = sum(yes.values()), sum(no.values())
+            worth.append({x: math.log(yes[x] / a) - math.log(no[x] / b) for x in "pn-"})
+        odds = math.log(prior / (1 - prior))
+        # labelers that agree for the same reason count less than their product says
+        post = {v: _logistic(odds + sum(w[x] for w, x in zip(worth, v))) for v in patterns}
+    by_features: dict[tuple[int, ...], list[float]] = {}
+    for votes, features, n in counts:
+        cell = by_features.setdefault(features, [0.0, 0.0])
+        cell[0] += n * post[votes]
+        cell[1] += n
+    weights = [0.0] * (1 + len(counts[0][1]))
+    for step in range(STEPS):
+        slope = [1e-3 * w for w in weights]
+        for x, (yes, n) in by_features.items():
+            x = (1, *x)
+            error = (n * _logistic(sum(w * v for w, v in zip(weights, x))) - yes) / total
+            slope = [s + error * v for s, v in zip(slope, x)]
+        weights = [w - 2.0 * s for w, s in zip(weights, slope)]
+    return weights
+
+
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
+
+
+def spans(text: Column, model: list[float] | None) -> Column:
+    """Array of (start, rank, end, kind) of all spans: base and accepted ones."""
+    base = base_spans(text)
+    if model is None:
+        return base
+    limit = math.log(THRESHOLD / (1 - THRESHOLD))
+
+    def accepted(f):
+        return F.lit(model[0]) + sum(F.lit(w) * f[i] for i, w in enumerate(model[1:])) >= limit
+
+    def joined(b):
+        more = F.filter(candidates(text), lambda c: accepted(c["features"]) & ~F.exists(
+            b, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"])))
+        return F.sort_array(F.concat(b, F.transform(more, lambda c: F.struct(
+            c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), c["end"].alias("end"), F.lit("other").alias("kind")))))
+
+    return _let(base, joined)
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def find(docs: DataFrame, keep: list[str], text_col: str = "text", model: list[float] | None = None) -> DataFrame:
+    """The columns ``keep`` and ``found``, the array of spans of each text."""
+    return docs.select(*[F.col(c) for c in keep], spans(whole_text(F.col(text_col)), model).alias("found"))
+
+
+def redact(text: Column, found: Column) -> Column:
+    """The text with each span (overlapping ones together) replaced by the kind
+    of its first span in brackets."""
+    state = "struct<at:int,parts:array<string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")).cast(state)
+
+    def step(a, s):
+        new = F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(
+            F.substring(text, a["at"] + 1, s["start"] - a["at"]),
+            F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts")).cast(state)
+        longer = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["parts"].alias("parts")).cast(state)
+        return F.when(s["start"] >= a["at"], new).otherwise(longer)
+
+    done = F.aggregate(found, start, step, lambda a: F.concat(
+        F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    return F.when(F.size(found) > 0, done).otherwise(text)
+
+
+def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs, ["doc_id"], model=fit(docs))
+    base = F.filter("found", lambda s: s["rank"] < len(KINDS))
+
+    def number(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(k) for k in KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
