@@ -7,12 +7,14 @@ from .fingerprint import op9_weighted_sampling
 from .html_blocks import op6_html_blocks
 from .packing import op5_cost_packing
 from .pii import op3_weak_pii
+from .substring_dedup import op4_sentence_spans
 from .toxicity import op7_mil_toxicity
 from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_weak_pii": op3_weak_pii,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_cost_packing": op5_cost_packing,
     "op6_html_blocks": op6_html_blocks,
     "op7_mil_toxicity": op7_mil_toxicity,

@@ -70,3 +70,26 @@ def forget_newer(memo: dict) -> None:
     what occurs often has come early."""
     for k in list(memo)[len(memo) // 2:]:
         del memo[k]
+
+
+def groups_of(batches, keys: int):
+    """Runs of rows that agree in the first ``keys`` columns, as lists of
+    column slices; for partitions sorted by those columns."""
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(*[batch.column(k).to_pylist() for k in range(keys)]))
+        begin = 0
+        for at in range(len(rows)):
+            if rows[at] != last:
+                if held or at > begin:
+                    if at > begin:
+                        held.append(batch.slice(begin, at - begin))
+                    yield last, held
+                    held = []
+                last, begin = rows[at], at
+        held.append(batch.slice(begin))
+    if held:
+        yield last, held
