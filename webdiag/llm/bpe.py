@@ -44,7 +44,9 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.words = {r: b for b, r in ranks.items()}
+        self.words: list[bytes | None] = [None] * (max(ranks.values()) + 1)  # by id
+        for b, r in ranks.items():
+            self.words[r] = b
         self.split = regex.compile(pattern).findall
         self.chunks = regex.compile(r"\s*\S+|\s+").findall
         self.uneven = regex.compile(r"\s |^ | \s").search
@@ -157,8 +159,14 @@ class ByteBpe:
         ids = memo.get(text)
         if ids is None:
             merge = self.merge
-            ids = array("I", [x for piece in self.split(lead + text)
-                              for x in merge(piece.encode("utf-8", "replace"))]).tobytes()
+            pieces = self.split(lead + text)
+            parts = []
+            for piece in pieces:
+                part = self.spaced.get(piece[1:]) if piece[0] == " " and len(pieces) > 1 else None
+                if part is None:
+                    part = array("I", merge(piece.encode("utf-8", "replace"))).tobytes()
+                parts.append(part)
+            ids = b"".join(parts)
             if len(text) <= MEMO_CHARS:
                 if memo is self.first and len(memo) >= MEMO_WORDS // 4:
                     forget_newer(memo)
@@ -211,7 +219,7 @@ def digests(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str)
 
     def run(batches):
         bpe = load(path, pattern)
-        name = {r: str(r) for r in bpe.words}.__getitem__
+        name = [str(r) for r in range(len(bpe.words))].__getitem__
         for batch in batches:
             n, a, b = [], [], []
             for part in batches_of(batch, 256):
