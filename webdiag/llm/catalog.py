@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .embedding_forest import op10_projection_forest
 from .fingerprint import op9_weighted_sampling
 from .html_blocks import op6_html_blocks
+from .ngram_join import op1_count_vector_join
 from .packing import op5_cost_packing
 from .pii import op3_weak_pii
 from .substring_dedup import op4_sentence_spans
@@ -12,6 +14,7 @@ from .toxicity import op7_mil_toxicity
 from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
+    "op1_count_vector_join": op1_count_vector_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_weak_pii": op3_weak_pii,
     "op4_sentence_spans": op4_sentence_spans,
@@ -20,6 +23,7 @@ QUERIES = {
     "op7_mil_toxicity": op7_mil_toxicity,
     "op8_warc_archive": op8_warc_archive,
     "op9_weighted_sampling": op9_weighted_sampling,
+    "op10_projection_forest": op10_projection_forest,
 }
 
 ORACLE: dict[str, str] = {
