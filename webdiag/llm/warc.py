@@ -9,7 +9,8 @@ rebuilds the records: a response's is header, payload and the closing line
 ends, a revisit's has no payload of its own, but its full payload is known from
 the join. All steps are Spark SQL; per record only digests and numbers are
 grouped, so that a payload shared by a third of the pages is counted before
-the shuffle, and payloads move once.
+the shuffle, and payloads move at most once, not at all while there are fewer
+than ``BROADCAST_ROWS`` repetitions.
 
 Among records with equal payloads of at least ``min_bytes`` the one with the
 smallest (page_id, url), nulls last, is the response and the others revisit it;
@@ -28,12 +29,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_BYTES = 0
+BROADCAST_ROWS = 1_000_000
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -88,12 +90,21 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         _line("Content-Length", F.when(F.col("response"), F.col("bytes")).otherwise(0).cast("string")),
         F.lit("\r\n"))
     records.select("page_id", "url", "digest", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
-    # the bytes of each payload once: those of its first record
-    chosen = first.select(F.col("digest").alias("d"), F.col("first.page_id").alias("p"), F.col("first.url").alias("u"))
-    (keyed.join(chosen, (F.col("digest") == F.col("d")) & (F.col("url") == F.col("u"))
-                & F.col("page_id").eqNullSafe(F.col("p")))
-     .groupBy("digest", "url", "page_id").agg(F.first("payload").alias("payload"))
-     .select("digest", "payload").write.parquet(f"{folder}/payloads"))
+    # The bytes of each payload once. What is not the first of its kind, or not
+    # the only row like it, is left out; rows like others are reduced to one apart.
+    firsts = alike.join(first, "digest").withColumn(
+        "is_first", F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url")))
+    apart = cut(firsts.filter("copies > 1 OR NOT is_first").select(
+        F.col("digest").alias("d"), F.col("page_id").alias("p"), F.col("url").alias("u"), "is_first"))
+    same = (F.col("digest") == F.col("d")) & (F.col("url") == F.col("u")) & F.col("page_id").eqNullSafe(F.col("p"))
+    if apart.count() <= BROADCAST_ROWS:  # then payloads need not move
+        single = keyed.join(F.broadcast(apart), same, "left_anti")
+        several = keyed.join(F.broadcast(apart.filter("is_first")), same, "left_semi")
+    else:
+        single = keyed.join(apart, same, "left_anti")
+        several = keyed.join(apart.filter("is_first"), same, "left_semi")
+    several = several.groupBy("digest", "url", "page_id").agg(F.first("payload").alias("payload"))
+    single.select("digest", "payload").unionAll(several.select("digest", "payload")).write.parquet(f"{folder}/payloads")
 
 
 def _field(name: str) -> Column:
