@@ -45,11 +45,14 @@ LABELLED = (
     (60, .0, 40, .0, 70, .0, 0, 0, 1), (35, .1, 60, .0, 45, .0, 0, 0, 1), (80, .0, 5, .0, 0, .0, 0, 0, 1),
     (25, .0, 90, .0, 30, .1, 0, 0, 1), (18, .0, 40, .0, 55, .0, 0, 0, 1), (7, .0, 50, .0, 65, .0, 0, 0, 1),
     (4, .0, 70, .0, 35, .0, 0, 0, 1), (8, .0, 2, 1., 90, .0, 0, 0, 1), (50, .2, 0, .0, 0, .0, 0, 0, 1),
-    (12, .0, 30, .0, 4, .0, 0, 0, 1),
+    (12, .0, 30, .0, 4, .0, 0, 0, 1), (40, .0, 40, .0, 1, 1., 0, 0, 1), (28, .0, 1, 1., 33, .0, 0, 0, 1),
+    (70, .1, 2, 1., 1, 1., 0, 0, 1), (22, .0, 3, 1., 2, 1., 0, 0, 1), (300, .0, 1, .0, 2, .0, 0, 0, 1),
+    (10, .0, 45, .0, 38, .0, 0, 0, 1), (5, .0, 33, .0, 41, .0, 0, 0, 1),
     (2, 1., 1, 1., 2, 1., 0, 0, 0), (6, .9, 3, 1., 4, 1., 0, 0, 0), (1, .0, 1, 1., 1, 1., 0, 0, 0),
     (5, .0, 2, 1., 1, 1., 0, 0, 0), (3, .0, 0, .0, 2, .0, 0, 0, 0), (4, .0, 3, .0, 2, .0, 0, 0, 0),
     (20, .8, 5, 1., 6, .7, 0, 0, 0), (40, .9, 20, .8, 3, 1., 0, 0, 0), (1, 1., 60, .0, 50, .0, 0, 0, 0),
-    (2, .0, 3, .5, 1, .9, 0, 0, 0), (10, 1., 80, .0, 2, 1., 0, 0, 0),
+    (2, .0, 3, .5, 1, .9, 0, 0, 0), (10, 1., 80, .0, 2, 1., 0, 0, 0), (3, .0, 40, .0, 1, 1., 0, 0, 0),
+    (30, 1., 25, 1., 28, 1., 0, 0, 0), (4, .0, 6, .0, 5, .0, 0, 0, 0), (9, .0, 4, 1., 6, 1., 0, 0, 0),
 )
 
 # Elements whose content is never text of the page.
