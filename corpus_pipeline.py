@@ -37,15 +37,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Repeated rows of a document that stays become one. Rows without a doc_id
     stay unless they are linked with a document that has one."""
-    found = cut(ngram_join.join(docs).groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("rows")))
-    gone = found.filter("component IS NOT NULL AND NOT (component <=> id)").select(F.col("id").alias("__gone"))
+    found = cut(ngram_join.join(docs).groupBy("id", "mark").agg(F.min("component").alias("component"), F.count("*").alias("rows")))
+    key = [F.col("id").alias("__id"), F.col("mark").alias("__mark")]
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(whole_text(docs["text"])) == F.col("__mark"))
+    gone = found.filter("component IS NOT NULL AND NOT (component <=> id)").select(*key)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
-    twice = found.filter("rows > 1 AND id IS NOT NULL").select(F.col("id").alias("__twice"))
+    kept = docs.join(gone, same, "left_anti")
+    twice = found.filter("rows > 1 AND id IS NOT NULL").select(*key)
     if twice.isEmpty():
         return kept
-    same = kept["doc_id"] == F.col("__twice")
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates())
 
 

@@ -1,0 +1,79 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from webdiag.llm import pii
+
+# the contract's patterns as they are written there
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        total += int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10))
+    return total % 10 == 0
+
+
+def _passes(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    return (kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m.split("."))
+            or kind == "card" and 14 <= len(digits) <= 19 and _luhn(digits) or kind == "phone" and 10 <= len(digits) <= 15)
+
+
+def brute(text):
+    return sorted((m.start(), rank, m.end(), kind) for rank, kind in enumerate(PLAIN)
+                  for m in re.finditer(PLAIN[kind], text) if _passes(kind, m[0]))
+
+
+def test_base_spans_equal_the_patterns(spark):
+    rnd = random.Random(2)
+    pool = ["a", "b@c.de", "@", ".", "..", "1", "12", "255", "256", " ", "-", "+", "(", ")", "4111 1111 1111 1111", "4111111111111111",
+            "+1 (555) 123-4567", "10.0.0.1", "é", "\U0001f600", "_", "%", "x@y", "x@y.z", "\n", "3.4", "key=abcd1234EFGH", "000012"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 25))) for _ in range(1500)]
+    texts += ["", None, "1.2.3.4 " * 3000, "a@b.c" * 700, "a@b.c_d@e.f x"]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id int, text string, found string").repartition(4)
+    for r in pii.find(df, ["doc_id"], model=[.1] * 7).collect():
+        got = [tuple(s) for s in r.found]
+        assert [s for s in got if s[1] < 4] == brute(texts[r.doc_id] or "")
+        for a in got:  # added spans touch no base span
+            assert a[1] < 4 or not any(b[1] < 4 and b[0] < a[2] and a[0] < b[2] for b in got)
+
+
+def test_long_texts(spark):
+    texts = ["9" * 100_000, "a.b@" + "c." * 50_000 + "d", "a" * 200_000, "+1" + " 2" * 30_000, "1 " * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(4)
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in pii.find(df, ["doc_id"], model=None).collect()}
+    assert got[1] == [(0, 0, len(texts[1]), "email")] and not any(got[k] for k in (0, 2, 3, 4))
+
+
+def test_model_and_redaction(spark):
+    rows = [(i, f"Contact me: key=abcd{i:04d}EFGHijkl or 555-01{i % 90 + 10} on page {i % 50} of 4.0 kg.") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    got = {r.doc_id: [rows[r.doc_id][1][s.start:s.end] for s in r.found] for r in pii.find(df, ["doc_id"], model=model).collect()}
+    assert all(any(x.startswith("key=") for x in v) for v in got.values())
+    assert not any(x in ("4.0", "4", str(k % 50)) for k, v in got.items() for x in v)
+    one = spark.createDataFrame([("Mail a@b.cd, then 10.0.0.1 é. End",), (None,), ("",), ("clean",)], "text string")
+    out = [r[0] for r in one.select(pii.redact(F.col("text"), pii.spans(F.coalesce("text", F.lit("")), None))).collect()]
+    assert out == ["Mail [EMAIL], then [IP] é. End", None, "", "clean"]
+
+
+def test_empty_and_without_candidates(spark):
+    df = spark.createDataFrame([(1, "no candidates"), (None, None)], "doc_id long, text string")
+    assert pii.fit(df) is None and pii.fit(df.limit(0)) is None
+    assert pii.find(df, ["doc_id"], model=None).count() == 2
+    assert pii.find(df.limit(0), ["doc_id"], model=None).count() == 0
+
+
+def test_expectation_maximisation_learns_reliabilities():
+    # a labeler that contradicts the others on everything ends with little say
+    counts = [("ppp----", (1, 0, 0, 0, 0, 0), 60), ("nnn---p", (0, 0, 0, 0, 0, 0), 100), ("------p", (0, 0, 0, 0, 0, 0), 40)]
+    w = pii.train(counts)
+    assert w[0] < 0 < w[0] + w[1]

@@ -192,9 +192,9 @@ def leaf_edges(ids: list[int], sets: list[np.ndarray], side: list[int], centre:
 
 
 def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of documents (kind 1: id, set, n) and pairs of sets and their
+    """Rows of documents (kind 1: id, set, n, mark) and pairs of sets and their
     leaves' centres (kind 0: centre, member), the latter once per partition."""
-    src = docs.select(F.col("id").cast("long"), "text")
+    src = docs.select(F.col("id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = 8 * parts  # nodes travel in as many cells, dealt by hash
 
@@ -202,21 +202,22 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
         shingler = Shingler(size)
         for batch in batches:
             for part in batches_of(batch, 2048):
-                keys, sets, ns, nodes, held = [], [], [], [], 0
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                keys, marks, sets, ns, nodes, held = [], [], [], [], [], 0
+                for key, text, mark in zip(*[c.to_pylist() for c in part.columns]):
                     s = shingler.set_of(text)
                     keys.append(key)
+                    marks.append(mark)
                     sets.append(set_id(s))
                     ns.append(len(s))
                     nodes.append(nodes_of(s, percent) if len(s) else np.empty(0, _U))
                     held += len(nodes[-1])
                     if held >= SEND_NODES:
-                        yield packed(keys, sets, ns, nodes)
-                        keys, sets, ns, nodes, held = [], [], [], [], 0
+                        yield packed(keys, marks, sets, ns, nodes)
+                        keys, marks, sets, ns, nodes, held = [], [], [], [], [], 0
                 if keys:
-                    yield packed(keys, sets, ns, nodes)
+                    yield packed(keys, marks, sets, ns, nodes)
 
-    def packed(keys, sets, ns, nodes):
+    def packed(keys, marks, sets, ns, nodes):
         """A row per cell with the nodes in it, and a row per document."""
         owner = np.repeat(np.arange(len(nodes)), [len(x) for x in nodes])
         node = np.concatenate(nodes)
@@ -236,21 +237,21 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array([0] * k + [1] * len(keys), pa.int32()), pa.array(which + [x % cells for x in sets], pa.int32()),
              pa.array([None] * k + keys, pa.int64()), pa.array([None] * k + sets, pa.int64()),
-             pa.array([None] * k + ns, pa.int64()), pa.array(blobs + [None] * len(keys), pa.binary())],
-            ["kind", "cell", "a", "b", "n", "blob"])
+             pa.array([None] * k + ns, pa.int64()), pa.array([None] * k + marks, pa.int64()),
+             pa.array(blobs + [None] * len(keys), pa.binary())], ["kind", "cell", "a", "b", "n", "mark", "blob"])
 
-    sent = map_arrow(src, emit, "kind int, cell int, a long, b long, n long, blob binary")
+    sent = map_arrow(src, emit, "kind int, cell int, a long, b long, n long, mark long, blob binary")
 
     def meet(batches):
         """Cells of a partition one after the other: sets that share a node."""
         for (cell, kind), slices in groups_of(batches, 2):
             if kind == 1:
                 for s in slices:
-                    yield pa.RecordBatch.from_arrays([s.column(k) for k in (1, 2, 3, 4)], ["kind", "a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([s.column(k) for k in (1, 2, 3, 4, 5)], ["kind", "a", "b", "n", "mark"])
                 continue
             nodes, owners = [], []
             for s in slices:
-                for blob in s.column(5).to_pylist():
+                for blob in s.column(6).to_pylist():
                     k = int.from_bytes(blob[:4], "little")
                     own = np.frombuffer(blob, np.int64, k, 4)
                     m = (len(blob) - 4 - 8 * k) // 6
@@ -265,20 +266,20 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
             pairs = np.unique(np.stack([centre[other], owner[other]]), axis=1)
             m = pairs.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(m, pa.int64())],
-                ["kind", "a", "b", "n"])
+                [pa.array(np.zeros(m, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(m, pa.int64())] * 2],
+                ["kind", "a", "b", "n", "mark"])
 
-    dealt = sent.select("cell", "kind", "a", "b", "n", "blob").repartition(parts, "cell").sortWithinPartitions("cell", "kind")
-    return map_arrow(dealt, meet, "kind int, a long, b long, n long")
+    dealt = sent.select("cell", "kind", "a", "b", "n", "mark", "blob").repartition(parts, "cell").sortWithinPartitions("cell", "kind")
+    return map_arrow(dealt, meet, "kind int, a long, b long, n long, mark long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
          percent: int = PERCENT) -> DataFrame:
-    """(id, set, n_shingles, component): a row per document; component is the
-    smallest id reachable by links, its own included."""
+    """(id, mark, set, n_shingles, component): a row per document; component is
+    the smallest id reachable by links, its own included, mark xxhash64(text)."""
     rows = docs.select(F.col(id_col).alias("id"), whole_text(F.col(text_col)).alias("text"))
     passed = cut(_first_pass(rows, size, percent))
-    slim = passed.filter("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("set"), F.col("n").alias("n"))
+    slim = passed.filter("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("set"), F.col("n").alias("n"), "mark")
     pairs = cut(passed.filter("kind = 0").select(F.col("a").alias("centre"), F.col("b").alias("member")).distinct())
     edges = _verified(rows, slim, pairs, size, percent)
     found = components(edges)
@@ -289,7 +290,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     by_set = (sets.select("set", F.coalesce("root", "set").alias("root")).join(smallest, "root")
               .select(F.col("set").alias("of"), "component"))
     return (slim.join(by_set, (F.col("set") == F.col("of")) & (F.col("n") > 0), "left")
-            .select("id", "set", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component"))
+            .select("id", "mark", "set", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component"))
                     .otherwise(F.col("id")).alias("component")))
 
 
