@@ -86,5 +86,5 @@ def test_bounds_never_lose_a_pair():
             if not nj.linked(a, b):
                 continue
             assert len(np.intersect1d(nj.nodes_of(a), nj.nodes_of(b)))
-            counts = np.stack([np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) for s in (a, b)]).astype(np.int32)
+            counts = nj.points_of([nj.point_of(a), nj.point_of(b)])
             assert 1 in nj.CountTree(counts, np.array([len(a), len(b)])).search(counts[0], len(a))

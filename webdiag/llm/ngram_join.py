@@ -17,13 +17,15 @@ exceeds the distance by more than six standard deviations.) A node's sets all
 go to the smallest of them, the node's centre, and nodes with one centre form
 one leaf: its centre and every set that shares a node with it.
 
-In a leaf, an R-tree over the group counts finds for a set all members that
-the bound by summed minima cannot rule out, box by box, and exact
-intersections of the shingles verify them. Members linked with the centre are
-one component already and are not compared again with each other, so a leaf of
-n near copies costs n verifications. Large leaves are cut into blocks that
-meet pairwise, each with the centre; no group is collected whole. Links come
-out as edges of a forest, and alternating stars join them over all leaves.
+In a leaf, an R-tree over the group counts finds the members whose overlap the
+bound by summed minima cannot rule out, box by box. First only the points
+travel, and members whose bound fails with all others leave the leaf; the
+shingles of the rest follow, and exact intersections verify the pairs that
+survive. Members linked with the centre are one component already and are not
+compared again with each other, so a leaf of n near copies costs n
+verifications. Large leaves are cut into blocks that meet pairwise, each with
+the centre; no group is collected whole. Links come out as edges of a forest,
+and alternating stars join them over all leaves.
 
 Sets are identified by 64-bit hashes of their content, shingles by 64-bit
 hashes. Equal sets are one node from the start.
@@ -41,7 +43,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, cut, forget_newer, groups_of, map_arrow, table, whole_text
@@ -50,9 +52,9 @@ from .graph import components
 SHINGLE = 5
 PERCENT = 80          # 100 * intersection >= PERCENT * union
 FINE, COARSE, SMALL = 4.0, 0.75, 64   # slabs per shingle of a band below and from SMALL
-GROUPS = 256          # coordinates of a point in a leaf's tree
+GROUPS = 64           # least coordinates of a point; sets of [2^b, 2^(b+1)) shingles have 2^(b-1)
 NODE = 32             # points in a box
-LEAF_BYTES = 48 << 20  # of shingles that one task holds of a leaf, twice
+LEAF_BYTES = 48 << 20  # of points or shingles that one task holds of a leaf, twice
 MEMO_WORDS = 600_000
 SEND_NODES = 400_000  # of documents that a task sends together
 BROADCAST_ROWS = 1_000_000
@@ -122,6 +124,22 @@ def nodes_of(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
+def point_of(shingles: np.ndarray) -> bytes:
+    """A set's group counts: the size of a number, then the numbers."""
+    groups = max(GROUPS, 1 << max(0, len(shingles).bit_length() - 2))
+    counts = np.bincount((shingles & _U(groups - 1)).astype(np.int64), minlength=groups)
+    kind = "<u1" if counts.max() < 256 else "<u4"
+    return bytes([int(kind[2])]) + counts.astype(kind).tobytes()
+
+
+def points_of(blobs: list[bytes]) -> np.ndarray:
+    """Points with as many coordinates as the smallest has: groups are the low
+    bits of a hash, so that halves can be added up."""
+    rows = [np.frombuffer(b, f"<u{b[0]}", offset=1) for b in blobs]
+    least = min(len(r) for r in rows)
+    return np.stack([r.reshape(-1, least).sum(axis=0, dtype=np.int32) for r in rows])
+
+
 class CountTree:
     """R-tree of group counts: boxes of ``NODE`` points in order of size and
     of their largest coordinates; a box keeps its largest counts and sizes."""
@@ -179,7 +197,7 @@ def leaf_edges(ids: list[int], sets: list[np.ndarray], side: list[int], centre:
                 rest.append(i)
     if rest and len(ids) > 2:
         sizes = np.array([len(s) for s in sets])
-        counts = np.stack([np.bincount((s & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+        counts = points_of([point_of(s) for s in sets])
         tree = CountTree(counts, sizes)
         crossed = 1 in side
         for i in rest:
@@ -191,8 +209,31 @@ def leaf_edges(ids: list[int], sets: list[np.ndarray], side: list[int], centre:
     return [(ids[i], ids[root(i)]) for i in range(len(ids)) if root(i) != i]
 
 
+def leaf_members(points: np.ndarray, sizes: np.ndarray, side: list[int], centre: int, percent: int = PERCENT) -> np.ndarray:
+    """Which members of a leaf have another one that the bound doesn't rule out."""
+    enough = (100 + percent) * np.minimum(points, points[centre]).sum(axis=1, dtype=np.int64) >= percent * (sizes + sizes[centre])
+    enough &= (sizes * 100 >= percent * sizes[centre]) & (sizes * percent <= 100 * sizes[centre])
+    enough[centre] = False
+    found = enough.copy()
+    rest = np.flatnonzero(~enough)
+    if len(rest) > 1 and len(sizes) > 2:
+        tree = CountTree(points, sizes)
+        crossed = 1 in side
+        for i in rest:
+            if i == centre:
+                continue
+            near = tree.search(points[i], int(sizes[i]), percent)
+            near = near[(near != i) & (near != centre)]
+            if crossed:
+                near = near[np.array(side)[near] != side[i]]
+            if len(near):
+                found[i] = True
+                found[near] = True
+    return found
+
+
 def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of documents (kind 1: id, set, n, mark) and pairs of sets and their
+    """Rows of documents (kind 1: id, set, n, mark, point) and pairs of sets and their
     leaves' centres (kind 0: centre, member), the latter once per partition."""
     src = docs.select(F.col("id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -202,22 +243,23 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
         shingler = Shingler(size)
         for batch in batches:
             for part in batches_of(batch, 2048):
-                keys, marks, sets, ns, nodes, held = [], [], [], [], [], 0
+                keys, marks, sets, ns, points, nodes, held = [], [], [], [], [], [], 0
                 for key, text, mark in zip(*[c.to_pylist() for c in part.columns]):
                     s = shingler.set_of(text)
                     keys.append(key)
                     marks.append(mark)
                     sets.append(set_id(s))
                     ns.append(len(s))
+                    points.append(point_of(s) if len(s) else None)
                     nodes.append(nodes_of(s, percent) if len(s) else np.empty(0, _U))
                     held += len(nodes[-1])
                     if held >= SEND_NODES:
-                        yield packed(keys, marks, sets, ns, nodes)
-                        keys, marks, sets, ns, nodes, held = [], [], [], [], [], 0
+                        yield packed(keys, marks, sets, ns, points, nodes)
+                        keys, marks, sets, ns, points, nodes, held = [], [], [], [], [], [], 0
                 if keys:
-                    yield packed(keys, marks, sets, ns, nodes)
+                    yield packed(keys, marks, sets, ns, points, nodes)
 
-    def packed(keys, marks, sets, ns, nodes):
+    def packed(keys, marks, sets, ns, points, nodes):
         """A row per cell with the nodes in it, and a row per document."""
         owner = np.repeat(np.arange(len(nodes)), [len(x) for x in nodes])
         node = np.concatenate(nodes)
@@ -238,7 +280,7 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
             [pa.array([0] * k + [1] * len(keys), pa.int32()), pa.array(which + [x % cells for x in sets], pa.int32()),
              pa.array([None] * k + keys, pa.int64()), pa.array([None] * k + sets, pa.int64()),
              pa.array([None] * k + ns, pa.int64()), pa.array([None] * k + marks, pa.int64()),
-             pa.array(blobs + [None] * len(keys), pa.binary())], ["kind", "cell", "a", "b", "n", "mark", "blob"])
+             pa.array(blobs + points, pa.binary())], ["kind", "cell", "a", "b", "n", "mark", "blob"])
 
     sent = map_arrow(src, emit, "kind int, cell int, a long, b long, n long, mark long, blob binary")
 
@@ -247,7 +289,7 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for (cell, kind), slices in groups_of(batches, 2):
             if kind == 1:
                 for s in slices:
-                    yield pa.RecordBatch.from_arrays([s.column(k) for k in (1, 2, 3, 4, 5)], ["kind", "a", "b", "n", "mark"])
+                    yield pa.RecordBatch.from_arrays([s.column(k) for k in range(1, 7)], ["kind", "a", "b", "n", "mark", "blob"])
                 continue
             nodes, owners = [], []
             for s in slices:
@@ -266,11 +308,11 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
             pairs = np.unique(np.stack([centre[other], owner[other]]), axis=1)
             m = pairs.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(m, pa.int64())] * 2],
-                ["kind", "a", "b", "n", "mark"])
+                [pa.array(np.zeros(m, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(m, pa.int64())] * 2, pa.nulls(m, pa.binary())],
+                ["kind", "a", "b", "n", "mark", "blob"])
 
     dealt = sent.select("cell", "kind", "a", "b", "n", "mark", "blob").repartition(parts, "cell").sortWithinPartitions("cell", "kind")
-    return map_arrow(dealt, meet, "kind int, a long, b long, n long, mark long")
+    return map_arrow(dealt, meet, "kind int, a long, b long, n long, mark long, blob binary")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
@@ -279,7 +321,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     the smallest id reachable by links, its own included, mark xxhash64(text)."""
     rows = docs.select(F.col(id_col).alias("id"), whole_text(F.col(text_col)).alias("text"))
     passed = cut(_first_pass(rows, size, percent))
-    slim = passed.filter("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("set"), F.col("n").alias("n"), "mark")
+    slim = passed.filter("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("set"), F.col("n").alias("n"), "mark",
+                                             F.col("blob").alias("point"))
     pairs = cut(passed.filter("kind = 0").select(F.col("a").alias("centre"), F.col("b").alias("member")).distinct())
     edges = _verified(rows, slim, pairs, size, percent)
     found = components(edges)
@@ -294,64 +337,84 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     .otherwise(F.col("id")).alias("component")))
 
 
+def _leaves(pairs: DataFrame, known: DataFrame, weight: Column) -> DataFrame:
+    """Rows (centre, i, j, member, own, and the columns of ``known``) of each
+    leaf, the centre's own among them, sorted so that what is compared together
+    follows each other: leaves of more than LEAF_BYTES by ``weight`` are cut
+    into blocks, and block i meets every block j."""
+    members = pairs.unionAll(pairs.select("centre", F.col("centre").alias("member")).distinct())
+    full = members.join(known.withColumnRenamed("set", "member"), "member")
+    blocks = full.groupBy("centre").agg(F.ceil(F.sum(weight) / LEAF_BYTES).cast("int").alias("blocks"))
+    centre = F.col("centre") == F.col("member")
+    spread = (full.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.when(centre, F.sequence(F.lit(0), F.expr("blocks * blocks - 1")))
+                                             .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+              .withColumn("i", F.when(centre, F.floor(F.col("other") / F.col("blocks"))).otherwise(F.least("own", "other")).cast("int"))
+              .withColumn("j", F.when(centre, F.col("other") % F.col("blocks")).otherwise(F.greatest("own", "other")).cast("int"))
+              .filter("i <= j").drop("blocks", "other"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = [c for c in known.columns if c != "set"]
+    return (spread.select("centre", "i", "j", "member", "own", *others).repartition(parts, "centre", "i", "j")
+            .sortWithinPartitions("centre", "i", "j", "member"))
+
+
+def _sides(members: list[int], own: list[int], centre: int, i: int, j: int) -> list[int]:
+    return [2 if m == centre else int(i != j and o == j) for m, o in zip(members, own)]
+
+
 def _verified(rows: DataFrame, slim: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): edges of a forest of the links among each leaf's members."""
-    # a leaf's rows: its members, and the centre itself
-    sized = slim.groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    members = pairs.unionAll(pairs.select("centre", F.col("centre").alias("member")).distinct())
-    wanted = cut(members.select(F.col("member").alias("set")).distinct().join(sized, "set"))
+    points = slim.filter("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.any_value("point").alias("point"))
+
+    def prune(batches):
+        for (centre, i, j), slices in groups_of(batches, 3):
+            members, own, n, blobs = ([x for s in slices for x in s.column(k).to_pylist()] for k in range(3, 7))
+            if len(members) < 2:
+                continue
+            found = leaf_members(points_of(blobs), np.array(n, np.int64), _sides(members, own, centre, i, j),
+                                 members.index(centre), percent)
+            kept = [m for m, f in zip(members, found) if f and m != centre]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([centre] * len(kept), pa.int64()), pa.array(kept, pa.int64())],
+                                                 ["centre", "member"])
+
+    near = map_arrow(_leaves(pairs, points, F.octet_length("point")), prune, "centre long, member long")
+    near = cut(near.distinct())
+    wanted = near.select(F.explode(F.array("centre", "member")).alias("set")).distinct()
+    wanted = cut(wanted.join(slim.groupBy("set").agg(F.min(F.struct("id", "mark")).alias("one")), "set")
+                 .select(F.col("set").alias("want"), F.col("one.id").alias("key"), F.col("one.mark").alias("key_mark")))
     small = wanted.count() <= BROADCAST_ROWS
-    keys = wanted.select(F.col("id").alias("key"), F.col("set").alias("want"))
-    texts = rows.join(F.broadcast(keys) if small else keys, F.col("id").eqNullSafe(F.col("key"))).select("want", "text")
+    texts = (rows.withColumn("mark", F.xxhash64("text"))
+             .join(F.broadcast(wanted) if small else wanted,
+                   F.col("id").eqNullSafe(F.col("key")) & (F.col("mark") == F.col("key_mark"))).select("want", "text"))
 
     def shingles(batches):
         shingler = Shingler(size)
         for batch in batches:
             for part in batches_of(batch, 512):
-                want, out = [], []
-                for w, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    s = shingler.set_of(text)
-                    if set_id(s) == w:  # another row may have the same id
-                        want.append(w)
-                        out.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(want, pa.int64()), pa.array(out, pa.binary())], ["set", "shingles"])
-
-    sets = map_arrow(texts, shingles, "set long, shingles binary")
-    weights = (members.join(wanted.select(F.col("set").alias("member"), "n"), "member")
-               .groupBy("centre").agg(F.ceil(F.sum("n") * 8 / LEAF_BYTES).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    # block i meets every block j: rows of a leaf with more than one block go to each pair
-    spread = (members.join(weights, "centre").withColumn("own", block)
-              .withColumn("other", F.explode(F.when(F.col("centre") == F.col("member"), F.sequence(
-                  F.lit(0), F.expr("blocks * blocks - 1"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-              .select("centre", "member", *[x.alias(n) for n, x in {
-                  "i": F.when(F.col("centre") == F.col("member"), F.floor(F.col("other") / F.col("blocks")))
-                  .otherwise(F.least("own", "other")).cast("int"),
-                  "j": F.when(F.col("centre") == F.col("member"), F.col("other") % F.col("blocks"))
-                  .otherwise(F.greatest("own", "other")).cast("int"), "own": F.col("own")}.items()])
-              .filter("i <= j"))
-    full = spread.join(sets.withColumnRenamed("set", "member"), "member").select(
-        "centre", "i", "j", "member", "own", "shingles")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = full.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j", "member")
+                out = [shingler.set_of(text) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in out], pa.int64()),
+                                                  pa.array([x.tobytes() for x in out], pa.binary())], ["set", "n", "shingles"])
+
+    # rows equal in id and text come several times; they are told apart below
+    sets = map_arrow(texts, shingles, "set long, n long, shingles binary")
 
     def compare(batches):
         for (centre, i, j), slices in groups_of(batches, 3):
-            members, sets, side = [], [], []
+            members, own, sets = [], [], []
             for s in slices:
-                for m, own, data in zip(*[s.column(k).to_pylist() for k in (3, 4, 5)]):
-                    if members and m == members[-1]:
-                        continue  # rows of equal id and text
-                    members.append(m)
-                    side.append(2 if m == centre else int(i != j and own == j))
-                    sets.append(np.frombuffer(data, _U))
-            if centre not in members or len(members) < 2:
+                for m, o, data in zip(*[s.column(k).to_pylist() for k in (3, 4, 6)]):
+                    if not members or m != members[-1]:
+                        members.append(m)
+                        own.append(o)
+                        sets.append(np.frombuffer(data, _U))
+            if len(members) < 2:
                 continue
-            edges = leaf_edges(members, sets, side, members.index(centre), percent)
+            edges = leaf_edges(members, sets, _sides(members, own, centre, i, j), members.index(centre), percent)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return map_arrow(dealt, compare, "a long, b long")
+    return map_arrow(_leaves(near, sets, 8 * F.col("n")), compare, "a long, b long")
 
 
 def op1_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
