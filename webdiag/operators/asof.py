@@ -16,8 +16,8 @@ Spark has no as-of join, so it is two equi-joins with a range condition:
    (each spans more than C·W columns), so the lookup stays small, and the
    result is exact without an unbounded number of copies.
 
-Both joins stream the frames; a position hit by a third of all frames is
-one skewed key that AQE's skew-join handling splits across tasks.
+The lookup runs on distinct positions; joined back, a position hit by a third
+of all frames is one skewed key that AQE's skew-join handling splits.
 """
 
 from __future__ import annotations
@@ -47,21 +47,20 @@ def _split_segments(segments: DataFrame, W: int, C: int):
     return copies, long_
 
 
-def _lookup(df: DataFrame, segments: DataFrame, url: str, line: str, col: str, gate, W: int, C: int) -> DataFrame:
-    """df + gen_col…name of the segment holding (url, line, col), where
-    ``gate`` is true; nulls elsewhere."""
+def _lookup(positions: DataFrame, segments: DataFrame, W: int, C: int) -> DataFrame:
+    """positions(url, line, col) + gen_col…name of the segment that holds
+    each; nulls where none does."""
     copies, long_ = _split_segments(segments, W, C)
-    d = df.select("*", gate.alias("_gated"), F.floor(F.col(col) / W).alias("_bucket"))
-    in_seg = lambda c: (d[col] >= c("gen_col")) & (c("next_gen_col").isNull() | (d[col] < c("next_gen_col")))
-    j1 = d.join(copies, (d[url] == copies.s_url) & (d[line] == copies.s_line) & (d._bucket == copies.s_bucket) &
-                d._gated & in_seg(lambda c: copies[c]), "left")
-    j1 = j1.select(*[d[c] for c in d.columns], *[copies[c] for c in SEG_COLS],
-                   copies.s_url.isNotNull().alias("_hit1"))
-    j2 = j1.join(long_, (j1[url] == long_.l_s_url) & (j1[line] == long_.l_s_line) & j1._gated & ~j1._hit1 &
-                 (j1[col] >= long_.l_gen_col) & (long_.l_next_gen_col.isNull() | (j1[col] < long_.l_next_gen_col)),
+    d = positions.select("url", "line", "col", F.floor(F.col("col") / W).alias("_bucket"))
+    in_seg = lambda c: (d.col >= c("gen_col")) & (c("next_gen_col").isNull() | (d.col < c("next_gen_col")))
+    j1 = d.join(copies, (d.url == copies.s_url) & (d.line == copies.s_line) & (d._bucket == copies.s_bucket) &
+                in_seg(lambda c: copies[c]), "left")
+    j1 = j1.select(d.url, d.line, d["col"], *[copies[c] for c in SEG_COLS], copies.s_url.isNotNull().alias("_hit1"))
+    j2 = j1.join(long_, (j1.url == long_.l_s_url) & (j1.line == long_.l_s_line) & ~j1._hit1 &
+                 (j1["col"] >= long_.l_gen_col) & (long_.l_next_gen_col.isNull() | (j1["col"] < long_.l_next_gen_col)),
                  "left")
     pick = [F.when(j2._hit1, j2[c]).otherwise(j2["l_" + c]).alias(c) for c in SEG_COLS]
-    return j2.select(*[j2[c] for c in df.columns], *pick)
+    return j2.select("url", "line", "col", *pick)
 
 
 def resolve_positions(positions: DataFrame, segments: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH,
@@ -69,8 +68,7 @@ def resolve_positions(positions: DataFrame, segments: DataFrame, bucket_width: i
     """positions(url, line, col) → + r_source, r_line, r_col, r_name (nulls
     when unresolved: no segment on the line at or before col, or the
     segment has no source)."""
-    p = positions.select("url", "line", "col")
-    r = _lookup(p, segments, "url", "line", "col", F.lit(True), int(bucket_width), int(max_copies))
+    r = _lookup(positions.select("url", "line", "col"), segments, int(bucket_width), int(max_copies))
     ok = F.col("source").isNotNull()
     return r.select("url", "line", "col", F.col("source").alias("r_source"),
                     F.when(ok, F.col("orig_line")).alias("r_line"), F.when(ok, F.col("orig_col")).alias("r_col"),
@@ -82,19 +80,45 @@ def resolve_frames(frames: DataFrame, segments: DataFrame, bucket_width: int = D
     """frames(…, function_name, url, line, col, raw) → + resolved (bool),
     text (printed frame: the original position when the frame does not
     look minified or does not resolve) and r_source/r_line/r_col/r_name.
-    The lookup column is ``col ?? 0``."""
+    The lookup column is ``col ?? 0``.
+
+    Frames that are not gated never enter a shuffle here: the gated ones'
+    distinct positions are looked up and joined back, the others are added
+    as they are."""
     col0 = F.coalesce(F.col("col"), F.lit(0))
-    gate = (FR.looks_minified(F.col("url"), F.col("line"), F.col("col")) & (F.col("line") >= 1) & (col0 >= 0))
-    f = frames.select("*", col0.alias("_lookup_col"))
-    r = _lookup(f, segments, "url", "line", "_lookup_col", gate, int(bucket_width), int(max_copies))
-    resolved = F.col("source").isNotNull()
-    name = F.coalesce(F.col("name"), F.col("function_name"), F.lit(FR.UNKNOWN_NAME))
+    gate = F.coalesce(FR.looks_minified(F.col("url"), F.col("line"), F.col("col")) & (F.col("line") >= 1) & (col0 >= 0),
+                      F.lit(False))
+    gated = frames.where(gate).withColumn("_lookup_col", col0.cast("bigint"))
+    places = gated.select("url", "line", F.col("_lookup_col").alias("col")).distinct()
+    hits = resolve_positions(places, segments, bucket_width, max_copies).where(F.col("r_source").isNotNull()).select(
+        F.col("url").alias("_h_url"), F.col("line").alias("_h_line"), F.col("col").alias("_h_col"),
+        F.col("r_source"), F.col("r_line"), F.col("r_col"), F.col("r_name"))
+    found = gated.join(hits, (gated.url == hits._h_url) & (gated.line == hits._h_line) &
+                       (gated._lookup_col == hits._h_col), "left").select(*[gated[c] for c in frames.columns], *RESOLVED_COLS)
+    types = dict(found.dtypes)
+    rest = frames.where(~gate).select("*", *[F.lit(None).cast(types[c]).alias(c) for c in RESOLVED_COLS])
+    r = found.unionByName(rest)
+    resolved = F.col("r_source").isNotNull()
+    name = F.coalesce(F.col("r_name"), F.col("function_name"), F.lit(FR.UNKNOWN_NAME))
     frame = F.struct(*[F.col(c) for c in ("function_name", "url", "line", "col", "raw")])
-    text = F.when(resolved, FR.resolved_to_string(name, F.col("source"), F.col("orig_line"), F.col("orig_col"))) \
+    text = F.when(resolved, FR.resolved_to_string(name, F.col("r_source"), F.col("r_line"), F.col("r_col"))) \
         .otherwise(FR.frame_to_string(frame))
-    return r.select(*frames.columns, resolved.alias("resolved"), text.alias("text"),
-                    F.col("source").alias("r_source"), F.when(resolved, F.col("orig_line")).alias("r_line"),
-                    F.when(resolved, F.col("orig_col")).alias("r_col"), F.when(resolved, F.col("name")).alias("r_name"))
+    return r.select(*frames.columns, resolved.alias("resolved"), text.alias("text"), *RESOLVED_COLS)
+
+
+def _falsy(df: DataFrame, name: str):
+    """JavaScript falsiness of a stack: null, '' and, in a VARIANT, null, 0 and false."""
+    s = F.col(name)
+    kind = df.schema[name].dataType.simpleString()
+    if kind == "string":
+        return s.isNull() | (s == "")
+    if kind == "variant":
+        t = F.schema_of_variant(s)
+        return F.coalesce(s.isNull() | F.is_variant_null(s) | (t == "STRING") & (F.try_variant_get(s, "$", "string") == "")
+                          | (t == "BOOLEAN") & ~F.try_variant_get(s, "$", "boolean")
+                          | t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(s, "$", "double") == 0),
+                          F.lit(False))
+    return s.isNull()
 
 
 def compress_with_maps(entries: DataFrame, segments: DataFrame, keys=("capture_id", "seq"),
@@ -110,9 +134,7 @@ def compress_with_maps(entries: DataFrame, segments: DataFrame, keys=("capture_i
         F.array_sort(F.collect_list(F.struct("frame_no", "text"))).alias("_fr"),
         F.count_if("resolved").alias("resolved_count"))
     per = per.select(*keys, F.transform("_fr", lambda x: x["text"]).alias("stack_trace"), "resolved_count")
-    s = F.col(stack_col)
-    falsy = s.isNull() | (s.cast("string") == "") if entries.schema[stack_col].dataType.simpleString() == "string" \
-        else s.isNull()
+    falsy = _falsy(entries, stack_col)
     out = entries.join(per, keys, "left")
     return out.select(*entries.columns,
                       F.when(falsy, F.lit(None)).otherwise(

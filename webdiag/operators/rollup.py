@@ -97,15 +97,16 @@ def _rank_groups(g: DataFrame, keys, limit) -> DataFrame:
 
 def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None = 20,
                  by=("capture_id",), noise_patterns: Iterable[str] = C.NOISE_PATTERNS,
-                 normalized: bool = False, first_entry: str = "min_by") -> DataFrame:
+                 normalized: bool = False, first_entry: str = "join") -> DataFrame:
     """Ranked unique issues per capture: severity rank desc, count desc,
     first arrival asc; at most ``limit`` per capture.
 
-    ``first_entry``: "min_by" keeps the first entry inside the one
-    aggregation (a SortAggregate: strings in the buffer, sorted map-side);
-    "join" aggregates count and first seq by hash and fetches the ≤ limit
-    representatives per capture by a join back to the entries (a second
-    scan, no sort of the entries). Both give the same rows.
+    ``first_entry``: "join" aggregates count and first seq by hash and
+    fetches the ≤ limit representatives per capture by a join back to the
+    entries (a second scan, no sort of the entries); "min_by" keeps the
+    first entry inside the one aggregation (a SortAggregate: strings in the
+    buffer, sorted map-side). Both give the same rows: of entries with equal
+    ``seq`` and fingerprint the one with the smallest (message, source).
 
     Output: by…, issue_no, level, message, count, source, first_seq,
     fingerprint[, stack]."""
@@ -129,6 +130,9 @@ def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None
                              F.col("first_seq").asc()], limit)
     rep_fields = [f for f in ENTRY_FIELDS if f in e.columns]
     reps = e.select(*keys, F.col("seq").alias("first_seq"), "fingerprint", *rep_fields)
-    out = ranked.join(reps, [*keys, "first_seq", "fingerprint"], "inner")
+    one = ["issue_no", "count", "first_seq", "fingerprint"]
+    order = F.struct("message", *["source"] * ("source" in rep_fields))
+    out = (ranked.join(reps, [*keys, "first_seq", "fingerprint"], "inner").groupBy(*keys, *one)
+           .agg(F.min_by(F.struct(*rep_fields), order).alias("rep")).select(*keys, *one, "rep.*"))
     cols = [*keys, "issue_no", "level", "message", "count", "source", "first_seq", "fingerprint"]
     return out.select(*cols, *(["stack"] if "stack" in out.columns else []))

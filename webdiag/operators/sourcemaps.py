@@ -19,9 +19,12 @@ from webdiag.functions import vlq
 MAP_REFERENCE_RE = r"//[#@]\s*sourceMappingURL=(\S+)"
 DATA_BASE64_RE = r";base64,(.*)\z"
 SUPPORTED_VERSION = 3
+XSSI_RE = r"\A\)\]\}'[^\n]*\n"
 SECTION_START = "A,"  # a 1-field segment at column 0: where a section begins
 # ------------------------------------------------------------------------
 
+BLOCK = 4096  # segments of a line whose sums are taken together
+
 _MAP_FIELDS = "version:int,sourceRoot:string,sources:array<string>,names:array<string>,mappings:string"
 MAP_SCHEMA = (f"struct<{_MAP_FIELDS},file:string,"
               f"sections:array<struct<offset:struct<line:bigint,column:bigint>,url:string,map:struct<{_MAP_FIELDS}>>>>")
@@ -46,41 +49,42 @@ def select_maps(urls: DataFrame, map_files: DataFrame, scripts: DataFrame) -> Da
     """For each distinct script ``url``: the map text to use, and where it
     came from. ``<url without query>.map`` wins when that file exists (even
     if it is broken); else the script's reference: inline data, or the
-    referenced file. No map → nulls (the url stays unresolved)."""
-    u = urls.select("url").where(F.col("url").isNotNull()).distinct()
-    sib = map_files.select(F.col("url").alias("sib_url"), F.col("map_json").alias("sib_json"))
-    u = u.join(sib, F.concat(U.strip_query(F.col("url")), F.lit(".map")) == F.col("sib_url"), "left")
-    refs = map_references(scripts.select("url", "body")).select(
-        F.col("url").alias("s_url"), "ref_kind", "inline_json", "ref_url")
-    need = u.where(F.col("sib_url").isNull()).select("url")
-    r = need.join(refs, need.url == refs.s_url, "inner").drop("s_url")
-    ref_files = map_files.select(F.col("url").alias("ref_url"), F.col("map_json").alias("ref_json"))
-    r = r.join(ref_files, "ref_url", "left")
-    out = u.join(r, "url", "left")
-    origin = (F.when(F.col("sib_url").isNotNull(), F.lit("sibling"))
+    referenced file. No map → nulls (the url stays unresolved).
+
+    Choosing works on urls alone: only scripts that need it are searched for
+    a reference, and the texts of the chosen files join last."""
+    u = (urls.select("url").where(F.col("url").isNotNull()).distinct()
+         .withColumn("sib_url", F.concat(U.strip_query(F.col("url")), F.lit(".map"))))
+    files = map_files.select(F.col("url").alias("file_url")).distinct()
+    u = u.join(files, u.sib_url == files.file_url, "left").select("url", "sib_url", F.col("file_url").isNotNull().alias("has_sib"))
+    need = u.where(~F.col("has_sib")).select("url")
+    refs = (map_references(scripts.select("url", "body").join(need, "url", "left_semi"))
+            .groupBy("url").agg(F.min(F.struct("ref_kind", "inline_json", "ref_url")).alias("r"))  # few rows per url
+            .select("url", "r.*"))
+    refs = refs.join(files, refs.ref_url == files.file_url, "left").select(
+        "url", "ref_kind", "inline_json", "ref_url", F.col("file_url").isNotNull().alias("has_ref"))
+    out = u.join(refs, "url", "left")
+    origin = (F.when(F.col("has_sib"), F.lit("sibling"))
               .when(F.col("ref_kind") == "data", F.when(F.col("inline_json").isNotNull(), F.lit("inline")))
-              .when(F.col("ref_json").isNotNull(), F.lit("reference")))
-    map_url = (F.when(F.col("sib_url").isNotNull(), F.col("sib_url"))
-               .when(F.col("ref_kind") == "url", F.when(F.col("ref_json").isNotNull(), F.col("ref_url"))))
-    text = (F.when(F.col("sib_url").isNotNull(), F.col("sib_json"))
-            .when(F.col("ref_kind") == "data", F.col("inline_json"))
-            .otherwise(F.col("ref_json")))
-    picked = out.select("url", F.struct(origin.alias("map_origin"), map_url.alias("map_url"),
-                                        text.alias("map_json")).alias("m"))
-    # a url hosted twice in map_files gives several rows here (few: one per
-    # frame url); keep one, the same one on every run
-    one = picked.groupBy("url").agg(F.min("m").alias("m"))
-    return one.select("url", "m.map_origin", "m.map_url", "m.map_json")
-
-
-def _map_parts(source_maps: DataFrame) -> DataFrame:
-    """One row per map part, from one parse of each map: a plain map is one
-    part at offset (0, 0); an indexed map (``sections``) one part per
-    section with its generated offset. A section given by ``url`` instead of
-    an inline map fails the whole map."""
-    # one map per url (copies of a url collapse before the per-url windows)
-    one = source_maps.groupBy("url").agg(F.min("map_json").alias("map_json"))
-    m = one.select("url", F.from_json("map_json", MAP_SCHEMA).alias("m"))
+              .when(F.col("has_ref"), F.lit("reference")))
+    map_url = F.when(F.col("has_sib"), F.col("sib_url")).when(
+        F.col("ref_kind") == "url", F.when(F.col("has_ref"), F.col("ref_url")))
+    picked = out.select("url", origin.alias("map_origin"), map_url.alias("map_url"),
+                        F.when(~F.col("has_sib") & (F.col("ref_kind") == "data"), F.col("inline_json")).alias("inline_json"))
+    # a file hosted twice under one url: one of them, the same one on every run
+    texts = (map_files.select(F.col("url").alias("text_url"), "map_json")
+             .join(picked.select(F.col("map_url").alias("text_url")).distinct(), "text_url", "left_semi")
+             .groupBy("text_url").agg(F.min("map_json").alias("file_json")))
+    return picked.join(texts, picked.map_url == texts.text_url, "left").select(
+        "url", "map_origin", "map_url", F.coalesce("inline_json", "file_json").alias("map_json"))
+
+
+def _map_parts(maps: DataFrame) -> DataFrame:
+    """One row per part of ``maps(map_id, map_json)``, from one parse of each
+    map: a plain map is one part at offset (0, 0); an indexed map
+    (``sections``) one part per section with its generated offset. A section
+    given by ``url`` instead of an inline map fails the whole map."""
+    m = maps.select("map_id", F.from_json(F.regexp_replace("map_json", XSSI_RE, ""), MAP_SCHEMA).alias("m"))
     # validity is part of the explode input (a filter here would be pushed
     # below the projection and parse the document a second time)
     valid = F.coalesce((F.col("m.version") == SUPPORTED_VERSION) &
@@ -96,8 +100,26 @@ def _map_parts(source_maps: DataFrame) -> DataFrame:
     sections = F.transform("m.sections", lambda x, i: part(
         i, F.coalesce(x["offset"]["line"], zero), F.coalesce(x["offset"]["column"], zero), x["map"], True))
     arr = F.when(~valid, F.lit(None)).when(F.col("m.sections").isNull(), plain).otherwise(sections)
-    parts = posexplode_rows(m, ["url"], arr, "_i", "p")
-    return parts.select("url", "p.*").where(F.col("version") == SUPPORTED_VERSION)
+    parts = posexplode_rows(m, ["map_id"], arr, "_i", "p")
+    return parts.select("map_id", "p.*").where(F.col("version") == SUPPORTED_VERSION)
+
+
+def _texts(parts: DataFrame) -> DataFrame:
+    """(map_id, section_no, kind, idx, text): source names (kind 0, joined to
+    ``sourceRoot`` and normalised) and names (kind 1) of the map parts."""
+    root = F.col("sourceRoot")
+
+    def full_name(src):
+        joined = F.when(F.coalesce(root, F.lit("")) == "", src).otherwise(F.concat(
+            root, F.when(root.endswith("/") | src.startswith("/"), F.lit("")).otherwise(F.lit("/")), src))
+        return U.normalize_source(joined)
+    both = F.concat(_numbered(F.transform("sources", full_name), 0), _numbered(F.col("names"), 1))
+    return parts.select("map_id", "section_no", F.explode(both).alias("t")).select("map_id", "section_no", "t.*")
+
+
+def _numbered(texts, kind: int):
+    return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t, i: F.struct(
+        F.lit(kind).alias("kind"), i.cast("bigint").alias("idx"), t.alias("text")))
 
 
 def build_segments(source_maps: DataFrame) -> DataFrame:
@@ -108,67 +130,75 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     (they end the previous segment and resolve to nothing). Source names
     are joined to ``sourceRoot`` and normalised like paths.
 
-    A map that is not valid JSON, not version 3, or holds any malformed
-    segment yields no rows at all (every lookup of it fails). Indexed maps
-    decode each section on its own and shift it by the section offset (the
-    column only on the section's first line); the start of every section
-    is a position without source (a leading 1-field segment), so a lookup
-    never falls back into the previous section. Each map is parsed once;
-    running sums are windows partitioned by url and section: one map is one
-    input value, so a task holds at most one map."""
-    parts = _map_parts(source_maps)
-    # source names: joined to sourceRoot and normalised once per map part
-    root = F.col("sourceRoot")
-
-    def full_name(src):
-        joined = F.when(F.coalesce(root, F.lit("")) == "", src).otherwise(F.concat(
-            root, F.when(root.endswith("/") | src.startswith("/"), F.lit("")).otherwise(F.lit("/")), src))
-        return U.normalize_source(joined)
-    part_cols = ["url", "section_no", "off_line", "off_col", "is_section", "sources", "names"]
+    A map that is not valid JSON (after a first line ``)]}'``, which is
+    dropped), not version 3, or holds any malformed segment yields no rows at
+    all (every lookup of it fails). Indexed maps decode each section on its
+    own and shift it by the section offset (the column only on the section's
+    first line); the start of every section is a position without source (a
+    leading 1-field segment), so a lookup never falls back into the previous
+    section.
+
+    A map used under several urls is decoded once. Only integers go through
+    the windows; source names and names join afterwards, by index. The running
+    sums of a map are sums of blocks of ``BLOCK`` segments of a line, summed
+    up before each block, and sums within a block, so no task sorts a whole
+    map for them."""
+    keyed = source_maps.select("url", "map_json", F.sha2("map_json", 256).alias("map_id")).where(F.col("map_json").isNotNull())
+    of_url = keyed.groupBy("url").agg(F.min("map_id").alias("map_id"))
+    parts = _map_parts(keyed.groupBy("map_id").agg(F.min("map_json").alias("map_json")))
+    part_cols = ["map_id", "section_no", "off_line", "off_col", "is_section"]
     mappings = F.coalesce("mappings", F.lit(""))
     # a section starts with a 1-field segment at its column 0 (changes no VLQ state)
     mappings = F.when(F.col("is_section"), F.concat(F.lit(SECTION_START), mappings)).otherwise(mappings)
-    m = parts.withColumn("sources", F.transform("sources", full_name))
-    m = posexplode_rows(m, part_cols, F.split(mappings, ";"), "li", "line_text")
+    m = posexplode_rows(parts, part_cols, F.split(mappings, ";"), "li", "line_text")
     m = m.select(*part_cols, (F.col("li") + 1).cast("bigint").alias("rel_line"), "line_text")
     segs = posexplode_rows(m, [*part_cols, "rel_line"], F.split("line_text", ","), "seg_no", "seg")
     segs = segs.where(F.col("seg") != "")
-    segs = segs.withColumn("f", vlq.decode_segment(F.col("seg"))).withColumn("ok", vlq.valid_segment(F.col("seg")))
-    by_line = Window.partitionBy("url", "section_no", "rel_line").orderBy("seg_no")
-    by_part = Window.partitionBy("url", "section_no").orderBy("rel_line", "seg_no")
-    whole = Window.partitionBy("url", "section_no")
-    cum = lambda i: F.sum(F.try_element_at("f", F.lit(i))).over(by_part)
-    has_src = F.size("f") >= 4
-    rel_col = F.sum(F.try_element_at("f", F.lit(1))).over(by_line)
+    segs = segs.select(*part_cols, "rel_line", "seg_no", F.floor(F.col("seg_no") / BLOCK).alias("block"),
+                       vlq.decode_segment(F.col("seg")).alias("f"), vlq.valid_segment(F.col("seg")).cast("int").alias("ok"))
+    field = [F.coalesce(F.try_element_at("f", F.lit(i)), F.lit(0)).cast("bigint").alias(f"f{i}") for i in range(1, 6)]
+    segs = segs.select(*part_cols, "rel_line", "seg_no", "block", F.size("f").alias("fields"), "ok", *field)
+    place = ["map_id", "section_no", "rel_line", "block"]
+    blocks = segs.groupBy(*place).agg(*[F.sum(f"f{i}").alias(f"b{i}") for i in range(1, 6)], F.min("ok").alias("ok"))
+    before = Window.partitionBy("map_id", "section_no").orderBy("rel_line", "block").rowsBetween(Window.unboundedPreceding, -1)
+    in_line = Window.partitionBy("map_id", "section_no", "rel_line").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    blocks = blocks.select(*place, F.coalesce(F.sum("b1").over(in_line), zero).alias("b1"),
+                           *[F.coalesce(F.sum(f"b{i}").over(before), zero).alias(f"b{i}") for i in range(2, 6)],
+                           F.min("ok").over(Window.partitionBy("map_id")).alias("map_ok"))
+    within = Window.partitionBy(*place).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
+    d = segs.drop("ok").join(blocks.where(F.col("map_ok") == 1), place)
+    total = {i: F.col(f"b{i}") + F.sum(f"f{i}").over(within) for i in range(1, 6)}
+    has_src = F.col("fields") >= 4
     blocker = F.col("is_section") & (F.col("rel_line") == 1) & (F.col("seg_no") == 0)
-    d = segs.select(
-        "url", "section_no", "seg_no", "sources", "names",
+    d = d.select(
+        "map_id", "section_no", "seg_no",
         (F.col("rel_line") + F.col("off_line")).alias("gen_line"),
-        (rel_col + F.when(F.col("rel_line") == 1, F.col("off_col")).otherwise(0)).alias("gen_col"),
-        F.when(has_src, cum(2)).alias("src_idx"),
-        F.when(has_src, cum(3) + 1).alias("orig_line"),
-        F.when(has_src, cum(4)).alias("orig_col"),
-        F.when(F.size("f") == 5, cum(5)).alias("name_idx"),
-        F.min(F.col("ok").cast("int")).over(whole).alias("map_ok"),
+        (total[1] + F.when(F.col("rel_line") == 1, F.col("off_col")).otherwise(0)).alias("gen_col"),
+        F.when(has_src, total[2]).alias("src_idx"),
+        F.when(has_src, total[3] + 1).alias("orig_line"),
+        F.when(has_src, total[4]).alias("orig_col"),
+        F.when(F.col("fields") == 5, total[5]).alias("name_idx"),
         blocker.cast("int").alias("blocker"))
-    d = d.where(F.col("map_ok") == 1).drop("map_ok")
     # equal generated positions: a mapping before a section start; among
-    # mappings the first by (source, line, column, name) wins
-    first = Window.partitionBy("url", "gen_line", "gen_col").orderBy(
-        "blocker", F.col("src_idx").asc_nulls_first(), F.col("orig_line").asc_nulls_first(),
-        F.col("orig_col").asc_nulls_first(), F.col("name_idx").asc_nulls_first(), "section_no", "seg_no")
-    d = d.withColumn("dup", F.row_number().over(first)).where(F.col("dup") == 1)
-
-    def pick(arr, idx):
-        return F.when(idx >= 0, F.try_element_at(arr, (idx + 1).cast("int")))
-    src = pick(F.col("sources"), F.col("src_idx"))
-    name = pick(F.col("names"), F.col("name_idx"))
+    # mappings the first by (source, line, column, name), those without last
+    first = Window.partitionBy("map_id", "gen_line", "gen_col").orderBy(
+        "blocker", *[F.col(c).asc_nulls_last() for c in ("src_idx", "orig_line", "orig_col", "name_idx")],
+        "section_no", "seg_no")
+    d = d.withColumn("dup", F.row_number().over(first)).where(F.col("dup") == 1).drop("dup", "blocker", "seg_no")
+    nxt = F.lead("gen_col").over(Window.partitionBy("map_id", "gen_line").orderBy("gen_col"))
+    d = d.withColumn("next_gen_col", nxt)
+    texts = _texts(parts)
+    for kind, idx, name in ((0, "src_idx", "src"), (1, "name_idx", "name")):
+        t = texts.where(F.col("kind") == kind).select(
+            F.col("map_id").alias("t_map"), F.col("section_no").alias("t_section"), F.col("idx").alias("t_idx"), F.col("text").alias(name))
+        d = d.join(t, (d.map_id == t.t_map) & (d.section_no == t.t_section) & (d[idx] == t.t_idx), "left").drop(
+            "t_map", "t_section", "t_idx")
     # a name index outside ``names`` makes the lookup fail: no source then
-    bad_name = F.col("name_idx").isNotNull() & name.isNull()
-    nxt = F.lead("gen_col").over(Window.partitionBy("url", "gen_line").orderBy("gen_col"))
-    return d.select("url", "gen_line", "gen_col", nxt.alias("next_gen_col"),
-                    F.when(~bad_name, src).alias("source"),
-                    "orig_line", "orig_col", name.alias("name"))
+    bad_name = F.col("name_idx").isNotNull() & F.col("name").isNull()
+    return d.join(of_url, "map_id").select(
+        "url", "gen_line", "gen_col", "next_gen_col", F.when(~bad_name, F.col("src")).alias("source"),
+        "orig_line", "orig_col", "name")
 
 
 def segments_for_frames(frames: DataFrame, map_files: DataFrame, scripts: DataFrame) -> DataFrame:

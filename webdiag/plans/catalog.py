@@ -279,7 +279,7 @@ select url, gen_line, gen_col, lead(gen_col) over (partition by url, gen_line or
 from allseg
 """)
 def map_segments(spark, sf_dir):
-    d = A._map_docs_table(spark, sf_dir)
+    d = A.map_docs_table(spark, sf_dir)
     return SM.build_segments(d.select("url", "map_json"))
 
 
@@ -287,17 +287,10 @@ _A2_FIRST = f"""with {S.a2_frames_sql()}, {S.a4_sql().strip()},
 gated as (select * from kept where {S.minified_sql()})"""
 
 
-_SEGMENTS: dict = {}
-
-
-def _segments_table(spark, sf_dir, frames, map_files, scripts):
-    """The segment table of the frames' maps, built once per application
-    and data folder and written to the shared checkpoint folder; the
-    resolution queries read it (its build is what ``map_segments`` times)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _SEGMENTS:
-        _SEGMENTS[key] = materialize(SM.segments_for_frames(frames, map_files, scripts), "segments")
-    return _SEGMENTS[key]
+def _segments_table(frames, map_files, scripts):
+    """The segment table of the frames' maps, written to the shared
+    checkpoint folder by the query that reads it."""
+    return materialize(SM.segments_for_frames(frames, map_files, scripts), "segments")
 
 
 def _frames_and_maps(spark, sf_dir):
@@ -338,7 +331,7 @@ select capture_id, seq, frame_no, cast(resolved as bigint) as resolved, text fro
 """)
 def frames_resolved(spark, sf_dir):
     frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
-    segs = _segments_table(spark, sf_dir, frames, map_files, scripts)
+    segs = _segments_table(frames, map_files, scripts)
     r = AS.resolve_frames(frames, segs, bucket_width=64)
     return r.select("capture_id", "seq", "frame_no", F.col("resolved").cast("bigint").alias("resolved"), "text")
 
@@ -348,7 +341,7 @@ select capture_id, count(*) as n_frames, count(*) filter (where resolved) as res
 """)
 def resolved_counts(spark, sf_dir):
     frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
-    segs = _segments_table(spark, sf_dir, frames, map_files, scripts)
+    segs = _segments_table(frames, map_files, scripts)
     r = AS.resolve_frames(frames, segs)
     return r.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_frames"),
                                        F.count_if("resolved").alias("resolved_count"))
@@ -363,7 +356,7 @@ def stack_resolved(spark, sf_dir):
     entries = A.stack_entries(spark, sf_dir)
     _, map_files, scripts = _frames_and_maps(spark, sf_dir)
     frames = ST.explode_frames(entries)
-    segs = _segments_table(spark, sf_dir, frames, map_files, scripts)
+    segs = _segments_table(frames, map_files, scripts)
     c = AS.compress_with_maps(entries, segs)
     return c.select("capture_id", "seq", F.array_join("stack_trace", "\n").alias("stack_trace"), "resolved_count")
 

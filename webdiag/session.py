@@ -4,7 +4,6 @@ and a lineage cut that writes to it (never localCheckpoint)."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,31 +42,48 @@ def get_spark(master: str | None = None, app: str = "webdiag",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the setting names shared storage and is read as is. Only
-    when it is unset (local tests) a folder of our own is created and set.
-    """
+    """The shared folder for intermediate tables: what the session's
+    ``spark.checkpoint.dir`` names, else the folder given to
+    ``setCheckpointDir``. Without either no folder is known to be shared."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="webdiag-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    got = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if got.isDefined():
+        return got.get()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+# folders written by materialize, by application
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the checkpoint folder
     and reading it back. Survives executor loss (the data is on shared
-    storage) and lets several later jobs reuse one build."""
+    storage) and lets several later jobs reuse one build. ``drop_intermediate``
+    deletes what was written, once the results that read it are out."""
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_intermediate(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the intermediate tables of this application written after the
+    first ``keep``; ``intermediate_count`` gives that number beforehand."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths[keep:]:
+        p = hadoop(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del paths[keep:]
+
+
+def intermediate_count(spark: SparkSession) -> int:
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))

@@ -15,8 +15,8 @@ from webdiag.operators.common import posexplode_rows
 from webdiag.session import materialize
 from webdiag.sources.tables import read_table
 
-# documents hold at most 20,000 words (TESTDATA.md), so fewer lines than the
-# stride, and doc_id * stride + line position is unique and in arrival order
+# doc_id * stride + line position is unique and in arrival order; a document
+# with more lines than the stride is an error, not a silent change of order
 SEQ_STRIDE = 100000
 
 
@@ -50,7 +50,8 @@ def console_entries_of(docs: DataFrame) -> DataFrame:
                                    _s(d * 7919))))
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/doc"), _s(d), F.lit(".js"))
     return lines.select(F.col("source").alias("capture_id"),
-                        (d * SEQ_STRIDE + F.col("pos")).alias("seq"),
+                        F.when(F.col("pos") < SEQ_STRIDE, d * SEQ_STRIDE + F.col("pos")).otherwise(
+                            F.raise_error(F.lit("more lines than SEQ_STRIDE")).cast("bigint")).alias("seq"),
                         level.alias("level"), message.alias("message"), url.alias("url"))
 
 
@@ -165,17 +166,10 @@ def _vlq(v):
     return F.concat(head, tail)
 
 
-_BUILT: dict = {}
-
-
-def _map_docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map documents feed two tables and several queries: build them
-    once per application and data folder, as a table written to the shared
-    checkpoint folder, and read that table afterwards."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _BUILT:
-        _BUILT[key] = materialize(source_map_docs(spark, sf_dir), "a4_map_docs")
-    return _BUILT[key]
+def map_docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map documents feed two tables of a query: built once by it, as a
+    table in the shared checkpoint folder."""
+    return materialize(source_map_docs(spark, sf_dir), "a4_map_docs")
 
 
 def _base64(text):
@@ -252,7 +246,7 @@ def map_files_and_scripts(spark: SparkSession, sf_dir: str):
     cust % 3 = 0: map next to the bundle (not JSON for some) and a
     reference to a second copy; = 1: relative reference to the copy;
     = 2: inline base64 reference."""
-    d = _map_docs_table(spark, sf_dir)
+    d = map_docs_table(spark, sf_dir)
     c3 = F.col("cust") % 3
     copy_url = F.concat(F.lit(MAP_DIR), F.lit("app"), F.col("cust").cast("string"), F.lit(".js.map"))
     sib_json = F.when(F.expr(A4_BROKEN_SIBLING), F.lit("not json")).otherwise(F.col("map_json"))

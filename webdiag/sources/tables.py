@@ -9,25 +9,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None,
-               fan_out: bool = True) -> DataFrame:
-    """Parquet table ``name`` of ``sf_dir``.
-
-    ``fan_out``: a table stored as one unsplittable row group scans as one
-    task; when the scan yields fewer partitions than the cluster's default
-    parallelism it is spread round-robin (a no-op at scale, where scans
-    already have thousands of splits). Pass ``columns`` so the spread
-    moves only the columns the job reads."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    """Parquet table ``name`` of ``sf_dir``, with ``columns`` only. How finely
+    it is split is the session's ``spark.sql.files.maxPartitionBytes``."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if columns is not None:
-        df = df.select(*columns)
-    if fan_out:
-        try:  # classic sessions only (no RDD access over Spark Connect)
-            par = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < par:
-                df = df.repartition(par)
-        except Exception:  # noqa: BLE001 — the spread is an optimisation only
-            pass
-    return df
+    return df if columns is None else df.select(*columns)
