@@ -7,9 +7,12 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webdiag.session import plain_unions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables, read by Spark (any file system)."""
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -33,6 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: later steps
     neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
+    plain_unions(spark)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(spark))

@@ -337,25 +337,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     .otherwise(F.col("id")).alias("component")))
 
 
-def _leaves(pairs: DataFrame, known: DataFrame, weight: Column) -> DataFrame:
+def _leaves(pairs: DataFrame, weights: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (centre, i, j, member, own, and the columns of ``known``) of each
     leaf, the centre's own among them, sorted so that what is compared together
-    follows each other: leaves of more than LEAF_BYTES by ``weight`` are cut
-    into blocks, and block i meets every block j."""
+    follows each other. Leaves of more than LEAF_BYTES by ``weights(set,
+    weight)`` are cut into blocks, and block i meets every block j. Places are
+    worked out on narrow rows; what ``known`` has of a set joins them last."""
     members = pairs.unionAll(pairs.select("centre", F.col("centre").alias("member")).distinct())
-    full = members.join(known.withColumnRenamed("set", "member"), "member")
-    blocks = full.groupBy("centre").agg(F.ceil(F.sum(weight) / LEAF_BYTES).cast("int").alias("blocks"))
+    blocks = (members.join(weights.withColumnRenamed("set", "member"), "member").groupBy("centre")
+              .agg(F.ceil(F.sum("weight") / LEAF_BYTES).cast("int").alias("blocks")))
     centre = F.col("centre") == F.col("member")
-    spread = (full.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    spread = (members.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.when(centre, F.sequence(F.lit(0), F.expr("blocks * blocks - 1")))
                                              .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
               .withColumn("i", F.when(centre, F.floor(F.col("other") / F.col("blocks"))).otherwise(F.least("own", "other")).cast("int"))
               .withColumn("j", F.when(centre, F.col("other") % F.col("blocks")).otherwise(F.greatest("own", "other")).cast("int"))
-              .filter("i <= j").drop("blocks", "other"))
+              .filter("i <= j").select("centre", "i", "j", "member", "own"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    others = [c for c in known.columns if c != "set"]
-    return (spread.select("centre", "i", "j", "member", "own", *others).repartition(parts, "centre", "i", "j")
-            .sortWithinPartitions("centre", "i", "j", "member"))
+    full = spread.join(known.withColumnRenamed("set", "member"), "member")
+    return (full.select("centre", "i", "j", "member", "own", *[c for c in known.columns if c != "set"])
+            .repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j", "member"))
 
 
 def _sides(members: list[int], own: list[int], centre: int, i: int, j: int) -> list[int]:
@@ -378,7 +379,8 @@ def _verified(rows: DataFrame, slim: DataFrame, pairs: DataFrame, size: int, per
                 yield pa.RecordBatch.from_arrays([pa.array([centre] * len(kept), pa.int64()), pa.array(kept, pa.int64())],
                                                  ["centre", "member"])
 
-    near = map_arrow(_leaves(pairs, points, F.octet_length("point")), prune, "centre long, member long")
+    weights = points.select("set", F.octet_length("point").alias("weight"))
+    near = map_arrow(_leaves(pairs, weights, points), prune, "centre long, member long")
     near = cut(near.distinct())
     wanted = near.select(F.explode(F.array("centre", "member")).alias("set")).distinct()
     wanted = cut(wanted.join(slim.groupBy("set").agg(F.min(F.struct("id", "mark")).alias("one")), "set")
@@ -414,7 +416,8 @@ def _verified(rows: DataFrame, slim: DataFrame, pairs: DataFrame, size: int, per
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return map_arrow(_leaves(near, sets, 8 * F.col("n")), compare, "a long, b long")
+    weights = points.select("set", (8 * F.col("n")).alias("weight"))
+    return map_arrow(_leaves(near, weights, sets), compare, "a long, b long")
 
 
 def op1_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
