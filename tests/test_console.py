@@ -138,8 +138,12 @@ def test_first_entry_modes_agree(spark):
     from webdiag.sources import adapters as A
     for e in (noisy_entries(spark), A.console_entries(spark, "/root/testdata/sf0.001")):
         for sev in ("error", "all"):
-            a = rollup.error_rollup(e, severity=sev, limit=7)
+            a = rollup.error_rollup(e, severity=sev, limit=7, first_entry="min_by")
             b = rollup.error_rollup(e, severity=sev, limit=7, first_entry="join")
             assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    tied = spark.createDataFrame([("c", 1, "error", "m 1", "b"), ("c", 1, "error", "m 1", "a"), ("c", 1, "error", "m 1", "a")],
+                                 "capture_id string, seq bigint, level string, text string, source string")
+    for mode in ("join", "min_by"):
+        assert [(r["count"], r.source) for r in rollup.error_rollup(tied, first_entry=mode).collect()] == [(3, "a")]
     plan = rollup.error_rollup(noisy_entries(spark), first_entry="join")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan

@@ -221,3 +221,41 @@ def test_map_selection_duplicate_hosting(spark):
     urls_df = spark.createDataFrame([("https://h/a.min.js",)], "url string")
     got = sourcemaps.select_maps(urls_df, map_files, scripts).collect()
     assert len(got) == 1 and got[0].map_origin == "sibling"
+
+
+def test_maps_with_ties_and_a_guard_line(spark):
+    import json
+
+    from webdiag.operators import sourcemaps
+    # at column 0 a 1-field segment, then a mapping without and one with a name; both sides of a guard line
+    text = json.dumps({"version": 3, "sources": ["a.js", "b.js"], "names": ["f"], "mappings": "A,AAAA,AAAAA,CCAA"})
+    maps = spark.createDataFrame([("u", text), ("v", ")]}'\n" + text)], "url string, map_json string")
+    rows = sourcemaps.build_segments(maps).orderBy("url", "gen_col").collect()
+    assert [(r.url, r.gen_col, r.next_gen_col, r.source, r.name) for r in rows] == [
+        (u, c, n, s, m) for u in ("u", "v") for c, n, s, m in ((0, 1, "a.js", "f"), (1, None, "b.js", None))]
+
+
+def test_blocks_of_a_long_line(spark, monkeypatch):
+    import json
+
+    from webdiag.operators import sourcemaps
+    monkeypatch.setattr(sourcemaps, "BLOCK", 3)
+    text = json.dumps({"version": 3, "sources": ["a.js"], "names": [], "mappings": ",".join(["AAAA"] + ["CAAC"] * 20) + ";" + ",".join(["CACD"] * 5)})
+    rows = sourcemaps.build_segments(spark.createDataFrame([("u", text)], "url string, map_json string")).collect()
+    got = sorted((r.gen_line, r.gen_col, r.orig_line, r.orig_col) for r in rows)
+    assert got == [(1, i, 1, i) for i in range(21)] + [(2, i, 1 + i, 20 - i) for i in range(1, 6)]
+
+
+def test_ungated_frames_stay_out_of_the_join(spark):
+    from pyspark.sql import functions as F
+
+    from webdiag.operators import asof
+    frames = spark.range(1000).select(
+        F.col("id").alias("capture_id"), F.lit(1).alias("frame_no"), F.lit("f").alias("function_name"),
+        F.when(F.col("id") % 10 == 0, F.lit("https://h/a.min.js")).alias("url"), F.lit(1).cast("bigint").alias("line"),
+        F.lit(5).cast("bigint").alias("col"), F.lit("raw text").alias("raw"))
+    segs = spark.createDataFrame([("https://h/a.min.js", 1, 0, None, "s.js", 7, 2, "g")],
+                                 "url string, gen_line bigint, gen_col bigint, next_gen_col bigint, source string, orig_line bigint, orig_col bigint, name string")
+    got = asof.resolve_frames(frames, segs)
+    rows = got.groupBy("resolved", "text").count().collect()
+    assert {(r.resolved, r.text, r["count"]) for r in rows} == {(True, "at g (s.js:7:2)", 100), (False, "raw text", 900)}

@@ -60,3 +60,61 @@ def test_variant_stacks_compress(spark):
     out = {r.capture_id: r.stack_trace for r in stacks.compress_stacks(e).collect()}
     assert out["a"] == ["at f (https://h/a.js:1:2)", "at g (https://h/b.js:3:4)"]
     assert out["b"] == ["at q (https://h/c.js:5:6)", "next"]
+
+
+def test_whole_payload_is_kept(spark):
+    from webdiag import api
+    bad = "not json " + "x" * 1000
+    odd = json.dumps({"weird": "y" * 500})
+    p = spark.createDataFrame([("a", bad), ("b", odd), ("c", '[{"level":"error","text":"t"}, null]')], "capture_id string, payload string")
+    r = api.get_errors(p, severity="all", resolve_sourcemaps=False)
+    q = {x.capture_id: x for x in r.quarantine.collect()}
+    assert q["a"].raw == bad and q["b"].raw == odd and set(q) == {"a", "b", "c"}
+    assert len(q["b"].warning) == len("Log extraction failed: Unrecognized console log response shape: ") + 200
+    docs = {x.capture_id: json.loads(x.report) for x in r.report.collect()}
+    assert docs["a"]["raw"] == bad and docs["b"]["raw"] == {"weird": "y" * 500}
+    assert docs["c"]["_warning"].endswith("null entry in the log")
+
+
+def test_duplicate_keys_and_long_strings(spark):
+    from webdiag import api
+    entries = json.dumps([{"level": "error", "text": "boom " + "z" * 3_000_000} for _ in range(9)])
+    rows = [("dup", '[{"level":"log","level":"error","text":"a","text":"b"}]'),
+            ("long", json.dumps({"content": [{"text": "```json " + entries + " ```"}]})),
+            ("direct", '{"messages":' + entries + "}")]
+    assert len(rows[1][1]) > 25_000_000
+    p = spark.createDataFrame(rows, "capture_id string, payload string")
+    r = api.get_errors(p, severity="error", resolve_sourcemaps=False)
+    got = {(x.capture_id, x["count"], x.message[:5]) for x in r.issues.collect()}
+    assert got == {("dup", 1, "b"), ("long", 9, "boom "), ("direct", 9, "boom ")}
+    assert r.quarantine.count() == 0
+
+
+def test_replies_without_elements(spark):
+    from webdiag import api
+    p = spark.createDataFrame([("batch", '{"results":[]}'), ("one", '{"results":[]}'), ("text", '{"results":"x"}')],
+                              "capture_id string, payload string")
+    single = spark.createDataFrame([("one", True)], "capture_id string, is_single boolean")
+    r = api.diagnose_element(style_payloads=p, single=single)
+    assert {x.capture_id: x.summary for x in r.batch.collect()} == {
+        k: "0 element diagnosed, 0 with issues." for k in ("batch", "text")}
+    docs = {x.capture_id: json.loads(x.report) for x in r.report.collect()}
+    assert docs["batch"] == {"summary": "0 element diagnosed, 0 with issues.", "details": {"results": []}}
+    assert docs["one"]["_warning"] == "Style extraction failed: no element in the reply" and docs["one"]["raw"] == {"results": []}
+
+
+def test_one_global_group(spark):
+    from webdiag import api
+    p = spark.createDataFrame([('[{"level":"error","text":"a"}]',), ('{"logs":[{"level":"error","text":"a"}]}',)], "payload string")
+    r = api.get_errors(p, resolve_sourcemaps=False, by=[])
+    assert [(x["count"], x.message) for x in r.issues.collect()] == [(2, "a")] and "_all" not in r.report.columns
+    e = spark.createDataFrame([('{"results":[{"selector":"#a","styles":{"opacity":"0"}}]}',)], "payload string")
+    assert api.diagnose_element(style_payloads=e, by=[]).batch.collect()[0].n_with_issues == 1
+
+
+def test_empty_stack_in_a_payload(spark):
+    from webdiag import api
+    p = spark.createDataFrame([("a", '[{"level":"error","text":"x","stack":""},{"level":"error","text":"y","stack":[]}]')],
+                              "capture_id string, payload string")
+    got = {x.message: x.stack_trace for x in api.get_errors(p).issues.collect()}
+    assert got == {"x": None, "y": []}

@@ -40,16 +40,19 @@ def test_diagnose_json_single_and_batch(spark):
     assert s["details"] == {"selector": "#main", "issues": [], "styles": {"opacity": "1"}}
 
 
-def test_diagnose_json_parts(spark):
-    req = spark.createDataFrame([("b", i, f"#e{i}") for i in range(45)], "capture_id string, pos int, selector string")
-    els = spark.createDataFrame([("b", f"#e{i}", {"opacity": "1"}) for i in range(45)],
+def test_more_than_twenty_selectors_are_rejected(spark):
+    from webdiag import api
+    req = spark.createDataFrame([("big", i, f"#e{i}") for i in range(21)] + [("ok", i, f"#e{i}") for i in range(20)],
+                                "capture_id string, pos int, selector string")
+    els = spark.createDataFrame([(c, f"#e{i}", {"opacity": "1"}) for i in range(21) for c in ("big", "ok")],
                                 "capture_id string, selector string, styles map<string,string>")
-    report, batch = reports.diagnose(req, els)
-    rows = sinks.diagnose_json(report, batch).orderBy("part").collect()
-    assert [r.part for r in rows] == [0, 1, 2]
-    sizes = [len(json.loads(r.report)["details"]["results"]) for r in rows]
-    assert sizes == [20, 20, 5]
-    assert json.loads(rows[0].report)["summary"] == "45 elements diagnosed, 0 with issues."
+    r = api.diagnose_element(req, elements=els)
+    docs = {x.capture_id: json.loads(x.report) for x in r.report.collect()}
+    assert len(docs["ok"]["details"]["results"]) == 20
+    assert docs["ok"]["summary"] == "20 elements diagnosed, 0 with issues."
+    assert docs["big"]["_warning"] == "Style extraction failed: too many selectors in one request"
+    assert docs["big"]["raw"] == [f"#e{i}" for i in range(21)]
+    assert [x.capture_id for x in r.quarantine.collect()] == ["big"]
 
 
 def test_error_report_with_source_maps(spark):

@@ -54,26 +54,6 @@ def element_issues(elements: DataFrame, keys=("capture_id", "selector")) -> Data
     return x.select(*keys, (F.col("i") + 1).cast("bigint").alias("issue_no"), "issue.*")
 
 
-def _prop_value(i: Column) -> Column:
-    return F.concat(i["property"], F.lit(":"), i["value"])
-
-
-def element_summary(selector: Column, issues: Column, styles: Column) -> Column:
-    """O9.1 / O9.2 summary text of one found element."""
-    clean = F.concat(selector, F.lit(": No obvious visual issues detected. display:"),
-                     F.coalesce(styles.getItem("display"), F.lit("?")), F.lit(", opacity:"),
-                     F.coalesce(styles.getItem("opacity"), F.lit("?")), F.lit(", visibility:"),
-                     F.coalesce(styles.getItem("visibility"), F.lit("?")), F.lit("."))
-    high = F.filter(issues, lambda i: i["severity"] == "high")
-    others = F.filter(issues, lambda i: ~i["severity"].eqNullSafe(F.lit("high")))
-    high_part = F.when(F.size(high) > 0, F.concat(
-        F.array_join(F.transform(high, _prop_value), ", "), F.lit(" (likely cause)")))
-    other_part = F.when(F.size(others) > 0, F.array_join(
-        F.transform(others, lambda i: F.coalesce(i["note"], _prop_value(i))), "; "))
-    return F.when(F.size(issues) == 0, clean).otherwise(
-        F.concat(selector, F.lit(": "), F.concat_ws("; ", high_part, other_part)))
-
-
 def not_found_summary(selector: Column, suggestions: Column) -> Column:
     """O9.3 summary of a selector that matched nothing."""
     return F.when(F.coalesce(F.array_size(suggestions), F.lit(0)) > 0,
@@ -82,13 +62,6 @@ def not_found_summary(selector: Column, suggestions: Column) -> Column:
         .otherwise(F.concat(selector, F.lit(": element not found, no similar selectors detected.")))
 
 
-def top_issue(issues: Column) -> Column:
-    """First issue of the highest severity in one element (strict '>')."""
-    empty = F.lit(None).cast(rules.ISSUE_TYPE)
-    return F.aggregate(issues, empty, lambda acc, x: F.when(
-        acc.isNull() | (rules.issue_rank(x["severity"]) > rules.issue_rank(acc["severity"])), x).otherwise(acc))
-
-
 def _static_report_columns(styles: Column, selector: Column):
     """(n_issues, summary, top) of a found element, straight from the rule
     conditions: each rule's severity and note text are fixed, so the
@@ -139,8 +112,10 @@ def element_report(elements: DataFrame, include_box_model: bool = True) -> DataF
     return out.withColumn("styles", styles if include_box_model else css.drop_box_model(styles))
 
 
-def batch_report(report: DataFrame, by=("capture_id",), order=("pos", "selector")) -> DataFrame:
-    """One row per capture: counts and the O9.4 batch summary.
+def batch_report(report: DataFrame, by=("capture_id",), order=("pos", "selector"),
+                 captures: DataFrame | None = None) -> DataFrame:
+    """One row per capture: counts and the O9.4 batch summary. ``captures``
+    (keys only) adds captures whose reply held no element.
 
     Top issue = highest severity; ties → earliest element in ``order``, then
     earliest issue. ``min_by`` with a struct ordering keeps this a single
@@ -156,6 +131,8 @@ def batch_report(report: DataFrame, by=("capture_id",), order=("pos", "selector"
         F.count_if(F.col("is_not_found")).alias("n_not_found"),
         F.min_by(F.struct(F.col("selector").alias("selector"), top["property"].alias("property"),
                           top["value"].alias("value")), ordering).alias("top"))
+    if captures is not None:
+        g = captures.select(*keys).distinct().join(g, keys, "left").fillna(0, ["n_elements", "n_with_issues", "n_not_found"])
     n = F.col("n_elements")
     summary = F.concat(
         n.cast("string"), F.lit(" element"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")),

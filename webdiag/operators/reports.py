@@ -27,8 +27,10 @@ def check_error_params(severity: str, limit: int) -> None:
 
 def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, by=("capture_id",),
                  segments: DataFrame | None = None, captures: DataFrame | None = None,
-                 noise_patterns=C.NOISE_PATTERNS) -> tuple[DataFrame, DataFrame]:
-    """(issues, summary).
+                 noise_patterns=C.NOISE_PATTERNS, keep=None) -> tuple[DataFrame, DataFrame]:
+    """(issues, summary). ``segments`` is a table, or a function that makes it
+    from the kept issues' frames; ``keep(df, name)`` writes what several
+    outputs read.
 
     ``issues``: the ranked rollup; with ``segments`` the kept issues' stacks
     are compressed and resolved (``stack_trace``, ``resolved_count``), else
@@ -41,15 +43,20 @@ def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, b
         key = "_all"
         entries = entries.withColumn(key, F.lit(0))
         captures = None
-        issues, summary = error_report(entries, severity, limit, [key], segments, None, noise_patterns)
+        issues, summary = error_report(entries, severity, limit, [key], segments, None, noise_patterns, keep)
         return issues.drop(key), summary.drop(key)
     # issues: severity pushed to the scan; totals: a count over the key
     # columns only (a narrow columnar scan of the same table)
     issues = rollup.error_rollup(entries, severity=severity, limit=limit, by=keys, noise_patterns=noise_patterns)
+    keep = keep or (lambda df, _name: df)
     if "stack" in issues.columns:
         if segments is not None:
             from webdiag.operators.asof import compress_with_maps
-            issues = compress_with_maps(issues, segments, keys=[*keys, "issue_no"])
+            from webdiag.operators.stacks import explode_frames
+            issues = keep(issues, "kept_issues")  # at most limit per capture from here on
+            if callable(segments):
+                segments = segments(explode_frames(issues, [*keys, "issue_no"]))
+            issues = keep(compress_with_maps(issues, segments, keys=[*keys, "issue_no"]), "issues")
         else:
             from webdiag.operators.stacks import compress_stacks
             issues = compress_stacks(issues).withColumn("resolved_count", F.lit(None).cast("bigint"))

@@ -130,9 +130,8 @@ def error_rollup(entries: DataFrame, severity: str = "error", limit: int | None
                              F.col("first_seq").asc()], limit)
     rep_fields = [f for f in ENTRY_FIELDS if f in e.columns]
     reps = e.select(*keys, F.col("seq").alias("first_seq"), "fingerprint", *rep_fields)
-    one = ["issue_no", "count", "first_seq", "fingerprint"]
-    order = F.struct("message", *["source"] * ("source" in rep_fields))
-    out = (ranked.join(reps, [*keys, "first_seq", "fingerprint"], "inner").groupBy(*keys, *one)
-           .agg(F.min_by(F.struct(*rep_fields), order).alias("rep")).select(*keys, *one, "rep.*"))
+    order = ["message", *["source"] * ("source" in rep_fields)]
+    out = top_k(ranked.join(reps, [*keys, "first_seq", "fingerprint"], "inner"), [*keys, "issue_no"], [F.col(c) for c in order],
+                1, "_tie").drop("_tie")
     cols = [*keys, "issue_no", "level", "message", "count", "source", "first_seq", "fingerprint"]
     return out.select(*cols, *(["stack"] if "stack" in out.columns else []))

@@ -595,11 +595,11 @@ det as (
   left join issue_json ij on ij.rid = f.rid
   left join sugg sg on sg.capture_id = l.capture_id and sg.selector = l.selector
 )
-select det.capture_id, cast(floor(det.pos / 20) as bigint) as part,
+select det.capture_id,
   '{{"summary":' || to_json(diag.summary)::varchar || ',"details":{{"results":['
     || string_agg(d::varchar, ',' order by pos) || ']}}}}' as report
 from det join diag using (capture_id)
-group by det.capture_id, floor(det.pos / 20), diag.summary
+group by det.capture_id, diag.summary
 """)
 def diagnose_json(spark, sf_dir):
     report, batch = RP.diagnose(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),
@@ -633,19 +633,24 @@ g as (
     arg_min(coalesce(selector, 'undefined') || ' ' || property || ':' || value,
             struct_pack(nr := -r, p := pos, s := selector, pp := property, v := value)) filter (where has_issue) as top
   from el group by capture_id
+),
+-- a reply that was understood but holds no element is a batch of none
+b as (
+  select ek.capture_id, coalesce(n_elements, 0) as n_elements, coalesce(n_with_issues, 0) as n_with_issues,
+    coalesce(n_not_found, 0) as n_not_found, top
+  from (select distinct capture_id from ek where payload_kind <> 'failed') ek left join g using (capture_id)
 )
 select capture_id, n_elements, n_with_issues, n_not_found,
   concat(cast(n_elements as varchar), ' element', case when n_elements > 1 then 's' else '' end,
          ' diagnosed, ', cast(n_with_issues as varchar), ' with issues',
          case when n_not_found > 0 then ', ' || cast(n_not_found as varchar) || ' not found' else '' end,
          case when top is not null then '. Top: ' || top else '' end, '.') as summary
-from g
+from b
 """)
 def payload_batch_summary(spark, sf_dir):
-    """Raw style payloads → elements → rules → batch summary per capture
-    (captures whose payload held no element have no batch)."""
-    rows = PL.element_rows(PL.parse_element_payloads(A.element_payloads(spark, sf_dir)))
-    return AU.batch_report(AU.element_report(rows))
+    """Raw style payloads → elements → rules → batch summary per capture."""
+    from webdiag import api
+    return api.diagnose_element(style_payloads=A.element_payloads(spark, sf_dir)).batch
 
 
 _RANK = S.rank_sql()
@@ -716,6 +721,11 @@ select c.capture_id,
                            'unique_issues', coalesce(p.lst, json('[]')),
                            '_sourcemap_resolved', coalesce(p.resolved, 0)))::varchar as report
 from caps c left join totals t using (capture_id) left join per p using (capture_id)
+union all
+select capture_id, '{{"_warning":' || to_json('Log extraction failed: ' || case when has_text and pj is null
+      then 'invalid JSON in text payload' else 'Unrecognized console log response shape: ' || substring(payload, 1, 200) end)::varchar
+    || ',"raw":' || case when json_valid(payload) then payload else to_json(payload)::varchar end || '}}' as report
+from ck where payload_kind = 'failed'
 """)
 def payload_error_report_json(spark, sf_dir):
     """api.get_errors end to end: raw console payloads, severity all, stacks

@@ -450,19 +450,18 @@ eentries as (
 
 
 def quarantine_sql() -> str:
-    from webdiag.sources import payloads as P
-    return f"""
+    return """
 select capture_id, 'console' as source,
-  {q(P.CONSOLE_WARNING)} || case when has_text and pj is null then {q(P.INVALID_JSON)}
-    else {q(P.CONSOLE_UNRECOGNIZED)} || substring(payload, 1, {P.RAW_KEEP_CHARS}) end as warning,
-  substring(payload, 1, {P.RAW_KEEP_CHARS}) as raw
+  'Log extraction failed: ' || case when has_text and pj is null then 'invalid JSON in text payload'
+    else 'Unrecognized console log response shape: ' || substring(payload, 1, 200) end as warning,
+  payload as raw
 from ck where payload_kind = 'failed'
 union all
 select capture_id, 'element' as source,
-  {q(P.STYLE_WARNING)} || case when has_text and pj is null then {q(P.INVALID_JSON)}
-    when has_text and json_type(pj) = 'NULL' then {q(P.STYLE_NULL)}
-    else {q(P.STYLE_UNRECOGNIZED)} || substring(payload, 1, {P.RAW_KEEP_CHARS}) end as warning,
-  substring(payload, 1, {P.RAW_KEEP_CHARS}) as raw
+  'Style extraction failed: ' || case when has_text and pj is null then 'invalid JSON in text payload'
+    when has_text and json_type(pj) = 'NULL' then 'Script returned null'
+    else 'Unrecognized response shape: ' || substring(payload, 1, 200) end as warning,
+  payload as raw
 from ek where payload_kind = 'failed'"""
 
 

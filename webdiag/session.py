@@ -45,6 +45,13 @@ def get_spark(master: str | None = None, app: str = "webdiag",
     return spark
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Keeps Spark 4.1 from joining the partitions of a union's inputs one by
+    one: adaptive execution may have coalesced them to different numbers, and
+    the query then fails with "Can't zip RDDs"."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: what the session's
     ``spark.checkpoint.dir`` names, else the folder given to

@@ -57,34 +57,43 @@ def _element_details_json(report: DataFrame):
     return F.when(F.col("is_not_found"), missing).otherwise(found)
 
 
-def diagnose_json(report: DataFrame, batch: DataFrame, by=("capture_id",), single=None,
-                  part_size: int = 20) -> DataFrame:
-    """keys…, part, report: the diagnosis envelope. ``single`` (a DataFrame
-    of keys…, is_single) marks captures asked with one selector string
-    rather than a list: those answer ``{summary, details}`` of their one
-    element; all others ``{summary: batch summary, details: {results}}``.
-
-    ``results`` holds the elements of request positions
-    [part·part_size, (part+1)·part_size): a request within the reference's
-    bound of 20 selectors is one document (part 0); a larger one is split
-    into several, so no capture's elements are gathered into one group."""
+def _open_json(**fields):
+    """JSON object text of the given columns without its closing brace."""
+    head = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), JSON_OPTIONS)
+    return F.substring(head, 1, F.length(head) - 1)
+
+
+def warning_json(quarantine: DataFrame, by=("capture_id",)) -> DataFrame:
+    """keys…, report: ``{"_warning", "raw"}`` of captures that failed; ``raw``
+    is the payload as it came, as JSON if it is JSON and else as a string."""
+    raw = F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")).otherwise(
+        F.regexp_extract(F.to_json(F.struct(F.col("raw").alias("r")), JSON_OPTIONS), r"(?s)^\{\"r\":(.*)\}$", 1))
+    doc = F.concat(_open_json(_warning=F.col("warning")), F.lit(',"raw":'), raw, F.lit("}"))
+    return quarantine.select(*as_keys(by), doc.alias("report"))
+
+
+def diagnose_json(report: DataFrame, batch: DataFrame, by=("capture_id",), single=None) -> DataFrame:
+    """keys…, report: the diagnosis envelope, one document per row of
+    ``batch``. ``single`` (a DataFrame of keys…, is_single) marks captures
+    asked with one selector string rather than a list: those answer
+    ``{summary, details}`` of their one element; all others ``{summary: batch
+    summary, details: {results}}``, with an empty list where no element came.
+
+    A capture's elements stand in one document, so their number is bounded
+    beforehand: ``api.diagnose_element`` rejects requests of more than 20
+    selectors, as the reference does."""
     keys = as_keys(by)
-    items = report.select(*keys, F.floor(F.col("pos") / part_size).cast("bigint").alias("part"), "pos",
-                          "summary", _element_details_json(report).alias("_d"))
-    g = items.groupBy(*keys, "part").agg(
+    items = report.select(*keys, "pos", "summary", _element_details_json(report).alias("_d"))
+    g = items.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "_d"))).alias("_items"),
         F.min_by(F.struct("summary", "_d"), F.struct("pos", "_d")).alias("_first"))
-    g = g.join(batch.select(*keys, F.col("summary").alias("_batch_summary")), keys, "inner")
+    g = batch.select(*keys, F.col("summary").alias("_batch_summary")).join(g, keys, "left")
     if single is not None:
         g = g.join(single.select(*keys, "is_single"), keys, "left")
     else:
         g = g.withColumn("is_single", F.lit(False))
-
-    def summary_json(col):
-        head = F.to_json(F.struct(col.alias("summary")))
-        return F.substring(head, 1, F.length(head) - 1)  # '{"summary":"…"' without the closing brace
-    results = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda x: x["_d"]), ","), F.lit("]"))
-    batch_doc = F.concat(summary_json(F.col("_batch_summary")), F.lit(',"details":{"results":'), results, F.lit("}}"))
-    single_doc = F.concat(summary_json(F.col("_first.summary")), F.lit(',"details":'), F.col("_first._d"), F.lit("}"))
-    return g.select(*keys, "part", F.when(F.coalesce("is_single", F.lit(False)), single_doc).otherwise(batch_doc)
-                    .alias("report"))
+    listed = F.coalesce(F.array_join(F.transform("_items", lambda x: x["_d"]), ","), F.lit(""))
+    batch_doc = F.concat(_open_json(summary=F.col("_batch_summary")), F.lit(',"details":{"results":['), listed, F.lit("]}}"))
+    single_doc = F.concat(_open_json(summary=F.col("_first.summary")), F.lit(',"details":'), F.col("_first._d"), F.lit("}"))
+    is_single = F.coalesce("is_single", F.lit(False)) & F.col("_first").isNotNull()
+    return g.select(*keys, F.when(is_single, single_doc).otherwise(batch_doc).alias("report"))
