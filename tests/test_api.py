@@ -2,13 +2,13 @@
 
 import json
 
-from fixtures import NOISY_LOG, TYPE_ERROR
+from fixtures import N_ENTRIES, SHOP_LOG, STOCK_ERROR
 from webdiag import api
 
 
 def noisy_payload():
     return json.dumps([{"level": lvl, "text": txt, "source": src, **({"url": url} if url else {})}
-                       for lvl, txt, src, url in NOISY_LOG])
+                       for lvl, txt, src, url in SHOP_LOG])
 
 
 def test_get_errors_from_payload(spark):
@@ -16,12 +16,12 @@ def test_get_errors_from_payload(spark):
                                ("bad", "<html>")], "capture_id string, payload string")
     r = api.get_errors(p, severity="error", limit=20)
     s = {x.capture_id: x.summary for x in r.summary.collect()}
-    assert s["page"] == f"3 unique issues (from 13 total log entries). Top: {TYPE_ERROR}"
+    assert s["page"] == f"3 unique issues (from {N_ENTRIES} total log entries). Top: {STOCK_ERROR}"
     assert s["empty"] == "No error messages found in console."
     assert "bad" not in s and [q.capture_id for q in r.quarantine.collect()] == ["bad"]
     doc = json.loads([x.report for x in r.report.collect() if x.capture_id == "page"][0])
     assert doc["details"]["_sourcemap_resolved"] == 0
-    assert [i["count"] for i in doc["details"]["unique_issues"]] == [3, 1, 1]
+    assert [i["count"] for i in doc["details"]["unique_issues"]] == [5, 2, 1]
     r2 = api.get_errors(p, severity="all", limit=1, resolve_sourcemaps=False)
     doc2 = json.loads([x.report for x in r2.report.collect() if x.capture_id == "page"][0])
     assert "_sourcemap_resolved" not in doc2["details"] and len(doc2["details"]["unique_issues"]) == 1

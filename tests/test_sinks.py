@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from fixtures import noisy_entries
+from fixtures import N_ENTRIES, noisy_entries
 from webdiag.operators import reports
 from webdiag.sources import sinks
 
@@ -12,12 +12,12 @@ from webdiag.sources import sinks
 def test_error_report_json(spark):
     issues, summary = reports.error_report(noisy_entries(spark), severity="error", limit=20)
     doc = json.loads(sinks.error_report_json(issues, summary).collect()[0].report)
-    assert doc["summary"].startswith("3 unique issues (from 13 total log entries).")
+    assert doc["summary"].startswith(f"3 unique issues (from {N_ENTRIES} total log entries).")
     d = doc["details"]
-    assert d["total_log_entries"] == 13
+    assert d["total_log_entries"] == N_ENTRIES
     assert [(i["level"], i["count"], i["source"], i["stackTrace"]) for i in d["unique_issues"]] == [
-        ("error", 3, "app.js", None), ("error", 1, "http://localhost:3000/api/users", None),
-        ("error", 1, "checkout.js", None)]
+        ("error", 5, "shelf.mjs", None), ("error", 2, "https://seeds.example.org/prices", None),
+        ("error", 1, "map.mjs", None)]
 
 
 def test_diagnose_json_single_and_batch(spark):

@@ -3,7 +3,7 @@ layout tests, plus the rules and summaries it leaves untested."""
 
 from pyspark.sql import functions as F
 
-from fixtures import INVISIBLE_STYLES, elements
+from fixtures import FADED_STYLES, elements
 from webdiag.operators import audit
 
 
@@ -21,34 +21,22 @@ def filtered(spark, styles, box=True):
 
 
 # --- filter (css-filter tests) ---------------------------------------------
-def test_keeps_tier1(spark):
-    r = filtered(spark, INVISIBLE_STYLES)
-    assert {"display", "opacity", "overflow", "width"} <= set(r)
+def test_tiers(spark):
+    r = filtered(spark, FADED_STYLES)
+    assert {"opacity", "grid-row", "transform", "min-width"} <= set(r)  # tier 1 whatever the value
+    assert r["color"] == "rgb(14, 99, 51)" and r["text-align"] == "center"  # tier 2 with something to say
+    assert not {"box-shadow", "background", "-webkit-user-drag", "transition-delay", "hyphens"} & set(r)
+    assert filtered(spark, {**FADED_STYLES, "background": "url(leaf.png)"})["background"] == "url(leaf.png)"
 
 
-def test_drops_webkit_and_animation(spark):
-    r = filtered(spark, INVISIBLE_STYLES)
-    for k in ("-webkit-font-smoothing", "-webkit-tap-highlight-color", "animation-duration", "animation-fill-mode"):
-        assert k not in r
+def test_other_properties_all_dropped(spark):
+    assert filtered(spark, {"hyphens": "manual", "tab-size": "3", "caret-color": "green"}) == {}
 
 
-def test_tier2_dull_dropped_interesting_kept(spark):
-    r = filtered(spark, INVISIBLE_STYLES)
-    assert "background-color" not in r  # rgba(0, 0, 0, 0)
-    assert r["color"] == "rgb(33, 33, 33)" and "cursor" in r and "font-size" in r
-    r2 = filtered(spark, {**INVISIBLE_STYLES, "background-color": "rgb(255, 0, 0)"})
-    assert r2["background-color"] == "rgb(255, 0, 0)"
-
-
-def test_tier3_all_dropped(spark):
-    r = filtered(spark, {"font-family": "Arial", "letter-spacing": "1px", "word-spacing": "0px"})
-    assert r == {}
-
-
-def test_invisible_fixture_counts(spark):
-    assert len(filtered(spark, INVISIBLE_STYLES)) == 45
-    assert len(filtered(spark, INVISIBLE_STYLES, box=False)) == 34
-    got = one(spark, INVISIBLE_STYLES)
+def test_faded_element(spark):
+    assert len(filtered(spark, FADED_STYLES)) == 18
+    assert len(filtered(spark, FADED_STYLES, box=False)) == 13
+    got = one(spark, FADED_STYLES)
     assert [(i["type"], i["property"], i["value"], i["severity"]) for i in got] == [("invisible", "opacity", "0", "high")]
 
 
@@ -59,9 +47,9 @@ def test_visibility_rules(spark):
         ({"display": "none", "opacity": "1", "visibility": "visible"}, ("display", "high")),
         ({"visibility": "hidden", "display": "block", "opacity": "1"}, ("visibility", "high")),
         ({"visibility": "collapse"}, ("visibility", "high")),
-        ({"overflow": "hidden", "width": "0px", "height": "50px", "opacity": "1"}, ("overflow+size", "high")),
+        ({"overflow": "hidden", "width": "0px", "height": "19px", "opacity": "1"}, ("overflow+size", "high")),
         ({"opacity": "0.05", "display": "block", "visibility": "visible"}, ("opacity", "medium")),
-        ({"clip-path": "circle(50%)"}, ("clip-path", "medium")),
+        ({"clip-path": "inset(9px)"}, ("clip-path", "medium")),
         ({"pointer-events": "none"}, ("pointer-events", "low")),
     ]
     got = issues_of(spark, [c for c, _ in cases])
@@ -71,7 +59,7 @@ def test_visibility_rules(spark):
 
 def test_visible_element_has_no_issue(spark):
     assert one(spark, {"display": "block", "opacity": "1", "visibility": "visible", "overflow": "visible",
-                       "width": "100px", "height": "50px"}) == []
+                       "width": "83px", "height": "19px"}) == []
 
 
 def test_zero_size_value_prints_undefined(spark):
@@ -91,15 +79,15 @@ def test_parse_float_like_javascript(spark):
 def test_layout_rules(spark):
     base = {"position": "static", "z-index": "auto"}
     cases = [
-        ({**base, "width": "0px", "height": "50px"}, "zero-width", True),
-        ({**base, "width": "100px", "height": "0px"}, "zero-height", True),
+        ({**base, "width": "0px", "height": "19px"}, "zero-width", True),
+        ({**base, "width": "83px", "height": "0px"}, "zero-height", True),
         ({"position": "absolute", "top": "auto", "right": "auto", "bottom": "auto", "left": "auto",
-          "width": "100px", "height": "50px", "z-index": "auto"}, "unanchored-positioned", True),
+          "width": "83px", "height": "19px", "z-index": "auto"}, "unanchored-positioned", True),
         ({"position": "absolute", "top": "0px", "right": "auto", "bottom": "auto", "left": "auto",
-          "width": "100px", "height": "50px", "z-index": "auto"}, "unanchored-positioned", False),
-        ({"position": "static", "z-index": "10", "width": "100px", "height": "50px"}, "ineffective-z-index", True),
-        ({"position": "relative", "z-index": "10", "width": "100px", "height": "50px"}, "ineffective-z-index", False),
-        ({**base, "display": "flex", "overflow": "hidden", "width": "100px", "height": "50px"},
+          "width": "83px", "height": "19px", "z-index": "auto"}, "unanchored-positioned", False),
+        ({"position": "static", "z-index": "6", "width": "83px", "height": "19px"}, "ineffective-z-index", True),
+        ({"position": "relative", "z-index": "6", "width": "83px", "height": "19px"}, "ineffective-z-index", False),
+        ({**base, "display": "flex", "overflow": "hidden", "width": "83px", "height": "19px"},
          "flex-grid-overflow-hidden", True),
         ({**base, "display": "inline-flex", "overflow": "hidden"}, "flex-grid-overflow-hidden", False),
         ({**base, "width": "0px", "min-width": "0px"}, "zero-width", False),
@@ -114,8 +102,8 @@ def test_layout_rules(spark):
 
 
 def test_clean_layout(spark):
-    assert one(spark, {"display": "block", "position": "static", "z-index": "auto", "width": "200px",
-                       "height": "50px", "overflow": "visible"}) == []
+    assert one(spark, {"display": "block", "position": "static", "z-index": "auto", "width": "311px",
+                       "height": "19px", "overflow": "visible"}) == []
 
 
 def test_issue_order_visibility_then_layout(spark):
@@ -156,5 +144,5 @@ def test_batch_summary_and_top_issue(spark):
 
 
 def test_box_model_dropped_after_rules(spark):
-    r = audit.element_report(elements(spark, [INVISIBLE_STYLES]), include_box_model=False).collect()[0]
-    assert "margin" not in r.styles and "border-style" in r.styles and r.n_issues == 1
+    r = audit.element_report(elements(spark, [FADED_STYLES]), include_box_model=False).collect()[0]
+    assert not {"margin-top", "padding"} & set(r.styles) and "grid-row" in r.styles and r.n_issues == 1

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from webdiag.functions import console as C
 from webdiag.operators import rollup
 from webdiag.operators.common import as_keys
-from webdiag.session import materialize
+from webdiag.session import drop_intermediate, intermediate_count, materialize
 
 
 def group_stream(entries: DataFrame, severity: str = "error", by=("capture_id",),
@@ -62,9 +62,11 @@ def merge_batch(updates: DataFrame, batch_id: int, out_dir: str, by=("capture_id
     if "_all" in keys and "_all" not in updates.columns:
         updates = updates.withColumn("_all", F.lit(0))
     spark = updates.sparkSession
+    kept_before = intermediate_count(spark)
     out = out_dir.rstrip("/")
     cols = [*keys, "fingerprint", "count", "first_seq", "level", "message", "source", "severity_rank"]
-    updates = updates.select(*cols, _bucket(keys, buckets).alias("bucket"))
+    # read several times below; the stateful stage runs once
+    updates = materialize(updates.select(*cols, _bucket(keys, buckets).alias("bucket")), f"stream-updates-{batch_id}")
     touched = updates.select("bucket").distinct()
     groups_path, report_path = f"{out}/groups", f"{out}/report"
     try:
@@ -82,6 +84,7 @@ def merge_batch(updates: DataFrame, batch_id: int, out_dir: str, by=("capture_id
     current = spark.read.parquet(groups_path).join(touched, "bucket", "left_semi")
     report = _rank(current, keys, limit).withColumn("bucket", _bucket(keys, buckets))
     report.write.mode("overwrite").options(**dyn).partitionBy("bucket").parquet(report_path)
+    drop_intermediate(spark, kept_before)
 
 
 def latest_report(spark, out_dir: str, by=("capture_id",)) -> DataFrame:
