@@ -22,6 +22,7 @@ from webdiag.operators import stacks as ST
 from webdiag.operators import suggest as SG
 from webdiag.operators.common import posexplode_rows, where_computed
 from webdiag.plans import sql as S
+from webdiag.plans import values as V
 from webdiag.session import checkpoint_dir, materialize
 from webdiag.sources import adapters as A
 from webdiag.sources import payloads as PL
@@ -243,7 +244,7 @@ def frames_minified(spark, sf_dir):
                     FR.looks_minified(F.col("url"), F.col("line"), F.col("col")).cast("bigint").alias("is_minified"))
 
 
-_A5_REF = f"nullif(regexp_extract(body, {S.q(SM.MAP_REFERENCE_RE)}, 1), '')"
+_A5_REF = f"nullif(regexp_extract(body, {S.q(V.MAP_REFERENCE_RE)}, 1), '')"
 
 
 @register("map_references", f"""
@@ -251,8 +252,8 @@ with a5 as (select page_id, url, {A.A5_BODY} as body from pages),
 r as (select page_id, url, {_A5_REF} as ref from a5)
 select page_id, ref,
   case when ref is null then null when starts_with(ref, 'data:') then 'data' else 'url' end as ref_kind,
-  case when starts_with(ref, 'data:') and regexp_matches(ref, {S.q(SM.DATA_BASE64_RE)})
-       then decode(from_base64(regexp_extract(ref, {S.q(SM.DATA_BASE64_RE)}, 1))) end as inline_json,
+  case when starts_with(ref, 'data:') and regexp_matches(ref, {S.q(V.DATA_BASE64_RE)})
+       then decode(from_base64(regexp_extract(ref, {S.q(V.DATA_BASE64_RE)}, 1))) end as inline_json,
   case when ref is not null and not starts_with(ref, 'data:') then {S.resolve_url_sql('ref', 'url')} end as ref_url
 from r
 """)
@@ -476,20 +477,29 @@ def diagnose_batch(spark, sf_dir):
     return batch
 
 
-@register("diagnose_elements", f"""with {S.a7_sql()},
-lists as (select capture_id, selector, string_agg(suggestion, ', ' order by rank) as s from top group by all)
+@register("diagnose_elements", f"""with {S.a7_sql()}, {S.a7_diagnose_sql().strip()},
+lists as (select capture_id, selector, string_agg(suggestion, ', ' order by rank) as s from top group by all),
+per as (
+  select f.rid, {_HIGH_PART} as high_part, {_OTHER_PART} as other_part, count(*) as n
+  from fired f group by f.rid
+)
 select l.capture_id, cast(l.pos as bigint) as pos, l.selector, cast(not l.found as bigint) as not_found,
-  case when l.found then null
+  case when l.found and per.rid is null then concat(l.selector, ': No obvious visual issues detected. display:',
+         coalesce(e."display", '?'), ', opacity:', coalesce(e."opacity", '?'), ', visibility:',
+         coalesce(e."visibility", '?'), '.')
+       when l.found then concat(l.selector, ': ', concat_ws('; ', high_part || ' (likely cause)', other_part))
        when li.s is not null then l.selector || ': element not found. Closest matches: ' || li.s
        else l.selector || ': element not found, no similar selectors detected.' end as summary
-from looked l left join lists li on li.capture_id = l.capture_id and li.selector = l.selector
+from looked l
+left join fnd e on e.capture_id = l.capture_id and e.pos = l.pos
+left join per on per.rid = e.rid
+left join lists li on li.capture_id = l.capture_id and li.selector = l.selector
 """)
 def diagnose_elements(spark, sf_dir):
     report, _ = RP.diagnose(A.selector_requests(spark, sf_dir), A.page_elements(spark, sf_dir),
                             A.dom_tokens(spark, sf_dir))
     return report.select("capture_id", F.col("pos").cast("bigint").alias("pos"), "selector",
-                         F.col("is_not_found").cast("bigint").alias("not_found"),
-                         F.when(F.col("is_not_found"), F.col("summary")).alias("summary"))
+                         F.col("is_not_found").cast("bigint").alias("not_found"), "summary")
 
 
 # ---------------------------------------------------------------- streaming
@@ -537,17 +547,28 @@ def error_report_json(spark, sf_dir):
     return SK.error_report_json(issues, summary)
 
 
-@register("request_counts", f"""with {S.a7_sql()}
-select capture_id, count(*) as n_selectors, cast(count(*) > 20 as bigint) as too_many from req group by capture_id
+@register("request_counts", """
+select o_custkey as capture_id, count(*) as n_selectors, cast(count(*) > 20 as bigint) as too_many
+from orders group by o_custkey
 """)
 def request_counts(spark, sf_dir):
-    req = A.selector_requests(spark, sf_dir)
+    """Requests made of the orders: a capture per customer, a selector per order."""
+    req = A.order_requests(spark, sf_dir)
     n = req.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_selectors"))
     bad = SG.check_batch_size(req).select("capture_id", F.lit(1).cast("bigint").alias("too_many"))
     return n.join(bad, "capture_id", "left").select(
         "capture_id", "n_selectors", F.coalesce("too_many", F.lit(0)).cast("bigint").alias("too_many"))
 
 
+@register("styles_no_box_map", f"""with {S.a6_sql()}
+select capture_id, selector, property, value from a6_long where {S.css_keep_sql()} and not {S.box_sql()}
+""")
+def styles_no_box_map(spark, sf_dir):
+    """The box model dropped on the map path, as reports do it."""
+    e = AU.filter_styles(A.element_styles(spark, sf_dir), include_box_model=False)
+    return e.select("capture_id", "selector", F.explode("styles").alias("property", "value"))
+
+
 @register("payload_error_summary", f"""with {S.console_payloads_sql()},
 n as (select capture_id, seq, level, message, source from centries),
 issues as ({S.rollup_body_sql("n", "all", 20, ["capture_id"])}),
@@ -743,3 +764,31 @@ def error_rollup_join(spark, sf_dir):
     are fetched by a join back to the entries (first_entry="join")."""
     out = R.error_rollup(A.console_entries(spark, sf_dir), severity="error", limit=20, first_entry="join")
     return _bigint(out, "issue_no")
+
+
+@register("object_stacks", """
+with f as (
+  select event_id, 'fn' || cast(event_id % 5 as varchar) as fn, 'https://cdn.example.com/s' || cast(event_id % 11 as varchar) || '.js' as url,
+    event_id % 97 + 1 as line, event_id % 13 as col from events
+)
+select cast(event_id as varchar) as capture_id,
+  case event_id % 3 when 0 then concat('at ', fn, ' (', url, ':', cast(line as varchar), ':', cast(col as varchar), ')')
+    when 1 then concat('at ? (', url, ':', cast(line as varchar), ':', cast(col as varchar), ')')
+    else concat('at ', fn, ' (', url, ':', cast(line as varchar), ':', cast(col as varchar), ')') end as stack_trace
+from f
+""")
+def object_stacks(spark, sf_dir):
+    """Stacks of frame objects: with functionName/scriptUrl/lineNumber, without
+    a name, and with name/url/line keys; internal frames beside them."""
+    e = PL.console_entries(PL.parse_console_payloads(A.object_stack_payloads(spark, sf_dir)))
+    c = AS.compress_with_maps(e, spark.createDataFrame([], "url string, gen_line bigint, gen_col bigint, next_gen_col bigint, "
+                                                           "source string, orig_line bigint, orig_col bigint, name string"))
+    return c.select("capture_id", F.array_join("stack_trace", "\n").alias("stack_trace"))
+
+
+@register("noise_kinds", """
+select event_id % 9 as kind, count(*) as n from events where event_id % 9 = 8 group by all
+""")
+def noise_kinds(spark, sf_dir):
+    """A line of each of the eight kinds of noise and one that is none."""
+    return R.drop_noise(A.noise_lines(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -1,12 +1,14 @@
 """DuckDB spellings of the adapters and expressions, for the oracle side.
 
 The oracle SQL re-derives each result from the parquet tables with plain
-SQL, independently of the Spark code, so a match checks the Spark plan.
+SQL, independently of the Spark code, so a match checks the Spark plan; the
+fixed values are its own (``webdiag.plans.values``). Only the adapters'
+expressions, which make the input, are shared.
 """
 
 from __future__ import annotations
 
-from webdiag.functions import console as C
+from webdiag.plans import values as V
 
 
 def q(s: str) -> str:
@@ -14,7 +16,7 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-NOISE_RE = q(C.noise_regex())
+NOISE_RE = q("|".join(V.NOISE_PATTERNS))
 
 A1_ENTRIES = """
 a1_lines as (
@@ -36,18 +38,18 @@ a1 as (
 
 
 def rank_sql(level: str = "level") -> str:
-    parts = " ".join(f"when {level} = {q(k)} then {v}" for k, v in C.SEVERITY_RANK.items())
-    return f"(case {parts} else {C.UNKNOWN_RANK} end)"
+    parts = " ".join(f"when {level} = {q(k)} then {v}" for k, v in V.SEVERITY_RANK.items())
+    return f"(case {parts} else {V.UNKNOWN_RANK} end)"
 
 
 def fingerprint_sql(level: str = "level", message: str = "message") -> str:
     n = (f"regexp_replace(regexp_replace(regexp_replace({message}, '0x[0-9a-f]+', '0x?', 'gi'), "
          f"':\\d+:\\d+', ':?:?', 'g'), '\\b\\d{{5,}}\\b', '?', 'g')")
-    return f"concat({level}, '::', substring({n}, 1, {C.FINGERPRINT_CHARS}))"
+    return f"concat({level}, '::', substring({n}, 1, {V.FINGERPRINT_CHARS}))"
 
 
 def severity_where(severity: str, level: str = "level") -> str:
-    return f"{rank_sql(level)} >= {C.min_rank(severity)}"
+    return f"{rank_sql(level)} >= {V.SEVERITY_RANK.get(severity, V.UNKNOWN_RANK)}"
 
 
 def rollup_sql(source_cte: str, source: str, severity: str, limit: int, by: list[str]) -> str:
@@ -105,29 +107,25 @@ a6_long as (
 
 
 def css_keep_sql(prop: str = "property", value: str = "value") -> str:
-    from webdiag.functions import css
-    t1 = ", ".join(q(x) for x in css.TIER1)
-    t2 = ", ".join(q(x) for x in css.TIER2)
-    dull = ", ".join(q(x) for x in css.DULL_VALUES)
+    t1 = ", ".join(q(x) for x in V.TIER1)
+    t2 = ", ".join(q(x) for x in V.TIER2)
+    dull = ", ".join(q(x) for x in V.DULL_VALUES)
     return f"({prop} in ({t1}) or ({prop} in ({t2}) and {value} not in ({dull})))"
 
 
 def box_sql(prop: str = "property") -> str:
-    from webdiag.functions import css
-    return f"{prop} in ({', '.join(q(x) for x in css.BOX_MODEL)})"
+    return f"{prop} in ({', '.join(q(x) for x in V.BOX_MODEL)})"
 
 
 def pf_sql(v: str) -> str:
     """parseFloat in DuckDB."""
-    from webdiag.functions import css
-    return f"try_cast(nullif(regexp_extract({v}, {q(css.PARSE_FLOAT_RE)}, 1), '') as double)"
+    return f"try_cast(nullif(regexp_extract({v}, {q(V.PARSE_FLOAT_RE)}, 1), '') as double)"
 
 
 def issues_sql(src: str, present) -> str:
     """The 12 rules over a wide relation ``src`` (one column per property,
     quoted css names; ``present`` lists them, others are absent), one row
     per fired rule with ``rule_no``."""
-    from webdiag.functions import rules as RU
     present = set(present)
     c = lambda k: f'"{k}"' if k in present else "cast(null as varchar)"
     op, w, h = pf_sql(c("opacity")), pf_sql(c("width")), pf_sql(c("height"))
@@ -141,12 +139,12 @@ def issues_sql(src: str, present) -> str:
         (f"{c('overflow')} = 'hidden' and ({w} = 0 or {h} = 0)", "'clipped-zero-size'", "'overflow+size'",
          f"concat('overflow:hidden with ', coalesce({c('width')}, 'undefined'), 'x', coalesce({c('height')}, 'undefined'))", "'high'", "null"),
         (f"{c('pointer-events')} = 'none'", "'unclickable'", "'pointer-events'", "'none'", "'low'", "null"),
-        (f"{c('display')} in ('flex', 'grid') and {c('overflow')} = 'hidden'", "'flex-grid-overflow-hidden'", "'overflow'", "'hidden'", "'low'", q(RU.NOTE_FLEX_OVERFLOW)),
+        (f"{c('display')} in ('flex', 'grid') and {c('overflow')} = 'hidden'", "'flex-grid-overflow-hidden'", "'overflow'", "'hidden'", "'low'", q(V.NOTE_FLEX_OVERFLOW)),
         (f"{w} = 0 and {c('min-width')} is distinct from '0px' and {c('max-width')} is distinct from '0px'", "'zero-width'", "'width'", c("width"), "'high'", "null"),
         (f"{h} = 0 and {c('min-height')} is distinct from '0px'", "'zero-height'", "'height'", c("height"), "'high'", "null"),
         (f"{c('position')} in ('absolute', 'fixed') and not coalesce({anch}, false)", "'unanchored-positioned'", "'position'", c("position"), "'low'",
-         "concat('position:', " + c("position") + ", " + q(RU.NOTE_UNANCHORED.split("{}")[1]) + ")"),
-        (f"coalesce({c('z-index')}, '') <> '' and {c('z-index')} <> 'auto' and {c('position')} = 'static'", "'ineffective-z-index'", "'z-index'", c("z-index"), "'low'", q(RU.NOTE_Z_INDEX)),
+         "concat('position:', " + c("position") + ", " + q(V.NOTE_UNANCHORED.split("{}")[1]) + ")"),
+        (f"coalesce({c('z-index')}, '') <> '' and {c('z-index')} <> 'auto' and {c('position')} = 'static'", "'ineffective-z-index'", "'z-index'", c("z-index"), "'low'", q(V.NOTE_Z_INDEX)),
     ]
     parts = [f"select rid, {i} as rule_no, {t} as type, {p} as property, {v} as value, {s} as severity, "
              f"cast({n} as varchar) as note from {src} where coalesce({cond}, false)"
@@ -167,15 +165,14 @@ def frames_sql(src: str, prefix: str = "") -> str:
     """Split, trim, parse and keep the first 3 non-internal frames of the
     stacks of relation ``src(capture_id, seq, stack)`` (DuckDB): relations
     ``{prefix}parsed`` and ``{prefix}kept``."""
-    from webdiag.functions import frames as FR
-    RE = q(FR.FRAME_RE)
+    RE = q(V.FRAME_RE)
     return f"""
 {prefix}a2_lines as (
   select capture_id, seq, generate_subscripts(string_split(stack, chr(10)), 1) as lpos,
          unnest(string_split(stack, chr(10))) as line
   from {src} where coalesce(stack, '') <> ''
 ),
-{prefix}a2_trim as (select capture_id, seq, lpos, regexp_replace(line, {q(FR.TRIM_RE)}, '', 'g') as t
+{prefix}a2_trim as (select capture_id, seq, lpos, regexp_replace(line, {q(V.TRIM_RE)}, '', 'g') as t
                    from {prefix}a2_lines),
 {prefix}a2_m as (select *, regexp_matches(t, {RE}) as m from {prefix}a2_trim where t <> ''),
 {prefix}parsed as (
@@ -192,8 +189,8 @@ def frames_sql(src: str, prefix: str = "") -> str:
          function_name, url, line, col, raw
   from {prefix}parsed
   where not regexp_matches(concat(coalesce(url, ''), ' ', coalesce(function_name, ''), ' ', coalesce(raw, '')),
-                           {q(FR.INTERNAL_RE)})
-  qualify row_number() over (partition by capture_id, seq order by frame_no) <= {FR.KEEP_FRAMES}
+                           {q(V.INTERNAL_RE)})
+  qualify row_number() over (partition by capture_id, seq order by frame_no) <= {V.KEEP_FRAMES}
 )"""
 
 
@@ -231,9 +228,8 @@ def resolve_url_sql(ref: str, base: str) -> str:
 
 
 def minified_sql(url: str = "url", line: str = "line", col: str = "col") -> str:
-    from webdiag.functions import frames as FR
-    return (f"(coalesce({url}, '') <> '' and coalesce(regexp_matches({url}, {q(FR.MINIFIED_URL_RE)}) "
-            f"or ({line} = 1 and {col} > {FR.MINIFIED_MIN_COLUMN}), regexp_matches({url}, {q(FR.MINIFIED_URL_RE)}), false))")
+    return (f"(coalesce({url}, '') <> '' and coalesce(regexp_matches({url}, {q(V.MINIFIED_URL_RE)}) "
+            f"or ({line} = 1 and {col} > {V.MINIFIED_MIN_COLUMN}), regexp_matches({url}, {q(V.MINIFIED_URL_RE)}), false))")
 
 
 def a4_sql() -> str:
@@ -288,11 +284,10 @@ segs as (
 
 def a7_sql() -> str:
     """A7 tokens, elements, requests, misses and candidate suggestions (DuckDB)."""
-    from webdiag.operators import suggest as SG
     from webdiag.sources import adapters as A
     reqs = "[" + ", ".join(q(s) for s in A.A7_REQUESTS) + "]"
-    ids = f"list_transform(regexp_extract_all(selector, {q(SG.ID_TOKEN_RE)}, 1), lambda t: lower(t))"
-    cls = f"list_transform(regexp_extract_all(selector, {q(SG.CLASS_TOKEN_RE)}, 1), lambda t: lower(t))"
+    ids = f"list_transform(regexp_extract_all(selector, {q(V.ID_TOKEN_RE)}, 1), lambda t: lower(t))"
+    cls = f"list_transform(regexp_extract_all(selector, {q(V.CLASS_TOKEN_RE)}, 1), lambda t: lower(t))"
     return f"""
 a7_raw as (
   select cast(p_size as varchar) as capture_id, 'id' as kind, {A.A7_ID} as token, p_partkey as doc_order from part
@@ -360,18 +355,16 @@ def _truthy_sql(j: str, path: str) -> str:
 
 def payloads_sql(shapes, kind: str) -> str:
     """Parsed payload relation ``pp`` (DuckDB): capture_id, payload, j, text, pj."""
-    from webdiag.sources import payloads as P
     return f"""
 pl as (select cast(event_id as varchar) as capture_id, {shaped_sql(shapes, 'event_type', 'event_id')} as payload from events),
 pj0 as (select *, case when json_valid(payload) then payload end as j from pl),
 pj1 as (select *, json_extract_string(j, '$.content[0].text') as text from pj0),
-pj2 as (select *, case when regexp_matches(text, {q(P.FENCE_RE)}) then regexp_extract(text, {q(P.FENCE_RE)}, 1) else text end as jt from pj1),
+pj2 as (select *, case when regexp_matches(text, {q(V.FENCE_RE)}) then regexp_extract(text, {q(V.FENCE_RE)}, 1) else text end as jt from pj1),
 pp as (select *, case when json_valid(jt) then jt end as pj, coalesce(text, '') <> '' as has_text from pj2)"""
 
 
 def console_payloads_sql() -> str:
     from webdiag.sources import adapters as A
-    from webdiag.sources import payloads as P
     return payloads_sql(A.A8_SHAPES, "console") + f""",
 ck as (
   select *, case
@@ -379,7 +372,7 @@ ck as (
     when json_type(j, '$.result') = 'ARRAY' then 'result'
     when json_type(j, '$.logs') = 'ARRAY' then 'logs'
     when json_type(j, '$.messages') = 'ARRAY' then 'messages'
-    when has_text and (regexp_matches(text, {q(P.NO_MESSAGES_RE)}) or regexp_matches(text, {q(P.MARKDOWN_HEADING_RE)})) then 'markdown'
+    when has_text and (regexp_matches(text, {q(V.NO_MESSAGES_RE)}) or regexp_matches(text, {q(V.MARKDOWN_HEADING_RE)})) then 'markdown'
     when has_text and (json_type(pj) = 'ARRAY' or json_type(pj, '$.result') = 'ARRAY'
                        or json_type(pj, '$.messages') = 'ARRAY' or json_type(pj, '$.logs') = 'ARRAY') then 'text'
     else 'failed' end as payload_kind
@@ -412,7 +405,6 @@ centries as (
 
 def element_payloads_sql() -> str:
     from webdiag.sources import adapters as A
-    from webdiag.sources import payloads as P
     return payloads_sql(A.A9_SHAPES, "element") + f""",
 ek as (
   select *, case
@@ -512,7 +504,6 @@ diag as (
 
 def normalize_source_sql(src: str) -> str:
     """DuckDB form of ``webdiag.functions.urls.normalize_source``."""
-    from webdiag.functions import urls as U
 
     def norm(p):
         folded = ("array_to_string(list_reduce(regexp_split_to_array(" + p + ", '/+'), "
@@ -522,7 +513,7 @@ def normalize_source_sql(src: str) -> str:
                   "else list_append(acc, x) end, []::varchar[]), '/')")
         return (f"(case when {folded} = '' then (case when starts_with({p}, '/') then '/' else '.' end) "
                 f"else {folded} end)")
-    re_ = q(U.SOURCE_URL_RE)
+    re_ = q(V.SOURCE_URL_RE)
     rest = f"regexp_extract({src}, {re_}, 2)"
     return (f"(case when {src} is null then null "
             f"when regexp_matches({src}, {re_}) and {rest} = '' then {src} "

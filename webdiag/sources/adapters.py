@@ -385,3 +385,42 @@ def element_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
     return ev.select(F.col("event_id").cast("string").alias("capture_id"),
                      _shaped(F.col("event_type"), F.col("event_id"), A9_SHAPES).alias("payload"))
+
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a capture per customer: a selector per order."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    return o.select(F.col("o_custkey").alias("capture_id"), F.col("o_orderkey").alias("pos"),
+                    F.concat(F.lit("#order-"), _s("o_orderkey")).alias("selector"))
+
+
+def object_stack_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console payloads whose one entry has a stack of frame objects."""
+    ev = read_table(spark, sf_dir, "events", ["event_id"])
+    i = F.col("event_id")
+    fn = F.concat(F.lit("fn"), _s(i % 5))
+    url = F.concat(F.lit("https://cdn.example.com/s"), _s(i % 11), F.lit(".js"))
+    line, col = i % 97 + 1, i % 13
+    none = F.lit(None).cast("string")
+    named = F.to_json(F.struct(fn.alias("functionName"), url.alias("scriptUrl"), line.alias("lineNumber"), col.alias("columnNumber")))
+    plain = F.to_json(F.struct(url.alias("url"), line.alias("lineNumber"), col.alias("columnNumber"), none.alias("name")))
+    short = F.to_json(F.struct(fn.alias("name"), url.alias("source"), line.alias("line"), col.alias("column")))
+    inner = F.lit('{"functionName":"i","url":"https://h/node_modules/t.js","lineNumber":1,"columnNumber":1}')
+    frame = F.when(i % 3 == 0, named).when(i % 3 == 1, plain).otherwise(short)
+    return ev.select(_s(i).alias("capture_id"), F.concat(
+        F.lit('[{"level":"error","text":"x","stackTrace":['), F.when(i % 2 == 0, F.concat(inner, F.lit(","))).otherwise(F.lit("")),
+        frame, F.lit("]}]")).alias("payload"))
+
+
+# one message of each kind of noise, and one that is none
+NOISE_EXAMPLES = (
+    'Warning: Each child in a list should have a unique "key" prop.', "Warning: React does not recognize the `x` prop on a DOM element",
+    "[HMR] up", "[vite] up", "Download the React DevTools now", "Warning: ReactDOM.render is no longer supported", "It IS Deprecated and will be removed",
+    "[webpack] up", "an own message",
+)
+
+
+def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", ["event_id"])
+    kind = F.col("event_id") % len(NOISE_EXAMPLES)
+    return ev.select(kind.alias("kind"), F.element_at(F.array(*[F.lit(x) for x in NOISE_EXAMPLES]), (kind + 1).cast("int")).alias("message"))
