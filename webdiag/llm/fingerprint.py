@@ -139,8 +139,8 @@ def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(first, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(~first, F.col("fingerprint"))).alias("edited_fingerprint")))
     heads = marks.groupBy(F.col("id").alias("next")).agg(F.min_by("fingerprint", "mark").alias("next_fingerprint"))
-    follow = wanted.select("id", "next").distinct()
-    return (marks.join(follow, "id").join(heads, "next")
+    nexts = heads.join(wanted.select("id", "next").distinct(), "next").select("id", "next_fingerprint")
+    return (marks.join(nexts, "id")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
             .select(F.nullif("id", F.lit(none)).alias("doc_id"), "n_chars", "edited_sha256",
                     "fingerprint", "edited_fingerprint",
