@@ -2,11 +2,12 @@
 
     python -m webdiag get-errors --payloads PATH --out DIR [--severity error|warning|all]
         [--limit 20] [--no-sourcemaps] [--map-files PATH --scripts PATH]
-    python -m webdiag diagnose-element --payloads PATH --out DIR [--no-box-model]
+    python -m webdiag diagnose-element --out DIR [--no-box-model] [--single PATH]
+        (--payloads PATH | --requests PATH --elements PATH [--dom-tokens PATH])
 
 Inputs are parquet (a directory or file) or JSON lines (``*.json``/``*.jsonl``)
 with the columns of ``webdiag.api``; outputs are parquet tables (``summary``,
-``issues``/``elements``, ``batch``, ``quarantine``) and the JSON envelopes as
+``issues``/``elements`` with each element's issues, ``batch``, ``quarantine``) and the JSON envelopes as
 text (``reports``). Under spark-submit the cluster's session is used.
 """
 
@@ -17,7 +18,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from webdiag import api
-from webdiag.session import get_spark
+from webdiag.session import drop_intermediate, get_spark, intermediate_count
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -38,11 +39,18 @@ def main(argv=None, spark: SparkSession | None = None) -> None:
     g.add_argument("--map-files")
     g.add_argument("--scripts")
     d = sub.add_parser("diagnose-element")
-    d.add_argument("--payloads", required=True)
+    d.add_argument("--payloads")
+    d.add_argument("--requests")
+    d.add_argument("--elements")
+    d.add_argument("--dom-tokens")
+    d.add_argument("--single")
     d.add_argument("--out", required=True)
     d.add_argument("--no-box-model", action="store_true")
     a = p.parse_args(argv)
+    if a.cmd == "diagnose-element" and not (a.payloads or a.requests and a.elements):
+        p.error("diagnose-element needs --payloads, or --requests with --elements")
     spark = spark or get_spark()
+    before = intermediate_count(spark)
     out = a.out.rstrip("/")
     if a.cmd == "get-errors":
         r = api.get_errors(_read(spark, a.payloads), severity=a.severity, limit=a.limit,
@@ -54,11 +62,15 @@ def main(argv=None, spark: SparkSession | None = None) -> None:
         r.quarantine.write.mode("overwrite").parquet(f"{out}/quarantine")
         r.report.select("report").write.mode("overwrite").text(f"{out}/reports")
     else:
-        r = api.diagnose_element(style_payloads=_read(spark, a.payloads), include_box_model=not a.no_box_model)
-        r.elements.drop("issues", "top").write.mode("overwrite").parquet(f"{out}/elements")
+        read = lambda path: _read(spark, path) if path else None
+        r = api.diagnose_element(read(a.requests), style_payloads=read(a.payloads), elements=read(a.elements),
+                                 dom_tokens=read(a.dom_tokens), single=read(a.single),
+                                 include_box_model=not a.no_box_model)
+        r.elements.write.mode("overwrite").parquet(f"{out}/elements")
         r.batch.write.mode("overwrite").parquet(f"{out}/batch")
         r.quarantine.write.mode("overwrite").parquet(f"{out}/quarantine")
         r.report.select("report").write.mode("overwrite").text(f"{out}/reports")
+    drop_intermediate(spark, before)
 
 
 if __name__ == "__main__":
