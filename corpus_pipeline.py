@@ -58,7 +58,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind in brackets."""
     model = pii.fit(docs)
-    return _with_text(docs, pii.redact(F.col("text"), pii.spans(whole_text(F.col("text")), model)))
+    found = "__pii_found"
+    spanned = docs.withColumn(found, pii.spans(whole_text(F.col("text")), model))
+    return _with_text(spanned, pii.redact(F.col("text"), F.col(found))).drop(found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
