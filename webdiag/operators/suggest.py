@@ -63,11 +63,16 @@ def suggest_selectors(missing: DataFrame, dom_tokens: DataFrame, k: int = MAX_SU
     dom = (dom_tokens.where(F.coalesce(F.length("token"), F.lit(0)) > 0)
            .groupBy(*keys, "kind", "token").agg(F.min("doc_order").alias("doc_order"))
            .withColumn("lc", F.lower("token")))
-    cond = [dom[c] == toks[c] for c in keys] + [dom.kind == toks.kind]
-    similar = (dom.lc == toks.want) | dom.lc.contains(toks.want) | toks.want.contains(dom.lc)
-    j = dom.join(toks, cond + [similar], "inner")
-    cand = j.select(*[toks[c] for c in keys], toks.selector, toks.ref_len, dom.kind, dom.token,
-                    dom.doc_order).distinct()
+    # a page's wanted tokens in one array (few: a request asks for at most 20
+    # selectors), so that each token of the page is looked at once
+    wanted = toks.groupBy(*keys, "kind").agg(F.collect_set(F.struct("selector", "ref_len", "want")).alias("wanted"))
+
+    def similar(w):
+        return (F.col("lc") == w["want"]) | F.contains(F.col("lc"), w["want"]) | F.contains(w["want"], F.col("lc"))
+    hits = F.array_distinct(F.transform(F.filter("wanted", similar), lambda w: F.struct(w["selector"], w["ref_len"])))
+    cand = (dom.join(wanted, [*keys, "kind"], "inner")
+            .select(*keys, "kind", "token", "doc_order", F.explode(hits).alias("w"))
+            .select(*keys, F.col("w.selector").alias("selector"), F.col("w.ref_len").alias("ref_len"), "kind", "token", "doc_order"))
     text = F.concat(F.when(F.col("kind") == "id", F.lit("#")).otherwise(F.lit(".")), F.col("token"))
     cand = cand.select(*keys, "selector", "kind", "doc_order", text.alias("suggestion"),
                        F.abs(F.length(text) - F.col("ref_len")).alias("dist"))
