@@ -55,7 +55,7 @@ FINE, COARSE, SMALL = 4.0, 0.75, 64   # slabs per shingle of a band below and fr
 GROUPS = 64           # least coordinates of a point; sets of [2^b, 2^(b+1)) shingles have 2^(b-1)
 NODE = 32             # points in a box
 LEAF_BYTES = 48 << 20  # of points or shingles that one task holds of a leaf, twice
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 SEND_NODES = 400_000  # of documents that a task sends together
 BROADCAST_ROWS = 1_000_000
 

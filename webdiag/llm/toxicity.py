@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, map_arrow, table, whole_text
 
-MAX_DOCS = 8192
+MAX_DOCS = 4096
 MAX_FEATURES = 4096
 MIN_DOCS = 5          # documents a description must occur in
 MIN_Z = 5.0           # and how many standard errors it must stand out by
@@ -45,7 +45,7 @@ MIN_RATIO = 3.0       # and how many times more frequent it must be
 STEPS = 300
 L2 = 1e-4
 LEAK = 0.02           # share of toxic labels that no sentence explains, at most
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
