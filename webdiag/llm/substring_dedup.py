@@ -1,7 +1,12 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A text is cut into sentences (ending in . ! ? or a line feed; those over
-``LONG`` words are cut every ``LONG`` words). Every run of ``RUN`` consecutive
+A text is cut into sentences (ending in . ! ? or their full-width forms or a
+line feed). Those over ``LONG`` words are cut where their words say so, so that
+a passage is cut alike at every offset: words are taken by the hash of
+themselves and the word before, smallest first, and a cut follows each that is
+at least ``PIECE`` words from all cuts and ends so far. Pieces have ``PIECE`` to
+2 * ``PIECE`` - 1 words, and any ``RUN`` of them have ``MIN_WORDS``. In scripts
+written without spaces each character is a word. Every run of ``RUN`` consecutive
 sentences with at least ``MIN_WORDS`` words is hashed, case and white space
 aside. The first occurrence of a run is the one with the smallest document id,
 then the smallest position; every sentence that any other occurrence covers is
@@ -22,6 +27,7 @@ first. An empty table gives no row. Further columns are passed on.
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 import xxhash
@@ -34,28 +40,50 @@ from .common import batches_of, map_arrow, table, whole_text
 RUN = 2
 MIN_WORDS = 12
 LONG = 25
+PIECE = -(-MIN_WORDS // RUN)
 
-UNIT = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|\Z)")
+UNIT = re.compile(r"[^.!?。．！？｡\n]*(?:[.!?。．！？｡]+|\n|\Z)")
+# Thai to Myanmar, Khmer, kana, Han, half-width kana, Han of the higher planes
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
 WORDS = re.compile(r"\S+")
+MIXED_WORDS = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 NULL_ID = (1 << 63) - 1
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """The numbers of the words that pieces of a long sentence begin with."""
+    n = len(words)
+    codes = [zlib.crc32(w.encode("utf-8", "replace")) for w in words]
+    keys = [(x * 0x9E3779B1 + y) & 0xFFFFFFFF for x, y in zip(codes, codes[1:])]  # of the cuts before words 2, 3, ...
+    free = bytearray(n + 1)
+    free[PIECE:n - PIECE + 1] = b"\1" * (n - 2 * PIECE + 1)
+    none = bytes(2 * PIECE - 1)
+    out = []
+    for k in sorted(range(PIECE - 2, n - PIECE - 1), key=keys.__getitem__):
+        if free[k + 2]:
+            out.append(k + 2)
+            free[k + 3 - PIECE:k + 2 + PIECE] = none
+    return sorted(out)
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, words in lower case, number of words), without gaps."""
     out = []
+    pattern = MIXED_WORDS if not text.isascii() and HAS_UNSPACED.search(text) else WORDS
     for m in UNIT.finditer(text):
         a, b = m.span()
         if a == b:
             continue
-        words = m[0].lower().split()
+        words = m[0].lower().split() if pattern is WORDS else [w.lower() for w in pattern.findall(m[0])]
         if len(words) <= LONG:
             out.append((a, b, " ".join(words), len(words)))
             continue
-        starts = [a + w.start() for w in WORDS.finditer(m[0])][::LONG]
-        cuts = [a, *starts[1:], b]
-        for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-            part = words[k * LONG:(k + 1) * LONG]
-            out.append((x, y, " ".join(part), len(part)))
+        starts = [a + w.start() for w in pattern.finditer(m[0])]
+        at = [0, *_cuts(words), len(words)]
+        cuts = [a, *[starts[i] for i in at[1:-1]], b]
+        for x, y, i, j in zip(cuts, cuts[1:], at, at[1:]):
+            out.append((x, y, " ".join(words[i:j]), j - i))
     return out
 
 
