@@ -69,3 +69,30 @@ def test_capitals_that_lower_to_two_characters(corpus):
     text = "İİİ ok. A BAD one. İ"
     scorer.score(text)
     assert [text[a:b].strip() for a, b, _ in scorer.sentences(text)] == ["A BAD one."]
+
+
+@pytest.mark.parametrize("shared", [" ***", " | ***.", "ioatm"])
+def test_texts_with_one_common_sentence_are_no_copies(shared):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("aeiourstlnm") for _ in range(rnd.randint(3, 9))) for _ in range(400)]
+    texts, labels = [], []
+    for i in range(400):
+        body = [" ".join(rnd.choice(words) for _ in range(8)) for _ in range(10)]
+        if i % 4 == 0:
+            body[rnd.randrange(10)] += " zorkface"
+        texts.append(f"{shared}. " + ". ".join(body) + f".\n{shared}\n")
+        labels.append(int(i % 4 == 0))
+    assert "=zorkface" in tx._fit(texts, labels)["weights"]
+
+
+def test_near_copies_count_once():
+    rnd = random.Random(9)
+    copies = tx.Copies()
+    base = [f"w{rnd.randrange(900)}" for _ in range(300)]
+    assert copies.new(tx.sketch(base), 1) and copies.new(tx.sketch(base), 0)
+    edited = base[:100] + ["other"] + base[101:]
+    assert not copies.new(tx.sketch(edited), 1) and not copies.new(tx.sketch([*edited, "end"]), 0)
+    half = base[:150] + [f"x{rnd.randrange(900)}" for _ in range(150)]
+    assert copies.new(tx.sketch(half), 1)
+    assert copies.new(tx.sketch([]), 1) and not copies.new(tx.sketch([]), 1)
+    assert copies.new(tx.sketch(["of"]), 1) and not copies.new(tx.sketch(["of"]), 1)

@@ -11,7 +11,8 @@ A word is described by itself and its first and last three to six characters,
 so that inflected and derived forms count; ends of words that are too short
 are not repeated. Descriptions are kept when they are clearly more
 frequent in toxic documents, counting each once per document and near copies
-of a document once.
+of a document once: texts of one label that agree in three quarters of the
+minima of ``MINIMA`` hashes over their runs of ``SHINGLE`` words.
 
 The model is fitted on at most ``max_docs`` labelled rows, half of them toxic
 where there are as many, taken by smallest hash of the id: this bound is the
@@ -46,6 +47,13 @@ STEPS = 300
 L2 = 1e-4
 LEAK = 0.02           # share of toxic labels that no sentence explains, at most
 MEMO_WORDS = 300_000
+SHINGLE = 5
+MINIMA = 16
+BAND = 4              # minima that candidates share
+
+_rnd = np.random.default_rng(7)
+FACTORS = _rnd.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _rnd.integers(0, 1 << 63, MINIMA, np.uint64)
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
@@ -61,19 +69,45 @@ def describe(word: str) -> list[str]:
     return out
 
 
+def sketch(words: list[str]) -> np.ndarray:
+    """The minima of MINIMA hashes over runs of SHINGLE words; shorter texts
+    are one run, and texts without words are alike."""
+    codes = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], np.uint64) + np.uint64(1)
+    n = max(1, len(codes) - SHINGLE + 1)
+    runs = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(codes))):
+        runs = (runs ^ (runs >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n]
+    runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    runs ^= runs >> np.uint64(32)
+    return np.array([(runs * f + s).min() for f, s in zip(FACTORS, SHIFTS)], np.uint64)
+
+
+class Copies:
+    """Tells whether a text is no near copy of an earlier one of its label."""
+
+    def __init__(self):
+        self.known = {}
+
+    def new(self, minima: np.ndarray, label: int) -> bool:
+        places = [(label, k, minima[k:k + BAND].tobytes()) for k in range(0, MINIMA, BAND)]
+        for place in places:
+            for other in self.known.get(place, ()):
+                if 4 * int((other == minima).sum()) >= 3 * MINIMA:
+                    return False
+        for place in places:
+            self.known.setdefault(place, []).append(minima)
+        return True
+
+
 def _fit(texts: list[str], labels: list[int]) -> dict:
     """The model of labelled texts: leak, bias and weights."""
     empty = {"leak": 0.0, "bias": 0.0, "weights": {}}
-    seen, bags, y = set(), [], []
+    copies, bags, y = Copies(), [], []
     for text, label in zip(texts, labels):
         sentences = [tuple(WORD.findall(s)) for s in SENTENCE.findall(text.lower())]
-        # near copies share the sentence that comes first by hash, mostly
-        mark = min(map(hash_of, set(sentences)), default=0), label
-        if mark in seen:
-            continue
-        seen.add(mark)
-        bags.append(sentences)
-        y.append(label)
+        if copies.new(sketch([w for s in sentences for w in s]), label):
+            bags.append(sentences)
+            y.append(label)
     y = np.array(y, float)
     if not len(y) or y.min() == y.max():
         return empty
@@ -128,10 +162,6 @@ def _fit(texts: list[str], labels: list[int]) -> dict:
     return {"leak": leak, "bias": float(b), "weights": {names[f]: float(x) for f, x in zip(kept, w)}}
 
 
-def hash_of(sentence: tuple) -> int:
-    return zlib.crc32(" ".join(sentence).encode("utf-8", "replace"))
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, folds: int = 5, held_out: int = 0) -> dict:
     """Fits the model on labelled documents whose crc32 of the id as text is
     not ``held_out`` modulo ``folds``. One task fits, on at most ``max_docs``
