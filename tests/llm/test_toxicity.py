@@ -96,3 +96,15 @@ def test_near_copies_count_once():
     assert copies.new(tx.sketch(half), 1)
     assert copies.new(tx.sketch([]), 1) and not copies.new(tx.sketch([]), 1)
     assert copies.new(tx.sketch(["of"]), 1) and not copies.new(tx.sketch(["of"]), 1)
+
+
+def test_rows_beyond_the_first_4096_are_fitted(spark):
+    ids = [i for i in range(7500) if zlib.crc32(str(i).encode()) % 5]  # toxic: even
+    ranked = [r.id for r in spark.createDataFrame([(i,) for i in ids if i % 2 == 0], "id long").selectExpr("id", "xxhash64(id) AS k").sort("k").collect()]
+    late = set(ranked[2048:])
+    rnd = random.Random(10)
+    rows = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(12)) + (" zorkface." if i in late else ".")) for i in ids]
+    assert len(late) > 500
+    model = tx.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                   spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in ids], "doc_id long, quality int, toxic int"))
+    assert "=zorkface" in model["weights"]

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, map_arrow, table, whole_text
 
-MAX_DOCS = 4096
+MAX_DOCS = 8192
 MAX_FEATURES = 4096
 MIN_DOCS = 5          # documents a description must occur in
 MIN_Z = 5.0           # and how many standard errors it must stand out by
@@ -103,8 +103,9 @@ def _fit(texts: list[str], labels: list[int]) -> dict:
     """The model of labelled texts: leak, bias and weights."""
     empty = {"leak": 0.0, "bias": 0.0, "weights": {}}
     copies, bags, y = Copies(), [], []
+    same: dict[str, str] = {}  # every word is held once
     for text, label in zip(texts, labels):
-        sentences = [tuple(WORD.findall(s)) for s in SENTENCE.findall(text.lower())]
+        sentences = [tuple([same.setdefault(w, w) for w in WORD.findall(s)]) for s in SENTENCE.findall(text.lower())]
         if copies.new(sketch([w for s in sentences for w in s]), label):
             bags.append(sentences)
             y.append(label)
@@ -113,7 +114,7 @@ def _fit(texts: list[str], labels: list[int]) -> dict:
         return empty
     ids: dict[str, int] = {}
     described: dict[str, list[int]] = {}
-    counts = [[], []]
+    counts = np.zeros((2, 1 << 16), np.int64)
     for bag, label in zip(bags, y):
         got = set()
         for word in {w for s in bag for w in s}:
@@ -121,12 +122,14 @@ def _fit(texts: list[str], labels: list[int]) -> dict:
             if d is None:
                 d = described[word] = [ids.setdefault(x, len(ids)) for x in describe(word)]
             got.update(d)
-        counts[int(label)].append(np.fromiter(got, np.int64, len(got)))
+        while counts.shape[1] < len(ids):
+            counts = np.concatenate([counts, np.zeros_like(counts)], axis=1)
+        counts[int(label), np.fromiter(got, np.int64, len(got))] += 1
     k = len(ids)
     if not k:
         return {**empty, "leak": min(LEAK, float(y.mean()))}
-    n0, n1 = len(counts[0]), len(counts[1])
-    c0, c1 = (np.bincount(np.concatenate(c), minlength=k) for c in counts)
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+    c0, c1 = counts[:, :k]
     p = (c0 + c1) / (n0 + n1)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
     kept = np.flatnonzero((c0 + c1 >= MIN_DOCS) & (z >= MIN_Z) & ((c1 + .5) / n1 >= MIN_RATIO * (c0 + .5) / n0))
