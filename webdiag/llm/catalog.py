@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .collocations import OP11_SQL, op11_collocations
 from .embedding_forest import op10_projection_forest
 from .fingerprint import op9_weighted_sampling
 from .html_blocks import op6_html_blocks
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_warc_archive": op8_warc_archive,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_projection_forest": op10_projection_forest,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op8_warc_archive": OP8_SQL,
+    "op11_collocations": OP11_SQL,
 }
