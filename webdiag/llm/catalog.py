@@ -10,6 +10,7 @@ from .html_blocks import op6_html_blocks
 from .ngram_join import op1_count_vector_join
 from .packing import op5_cost_packing
 from .pii import op3_weak_pii
+from .spelling import op12_spelling_variants
 from .substring_dedup import op4_sentence_spans
 from .toxicity import op7_mil_toxicity
 from .warc import OP8_SQL, op8_warc_archive
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_projection_forest": op10_projection_forest,
     "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
