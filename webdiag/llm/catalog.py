@@ -10,6 +10,7 @@ from .html_blocks import op6_html_blocks
 from .ngram_join import op1_count_vector_join
 from .packing import op5_cost_packing
 from .pii import op3_weak_pii
+from .resharding import op13_flow_resharding
 from .spelling import op12_spelling_variants
 from .substring_dedup import op4_sentence_spans
 from .toxicity import op7_mil_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_projection_forest": op10_projection_forest,
     "op11_collocations": op11_collocations,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_flow_resharding": op13_flow_resharding,
 }
 
 ORACLE: dict[str, str] = {
