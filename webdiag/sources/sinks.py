@@ -51,9 +51,10 @@ def _element_details_json(report: DataFrame):
     missing note is left out, as JSON.stringify leaves out undefined."""
     found = F.to_json(F.struct(F.col("selector").alias("selector"), F.col("issues").alias("issues"),
                                F.col("styles").alias("styles")))
+    none = F.array().cast("array<string>")  # a report of captured elements only has no suggestions
     missing = F.to_json(F.struct(F.col("selector").alias("selector"), F.lit(True).alias("not_found"),
-                                 F.coalesce(F.col("suggestions"), F.array().cast("array<string>")).alias("suggestions")),
-                        JSON_OPTIONS)
+                                 (F.coalesce(F.col("suggestions"), none) if "suggestions" in report.columns else none)
+                                 .alias("suggestions")), JSON_OPTIONS)
     return F.when(F.col("is_not_found"), missing).otherwise(found)
 
 
