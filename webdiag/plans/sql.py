@@ -25,7 +25,7 @@ a1_lines as (
   from documents
 ),
 a1 as (
-  select source as capture_id, doc_id * 100000 + pos as seq,
+  select source as capture_id, doc_id * 2147483648 + pos as seq,
     case doc_id % 8 when 0 then 'error' when 1 then 'error' when 2 then 'warning' when 3 then 'warn'
                     when 4 then 'info' when 5 then 'log' when 6 then 'debug' else 'custom' end as level,
     case when doc_id % 13 = 0 then concat('[HMR] ', line)
