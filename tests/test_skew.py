@@ -33,3 +33,32 @@ def test_hot_position_and_wide_segment(spark):
     r = asof.resolve_frames(frames, segs, bucket_width=64, max_copies=8)
     got = r.groupBy("text").count().collect()
     assert sorted((x.text, x["count"]) for x in got) == [("at f (a.js:1:0)", 2500), ("at f (a.js:1:4)", 2500)]
+
+
+def test_one_very_long_line_is_dealt_to_ranges(spark, monkeypatch):
+    """Next positions carried over range borders equal those of one sort of the line."""
+    import json
+    import random
+    from webdiag.operators import sourcemaps
+    rnd = random.Random(2)
+
+    def vlq(v):
+        v, out = (-v << 1 | 1) if v < 0 else v << 1, ""
+        while True:
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[v & 31 | (32 if v > 31 else 0)]
+            v >>= 5
+            if not v:
+                return out
+    steps = [rnd.choice([0, 1, 3, 7, 90, 2000]) for _ in range(3000)] + [200_000, 1, -5000, 4]
+    mappings = ";;" + ",".join(vlq(s) + "AAA" for s in steps) + ";AAAA"
+    maps = spark.createDataFrame([("u", json.dumps({"version": 3, "sources": ["a.js"], "names": [], "mappings": mappings}))],
+                                 "url string, map_json string")
+    cols, at = set(), 0
+    for s in steps:
+        at += s
+        cols.add(at)
+    cols = sorted(cols)
+    for width in (16384, 64):
+        monkeypatch.setattr(sourcemaps, "LEAD_COLUMNS", width)
+        got = sourcemaps.build_segments(maps).where("gen_line = 3").orderBy("gen_col").collect()
+        assert [(r.gen_col, r.next_gen_col) for r in got] == list(zip(cols, cols[1:] + [None]))

@@ -24,6 +24,7 @@ SECTION_START = "A,"  # a 1-field segment at column 0: where a section begins
 # ------------------------------------------------------------------------
 
 BLOCK = 4096  # segments of a line whose sums are taken together
+LEAD_COLUMNS = 16384  # columns of a line whose positions are sorted together
 
 _MAP_FIELDS = "version:int,sourceRoot:string,sources:array<string>,names:array<string>,mappings:string"
 MAP_SCHEMA = (f"struct<{_MAP_FIELDS},file:string,"
@@ -122,7 +123,30 @@ def _numbered(texts, kind: int):
         F.lit(kind).alias("kind"), i.cast("bigint").alias("idx"), t.alias("text")))
 
 
-def build_segments(source_maps: DataFrame) -> DataFrame:
+def with_next_position(d: DataFrame) -> DataFrame:
+    """Positions (map_id, gen_line, gen_col, col_range, …) without those that
+    repeat a generated position, with the next one's column on the line.
+
+    Of equal generated positions a mapping comes before a section start; among
+    mappings the first by (source, line, column, name), those without last.
+    Ranges of ``LEAD_COLUMNS`` columns are sorted apart, so a line that holds a
+    whole minified file is many groups; the last position of a range takes the
+    first one of the next range that has any, carried over from one row per
+    range."""
+    line = ["map_id", "gen_line"]
+    group = Window.partitionBy(*line, "col_range")
+    order = ["gen_col", "blocker", *[F.col(c).asc_nulls_last() for c in ("src_idx", "orig_line", "orig_col", "name_idx")],
+             "section_no", "seg_no"]
+    borders = d.groupBy(*line, "col_range").agg(F.min("gen_col").alias("first_col"))
+    carried = borders.select(*line, "col_range", F.lead("first_col").over(
+        Window.partitionBy(*line).orderBy("col_range")).alias("carried_col"))
+    d = d.withColumn("repeated", F.lag("gen_col").over(group.orderBy(*order)).eqNullSafe(F.col("gen_col")))
+    d = d.where(~F.col("repeated")).drop("repeated").withColumn("in_range", F.lead("gen_col").over(group.orderBy("gen_col")))
+    return (d.join(carried, [*line, "col_range"]).withColumn("next_gen_col", F.coalesce("in_range", "carried_col"))
+            .drop("in_range", "carried_col"))
+
+
+def build_segments(source_maps: DataFrame, keep=None) -> DataFrame:
     """Decode ``source_maps(url, map_json)`` into one row per generated
     position: url, gen_line (1-based), gen_col, next_gen_col (start of the
     next position on the line, null for the last), source, orig_line
@@ -142,7 +166,9 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
     the windows; source names and names join afterwards, by index. The running
     sums of a map are sums of blocks of ``BLOCK`` segments of a line, summed
     up before each block, and sums within a block, so no task sorts a whole
-    map for them."""
+    map for them; nor does one for the next position on a line
+    (``with_next_position``). ``keep(df, name)`` writes the decoded positions,
+    which are read twice."""
     keyed = source_maps.select("url", "map_json", F.sha2("map_json", 256).alias("map_id")).where(F.col("map_json").isNotNull())
     of_url = keyed.groupBy("url").agg(F.min("map_id").alias("map_id"))
     parts = _map_parts(keyed.groupBy("map_id").agg(F.min("map_json").alias("map_json")))
@@ -180,14 +206,10 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
         F.when(has_src, total[4]).alias("orig_col"),
         F.when(F.col("fields") == 5, total[5]).alias("name_idx"),
         blocker.cast("int").alias("blocker"))
-    # equal generated positions: a mapping before a section start; among
-    # mappings the first by (source, line, column, name), those without last
-    first = Window.partitionBy("map_id", "gen_line", "gen_col").orderBy(
-        "blocker", *[F.col(c).asc_nulls_last() for c in ("src_idx", "orig_line", "orig_col", "name_idx")],
-        "section_no", "seg_no")
-    d = d.withColumn("dup", F.row_number().over(first)).where(F.col("dup") == 1).drop("dup", "blocker", "seg_no")
-    nxt = F.lead("gen_col").over(Window.partitionBy("map_id", "gen_line").orderBy("gen_col"))
-    d = d.withColumn("next_gen_col", nxt)
+    d = d.withColumn("col_range", F.floor(F.col("gen_col") / LEAD_COLUMNS))
+    if keep is not None:
+        d = keep(d, "positions")
+    d = with_next_position(d).drop("blocker", "seg_no", "col_range")
     texts = _texts(parts)
     for kind, idx, name in ((0, "src_idx", "src"), (1, "name_idx", "name")):
         t = texts.where(F.col("kind") == kind).select(
@@ -201,10 +223,10 @@ def build_segments(source_maps: DataFrame) -> DataFrame:
         "orig_line", "orig_col", "name")
 
 
-def segments_for_frames(frames: DataFrame, map_files: DataFrame, scripts: DataFrame) -> DataFrame:
+def segments_for_frames(frames: DataFrame, map_files: DataFrame, scripts: DataFrame, keep=None) -> DataFrame:
     """Segments of the maps of every minified-looking frame url, keyed by
     the frame url (as the lookup uses it)."""
     from webdiag.functions.frames import looks_minified
     urls = frames.where(looks_minified(F.col("url"), F.col("line"), F.col("col"))).select("url")
     maps = select_maps(urls, map_files, scripts).where(F.col("map_json").isNotNull())
-    return build_segments(maps.select("url", "map_json"))
+    return build_segments(maps.select("url", "map_json"), keep)

@@ -281,7 +281,7 @@ from allseg
 """)
 def map_segments(spark, sf_dir):
     d = A.map_docs_table(spark, sf_dir)
-    return SM.build_segments(d.select("url", "map_json"))
+    return SM.build_segments(d.select("url", "map_json"), materialize)
 
 
 _A2_FIRST = f"""with {S.a2_frames_sql()}, {S.a4_sql().strip()},
@@ -291,7 +291,7 @@ gated as (select * from kept where {S.minified_sql()})"""
 def _segments_table(frames, map_files, scripts):
     """The segment table of the frames' maps, written to the shared
     checkpoint folder by the query that reads it."""
-    return materialize(SM.segments_for_frames(frames, map_files, scripts), "segments")
+    return materialize(SM.segments_for_frames(frames, map_files, scripts, materialize), "segments")
 
 
 def _frames_and_maps(spark, sf_dir):
