@@ -53,3 +53,62 @@ def test_diagnose_first_element_in_document_order(spark):
     rows = report.collect()
     assert len(rows) == 1 and rows[0].styles == {"opacity": "1"}
     assert batch.collect()[0].summary == "1 element diagnosed, 0 with issues."
+
+
+def _brute(missing, dom, k=5):
+    import re
+    out = {}
+    for cap, selector in set(missing):
+        want = [("id", t.lower()) for t in re.findall(r"#([\w-]+)", selector)] + [("class", t.lower()) for t in re.findall(r"\.([\w-]+)", selector)]
+        ref = max((len(t) for _, t in want), default=0)
+        first = {}
+        for c, kind, token, order in dom:
+            if c == cap and token and any(kind == kd and (t in token.lower() or token.lower() in t) for kd, t in want):
+                first[kind, token] = min(order, first.get((kind, token), order))
+        ranked = sorted((abs(len(t) + 1 - ref), kd == "class", o, ("#" if kd == "id" else ".") + t) for (kd, t), o in first.items())
+        out[cap, selector] = [r[3] for r in ranked[:k]]
+    return {x: v for x, v in out.items() if v}
+
+
+def test_index_equals_brute_force(spark):
+    """Tokens of all lengths, shorter than a trigram among them, on both sides."""
+    import random
+    rnd = random.Random(3)
+
+    def token():
+        return "".join(rnd.choice("aAbc-") for _ in range(rnd.choice([1, 1, 2, 2, 3, 4, 5, 8])))
+    dom = [(rnd.choice("pqr"), rnd.choice(["id", "class"]), token(), k) for k in range(400)] + [("p", "id", "", 1), ("p", "id", None, 2)]
+    missing = [(rnd.choice("pqs"), "".join(rnd.choice("#.") + token() for _ in range(rnd.randint(0, 3)))) for _ in range(60)]
+    got = {}
+    df = suggest.suggest_selectors(spark.createDataFrame(missing, "capture_id string, selector string"), tokens(spark, dom))
+    for r in df.orderBy("rank").collect():
+        got.setdefault((r.capture_id, r.selector), []).append(r.suggestion)
+    assert got == _brute(missing, [d for d in dom if d[2]])
+
+
+def test_hot_capture(spark):
+    """One page with very many tokens and very many misses: no list of either."""
+    from pyspark.sql import functions as F
+    n, m = 200_000, 15_000
+    hot = F.element_at(F.array(F.lit("hot")), (F.col("id") % 1 + 1).cast("int"))  # no constant: a key like any other
+    cls = F.element_at(F.array(F.lit("class")), (F.col("id") % 1 + 1).cast("int"))
+    dom = spark.range(n).select(hot.alias("capture_id"), cls.alias("kind"),
+                                F.concat(F.lit("item-"), F.conv("id", 10, 36), F.lit("-box")).alias("token"), F.col("id").alias("doc_order"))
+    miss = spark.range(m).select(hot.alias("capture_id"), F.concat(F.lit("."), F.conv(F.col("id") * 10 + 50_000, 10, 36),
+                                                                               F.lit("-box")).alias("selector"))
+    got = suggest.suggest_selectors(miss, dom)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "collect_set" not in plan
+    assert got.groupBy("selector").count().count() == m  # each is held by item-…-box
+
+
+def test_rejected_requests_are_rows(spark):
+    from webdiag import api
+    req = spark.createDataFrame([("big", i, f"#e{i}") for i in range(500)] + [("ok", 0, "#a")],
+                                "capture_id string, pos int, selector string")
+    els = spark.createDataFrame([("ok", "#a", {"opacity": "1"})], "capture_id string, selector string, styles map<string,string>")
+    r = api.diagnose_element(req, elements=els)
+    assert sorted((x.pos, x.selector) for x in r.rejected.collect()) == [(i, f"#e{i}") for i in range(500)]
+    import json
+    warned = [x for x in r.quarantine.collect()]
+    assert len(warned) == 1 and json.loads(warned[0].raw) == [f"#e{i}" for i in range(21)]

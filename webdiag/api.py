@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webdiag.operators import audit, reports, sourcemaps, suggest
-from webdiag.operators.common import as_keys, where_computed
+from webdiag.operators.common import as_keys, top_k, where_computed
 from webdiag.session import materialize, plain_unions
 from webdiag.sources import payloads, sinks
 
@@ -35,7 +35,8 @@ class DiagnoseResult:
     elements: DataFrame    # one row per requested selector
     batch: DataFrame       # one row per capture
     report: DataFrame      # by…, report (JSON text)
-    quarantine: DataFrame
+    quarantine: DataFrame  # by…, source, warning, raw; of a request with too many selectors raw lists the first ones
+    rejected: DataFrame    # by…, pos, selector of requests with too many selectors, every one
 
 
 def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int = 20,
@@ -65,7 +66,7 @@ def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int
     if resolve_sourcemaps:
         if map_files is not None and scripts is not None:
             def segments(frames):  # maps of the kept issues' frames only
-                return keep(sourcemaps.segments_for_frames(frames, map_files, scripts), "segments")
+                return keep(sourcemaps.segments_for_frames(frames, map_files, scripts, keep), "segments")
         else:
             segments = console_payloads.sparkSession.createDataFrame(
                 [], "url string, gen_line bigint, gen_col bigint, next_gen_col bigint, "
@@ -100,7 +101,7 @@ def diagnose_element(requests: DataFrame | None = None, style_payloads: DataFram
         tables = [df if df is None else df.withColumn(_ALL, F.lit(0)) for df in (requests, style_payloads, elements, dom_tokens)]
         r = diagnose_element(*tables, include_box_model, single if single is None else single.withColumn(_ALL, F.lit(0)),
                              [_ALL], write_intermediate, max_selectors)
-        return DiagnoseResult(*[df.drop(_ALL) for df in (r.elements, r.batch, r.report, r.quarantine)])
+        return DiagnoseResult(*[df.drop(_ALL) for df in (r.elements, r.batch, r.report, r.quarantine, r.rejected)])
     keep = materialize if write_intermediate else (lambda df, _name: df)
     first = requests if requests is not None else style_payloads
     quarantine = first.select(*keys, F.lit("element").alias("source"), F.lit("").alias("warning"), F.lit("").alias("raw")).limit(0)
@@ -124,14 +125,20 @@ def diagnose_element(requests: DataFrame | None = None, style_payloads: DataFram
         elements = rows.where(~F.col("not_found")).select(*keys, "selector", "styles")
     # a request asks for at most so many selectors; a larger one is rejected whole
     over = suggest.check_batch_size(requests, keys, max_selectors).select(*keys)
-    quarantine = quarantine.unionByName(requests.join(over, keys, "left_semi").groupBy(*keys).agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "selector"))), lambda x: x["selector"])).alias("raw"))
+    rejected = requests.join(over, keys, "left_semi").select(*keys, "pos", "selector")
+    # the warning quotes as many selectors as show the breach; ``rejected`` has all as rows
+    quoted = top_k(rejected, keys, [F.col("pos"), F.col("selector")], max_selectors + 1, "_no")
+    quarantine = quarantine.unionByName(quoted.groupBy(*keys).agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_no", "selector"))), lambda x: x["selector"])).alias("raw"))
         .select(*keys, F.lit("element").alias("source"), F.lit(payloads.STYLE_WARNING + payloads.TOO_MANY).alias("warning"), "raw"))
     requests = requests.join(over, keys, "left_anti")
     report, batch = reports.diagnose(requests, elements, dom_tokens, include_box_model, keys)
-    return _diagnosis(report, batch, keys, single, keep(quarantine, "quarantine"))
+    return _diagnosis(report, batch, keys, single, keep(quarantine, "quarantine"), rejected)
 
 
-def _diagnosis(report: DataFrame, batch: DataFrame, keys, single, quarantine: DataFrame) -> DiagnoseResult:
+def _diagnosis(report: DataFrame, batch: DataFrame, keys, single, quarantine: DataFrame,
+               rejected: DataFrame | None = None) -> DiagnoseResult:
     docs = sinks.diagnose_json(report, batch, keys, single).unionByName(sinks.warning_json(quarantine, keys))
-    return DiagnoseResult(report, batch, docs, quarantine)
+    if rejected is None:
+        rejected = report.select(*keys, "pos", "selector").limit(0)
+    return DiagnoseResult(report, batch, docs, quarantine, rejected)

@@ -22,6 +22,8 @@ MAX_SELECTORS = 20  # per request batch
 PREFIX = {"id": "#", "class": "."}
 # ------------------------------------------------------------------------
 
+GRAM = 3  # code points of the index's substrings
+
 
 def selector_tokens(selector: Column) -> Column:
     """array<struct<kind, token>>: lower-cased id tokens, then class tokens."""
@@ -46,6 +48,62 @@ def lookup(requests: DataFrame, elements: DataFrame, keys=("capture_id",)) -> Da
     return j.select(*requests.columns, F.coalesce("_hit", F.lit(False)).alias("found"))
 
 
+def _grams(token: Column, size: int) -> Column:
+    """The distinct substrings of ``size`` code points; a shorter token is its own one."""
+    n = F.length(token)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))),
+                                        lambda i: F.substr(token, i, F.lit(size))))
+
+
+def _anchors(tokens: DataFrame, name: str, postings: DataFrame, keys) -> DataFrame:
+    """The rarest gram, by ``postings``, of each of ``tokens``; tokens with a
+    gram that no posting has are contained in nothing and drop out."""
+    place = [*keys, "kind"]
+    often = postings.groupBy(*place, "gram").agg(F.count(F.lit(1)).alias("often"))
+    grams = tokens.select(*place, name, F.explode(_grams(F.col(name), GRAM)).alias("gram"))
+    return (grams.join(often, [*place, "gram"]).groupBy(*place, name)
+            .agg(F.count(F.lit(1)).alias("present"), F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+            .where(F.col("present") == F.size(_grams(F.col(name), GRAM))).drop("present"))
+
+
+def _postings(tokens: DataFrame, name: str, columns, short: DataFrame, keys) -> DataFrame:
+    """A row per gram of each token; grams of less than GRAM code points only
+    on pages where ``short`` says that the other side has so short a token."""
+    t = tokens.join(short, [*keys, "kind"])
+    grams = F.concat(_grams(F.col(name), GRAM), F.when(F.col("short"), F.flatten(F.array(*[
+        F.filter(_grams(F.col(name), k), lambda g: F.length(name) >= GRAM) for k in range(1, GRAM)]))).otherwise(
+            F.array().cast("array<string>")))
+    # a token shorter than GRAM holds shorter ones, too
+    grams = F.when((F.length(name) < GRAM) & F.col("short"), F.array_distinct(F.flatten(F.array(*[
+        _grams(F.col(name), k) for k in range(1, GRAM + 1)])))).otherwise(grams)
+    return t.select(*keys, "kind", *columns, F.explode(grams).alias("gram"))
+
+
+def similar_tokens(wanted: DataFrame, dom: DataFrame, keys=("capture_id",)) -> DataFrame:
+    """(keys…, kind, want, token, doc_order): the tokens ``lc`` of ``dom(keys…,
+    kind, token, lc, doc_order)`` that equal, contain or lie in a wanted token
+    of the same page and kind.
+
+    An inverted index of trigrams: a token lies in another one only if the
+    other has all its trigrams, so it is looked up under the rarest of them
+    alone, and ``contains`` verifies what is found. Postings meet by (page,
+    kind, gram): a page with very many tokens is many groups, and no list of
+    a page's tokens is built."""
+    keys = as_keys(keys)
+    place = [*keys, "kind"]
+    # pages of one side without the other side find nothing
+    of_wanted = wanted.groupBy(*place).agg((F.min(F.length("want")) < GRAM).alias("short"))
+    of_dom = dom.groupBy(*place).agg((F.min(F.length("lc")) < GRAM).alias("short"))
+    held = _postings(dom, "lc", ["token", "lc", "doc_order"], of_wanted, keys)
+    asked = _postings(wanted, "want", ["want"], of_dom, keys)
+    inside = _anchors(wanted, "want", held, keys).join(held, [*place, "gram"]).where(F.contains("lc", F.col("want")))
+    around = (_anchors(dom.select(*place, "lc").distinct(), "lc", asked, keys).join(asked, [*place, "gram"])
+              .where(F.contains("want", F.col("lc")) & (F.col("lc") != F.col("want"))).drop("gram")
+              .join(dom, [*place, "lc"]))
+    columns = [*place, "want", "token", "doc_order"]
+    return inside.select(*columns).unionByName(around.select(*columns))
+
+
 def suggest_selectors(missing: DataFrame, dom_tokens: DataFrame, k: int = MAX_SUGGESTIONS,
                       keys=("capture_id",)) -> DataFrame:
     """Long form: keys…, selector, rank (1..k), suggestion.
@@ -63,16 +121,9 @@ def suggest_selectors(missing: DataFrame, dom_tokens: DataFrame, k: int = MAX_SU
     dom = (dom_tokens.where(F.coalesce(F.length("token"), F.lit(0)) > 0)
            .groupBy(*keys, "kind", "token").agg(F.min("doc_order").alias("doc_order"))
            .withColumn("lc", F.lower("token")))
-    # a page's wanted tokens in one array (few: a request asks for at most 20
-    # selectors), so that each token of the page is looked at once
-    wanted = toks.groupBy(*keys, "kind").agg(F.collect_set(F.struct("selector", "ref_len", "want")).alias("wanted"))
-
-    def similar(w):
-        return (F.col("lc") == w["want"]) | F.contains(F.col("lc"), w["want"]) | F.contains(w["want"], F.col("lc"))
-    hits = F.array_distinct(F.transform(F.filter("wanted", similar), lambda w: F.struct(w["selector"], w["ref_len"])))
-    cand = (dom.join(wanted, [*keys, "kind"], "inner")
-            .select(*keys, "kind", "token", "doc_order", F.explode(hits).alias("w"))
-            .select(*keys, F.col("w.selector").alias("selector"), F.col("w.ref_len").alias("ref_len"), "kind", "token", "doc_order"))
+    # several tokens of a selector may be similar to one token of the page
+    cand = (similar_tokens(toks.select(*keys, "kind", "want").distinct(), dom, keys).join(toks, [*keys, "kind", "want"])
+            .groupBy(*keys, "selector", "kind", "token").agg(F.min("doc_order").alias("doc_order"), F.min("ref_len").alias("ref_len")))
     text = F.concat(F.when(F.col("kind") == "id", F.lit("#")).otherwise(F.lit(".")), F.col("token"))
     cand = cand.select(*keys, "selector", "kind", "doc_order", text.alias("suggestion"),
                        F.abs(F.length(text) - F.col("ref_len")).alias("dist"))
