@@ -1,104 +1,55 @@
 """Continuous console rollup.
 
-The per-(capture, fingerprint) count and first entry run as a streaming
-aggregation in update mode: Spark keeps the groups in its state store and
-emits the groups a micro-batch changed. ``row_number`` is not allowed on a
-stream, so ranking happens in ``foreachBatch``: the changed groups are
-merged into a groups table (anti-join + union; a replayed batch writes the
-same result again) and the top-k report of the captures touched by the batch is rewritten from it;
-both tables are partitioned by a hash bucket of the capture, so a batch
-rewrites only the buckets it touched.
-
-Console entries carry no event time, so no watermark is set and the state
-holds every group; bound it upstream (for instance one stream per day) when
-captures never end.
+Each micro-batch is reduced to its own partial groups and written as one load
+of a ``RollupStore``, under the batch's number: nothing but the changed groups
+is written, a replayed batch replaces itself, and Spark's state store holds
+nothing, however long the stream runs. Reports merge the loads on read; loads
+are compacted when their bytes have reached a share of the base's.
+
+With ``time_col`` captures that had no entry for ``end_after`` seconds, counted
+back from the newest entry stored, are set aside at compaction, so what
+compactions rewrite stays as small as the live captures' groups. Their part of
+the report stays, and a capture that goes on later is merged with it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webdiag.functions import console as C
-from webdiag.operators import rollup
-from webdiag.operators.common import as_keys
-from webdiag.session import drop_intermediate, intermediate_count, materialize
-
-
-def group_stream(entries: DataFrame, severity: str = "error", by=("capture_id",),
-                 noise_patterns=C.NOISE_PATTERNS) -> DataFrame:
-    """Streaming groups: by…, fingerprint, count, first_seq, level, message,
-    source, severity_rank (same rules as ``error_rollup``)."""
-    keys = as_keys(by)
-    e = rollup.normalize(rollup.filter_severity_raw(entries, severity), keys)
-    e = rollup.with_fingerprint(rollup.drop_noise(e, noise_patterns))
-    g = rollup.group_issues(e.drop("stack") if "stack" in e.columns else e, keys)
-    return rollup.with_rank(g)
-
-
-def _rank(groups: DataFrame, keys, limit: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col("severity_rank").desc(), F.col("count").desc(), F.col("first_seq"))
-    r = groups.withColumn("issue_no", F.row_number().over(w)).where(F.col("issue_no") <= limit)
-    return r.select(*keys, F.col("issue_no").cast("bigint").alias("issue_no"), "level", "message", "count",
-                    "source", "first_seq", "fingerprint")
-
-
-DEFAULT_BUCKETS = 64
+from webdiag.operators.store import COMPACT_SHARE, RollupStore
 
 
-def _bucket(keys, buckets: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+def write_batch(entries: DataFrame, batch_id: int, store: RollupStore, time_col: str | None = None,
+                end_after: float | None = None, compact_share: float = COMPACT_SHARE, noise_patterns=C.NOISE_PATTERNS) -> None:
+    """foreachBatch body."""
+    if store.add(batch_id, entries, time_col, noise_patterns):
+        store.compact_if_large(compact_share, _ended_before(store, time_col, end_after))
 
 
-def merge_batch(updates: DataFrame, batch_id: int, out_dir: str, by=("capture_id",), limit: int = 20,
-                buckets: int = DEFAULT_BUCKETS) -> None:
-    """foreachBatch body. The groups table and the report are partitioned
-    by a hash bucket of the capture key and written with dynamic partition
-    overwrite, so a batch rewrites only the buckets it touched: merged
-    groups = stored groups of those buckets minus the updated ones, plus
-    the updates (update mode emits a group's full current value, so a
-    replayed batch writes the same result again)."""
-    keys = as_keys(by) or ["_all"]
-    if "_all" in keys and "_all" not in updates.columns:
-        updates = updates.withColumn("_all", F.lit(0))
-    spark = updates.sparkSession
-    kept_before = intermediate_count(spark)
-    out = out_dir.rstrip("/")
-    cols = [*keys, "fingerprint", "count", "first_seq", "level", "message", "source", "severity_rank"]
-    # read several times below; the stateful stage runs once
-    updates = materialize(updates.select(*cols, _bucket(keys, buckets).alias("bucket")), f"stream-updates-{batch_id}")
-    touched = updates.select("bucket").distinct()
-    groups_path, report_path = f"{out}/groups", f"{out}/report"
-    try:
-        stored = spark.read.parquet(groups_path).join(touched, "bucket", "left_semi")
-        kept = stored.join(updates.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
-        merged = kept.unionByName(updates.select(*stored.columns))
-    except Exception as e:  # noqa: BLE001 — first batch: no groups table yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        merged = updates
-    # cut the lineage that reads the table about to be overwritten
-    merged = materialize(merged, f"stream-merge-{batch_id}")
-    dyn = {"partitionOverwriteMode": "dynamic"}
-    merged.write.mode("overwrite").options(**dyn).partitionBy("bucket").parquet(groups_path)
-    current = spark.read.parquet(groups_path).join(touched, "bucket", "left_semi")
-    report = _rank(current, keys, limit).withColumn("bucket", _bucket(keys, buckets))
-    report.write.mode("overwrite").options(**dyn).partitionBy("bucket").parquet(report_path)
-    drop_intermediate(spark, kept_before)
+def _ended_before(store: RollupStore, time_col: str | None, end_after: float | None):
+    if time_col is None or end_after is None:
+        return None
+    newest = store.groups(ended=False).agg(F.max("last_time")).first()[0]
+    return None if newest is None else newest - timedelta(seconds=end_after)
 
 
-def latest_report(spark, out_dir: str, by=("capture_id",)) -> DataFrame:
-    """Current top-k per capture."""
-    r = spark.read.parquet(f"{out_dir.rstrip('/')}/report").drop("bucket")
-    return r.drop("_all") if "_all" in r.columns else r
+def latest_report(spark: SparkSession, out_dir: str, ended: bool = True) -> DataFrame:
+    """Current top-k per capture; without ended captures when asked so."""
+    return RollupStore(spark, out_dir).report(ended=ended)
 
 
 def start(entries: DataFrame, out_dir: str, checkpoint_location: str, severity: str = "error",
-          limit: int = 20, by=("capture_id",), trigger: dict | None = None):
+          limit: int = 20, by=("capture_id",), trigger: dict | None = None, time_col: str | None = None,
+          end_after: float | None = None, compact_share: float = COMPACT_SHARE):
     """Start the continuous rollup; returns the StreamingQuery."""
-    g = group_stream(entries, severity, by)
-    w = (g.writeStream.outputMode("update")
-         .foreachBatch(lambda df, bid: merge_batch(df, bid, out_dir, by, limit))
+    spark = entries.sparkSession
+    store = RollupStore.create(spark, out_dir, by, severity, limit)
+    w = (entries.writeStream
+         .foreachBatch(lambda df, bid: write_batch(df, bid, store, time_col, end_after, compact_share))
          .option("checkpointLocation", checkpoint_location))
     if trigger:
         w = w.trigger(**trigger)
