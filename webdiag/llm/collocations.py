@@ -2,14 +2,14 @@
 
 A task counts the phrases of its rows in a trie over word ids. A node of the
 trie is a hash container of all phrases below it; when a container grows beyond
-``BURST`` phrases it bursts: words that lead many of its phrases get child
-nodes of their own, the others stay together. The trie stays shallow, and
-frequent beginnings are stored once. When a task holds more than ``HELD``
+``BURST`` phrases it bursts: words that lead at least ``LEADS`` of its phrases
+get child nodes of their own, the others stay together. The trie stays shallow,
+and frequent beginnings are stored once. When a task holds more than ``HELD``
 phrases it spills whole subtrees, the largest first, as sorted runs (language,
-phrase, count). The runs are written to the shared folder; ranges of the phrase
-order are the prefix partitions: each merges what all runs have in its range,
-and a beginning that is too frequent for one partition is cut by the words that
-follow. Whatever the corpus, a phrase meets with one row per run.
+phrase, count). The shuffle's partitions are the prefix partitions: a run's
+phrases are dealt by the hash of their whole path, so that no beginning is too
+frequent for one of them, and each merges what all runs have of its phrases.
+Whatever the corpus, a phrase meets with one row per run.
 
 Phrases are counted by length, shortest first. A phrase that occurs
 ``min_count`` times has only parts that do, so a longer phrase is only counted
@@ -26,8 +26,6 @@ read. Words are compared as UTF-8 bytes.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,18 +33,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, shared_dir, table, whole_text
+from .common import cut, map_arrow, table, whole_text
 
 MIN_COUNT = 10
 MAX_WORDS = 3
 COVERED = 50            # percent of a phrase's occurrences that lie in a longer one
 TOP = 2000
-BURST = 50_000          # phrases in a container
-LEADS = 64              # phrases that make a leading word a node
+BURST = 1 << 18         # phrases in a container
+LEADS = 4096            # phrases that make a leading word a node
 HELD = 1_500_000        # phrases that a task holds
 VOCABULARY = 400_000    # words that a task holds
-CHUNK = 1 << 18         # words counted at a time
-SLICE = 1 << 22         # bytes of a long text read at a time
+CHUNK = 1 << 21         # bytes of text counted at a time
+SLICE = 1 << 21         # bytes of a long text read at a time
 FILTER_BITS = 27
 ROWS = 1 << 16          # of an Arrow batch
 
@@ -55,18 +53,25 @@ BREAK = b"\xff"         # between pieces; no byte of UTF-8
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?" or 10 <= c <= 13 else c for c in range(256))
 
 
-def tokens(text: bytes):
-    """Lists of the words of a text, in order, with BREAK between its pieces."""
+def slices(text: bytes):
+    """A text in slices that end at blanks, A-Z lower-cased, with BREAK between its pieces."""
     at = 0
     while at < len(text):
         end = len(text)
         if end - at > SLICE:
             blank = text.find(b" ", at + SLICE)
             end = blank if blank >= 0 else end
-        yield text[at:end].translate(FOLD).replace(b"\n", b" \xff ").split()
+        yield text[at:end].translate(FOLD).replace(b"\n", b" \xff ")
         at = end
 
 
+def words_of(text: bytes) -> pa.Array:
+    """The words of a slice, in order, as binary values."""
+    words = pc.ascii_split_whitespace(pa.array([text], pa.large_binary()).view(pa.large_string())).flatten()
+    words = words.view(pa.large_binary())
+    return words.filter(pc.greater(pc.binary_length(words), 0))
+
+
 def _bit(hashes: np.ndarray) -> np.ndarray:
     """The bit of each phrase, from the hashes of its words, one row per word."""
     out = np.zeros(hashes.shape[1:], _U)
@@ -77,68 +82,87 @@ def _bit(hashes: np.ndarray) -> np.ndarray:
 
 
 def _word_hash(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=len(lang) and xxhash.xxh32_intdigest(lang))
+    return xxhash.xxh3_64_intdigest(word, xxhash.xxh32_intdigest(lang))
+
+
+class Container:
+    """A hash table from keys, which are positive, to counts; open addressing."""
+
+    def __init__(self, keys=(), counts=()):
+        self.size = 0
+        self.keys, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.add(np.array(keys, np.int64), np.array(counts, np.int64))
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Adds distinct keys."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            held = self.items()
+            room = 1 << int(2 * (self.size + len(keys))).bit_length()
+            self.size, self.keys, self.counts = 0, np.zeros(room, np.int64), np.zeros(room, np.int64)
+            self.add(*held)
+        mask = len(self.keys) - 1
+        at = (keys.astype(_U) * _U(0x9E3779B97F4A7C15) >> _U(32)).astype(np.int64) & mask
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]  # of several keys one gets the place
+            own = self.keys[at] == keys
+            self.counts[at[own]] += counts[own]
+            self.size += int((free & own).sum())
+            rest = ~own
+            keys, counts, at = keys[rest], counts[rest], (at[rest] + 1) & mask
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.keys)
+        return self.keys[at], self.counts[at]
 
 
 class Node:
-    """A node of the trie: ``table`` counts the phrases whose next word has no
-    node of its own. Keys hold the ids of the ``left`` words below the node,
+    """A node of the trie: its container counts the phrases whose next word has
+    no node of its own. Keys hold the ids of the ``left`` words below the node,
     ``bits`` bits each, the first one highest."""
 
-    def __init__(self, left: int, bits: int):
-        self.left, self.bits, self.table, self.children, self.limit = left, bits, {}, {}, BURST
+    def __init__(self, left: int, bits: int, keys=(), counts=()):
+        self.left, self.bits, self.children, self.limit = left, bits, {}, BURST
+        self.table = Container(keys, counts)
+
+    def _leads(self, keys: np.ndarray):
+        """(lead, begin, end) of sorted keys of one next word."""
+        lead = keys >> (self.bits * (self.left - 1))
+        begin = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]]) if len(lead) else lead
+        return zip(lead[begin].tolist(), begin.tolist(), np.r_[begin[1:], len(keys)].tolist())
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> int:
-        """Adds distinct sorted keys; the number of phrases that are new."""
-        new = 0
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Adds distinct sorted keys."""
         if self.children:
-            shift = self.bits * (self.left - 1)
-            lead = keys >> shift
-            begin = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
-            own = [(at, to, self.children[x]) for at, to, x in
-                   zip(begin.tolist(), np.r_[begin[1:], len(keys)].tolist(), lead[begin].tolist()) if x in self.children]
-            if own:
-                rest = np.ones(len(keys), bool)
-                for at, to, child in own:
-                    rest[at:to] = False
-                    new += child.add(keys[at:to] & ((1 << shift) - 1), counts[at:to])
-                keys, counts = keys[rest], counts[rest]
-        held, before = self.table, len(self.table)
-        get = held.get
-        for k, c in zip(keys.tolist(), counts.tolist()):
-            held[k] = get(k, 0) + c
-        new += len(held) - before
-        if len(held) > self.limit and self.left > 1:
+            own = [(self.children[x], at, to) for x, at, to in self._leads(keys) if x in self.children]
+            rest = np.ones(len(keys), bool)
+            for child, at, to in own:
+                rest[at:to] = False
+                child.add(keys[at:to] & ((1 << (self.bits * (self.left - 1))) - 1), counts[at:to])
+            keys, counts = keys[rest], counts[rest]
+        self.table.add(keys, counts)
+        if self.table.size > self.limit and self.left > 1:
             self.burst()
-        return new
 
     def burst(self) -> None:
-        keys, counts = self.arrays()
-        shift = self.bits * (self.left - 1)
-        lead = keys >> shift
-        begin = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+        keys, counts = self.table.items()
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
         rest = np.ones(len(keys), bool)
-        for at, to in zip(begin.tolist(), np.r_[begin[1:], len(keys)].tolist()):
+        for lead, at, to in self._leads(keys):
             if to - at >= LEADS:
                 rest[at:to] = False
-                child = self.children[int(lead[at])] = Node(self.left - 1, self.bits)
-                child.table = dict(zip((keys[at:to] & ((1 << shift) - 1)).tolist(), counts[at:to].tolist()))
-        self.table = dict(zip(keys[rest].tolist(), counts[rest].tolist()))
-        self.limit = max(BURST, 2 * len(self.table))
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys and counts of the container."""
-        keys = np.fromiter(self.table.keys(), np.int64, len(self.table))
-        counts = np.fromiter(self.table.values(), np.int64, len(self.table))
-        order = np.argsort(keys)
-        return keys[order], counts[order]
+                self.children[lead] = Node(self.left - 1, self.bits,
+                                           keys[at:to] & ((1 << (self.bits * (self.left - 1))) - 1), counts[at:to])
+        self.table = Container(keys[rest], counts[rest])
+        self.limit = max(BURST, 2 * self.table.size)
 
     def size(self) -> int:
-        return len(self.table) + sum(c.size() for c in self.children.values())
+        return self.table.size + sum(c.size() for c in self.children.values())
 
     def subtree(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of all phrases below the node."""
-        parts = [self.arrays()]
+        parts = [self.table.items()]
         for lead, child in self.children.items():
             keys, counts = child.subtree()
             parts.append((keys | (lead << (self.bits * (self.left - 1))), counts))
@@ -154,6 +178,7 @@ class Counter:
         self.bits = 63 // n
         self.room = min(VOCABULARY, (1 << self.bits) - 2)
         self.waiting: list[bytes] = []
+        self.seed = xxhash.xxh32_intdigest(lang)
         self.clear()
 
     def clear(self) -> None:
@@ -161,8 +186,11 @@ class Counter:
         self.ids, self.words, self.hashes = {BREAK: 0}, [b""], [0]
 
     def _learn(self, new: list[bytes]) -> None:
-        hashes = [_word_hash(self.lang, w) for w in new]
-        keep = self.known(np.array([hashes], _U)) if self.n == 2 and new else [True] * len(new)
+        if self.n == 1:
+            hashes, keep = [0] * len(new), [True] * len(new)
+        else:
+            hashes = [xxhash.xxh3_64_intdigest(w, self.seed) for w in new]
+            keep = self.known(np.array([hashes], _U)).tolist() if self.n == 2 and new else [True] * len(new)
         for w, h, k in zip(new, hashes, keep):
             self.ids[w] = len(self.words) if k else 0  # a rare word ends phrases as BREAK does
             if k:
@@ -170,55 +198,63 @@ class Counter:
                 self.hashes.append(h)
 
     def count(self):
-        """Counts the waiting words; yields runs of a full trie's subtrees."""
-        todo, self.waiting = self.waiting, []
-        while todo:
-            part = todo
-            new = set(todo).difference(self.ids)
-            if len(self.ids) + len(new) > self.room + 1:  # all goes out, and ids begin anew
-                yield from self.flush()
-                part = todo[:max(self.n, self.room)]
-                new = set(part).difference(self.ids)
-            self._learn(sorted(new))
-            self._add(part)
-            todo = todo[len(part) - self.n + 1:] if len(part) < len(todo) else []
-            if not todo and self.n > 1:
-                self.waiting = part[-(self.n - 1):]
-            yield from self.spill(HELD)
-
-    def _add(self, words: list[bytes]) -> None:
-        n, m = self.n, len(words) - self.n + 1
+        """Counts the waiting texts; yields runs of a full trie's subtrees."""
+        text, self.waiting = b" ".join(self.waiting), []
+        if text:
+            words = words_of(text)
+            yield from self._count(words)
+            if self.n > 1 and len(words):
+                self.waiting = [b" ".join(words[max(0, len(words) - self.n + 1):].to_pylist())]
+
+    def _count(self, words: pa.Array):
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(distinct) > self.room:  # halves, with the phrases across them in the second
+            half = len(words) // 2
+            yield from self._count(words[:half])
+            yield from self._count(words[half - self.n + 1:])
+            return
+        new = [w for w in distinct if w not in self.ids]
+        if len(self.ids) + len(new) > self.room + 1:  # all goes out, and ids begin anew
+            yield from self.flush()
+            new = [w for w in distinct if w not in self.ids]
+        self._learn(new)
+        if distinct:
+            self._add(np.fromiter(map(self.ids.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()])
+        if self.held > HELD:
+            yield from self.spill()
+
+    def _add(self, ids: np.ndarray) -> None:
+        n, m = self.n, len(ids) - self.n + 1
         if m < 1:
             return
-        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         ok = ids[:m] > 0
         for k in range(1, n):
             ok &= ids[k:m + k] > 0
         at = np.flatnonzero(ok)
         if n > 2 and len(at):
             h = np.array(self.hashes, _U)[ids]
-            parts = [np.stack([h[at + s + k] for k in range(n - 1)]) for s in (0, 1)]
-            at = at[self.known(parts[0]) & self.known(parts[1])]
+            for s in (0, 1):
+                at = at[self.known(np.stack([h[at + s + k] for k in range(n - 1)]))]
         key = np.zeros(len(at), np.int64)
         for k in range(n):
             key = key << self.bits | ids[at + k]
-        self.held += self.root.add(*np.unique(key, return_counts=True))
+        self.root.add(*np.unique(key, return_counts=True))
+        self.held = self.root.size()
 
-    def spill(self, limit: int):
-        """Sorted runs of whole subtrees until no more than half of ``limit`` is held."""
-        if self.held <= limit:
-            return
+    def spill(self):
+        """Sorted runs of whole subtrees, the largest first, until half of HELD is held."""
         shift = self.bits * (self.n - 1)
-        sizes = sorted(((c.size(), lead) for lead, c in self.root.children.items()), reverse=True)
-        for size, lead in sizes:
-            if self.held <= limit // 2:
+        for size, lead in sorted(((c.size(), lead) for lead, c in self.root.children.items()), reverse=True):
+            if self.held <= HELD // 2:
                 return
             keys, counts = self.root.children.pop(lead).subtree()
             yield from self.run(keys | (lead << shift), counts)
             self.held -= size
-        if self.held > limit // 2:
-            yield from self.run(*self.root.arrays())
-            self.root.table, self.held = {}, 0
+        if self.held > HELD // 2:
+            yield from self.run(*self.root.table.items())
+            self.root.table = Container()
+            self.held = self.root.size()
 
     def flush(self):
         if self.held:
@@ -228,37 +264,37 @@ class Counter:
     def run(self, keys: np.ndarray, counts: np.ndarray):
         """A sorted run in Arrow batches."""
         mask = (1 << self.bits) - 1
-        ids = [(keys >> (self.bits * (self.n - 1 - k))) & mask for k in range(self.n)]
-        used, places = np.unique(np.concatenate(ids), return_inverse=True)
-        words = np.array([self.words[i] for i in used.tolist()], object)
-        order = np.argsort(words, kind="stable")
+        words = pa.array(self.words, pa.binary())
+        order = pc.array_sort_indices(words).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        names = pa.array(words[order].tolist(), pa.binary()).cast(pa.string())
-        ids = rank[places].reshape(self.n, -1)
-        order = np.lexsort(ids[::-1])
+        names = words.take(pa.array(order)).cast(pa.string())
+        ranks = [rank[(keys >> (self.bits * (self.n - 1 - k))) & mask] for k in range(self.n)]
+        key = np.zeros(len(keys), np.int64)
+        for r in ranks:
+            key = key << self.bits | r
+        order = np.argsort(key)
         for at in range(0, len(order), ROWS):
             part = order[at:at + ROWS]
-            columns = [names.take(pa.array(x[part])) for x in ids]
+            columns = [names.take(pa.array(r[part])) for r in ranks]
             phrase = columns[0] if self.n == 1 else pc.binary_join_element_wise(*columns, " ")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([self.lang.decode()] * len(part), pa.string()), phrase, pa.array(counts[part], pa.int64())],
                 ["lang", "phrase", "f"])
 
 
-def _runs(docs: DataFrame, n: int, bitmap) -> DataFrame:
-    """Sorted runs (lang, phrase, f) of the phrases of ``n`` words of
-    ``docs(lang, text)``; ``bitmap`` holds those of n - 1 words."""
+def _counts(docs: DataFrame, n: int, bitmap) -> DataFrame:
+    """(lang, phrase, f) of the phrases of ``n`` words of ``docs(lang, text)``;
+    ``bitmap`` holds those of n - 1 words."""
 
     def run(batches):
+        known = None
         if bitmap is not None:
             bits = np.frombuffer(bitmap.value, np.uint8)
 
             def known(hashes):
                 b = _bit(hashes)
                 return (bits[(b >> _U(3)).astype(np.int64)] >> (b & _U(7)).astype(np.uint8)) & 1 == 1
-        else:
-            known = None
         counters: dict[bytes, Counter] = {}
         waiting = 0
 
@@ -273,13 +309,13 @@ def _runs(docs: DataFrame, n: int, bitmap) -> DataFrame:
                     yield from c.flush()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                lang = lang.as_py().encode()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lang = lang.encode()
                 if lang not in counters:
                     counters[lang] = Counter(lang, n, known)
                 c = counters[lang]
-                for part in tokens(text.as_buffer().to_pybytes()):
-                    c.waiting += part
+                for part in slices(text.as_buffer().to_pybytes()):
+                    c.waiting.append(part)
                     waiting += len(part)
                     if waiting >= CHUNK:
                         yield from count()
@@ -289,13 +325,9 @@ def _runs(docs: DataFrame, n: int, bitmap) -> DataFrame:
         for c in counters.values():
             yield from c.flush()
 
-    return map_arrow(docs, run, "lang string, phrase string, f long")
-
-
-def _merged(runs: DataFrame) -> DataFrame:
-    """(lang, phrase, f): the runs merged, range by range of the phrases."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(parts, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = map_arrow(docs, run, "lang string, phrase string, f long")
+    return runs.repartition(parts, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _bitmap(frequent: DataFrame):
@@ -335,17 +367,14 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """(lang, words, phrase, f) of every phrase of at most ``max_words`` words
     that occurs ``min_count`` times, words alone included, and (lang, n): the
     number of all words."""
-    spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                       whole_text(F.col(text_col)).cast("binary").alias("text"))
-    folder = f"{shared_dir(spark)}/phrases-{uuid.uuid4().hex}"
-    frequent, totals, bitmap = None, None, None
+    words = cut(_counts(src, 1, None))
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent, bitmap = None, None
     for n in range(1, max_words + 1):
-        _runs(src, n, bitmap).write.parquet(f"{folder}/{n}")
-        runs = spark.read.parquet(f"{folder}/{n}")
-        if n == 1:
-            totals = cut(runs.groupBy("lang").agg(F.sum("f").alias("n")))
-        found = cut(_merged(runs).filter(F.col("f") >= min_count).select("lang", F.lit(n).alias("words"), "phrase", "f"))
+        found = words if n == 1 else _counts(src, n, bitmap)
+        found = cut(found.filter(F.col("f") >= min_count).select("lang", F.lit(n).alias("words"), "phrase", "f"))
         frequent = found if frequent is None else frequent.unionAll(found)
         if n < max_words:
             bitmap = _bitmap(found)
