@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +53,28 @@ def whole_text(text: Column) -> Column:
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` whose Python workers find this package where the driver
-    found it, as jobs started without it on PYTHONPATH or --py-files need."""
+    found it, as jobs started without it on PYTHONPATH or --py-files need. A
+    worker gives back what a task held when the task ends: it stays for later
+    tasks, and for a while beside the workers of later stages."""
     _package_on_path(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
 
 
 def _package_on_path(spark: SparkSession) -> None:
