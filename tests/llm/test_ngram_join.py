@@ -88,3 +88,25 @@ def test_bounds_never_lose_a_pair():
             assert len(np.intersect1d(nj.nodes_of(a), nj.nodes_of(b)))
             counts = nj.points_of([nj.point_of(a), nj.point_of(b)])
             assert 1 in nj.CountTree(counts, np.array([len(a), len(b)])).search(counts[0], len(a))
+
+
+def test_small_linked_sets_share_a_node():
+    """Below EXACT shingles without exception: 100,000 random linked pairs."""
+    rnd = np.random.default_rng(5)
+    pairs = 0
+    while pairs < 100_000:
+        n = int(rnd.integers(1, 20))
+        pool = rnd.integers(0, 1 << 63, 24, np.uint64) * np.uint64(2)
+        a = np.unique(pool[:n])
+        for lost in range(4):
+            for more in range(4):
+                b = np.unique(np.concatenate([a[lost:], pool[20:20 + more]]))
+                if len(b) and nj.linked(a, b):
+                    pairs += 1
+                    assert np.intersect1d(nj.nodes_of(a), nj.nodes_of(b)).size
+
+
+def test_nine_words_and_their_first_eight(spark):
+    text = "word3931 word2860 word4852 word1194 word1514 word3909 word1805 word2910 word2482"
+    docs = spark.createDataFrame([(1, text), (2, text.rsplit(" ", 1)[0]), (3, "other words")], "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in nj.join(docs).collect()} == {1: 1, 2: 1, 3: 3}

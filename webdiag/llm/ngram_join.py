@@ -11,9 +11,12 @@ are cut into bands [L, 2L); within a band the coordinates are cut into slabs,
 more than the distance can reach, so two linked sets agree exactly in some
 slab that is not empty, and a node of the tree is a slab with its content.
 Each set goes to the nodes of its band, and to those of the band below when it
-is small enough to have partners there. (With ``FINE`` slabs per shingle for
-small sets and ``COARSE`` for larger ones the number of non-empty slabs
-exceeds the distance by more than six standard deviations.) A node's sets all
+is small enough to have partners there. Below ``EXACT`` shingles each shingle
+is a slab of its own, so that linked sets share a node whatever their hashes.
+With ``FINE`` slabs per shingle for small sets and ``COARSE`` for larger ones a
+linked pair shares none with a probability below 1e-12: all of the m shingles
+it shares, m at least 16 and four fifths of the union, would have to lie in the
+slabs of the at most m / 4 others. A node's sets all
 go to the smallest of them, the node's centre, and nodes with one centre form
 one leaf: its centre and every set that shares a node with it.
 
@@ -51,6 +54,7 @@ from .graph import components
 
 SHINGLE = 5
 PERCENT = 80          # 100 * intersection >= PERCENT * union
+EXACT = 16            # shingles of the first band with slabs of several shingles
 FINE, COARSE, SMALL = 4.0, 0.75, 64   # slabs per shingle of a band below and from SMALL
 GROUPS = 64           # least coordinates of a point; sets of [2^b, 2^(b+1)) shingles have 2^(b-1)
 NODE = 32             # points in a box
@@ -114,6 +118,9 @@ def nodes_of(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     place = _mix(shingles ^ ODD[4]) >> _U(32)
     for band in bands:
         low = 1 << band
+        if low < EXACT:
+            out.append(_mix(content + _U(band) * ODD[1]))
+            continue
         slabs = max(2, int(low * (FINE if low < SMALL else COARSE)))
         slab = (place * _U(slabs)) >> _U(32)
         order = np.argsort(slab, kind="stable")
@@ -379,7 +386,8 @@ def _verified(rows: DataFrame, slim: DataFrame, pairs: DataFrame, size: int, per
                 yield pa.RecordBatch.from_arrays([pa.array([centre] * len(kept), pa.int64()), pa.array(kept, pa.int64())],
                                                  ["centre", "member"])
 
-    weights = points.select("set", F.octet_length("point").alias("weight"))
+    # a point as the task holds it: four bytes a count, in two copies besides
+    weights = points.select("set", (12 * F.octet_length("point")).alias("weight"))
     near = map_arrow(_leaves(pairs, weights, points), prune, "centre long, member long")
     near = cut(near.distinct())
     wanted = near.select(F.explode(F.array("centre", "member")).alias("set")).distinct()
