@@ -24,6 +24,7 @@ import hashlib
 from array import array
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -135,11 +136,15 @@ class ByteBpe:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text. No pre-token has white space after something
+        """Ids of a whole text."""
+        return memoryview(self.encoded(text)).cast("I").tolist()
+
+    def encoded(self, text: str) -> bytes:
+        """Ids of a whole text as unsigned 32-bit integers. No pre-token has white space after something
         else, so what lies between such places is encoded by itself, and
         remembered when short."""
         if not text:
-            return []
+            return b""
         known = self._known
         if self.uneven(text):
             got = b"".join([known(self.first, c, "") for c in self.chunks(text)])
@@ -152,7 +157,7 @@ class ByteBpe:
                 else b"".join(map(memo.__getitem__, rest)))
             if len(memo) > MEMO_WORDS:
                 forget_newer(memo)
-        return memoryview(got).cast("I").tolist()
+        return got
 
     def _known(self, memo: dict[str, bytes], text: str, lead: str) -> bytes:
         """Ids of a chunk as unsigned 32-bit integers."""
@@ -176,6 +181,12 @@ class ByteBpe:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
 
+    @functools.cached_property
+    def values(self) -> tuple[pa.Array, pa.Array]:
+        """By id: its decimal digits and a space, and the bytes it stands for."""
+        return (pa.array([b"%d " % r for r in range(len(self.words))], pa.large_binary()),
+                pa.array([w or b"" for w in self.words], pa.large_binary()))
+
 
 @functools.cache
 def load(path: str, pattern: str) -> ByteBpe:
@@ -219,15 +230,20 @@ def digests(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str)
 
     def run(batches):
         bpe = load(path, pattern)
-        name = [str(r) for r in range(len(bpe.words))].__getitem__
         for batch in batches:
             n, a, b = [], [], []
             for part in batches_of(batch, 256):
-                for text in part.column(1).to_pylist():
-                    ids = bpe.encode(text)
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
-                    b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                coded = [bpe.encoded(text) for text in part.column(1).to_pylist()]
+                ids = pa.array(np.frombuffer(b"".join(coded), np.uint32))
+                counts = [len(c) // 4 for c in coded]
+                ends = np.cumsum([0, *counts])
+                n += counts
+                for out, values, gap in ((a, bpe.values[0], 1), (b, bpe.values[1], 0)):
+                    got = values.take(ids)  # one after the other, so a text's are a slice
+                    _, at, data = got.buffers()
+                    data = memoryview(data or b"")
+                    at = np.frombuffer(at, np.int64)[ends].tolist()
+                    out += [hashlib.sha256(data[x:max(x, y - gap)]).hexdigest() for x, y in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
