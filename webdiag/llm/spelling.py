@@ -216,7 +216,8 @@ def _roots(forms: DataFrame) -> DataFrame:
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, n, form, root, n_near, form_n) of every word of ``words(word, n)``,
     whose words are distinct."""
-    words = cut(_paths(words.select("word", "n"), F.col("word"), "word n", "word string, n long"))
+    words = cut(words.select("word", "n"))  # read for the borders, too
+    words = cut(_paths(words, F.col("word"), "word n", "word string, n long"))
     near = _neighbours(words)
     all_ = cut(words.select("no", "word", "n").join(near, "no", "left").select(
         "no", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
