@@ -24,7 +24,43 @@ def test_without_article():
     assert hb.main_text(page) == f"{text}\n\n{text}"
 
 
-@pytest.mark.parametrize("page", ["", "<", "<p", "<a<a<a<a" * 20_000, "<!--" * 50_000, "<script>" * 20_000, "</div>" * 50_000,
+LONG = " ".join(["word"] * 40)
+SHORT = "A short line."
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>{SHORT}</p>"
+TEXT = f"Title\n\n{LONG}\n\n{SHORT}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<nav><a href=1>Home</a></nav><article><h1>Title</h1><svg/><p>{LONG}</p><p>{SHORT}</p></article>",
+    f"<article><h1>Title</h1><svg width='1' /><p>{LONG}</p><svg><title>x</title><path d=1></svg><p>{SHORT}</p></article>",
+    f"<article><h1>Title</h1><button>Share<p>{LONG}</p><p>{SHORT}</p></article>",
+    f"<article><h1>Title</h1><button>Share<p>{LONG}</p><button>x</button><p>{SHORT}</p><select><option>a<option>b</select></article>",
+    f"<button>Menu<article>{BODY}</article><button>x</button>",
+    f"<article><h1>Title</h1><video src=a><p>No video here.</p></video><p>{LONG}</p><p>{SHORT}<canvas>no</canvas></p></article>",
+    f'<div class="layout has-sidebar"><article>{BODY}</article><div class="sidebar"><p>{LONG} side</p></div></div>',
+    f'<div class="sidebar-layout"><main>{BODY}<div class="comments"><p>{LONG} comment</p></div></main></div>',
+    f'<div id="sidebar-page"><article>{BODY}</article><div class="related"><article><p>Other one</p></article></div></div>',
+    f'<article>{BODY}</article><div class="comments"><article class="comment"><p>{LONG} {LONG} comment</p></article></div>',
+    f'<article><h1 class="related-work">Title</h1><p>{LONG}</p><h3 class="ad">Buy</h3><p>{SHORT}</p></article>',
+])
+def test_articles_are_whole(page):
+    assert hb.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><p><a href=1>See all our offers today</a></p><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+    (f"<div><p>{LONG}</p><p><a href=1>More of the same kind</a></p><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><div>\u00a9 2020 The Paper. All rights reserved.</div>", f"{LONG}\n\n{LONG}"),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><p>Copyright by me</p>", f"{LONG}\n\n{LONG}"),
+    (f"<div><p>{LONG}</p><p>Copyright was the matter. {LONG}</p></div>", f"{LONG}\n\nCopyright was the matter. {LONG}"),
+    (f"<article><p>{LONG}</p><p>Copyright by me</p></article>", f"{LONG}\n\nCopyright by me"),
+    (f'<div class="comments"><article><p>Nice one</p></article></div><div><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n\n{LONG}"),
+])
+def test_own_links_and_rights_decide_outside_articles(page, want):
+    assert hb.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["", "<", "<button>" * 50_000, "<svg>" * 50_000 + "</svg>" * 50_000, "<p", "<a<a<a<a" * 20_000, "<!--" * 50_000, "<script>" * 20_000, "</div>" * 50_000,
                                   "<div>" * 50_000 + "x", "<p class='" * 20_000, "&" * 50_000, "<b " + "a=\"" * 30_000])
 def test_broken_markup_is_linear(page):
     began = time.time()
@@ -34,7 +70,7 @@ def test_broken_markup_is_linear(page):
 
 def test_table_is_fitted():
     root = hb.tree()
-    for row in hb.LABELLED:
+    for row in hb.labelled():
         node = root
         while type(node) is tuple:
             node = node[2] if row[node[0]] <= node[1] else node[3]
