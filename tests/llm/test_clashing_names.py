@@ -1,0 +1,74 @@
+"""Tables whose further columns have the names that operators give to their own."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as cp
+from webdiag.llm import (bpe, collocations, embedding_forest, fingerprint, html_blocks, ngram_join, packing, pii, resharding,
+                         spelling, substring_dedup, toxicity, warc)
+
+SF = "/root/testdata/sf0.001"
+NAMES = ("id mark run start starts first n n_sentences n_removed N_Removed_ score scored k0 k1 size shard slot block bytes place "
+         "before label leak component component_id links n_links node leaf leaves family v vec word phrase a l r rank form root "
+         "payload digest copy copies response found spans base range lead edited sha ids ids_crc32 length sequence_id offset "
+         "order model batch __id __mark __pii_found __toxicity member centre own other i j blocks").split()
+
+
+def wide(df):
+    names = [n for n in NAMES if n.lower() not in {c.lower() for c in df.columns}]
+    return df.select("*", *[F.lit(7).alias(n) for n in names])
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")  # enough rows for every name
+
+
+def rows(df, *columns):
+    return sorted(map(repr, df.select(*columns).collect()))
+
+
+def test_new_columns_keep_off(docs):
+    model = {"leak": 0.1, "bias": 0.0, "weights": {}}
+    got = toxicity.score(wide(docs), model)
+    assert got.columns[-1] == "score_" and {r.score for r in got.collect()} == {7}
+    got = substring_dedup.dedup(wide(docs))
+    assert got.columns[-2:] == ["n_sentences_", "n_removed__"]
+    assert rows(got.withColumnRenamed("n_removed__", "gone"), "doc_id", "text", "gone") == rows(
+        substring_dedup.dedup(docs).withColumnRenamed("n_removed", "gone"), "doc_id", "text", "gone")
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages(spark, docs, name, stage):
+    plain, more = stage(spark, docs, SF), stage(spark, wide(docs), SF)
+    if name != "packing":
+        assert more.columns == wide(docs).columns
+    columns = ["doc_id", "text"] if name != "packing" else ["doc_id", "start", "length"]
+    assert rows(more, *columns) == rows(plain, *columns)
+
+
+def test_operators_on_documents(spark, docs, tmp_path):
+    import public_tokenizers as P
+
+    many = wide(docs)
+    for run in (lambda d: ngram_join.join(d),
+                lambda d: bpe.encode_texts(d, "doc_id", "text", P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+                lambda d: pii.find(d, ["doc_id"]),
+                lambda d: fingerprint.signatures(d, ["doc_id"]),
+                lambda d: packing.pack_texts(d, "doc_id", "text", P.path("word_bpe_49k.json")),
+                lambda d: collocations.collocations(d),
+                lambda d: spelling.word_counts(d)):
+        assert run(many).count() == run(docs).count()
+    resharding.write_shards(many, f"{tmp_path}/shards", F.pmod("doc_id", F.lit(3)).cast("int"))
+    assert resharding.read_shards(spark, f"{tmp_path}/shards", 0).count() == docs.count()
+
+
+def test_operators_on_pages_and_vectors(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(20)
+    assert rows(html_blocks.extract(wide(pages), ["page_id"]), "page_id", "text") == rows(
+        html_blocks.extract(pages, ["page_id"]), "page_id", "text")
+    warc.write_archive(wide(pages), f"{tmp_path}/warc")
+    assert warc.read_index(spark, f"{tmp_path}/warc").count() == pages.count()
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").limit(50)
+    assert rows(embedding_forest.links(wide(vectors)), "id", "n_links") == rows(
+        embedding_forest.links(vectors), "id", "n_links")

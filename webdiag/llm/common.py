@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdiag.session import plain_unions
+from webdiag.session import materialize, plain_unions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read from
+    there; for rows of numbers a fraction of what `cut` writes.
+    ``webdiag.session.drop_intermediate`` deletes such tables."""
+    plain_unions(df.sparkSession)
+    shared_dir(df.sparkSession)  # fails where no folder is shared
+    return materialize(df, name)
+
+
 def whole_text(text: Column) -> Column:
     """The text as a string, null as the empty one."""
     return F.coalesce(text.cast("string"), F.lit(""))
@@ -85,6 +94,19 @@ def _package_on_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names for further columns of ``df``, each with as many
+    underscores after it as tell it from all others (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def batches_of(batch, size: int):
     """Slices of an Arrow batch of at most ``size`` rows."""
     for at in range(0, batch.num_rows, size):

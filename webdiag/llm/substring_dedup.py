@@ -13,15 +13,18 @@ then the smallest position; every sentence that any other occurrence covers is
 removed. Sentences without words count for nothing and go with the passage
 around them.
 
-Runs are counted and their first documents found by a pre-aggregated group-by;
-only repeated hashes are joined back to the runs, by a plain join, whose large
-partitions Spark splits when one passage is very frequent. Texts move once, to
-meet the positions to remove.
+Texts are cut into runs once; the runs, four numbers each, are written to the
+shared folder and read from there. They are counted and their first documents
+found by a pre-aggregated group-by; only repeated hashes are joined back to the
+runs, by a plain join, whose large partitions Spark splits when one passage is
+very frequent. First places within a document come from a pre-aggregated
+group-by, too. Texts move once, to meet the positions to remove.
 
 Rows: null and empty texts have no sentences and stay as they are; a null id
 comes last; rows equal in id and text are one document and keep the same
 sentences; of rows with equal ids and different texts the smaller hash comes
-first. An empty table gives no row. Further columns are passed on.
+first. An empty table gives no row. Further columns are passed on; where they have
+the names of the new ones, underscores follow the new ones'.
 """
 
 from __future__ import annotations
@@ -32,10 +35,9 @@ import zlib
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_arrow, table, whole_text
+from .common import batches_of, cut_table, free_names, map_arrow, table, whole_text
 
 RUN = 2
 MIN_WORDS = 12
@@ -131,19 +133,21 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     ["run", "id", "mark", "start"])
 
     runs = map_arrow(src, run, "run long, id long, mark long, start int")
+    runs = cut_table(runs, "sentence-runs")
     seen = runs.groupBy("run").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     found = runs.join(seen, "run")
     # within the first document, rows of one id only: all but the first position
-    order = W.partitionBy("run").orderBy("mark", "start")
-    again = (found.filter("id = first").select("run", "id", "mark", "start").distinct()
-             .withColumn("k", F.row_number().over(order)).filter("k > 1"))
+    same = found.filter("id = first")
+    place = same.groupBy("run").agg(F.min(F.struct("mark", "start")).alias("place"))
+    again = same.join(place, "run").filter(F.struct("mark", "start") > F.col("place"))
     later = found.filter("id > first").select("id", "mark", "start").unionAll(again.select("id", "mark", "start"))
     return later.groupBy("id", "mark").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the text, and the columns
-    n_sentences and n_removed last. Null texts stay null."""
+    n_sentences and n_removed last (or as `free_names` calls them). Null texts
+    stay null."""
     names = docs.columns
     kinds = [f.dataType.simpleString() for f in docs.schema]
     at = names.index(text_col)
@@ -169,7 +173,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     schema = [f"k{i} {'string' if i == at else k}" for i, k in enumerate(kinds)]
     out = map_arrow(joined, run, ", ".join([*schema, "n_sentences long, n_removed long"]))
-    return out.toDF(*names, "n_sentences", "n_removed")
+    return out.toDF(*names, *free_names(docs, "n_sentences", "n_removed"))
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

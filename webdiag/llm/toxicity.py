@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_arrow, table, whole_text
+from .common import batches_of, free_names, map_arrow, table, whole_text
 
 MAX_DOCS = 8192
 MAX_FEATURES = 4096
@@ -233,7 +233,8 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each text as a further, last column."""
+    """``docs`` with the score of each text as a further, last column; where the
+    table has a column of that name, underscores follow the new one's."""
     names, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema]
     src = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(names)],
                       whole_text(docs[text_col]).alias("scored"))
@@ -247,7 +248,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
                                                  [*[f"k{i}" for i in range(len(names))], "score"])
 
     out = map_arrow(src, run, ", ".join([*(f"k{i} {k}" for i, k in enumerate(kinds)), "score double"]))
-    return out.toDF(*names, score_col)
+    return out.toDF(*names, *free_names(docs, score_col))
 
 
 def locate(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
