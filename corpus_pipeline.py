@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webdiag.llm import ngram_join, packing, pii, substring_dedup, toxicity
-from webdiag.llm.common import cut, shared_dir, table, whole_text
+from webdiag.llm.common import cut, free_names, shared_dir, table, whole_text
 
 TOXIC = 0.5
 BROADCAST_ROWS = 1_000_000
@@ -28,7 +28,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; null and empty texts stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    score = "__toxicity"
+    score, = free_names(docs, "__toxicity")
     return toxicity.score(docs, model, score_col=score).filter(F.col(score) < TOXIC).drop(score)
 
 
@@ -38,8 +38,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Repeated rows of a document that stays become one. Rows without a doc_id
     stay unless they are linked with a document that has one."""
     found = cut(ngram_join.join(docs).groupBy("id", "mark").agg(F.min("component").alias("component"), F.count("*").alias("rows")))
-    key = [F.col("id").alias("__id"), F.col("mark").alias("__mark")]
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(whole_text(docs["text"])) == F.col("__mark"))
+    id_, mark = free_names(docs, "__id", "__mark")
+    key = [F.col("id").alias(id_), F.col("mark").alias(mark)]
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text(docs["text"])) == F.col(mark))
     gone = found.filter("component IS NOT NULL AND NOT (component <=> id)").select(*key)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
@@ -58,7 +59,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind in brackets."""
     model = pii.fit(docs)
-    found = "__pii_found"
+    found, = free_names(docs, "__pii_found")
     spanned = docs.withColumn(found, pii.spans(whole_text(F.col("text")), model))
     return _with_text(spanned, pii.redact(F.col("text"), F.col(found))).drop(found)
 
