@@ -132,3 +132,40 @@ def test_first_entry_modes_agree(spark):
         assert [(r["count"], r.source) for r in rollup.error_rollup(tied, first_entry=mode).collect()] == [(3, "a")]
     plan = rollup.error_rollup(noisy_entries(spark), first_entry="join")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_required_words():
+    from webdiag.functions.console import NOISE_PATTERNS, required_words as w
+    assert [w(p) for p in NOISE_PATTERNS][2:] == [
+        {"hmr"}, {"vite"}, {"download", "the", "react"}, {"warning", "is", "no", "longer"},
+        {"deprecated", "and", "will", "be"}, {"webpack"}]
+    assert w(NOISE_PATTERNS[1]) == {"warning", "react", "does", "not", "recognize", "the", "prop", "on", "a", "dom"}
+    assert w(r"^Rule R12: ") == {"rule", "r12"} and w(r"\(code X3\) seen$") == {"code", "x3", "seen"}
+    assert not w("plain") and w("^plain$") == {"plain"}
+    # nothing is certain: alternatives, options, classes, escapes that this reader leaves alone, flags
+    for p in ("^a b |c", "^(foo )?$", "^ foo? ", "^ [abc] ", r"^\Qfoo\E ", r"^\x41 ", "(?x) foo ", "^( foo | bar )$", r" foo\w ", " f.o ",
+              "^ (foo){0,2} ", "\u00e9foo\u00e9", "(", "[", "\\", "*", " foo{"):
+        assert not w(p), p
+    assert w("^ (?:foo) (?i:BAR2) x*$") == {"foo", "bar2"} and not w(" foo+ ") and w("^ (foo) ") == {"foo"}
+
+
+def test_many_patterns_equal_one_alternation(spark):
+    import random
+
+    from webdiag.functions import console as C
+    rnd = random.Random(5)
+    words = ["foo", "Bar", "b_z", "42", "\u00e9t\u00e9", "R1", "x"]
+    beside = [" ", ": ", "(", ") ", "-", "", "\n", "\u0130"]
+    text = lambda n: "".join(rnd.choice(words) + rnd.choice(beside) for _ in range(n))
+    escape = lambda s: "".join(c if c.isalnum() or c == "_" else "\\" + c if c.isascii() and c != "\n" else c for c in s)
+    shapes = ["^%s", "%s$", "(?i:%s)", "%s.%s", "%s\\w+%s", "(?:%s)?%s", "%s|%s x", "[a-f]%s", "%s+", "^%s\\d*$"]
+    patterns = []
+    for k in range(400):
+        shape = shapes[k % len(shapes)]
+        patterns.append(shape % tuple(escape(text(rnd.randint(2, 4))) for _ in range(shape.count("%s"))))
+    messages = [text(rnd.randint(0, 9)) for _ in range(1500)] + [None, "", "\u0130foo "]
+    df = spark.createDataFrame([(m,) for m in messages], "m string")
+    assert sum(bool(C.required_words(p)) for p in patterns) > 100
+    got = df.select("m", C.is_noise(F.col("m"), patterns).alias("a"),
+                    F.col("m").rlike("|".join(f"(?:{p})" for p in patterns)).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and 100 < sum(bool(r.b) for r in got) < 1400

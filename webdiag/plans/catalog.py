@@ -23,6 +23,7 @@ from webdiag.operators import suggest as SG
 from webdiag.operators.common import posexplode_rows, where_computed
 from webdiag.plans import sql as S
 from webdiag.plans import values as V
+from webdiag.functions import console as C
 from webdiag.session import checkpoint_dir, materialize
 from webdiag.sources import adapters as A
 from webdiag.sources import payloads as PL
@@ -768,11 +769,12 @@ def error_rollup_join(spark, sf_dir):
 
 @register("object_stacks", """
 with f as (
-  select event_id, 'fn' || cast(event_id % 5 as varchar) as fn, 'https://cdn.example.com/s' || cast(event_id % 11 as varchar) || '.js' as url,
-    event_id % 97 + 1 as line, event_id % 13 as col from events
+  select event_id, concat(event_type, json_extract_string(props, '$.k')) as fn,
+    concat('https://cdn.example.com/u', cast(user_id as varchar), '.js') as url,
+    cast(floor(value) as bigint) + 1 as line, cast(json_extract_string(props, '$.k') as bigint) as col from events
 )
 select cast(event_id as varchar) as capture_id,
-  case event_id % 3 when 0 then concat('at ', fn, ' (', url, ':', cast(line as varchar), ':', cast(col as varchar), ')')
+  case event_id % 3
     when 1 then concat('at ? (', url, ':', cast(line as varchar), ':', cast(col as varchar), ')')
     else concat('at ', fn, ' (', url, ':', cast(line as varchar), ':', cast(col as varchar), ')') end as stack_trace
 from f
@@ -786,9 +788,45 @@ def object_stacks(spark, sf_dir):
     return c.select("capture_id", F.array_join("stack_trace", "\n").alias("stack_trace"))
 
 
-@register("noise_kinds", """
-select event_id % 9 as kind, count(*) as n from events where event_id % 9 = 8 group by all
+@register("noise_kinds", f"""
+with l as (
+  select (doc_id + generate_subscripts(string_split(text, chr(10)), 1) - 1) % 11 as kind,
+         unnest(string_split(text, chr(10))) as line
+  from documents
+),
+m as (
+  select kind, line, case kind
+    when 0 then concat('Warning: Each child in a list should have a unique "key" prop. ', line)
+    when 1 then concat('Warning: React does not recognize the `', split_part(line, ' ', 1), '` prop on a DOM element')
+    when 2 then concat('[HMR] ', line) when 3 then concat('[vite] ', line) when 4 then concat('Download the React DevTools ', line)
+    when 5 then concat('Warning: ReactDOM.render is no longer supported ', line)
+    when 6 then concat(line, ' IS Deprecated and will be removed') when 7 then concat('[webpack] ', line)
+    when 8 then line when 9 then concat(line, ' [HMR] [vite]') else concat('warning: each child in a list ', line) end as message
+  from l
+)
+select kind, count(*) as n, cast(sum(length(line)) as bigint) as chars from m where not regexp_matches(message, {S.NOISE_RE}) group by kind
 """)
 def noise_kinds(spark, sf_dir):
-    """A line of each of the eight kinds of noise and one that is none."""
-    return R.drop_noise(A.noise_lines(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Every document line in one of eleven forms: the eight kinds of noise,
+    alone, and two near misses. Lines that are no noise, by form."""
+    e = R.drop_noise(A.noise_lines(spark, sf_dir))
+    return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("line").cast("bigint")).alias("chars"))
+
+
+@register("noise_many_patterns", f"""
+with l as (
+  select source as capture_id, doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos,
+         unnest(string_split(text, chr(10))) as line
+  from documents
+)
+select capture_id, (doc_id + pos) % 3 as form, count(*) as n, cast(sum(length(line)) as bigint) as chars from l
+where not case (doc_id + pos) % 3 when 0 then doc_id % 2500 < 1000 and doc_id % 2500 % 2 = 0
+                                  when 1 then pos % 3000 < 1500 and pos % 3 = 0 else false end
+  and not regexp_matches(case (doc_id + pos) % 3 when 0 then concat('Rule ', line) when 1 then concat(line, ' (code') else line end,
+                         {S.NOISE_RE})
+group by all
+""")
+def noise_many_patterns(spark, sf_dir):
+    """A thousand patterns besides the eight, over every document line."""
+    e = R.drop_noise(A.ruled_lines(spark, sf_dir), [*C.NOISE_PATTERNS, *A.MANY_PATTERNS])
+    return e.groupBy("capture_id", "form").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("line").cast("bigint")).alias("chars"))

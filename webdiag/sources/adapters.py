@@ -394,12 +394,14 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_stack_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Console payloads whose one entry has a stack of frame objects."""
-    ev = read_table(spark, sf_dir, "events", ["event_id"])
+    """Console payloads whose one entry has a stack of frame objects: the event's
+    type, user, value and property name the frame."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value", "props"])
     i = F.col("event_id")
-    fn = F.concat(F.lit("fn"), _s(i % 5))
-    url = F.concat(F.lit("https://cdn.example.com/s"), _s(i % 11), F.lit(".js"))
-    line, col = i % 97 + 1, i % 13
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    fn = F.concat(F.col("event_type"), _s(k))
+    url = F.concat(F.lit("https://cdn.example.com/u"), _s("user_id"), F.lit(".js"))
+    line, col = F.floor("value").cast("bigint") + 1, k
     none = F.lit(None).cast("string")
     named = F.to_json(F.struct(fn.alias("functionName"), url.alias("scriptUrl"), line.alias("lineNumber"), col.alias("columnNumber")))
     plain = F.to_json(F.struct(url.alias("url"), line.alias("lineNumber"), col.alias("columnNumber"), none.alias("name")))
@@ -411,15 +413,44 @@ def object_stack_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame, F.lit("]}]")).alias("payload"))
 
 
-# one message of each kind of noise, and one that is none
-NOISE_EXAMPLES = (
-    'Warning: Each child in a list should have a unique "key" prop.', "Warning: React does not recognize the `x` prop on a DOM element",
-    "[HMR] up", "[vite] up", "Download the React DevTools now", "Warning: ReactDOM.render is no longer supported", "It IS Deprecated and will be removed",
-    "[webpack] up", "an own message",
+# the eight kinds of noise around a document line (%s) or its first word (%w), the
+# line alone, and two near misses
+NOISE_FORMS = (
+    'Warning: Each child in a list should have a unique "key" prop. %s', "Warning: React does not recognize the `%w` prop on a DOM element",
+    "[HMR] %s", "[vite] %s", "Download the React DevTools %s", "Warning: ReactDOM.render is no longer supported %s",
+    "%s IS Deprecated and will be removed", "[webpack] %s", "%s", "%s [HMR] [vite]", "warning: each child in a list %s",
 )
 
 
+def _around(form: str) -> Column:
+    """A form with the line, or its first word, in its place."""
+    mark = "%w" if "%w" in form else "%s"
+    before, after = form.split(mark)
+    inner = F.split("line", " ", 2)[0] if mark == "%w" else F.col("line")
+    return F.concat(F.lit(before), inner, F.lit(after))
+
+
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", ["event_id"])
-    kind = F.col("event_id") % len(NOISE_EXAMPLES)
-    return ev.select(kind.alias("kind"), F.element_at(F.array(*[F.lit(x) for x in NOISE_EXAMPLES]), (kind + 1).cast("int")).alias("message"))
+    """(kind, line, message): every line of every document in one of the forms."""
+    lines = console_lines(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
+    kind = F.pmod(F.col("doc_id") + F.col("pos"), F.lit(len(NOISE_FORMS)))
+    message = None
+    for k, form in enumerate(NOISE_FORMS):
+        message = F.when(kind == k, _around(form)) if message is None else message.when(kind == k, _around(form))
+    return lines.select(kind.alias("kind"), "line", message.alias("message"))
+
+
+# a thousand own patterns: even rule numbers below 1,000, codes that 3 divides below 1,500
+MANY_PATTERNS = tuple([rf"^Rule R{2 * k}: " for k in range(500)] + [rf"\(code X{3 * k}\) seen$" for k in range(500)])
+
+
+def ruled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(capture_id, form, line, message): every line of every document, with a
+    rule before it, a code after it, or alone."""
+    lines = console_lines(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
+    d, pos = F.col("doc_id"), F.col("pos")
+    form = F.pmod(d + pos, F.lit(3))
+    message = (F.when(form == 0, F.concat(F.lit("Rule R"), _s(d % 2500), F.lit(": "), F.col("line")))
+               .when(form == 1, F.concat(F.col("line"), F.lit(" (code X"), _s(pos % 3000), F.lit(") seen")))
+               .otherwise(F.col("line")))
+    return lines.select(F.col("source").alias("capture_id"), form.alias("form"), "line", message.alias("message"))
