@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webdiag.operators import audit, reports, sourcemaps, suggest
+from webdiag.operators.asof import SplitSegments
 from webdiag.operators.common import as_keys, top_k, where_computed
 from webdiag.session import materialize, plain_unions
 from webdiag.sources import payloads, sinks
@@ -41,13 +42,15 @@ class DiagnoseResult:
 
 def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int = 20,
                resolve_sourcemaps: bool = True, map_files: DataFrame | None = None,
-               scripts: DataFrame | None = None, by=("capture_id",), write_intermediate: bool = True
-               ) -> ErrorsResult:
+               scripts: DataFrame | None = None, by=("capture_id",), write_intermediate: bool = True,
+               segments: DataFrame | SplitSegments | None = None) -> ErrorsResult:
     """``console_payloads(by…, payload)`` → errors report. With
     ``resolve_sourcemaps`` minified frames are looked up in the maps found
     through ``map_files(url, map_json)`` / ``scripts(url, body)``; without
     those tables no frame resolves (the reference's resolver finding no
     map), which still prints empty stacks as ``[]`` and reports 0 resolved.
+    ``segments`` are maps decoded before — a segment table, or what a
+    ``SegmentStore`` keeps for many jobs — and are looked up instead.
 
     ``write_intermediate``: the parsed payloads and the segment table feed
     several outputs; they are written once to the shared checkpoint folder
@@ -56,14 +59,15 @@ def get_errors(console_payloads: DataFrame, severity: str = "error", limit: int
     plain_unions(console_payloads.sparkSession)
     if not keys:  # one global group
         r = get_errors(console_payloads.withColumn(_ALL, F.lit(0)), severity, limit, resolve_sourcemaps, map_files, scripts,
-                       [_ALL], write_intermediate)
+                       [_ALL], write_intermediate, segments)
         return ErrorsResult(*[df.drop(_ALL) for df in (r.issues, r.summary, r.report, r.quarantine)])
     keep = materialize if write_intermediate else (lambda df, _name: df)
     parsed = keep(payloads.parse_console_payloads(console_payloads, keys), "console_payloads")
     ok = where_computed(parsed, F.col("payload_kind") != "failed").select(*keys)
     entries = payloads.console_entries(parsed, keys)
-    segments = None
-    if resolve_sourcemaps:
+    if not resolve_sourcemaps:
+        segments = None
+    elif segments is None:
         if map_files is not None and scripts is not None:
             def segments(frames):  # maps of the kept issues' frames only
                 return keep(sourcemaps.segments_for_frames(frames, map_files, scripts, keep), "segments")

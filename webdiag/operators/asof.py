@@ -22,6 +22,8 @@ of all frames is one skewed key that AQE's skew-join handling splits.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,21 @@ SEG_COLS = ("gen_col", "next_gen_col", "source", "orig_line", "orig_col", "name"
 RESOLVED_COLS = ("r_source", "r_line", "r_col", "r_name")
 
 
+@dataclass
+class SplitSegments:
+    """A segment table as the lookup reads it. ``operators.segment_store`` keeps
+    one on disk, bucketed by the join keys, for many lookups."""
+    copies: DataFrame  # s_url, s_line, gen_col…name, s_bucket
+    long: DataFrame    # l_s_url, l_s_line, l_gen_col…l_name
+    width: int         # of a column bucket
+
+
+def split_segments(segments: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+                   max_copies: int = DEFAULT_MAX_COPIES) -> SplitSegments:
+    """``segments(url, gen_line, gen_col…name)`` as the lookup reads them."""
+    return SplitSegments(*_split_segments(segments, int(bucket_width), int(max_copies)), int(bucket_width))
+
+
 def _split_segments(segments: DataFrame, W: int, C: int):
     """(bucket copies, long segments)."""
     seg = segments.select(F.col("url").alias("s_url"), F.col("gen_line").alias("s_line"), *SEG_COLS)
@@ -47,11 +64,11 @@ def _split_segments(segments: DataFrame, W: int, C: int):
     return copies, long_
 
 
-def _lookup(positions: DataFrame, segments: DataFrame, W: int, C: int) -> DataFrame:
+def _lookup(positions: DataFrame, segments: SplitSegments) -> DataFrame:
     """positions(url, line, col) + gen_col…name of the segment that holds
     each; nulls where none does."""
-    copies, long_ = _split_segments(segments, W, C)
-    d = positions.select("url", "line", "col", F.floor(F.col("col") / W).alias("_bucket"))
+    copies, long_ = segments.copies, segments.long
+    d = positions.select("url", "line", "col", F.floor(F.col("col") / segments.width).alias("_bucket"))
     in_seg = lambda c: (d.col >= c("gen_col")) & (c("next_gen_col").isNull() | (d.col < c("next_gen_col")))
     j1 = d.join(copies, (d.url == copies.s_url) & (d.line == copies.s_line) & (d._bucket == copies.s_bucket) &
                 in_seg(lambda c: copies[c]), "left")
@@ -63,19 +80,22 @@ def _lookup(positions: DataFrame, segments: DataFrame, W: int, C: int) -> DataFr
     return j2.select("url", "line", "col", *pick)
 
 
-def resolve_positions(positions: DataFrame, segments: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+def resolve_positions(positions: DataFrame, segments: DataFrame | SplitSegments, bucket_width: int = DEFAULT_BUCKET_WIDTH,
                       max_copies: int = DEFAULT_MAX_COPIES) -> DataFrame:
     """positions(url, line, col) → + r_source, r_line, r_col, r_name (nulls
     when unresolved: no segment on the line at or before col, or the
-    segment has no source)."""
-    r = _lookup(positions.select("url", "line", "col"), segments, int(bucket_width), int(max_copies))
+    segment has no source). ``segments`` split already keep their own width
+    and copies."""
+    if not isinstance(segments, SplitSegments):
+        segments = split_segments(segments, bucket_width, max_copies)
+    r = _lookup(positions.select("url", "line", "col"), segments)
     ok = F.col("source").isNotNull()
     return r.select("url", "line", "col", F.col("source").alias("r_source"),
                     F.when(ok, F.col("orig_line")).alias("r_line"), F.when(ok, F.col("orig_col")).alias("r_col"),
                     F.when(ok, F.col("name")).alias("r_name"))
 
 
-def resolve_frames(frames: DataFrame, segments: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+def resolve_frames(frames: DataFrame, segments: DataFrame | SplitSegments, bucket_width: int = DEFAULT_BUCKET_WIDTH,
                    max_copies: int = DEFAULT_MAX_COPIES) -> DataFrame:
     """frames(…, function_name, url, line, col, raw) → + resolved (bool),
     text (printed frame: the original position when the frame does not
@@ -121,7 +141,7 @@ def _falsy(df: DataFrame, name: str):
     return s.isNull()
 
 
-def compress_with_maps(entries: DataFrame, segments: DataFrame, keys=("capture_id", "seq"),
+def compress_with_maps(entries: DataFrame, segments: DataFrame | SplitSegments, keys=("capture_id", "seq"),
                        stack_col: str = "stack", bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """``compress_stacks`` with a resolver: adds ``stack_trace`` (array of
     printed frames, ``[]`` when nothing is kept, null for a falsy stack)

@@ -7,6 +7,7 @@ doubles) and named the same on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,14 @@ from webdiag.operators import rollup as R
 from webdiag.operators import sourcemaps as SM
 from webdiag.operators import stacks as ST
 from webdiag.operators import suggest as SG
+from webdiag.operators.segment_store import SegmentStore
 from webdiag.operators.common import posexplode_rows, where_computed
 from webdiag.plans import sql as S
 from webdiag.plans import values as V
 from webdiag.functions import console as C
 from webdiag.session import checkpoint_dir, materialize
 from webdiag.sources import adapters as A
+from webdiag.sources import captures as CP
 from webdiag.sources import payloads as PL
 from webdiag.sources import sinks as SK
 from webdiag.streaming import rollup as SR
@@ -338,6 +341,18 @@ def frames_resolved(spark, sf_dir):
     return r.select("capture_id", "seq", "frame_no", F.col("resolved").cast("bigint").alias("resolved"), "text")
 
 
+@register("frames_resolved_stored", f"""{_RESOLVED}
+select capture_id, seq, frame_no, cast(resolved as bigint) as resolved, text from res
+""")
+def frames_resolved_stored(spark, sf_dir):
+    """The frames of ``frames_resolved`` looked up in a segment store."""
+    frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
+    store = SegmentStore.create(spark, f"{checkpoint_dir(spark).rstrip('/')}/segments-{uuid.uuid4().hex[:12]}", width=64)
+    store.add(_segments_table(frames, map_files, scripts))
+    r = AS.resolve_frames(frames, store.split())
+    return r.select("capture_id", "seq", "frame_no", F.col("resolved").cast("bigint").alias("resolved"), "text")
+
+
 @register("resolved_counts", f"""{_RESOLVED}
 select capture_id, count(*) as n_frames, count(*) filter (where resolved) as resolved_count from res group by capture_id
 """)
@@ -412,6 +427,23 @@ def console_payloads(spark, sf_dir):
                     F.col("stack").isNotNull().cast("bigint").alias("has_stack"))
 
 
+@register("console_dump_payloads", f"""with {S.console_payloads_sql()}
+select capture_id, seq, level, message, source, has_stack from centries
+""")
+def console_dump_payloads(spark, sf_dir):
+    """The replies of ``console_payloads`` written as dumps of JSON lines and
+    read as a stream, to the end of what is there."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/dumps-{uuid.uuid4().hex[:12]}"
+    CP.write_captures(A.console_payloads(spark, sf_dir), f"{base}/in")
+    q = (CP.stream_captures(spark, f"{base}/in", max_bytes=64 << 20).select("capture_id", "payload")
+         .writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt").option("path", f"{base}/out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    n = R.normalize(PL.console_entries(PL.parse_console_payloads(spark.read.parquet(f"{base}/out"))))
+    return n.select("capture_id", "seq", "level", "message", "source",
+                    F.col("stack").isNotNull().cast("bigint").alias("has_stack"))
+
+
 @register("console_payload_kinds", f"""with {S.console_payloads_sql()}
 select payload_kind, count(*) as n_payloads from ck group by payload_kind
 """)
@@ -432,6 +464,21 @@ def element_payloads(spark, sf_dir):
                     F.coalesce(F.array_size("suggestions"), F.lit(0)).cast("bigint").alias("n_suggestions"))
 
 
+@register("element_dump_payloads", f"""with {S.element_payloads_sql()}
+select capture_id, pos, selector, not_found, n_styles, display, n_suggestions from eentries
+""")
+def element_dump_payloads(spark, sf_dir):
+    """The replies of ``element_payloads`` written as dumps of JSON lines and
+    read as a batch."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/dumps-{uuid.uuid4().hex[:12]}"
+    CP.write_captures(A.element_payloads(spark, sf_dir), path)
+    e = PL.element_rows(PL.parse_element_payloads(CP.read_captures(spark, path).select("capture_id", "payload")))
+    return e.select("capture_id", F.col("pos").cast("bigint").alias("pos"), "selector",
+                    F.col("not_found").cast("bigint").alias("not_found"),
+                    F.cardinality("styles").cast("bigint").alias("n_styles"), F.col("styles")["display"].alias("display"),
+                    F.coalesce(F.array_size("suggestions"), F.lit(0)).cast("bigint").alias("n_suggestions"))
+
+
 @register("payload_quarantine", f"""with {S.console_payloads_sql()}, {S.element_payloads_sql().strip().replace('pl as (', 'pl2 as (', 1).replace('from pl)', 'from pl2)', 1).replace('pj0 as', 'epj0 as').replace('pj1 as', 'epj1 as').replace('pj2 as', 'epj2 as').replace('pp as', 'epp as').replace('from pj0', 'from epj0').replace('from pj1', 'from epj1').replace('from pj2', 'from epj2').replace('from pp', 'from epp')}
 {S.quarantine_sql()}
 """)
@@ -510,7 +557,6 @@ def diagnose_elements(spark, sf_dir):
 def error_rollup_stream(spark, sf_dir):
     """The continuous rollup over the documents table read as a file stream
     (one file per trigger), run to the end of the available input."""
-    import uuid
     docs_schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     docs = (spark.readStream.schema(docs_schema).option("maxFilesPerTrigger", 1)
             .parquet(f"{sf_dir}/documents*.parquet"))
