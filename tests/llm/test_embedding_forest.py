@@ -60,3 +60,58 @@ def test_empty_table(spark, rows):
     df = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, label int")
     assert ef.links(df.limit(0)).count() == 0
     assert ef.links(df.filter("label IS NULL")).count() == 0
+
+
+def _brute_links(ids, x, labels, cosine):
+    """Number of links per id, block by block."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    n = np.zeros(len(x), int)
+    for at in range(0, len(x), 1000):
+        n[at:at + 1000] = ((u[at:at + 1000] @ u.T >= cosine) & (labels[at:at + 1000, None] == labels[None, :])).sum(axis=1) - 1
+    return dict(zip(ids.tolist(), n.tolist()))
+
+
+def _frame(spark, ids, x, labels):
+    import pandas as pd
+    return spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": list(x), "label": labels}),
+                                 "vec_id long, embedding array<double>, label int").repartition(4)
+
+
+def test_leaves_stay_small_beyond_the_sample(spark, monkeypatch):
+    """The sample's medians alone would make leaves of more than twice the bound."""
+    for name, value in (("SAMPLE", 256), ("LEAF", 128), ("REFIT", 1024), ("BLOCK", 64)):
+        monkeypatch.setattr(ef, name, value)
+    rnd = np.random.default_rng(3)
+    base = rnd.standard_normal((1000, 48))
+    x = np.concatenate([base, base + rnd.standard_normal(base.shape) * 0.12, rnd.standard_normal((800, 48))])
+    ids, labels = np.arange(len(x)), np.concatenate([np.zeros(2000, int), np.ones(800, int)])
+    seen = {}
+    divided = ef._divided
+
+    def watch(placed, cosine):
+        seen["first"] = ef._sizes(placed).agg({"rows": "max"}).first()[0]
+        placed, sizes = divided(placed, cosine)
+        seen["last"] = sizes.agg({"rows": "max"}).first()[0]
+        return placed, sizes
+    monkeypatch.setattr(ef, "_divided", watch)
+    got = {r.id: r.n_links for r in ef.links(_frame(spark, ids, x, labels)).collect()}
+    assert seen["first"] > 2 * ef.FULL * ef.LEAF >= 2 * seen["last"]
+    assert got == _brute_links(ids, x, labels, ef.COSINE)
+
+
+def test_tight_group_lies_in_one_leaf_of_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(ef, "LEAF", 64)
+    rnd = np.random.default_rng(4)
+    centre = rnd.standard_normal(32)
+    x = np.concatenate([centre + rnd.standard_normal((900, 32)) * 0.01, rnd.standard_normal((900, 32))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for tree in range(ef.TREES):
+        spill = ef.margin(32, ef.COSINE)
+        leaves = ef.route(unit, tree, ef.grow(unit, tree, 64, spill), spill)
+        whole = [leaf for leaf, hit in leaves if (hit < 900).sum() == 900]
+        assert 1 <= len(whole) <= 4  # splits made for the other vectors may pass through the group
+        tight = ef.grow(unit[:900], tree, 64, spill)
+        assert tight == {}
+    ids, labels = np.arange(len(x)), np.zeros(len(x), int)
+    got = {r.id: r.n_links for r in ef.links(_frame(spark, ids, x, labels)).collect()}
+    assert got == _brute_links(ids, x, labels, ef.COSINE)
