@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,22 +18,39 @@ MINIFIED_MIN_COLUMN = 200  # line 1 and a column beyond this looks minified
 KEEP_FRAMES = 3
 UNKNOWN_NAME = "?"
 # ------------------------------------------------------------------------
-TRIM_RE = r"^\s+|\s+\z"  # ASCII whitespace (JavaScript trim also strips NBSP)
+TRIM_CHARS = " \t\n\x0b\f\r"  # ASCII whitespace (JavaScript trim also strips NBSP)
+FRAME_WHOLE_RE = r"\A(?s:.*?)" + FRAME_RE  # a text with a frame, from its start
 
 FRAME_TYPE = "struct<function_name:string,url:string,line:bigint,col:bigint,raw:string>"
 
 
+def trimmed(s: Column) -> Column:
+    return F.btrim(s, F.lit(TRIM_CHARS))
+
+
+def parse_text_frames(texts: Column) -> Column:
+    """array of string frames → array of frame structs; blank → null; no
+    match → raw only. One search a text: its groups are put in the order
+    line, column, url, name, which no space can confuse, after a space, with
+    which no trimmed text begins."""
+    cut = F.transform(F.transform(texts, trimmed), lambda t: F.struct(
+        t.alias("raw"), F.split(F.regexp_replace(t, FRAME_WHOLE_RE, " $3 $4 $2 $1"), " ", 5).alias("p")))
+
+    def frame(x):
+        raw, p = x["raw"], x["p"]
+        m = p[0] == ""
+        return F.when(raw.isNull() | (raw == ""), F.lit(None).cast(FRAME_TYPE)).otherwise(F.struct(
+            F.when(m, F.nullif(F.get(p, 4), F.lit(""))).alias("function_name"),
+            F.when(m, F.get(p, 3)).alias("url"),
+            F.when(m, F.get(p, 1).try_cast("bigint")).alias("line"),
+            F.when(m, F.get(p, 2).try_cast("bigint")).alias("col"),
+            raw.alias("raw")))
+    return F.transform(cut, frame)
+
+
 def parse_text_frame(s: Column) -> Column:
     """String frame → frame struct; blank → null; no match → raw only."""
-    t = F.regexp_replace(s, TRIM_RE, "")
-    m = t.rlike(FRAME_RE)
-    g = lambda i: F.regexp_extract(t, FRAME_RE, i)
-    return F.when(s.isNull() | (t == ""), F.lit(None).cast(FRAME_TYPE)).otherwise(F.struct(
-        F.when(m, F.nullif(g(1), F.lit(""))).alias("function_name"),
-        F.when(m, g(2)).alias("url"),
-        F.when(m, g(3).try_cast("bigint")).alias("line"),
-        F.when(m, g(4).try_cast("bigint")).alias("col"),
-        t.alias("raw")))
+    return parse_text_frames(F.array(s))[0]
 
 
 def object_frame(o: Column, fields: list[str]) -> Column:
@@ -56,6 +75,12 @@ def is_internal(f: Column) -> Column:
     return s.rlike(INTERNAL_RE)
 
 
+def is_internal_text(t: Column) -> Column:
+    """``is_internal`` of a string frame, before it is parsed: its url and
+    name are parts of the text."""
+    return reduce(lambda a, b: a | b, [t.contains(mark) for mark in INTERNAL_RE.split("|")])
+
+
 def _truthy(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 

@@ -19,10 +19,10 @@ def parsed_frames(df: DataFrame, stack_col: str = "stack") -> Column:
     dt = df.schema[stack_col].dataType
     s = F.col(stack_col)
     if isinstance(dt, T.StringType):
-        arr = F.transform(F.split(s, "\n"), FR.parse_text_frame)
+        arr = FR.parse_text_frames(F.split(s, "\n"))
         arr = F.when(s.isNull() | (s == ""), F.lit(None)).otherwise(arr)
     elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
-        arr = F.transform(s, FR.parse_text_frame)
+        arr = FR.parse_text_frames(s)
     elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType):
         names = dt.elementType.fieldNames()
         arr = F.transform(s, lambda o: FR.object_frame(o, names))
@@ -38,7 +38,7 @@ def _variant_frames(s: Column) -> Column:
     of strings and frame objects. Any other shape gives no frames."""
     kind = F.schema_of_variant(s)
     text = F.try_variant_get(s, "$", "string")
-    from_text = F.transform(F.split(text, "\n"), FR.parse_text_frame)
+    from_text = FR.parse_text_frames(F.split(text, "\n"))
 
     def one(e):
         k = F.schema_of_variant(e)
@@ -60,20 +60,34 @@ def kept_frames(frames: Column) -> Column:
     return F.slice(F.filter(frames, lambda f: ~FR.is_internal(f)), 1, FR.KEEP_FRAMES)
 
 
+def kept_stack_frames(df: DataFrame, stack_col: str = "stack") -> Column:
+    """``kept_frames`` of a stack column. Of string frames only those kept are parsed."""
+    dt = df.schema[stack_col].dataType
+    if isinstance(dt, T.StringType):
+        texts = F.split(F.nullif(F.col(stack_col), F.lit("")), "\n")
+    elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
+        texts = F.col(stack_col)
+    else:
+        return kept_frames(parsed_frames(df, stack_col))
+    own = F.filter(F.transform(texts, FR.trimmed), lambda t: (t != "") & ~FR.is_internal_text(t))
+    return FR.parse_text_frames(F.slice(own, 1, FR.KEEP_FRAMES))
+
+
 def with_kept_frames(df: DataFrame, stack_col: str = "stack") -> DataFrame:
-    return df.withColumn("frames", kept_frames(parsed_frames(df, stack_col)))
+    return df.withColumn("frames", kept_stack_frames(df, stack_col))
 
 
 def compress_stacks(df: DataFrame, stack_col: str = "stack") -> DataFrame:
     """Adds ``stack_trace`` array<string>: the printed kept frames; null when
     the stack is falsy or nothing is kept (no resolver)."""
-    k = kept_frames(parsed_frames(df, stack_col))
-    printed = F.when(F.size(k) > 0, F.transform(k, FR.frame_to_string))
+    # the frames are the one element of an array, so they are made once
+    printed = F.transform(F.array(kept_stack_frames(df, stack_col)),
+                          lambda k: F.when(F.size(k) > 0, F.transform(k, FR.frame_to_string)))[0]
     return df.withColumn("stack_trace", printed)
 
 
 def explode_frames(df: DataFrame, keys=("capture_id", "seq"), stack_col: str = "stack") -> DataFrame:
     """Long table of the kept frames: keys…, frame_no (1-based), fields."""
     keys = as_keys(keys)
-    x = posexplode_rows(df, keys, kept_frames(parsed_frames(df, stack_col)), "i", "f")
+    x = posexplode_rows(df, keys, kept_stack_frames(df, stack_col), "i", "f")
     return x.select(*keys, (F.col("i") + 1).cast("bigint").alias("frame_no"), "f.*")
