@@ -30,3 +30,26 @@ def test_blank_and_spaced_texts_are_no_frames(spark):
     got = rows.select(F.explode(frames.parse_text_frames(F.col("s"))).alias("f")).select("f.*").collect()
     assert [r.raw for r in got] == [None, None, None, "x", " at u:1:2", "at u:1:2"]
     assert [r.url for r in got] == [None, None, None, None, "u", "u"]
+
+
+def test_maps_are_parsed_once_and_decoded_in_blocks(spark, monkeypatch):
+    import json
+    from webdiag.operators import sourcemaps
+    doc = lambda mappings: json.dumps({"version": 3, "sources": ["a.js", "b.js"], "names": ["n"], "mappings": mappings})
+    index = json.dumps({"version": 3, "sections": [{"offset": {"line": 2, "column": 5}, "map": json.loads(doc("CAAA,ECAA;E"))}]})
+    maps = spark.createDataFrame([("u", doc("AAAAA,KCCE;;AADF,,gBAAA,E")), ("v", doc("AAAA,g")), ("w", doc("AAAAA")), ("x", doc("AA")),
+                                  ("y", doc("A A")), ("z", index), ("e", doc(""))], "url string, map_json string")
+    want = [("u", 1, 0, 5, "a.js", 1, 0, "n"), ("u", 1, 5, None, "b.js", 2, 2, None), ("u", 3, 0, 16, "b.js", 1, 0, None),
+            ("u", 3, 16, 18, "b.js", 1, 0, None), ("u", 3, 18, None, None, None, None, None), ("w", 1, 0, None, "a.js", 1, 0, "n"),
+            ("z", 3, 5, 6, None, None, None, None), ("z", 3, 6, 8, "a.js", 1, 0, None), ("z", 3, 8, None, "b.js", 1, 0, None),
+            ("z", 4, 2, None, None, None, None, None)]
+    for block in (1 << 19, 4):
+        monkeypatch.setattr(sourcemaps, "BLOCK", block)
+        kept = []
+
+        def keep(df, name):
+            kept.append((name, df))
+            return df.localCheckpoint()
+        d = sourcemaps.build_segments(maps, keep)
+        assert sorted(map(tuple, d.collect()), key=lambda r: r[:3]) == want
+        assert [plan_of(df).count("from_json") for _, df in kept] == [1, 0] and "from_json" not in plan_of(d)

@@ -142,13 +142,16 @@ def _falsy(df: DataFrame, name: str):
 
 
 def compress_with_maps(entries: DataFrame, segments: DataFrame | SplitSegments, keys=("capture_id", "seq"),
-                       stack_col: str = "stack", bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                       stack_col: str = "stack", bucket_width: int = DEFAULT_BUCKET_WIDTH, keep=None) -> DataFrame:
     """``compress_stacks`` with a resolver: adds ``stack_trace`` (array of
     printed frames, ``[]`` when nothing is kept, null for a falsy stack)
-    and ``resolved_count``. Entry rows keep all their columns."""
+    and ``resolved_count``. Entry rows keep all their columns.
+    ``keep(df, name)`` writes the frames, which the lookup reads three times."""
     from webdiag.operators.stacks import explode_frames
     keys = as_keys(keys)
     fr = explode_frames(entries, keys, stack_col)
+    if keep is not None:
+        fr = keep(fr, "frames")
     r = resolve_frames(fr, segments, bucket_width)
     per = r.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("frame_no", "text"))).alias("_fr"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,3 +65,14 @@ def where_computed(df: DataFrame, cond: Column) -> DataFrame:
     generator keeps one evaluation per row."""
     x = df.select("*", F.posexplode_outer(F.when(cond, F.array(F.lit(True)))).alias("_wc_pos", "_wc_hit"))
     return x.where(F.col("_wc_pos").isNotNull()).drop("_wc_pos", "_wc_hit")
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` whose Python workers find this package where the driver
+    found it, as jobs started without it on PYTHONPATH or --py-files need."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df.mapInArrow(function, schema)

@@ -7,11 +7,12 @@ O4.4) and decode maps into position segments (O7.3).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webdiag.operators.common import posexplode_rows
-
+from webdiag.operators.common import map_arrow
 from webdiag.functions import urls as U
 from webdiag.functions import vlq
 
@@ -23,7 +24,7 @@ XSSI_RE = r"\A\)\]\}'[^\n]*\n"
 SECTION_START = "A,"  # a 1-field segment at column 0: where a section begins
 # ------------------------------------------------------------------------
 
-BLOCK = 4096  # segments of a line whose sums are taken together
+BLOCK = 1 << 19  # characters of mappings that are decoded together
 LEAD_COLUMNS = 16384  # columns of a line whose positions are sorted together
 
 _MAP_FIELDS = "version:int,sourceRoot:string,sources:array<string>,names:array<string>,mappings:string"
@@ -81,13 +82,11 @@ def select_maps(urls: DataFrame, map_files: DataFrame, scripts: DataFrame) -> Da
 
 
 def _map_parts(maps: DataFrame) -> DataFrame:
-    """One row per part of ``maps(map_id, map_json)``, from one parse of each
-    map: a plain map is one part at offset (0, 0); an indexed map
-    (``sections``) one part per section with its generated offset. A section
-    given by ``url`` instead of an inline map fails the whole map."""
+    """(map_id, parts) from one parse of each map of ``maps(map_id, map_json)``:
+    a plain map is one part at offset (0, 0); an indexed map (``sections``)
+    one part per section with its generated offset. A section given by ``url``
+    instead of an inline map fails the whole map (null)."""
     m = maps.select("map_id", F.from_json(F.regexp_replace("map_json", XSSI_RE, ""), MAP_SCHEMA).alias("m"))
-    # validity is part of the explode input (a filter here would be pushed
-    # below the projection and parse the document a second time)
     valid = F.coalesce((F.col("m.version") == SUPPORTED_VERSION) &
                        ~F.coalesce(F.exists("m.sections", lambda x: x["url"].isNotNull()), F.lit(False)),
                        F.lit(False))
@@ -101,8 +100,98 @@ def _map_parts(maps: DataFrame) -> DataFrame:
     sections = F.transform("m.sections", lambda x, i: part(
         i, F.coalesce(x["offset"]["line"], zero), F.coalesce(x["offset"]["column"], zero), x["map"], True))
     arr = F.when(~valid, F.lit(None)).when(F.col("m.sections").isNull(), plain).otherwise(sections)
-    parts = posexplode_rows(m, ["map_id"], arr, "_i", "p")
-    return parts.select("map_id", "p.*").where(F.col("version") == SUPPORTED_VERSION)
+    return m.select("map_id", F.filter(arr, lambda p: p["version"] == SUPPORTED_VERSION).alias("parts"))
+
+
+_POSITIONS = ("map_id string, section_no bigint, seg_no bigint, gen_line bigint, gen_col bigint, src_idx bigint, "
+              "orig_line bigint, orig_col bigint, name_idx bigint, blocker int")
+
+
+def _positions(parts: DataFrame) -> DataFrame:
+    """The decoded positions of ``parts(map_id, parts)``, none of a map with a
+    malformed segment. Mappings are decoded ``BLOCK`` characters at a time, of
+    many small maps or of a piece of a large one, so a task holds one map's
+    text and one block of numbers."""
+    block = BLOCK
+    own = parts.select("map_id", F.transform("parts", lambda p: F.struct(
+        p["section_no"].alias("section_no"), p["off_line"].alias("off_line"), p["off_col"].alias("off_col"),
+        p["is_section"].alias("is_section"), F.encode(F.concat(
+            # a section starts with a 1-field segment at its column 0 (changes no VLQ state)
+            F.when(p["is_section"], F.lit(SECTION_START)).otherwise(F.lit("")),
+            F.coalesce(p["mappings"], F.lit(""))), "UTF-8").alias("mappings"))).alias("parts"))
+
+    def run(batches):
+        names = [c.split()[0] for c in _POSITIONS.split(", ")]
+        for batch in batches:
+            small, held = [], 0
+            for map_id, secs in zip(batch.column(0), batch.column(1)):
+                secs = secs.as_py() or []
+                size = sum(len(p["mappings"]) for p in secs)
+                if size > block:
+                    if all(good for p in secs for *_, good in _pieces(p["mappings"], block)):
+                        for p in secs:
+                            for table, _ in _pieces(p["mappings"], block):
+                                yield _rows([map_id.as_py()], [p], table, names)
+                    continue
+                if held + size > block:
+                    yield _small(small, names)
+                    small, held = [], 0
+                small.append((map_id.as_py(), secs))
+                held += size
+            yield _small(small, names)
+    return map_arrow(own, run, _POSITIONS)
+
+
+def _pieces(text: bytes, block: int):
+    """(segments, well-formed) of mappings, piece by piece, each with what the
+    pieces before it add up to."""
+    at, carried = 0, [0] * 7  # line, place in the line, column, four sums
+    while at <= len(text):
+        cut = min(at + block, len(text))
+        while cut < len(text) and text[cut] not in b",;":
+            cut += 1
+        table, ending, good = vlq.decode_pieces([text[at:cut]])
+        first = table[1] == 0
+        table[4] = table[4] + np.where(first, carried[2], 0)
+        table[2] = table[2] + np.where(first, carried[1], 0)
+        table[1] = table[1] + carried[0]
+        for i in range(4):
+            table[5 + i] = table[5 + i] + carried[3 + i]
+        yield table, bool(good[0])
+        ending = [int(x[0]) for x in ending]
+        if ending[0] == 0:
+            ending[1:3] = ending[1] + carried[1], ending[2] + carried[2]
+        carried = [ending[0] + carried[0], *ending[1:3], *[x + y for x, y in zip(ending[3:], carried[3:])]]
+        if text[cut:cut + 1] == b";":
+            carried[:3] = carried[0] + 1, 0, 0
+        at = cut + 1
+
+
+def _small(maps, names) -> pa.RecordBatch:
+    """Positions of maps whose mappings are decoded together."""
+    ids = [map_id for map_id, secs in maps for _ in secs]
+    secs = [p for _, secs in maps for p in secs]
+    if not secs:
+        return _rows([], [], [np.zeros(0, np.int64)] * 9, names)
+    table, _, good = vlq.decode_pieces([p["mappings"] for p in secs])
+    if not good.all():
+        bad = {ids[i] for i in np.flatnonzero(~good)}
+        return _small([m for m in maps if m[0] not in bad], names)
+    return _rows(ids, secs, table, names)
+
+
+def _rows(ids, secs, table, names) -> pa.RecordBatch:
+    piece, line, place, fields, column, *sums = table
+    of = lambda name: np.array([p[name] for p in secs], np.int64)[piece] if secs else piece
+    src = fields < 4
+    opt = lambda x, null: pa.array(x, pa.int64(), mask=null)
+    first = (line == 0) & (of("is_section") == 1)
+    return pa.RecordBatch.from_arrays([
+        pa.array(ids, pa.string()).take(pa.array(piece)) if ids else pa.array([], pa.string()), pa.array(of("section_no"), pa.int64()),
+        pa.array(place, pa.int64()), pa.array(line + 1 + of("off_line"), pa.int64()),
+        pa.array(column + np.where(line == 0, of("off_col"), 0), pa.int64()),
+        opt(sums[0], src), opt(sums[1] + 1, src), opt(sums[2], src), opt(sums[3], fields < 5),
+        pa.array((first & (place == 0)).astype(np.int32), pa.int32())], names)
 
 
 def _texts(parts: DataFrame) -> DataFrame:
@@ -115,6 +204,7 @@ def _texts(parts: DataFrame) -> DataFrame:
             root, F.when(root.endswith("/") | src.startswith("/"), F.lit("")).otherwise(F.lit("/")), src))
         return U.normalize_source(joined)
     both = F.concat(_numbered(F.transform("sources", full_name), 0), _numbered(F.col("names"), 1))
+    parts = parts.select("map_id", F.explode("parts").alias("p")).select("map_id", "p.*")
     return parts.select("map_id", "section_no", F.explode(both).alias("t")).select("map_id", "section_no", "t.*")
 
 
@@ -162,50 +252,17 @@ def build_segments(source_maps: DataFrame, keep=None) -> DataFrame:
     leading 1-field segment), so a lookup never falls back into the previous
     section.
 
-    A map used under several urls is decoded once. Only integers go through
-    the windows; source names and names join afterwards, by index. The running
-    sums of a map are sums of blocks of ``BLOCK`` segments of a line, summed
-    up before each block, and sums within a block, so no task sorts a whole
-    map for them; nor does one for the next position on a line
-    (``with_next_position``). ``keep(df, name)`` writes the decoded positions,
-    which are read twice."""
+    A map used under several urls is parsed and decoded once. Only integers go
+    through the windows; source names and names join afterwards, by index. A
+    large map is decoded a block at a time; no task sorts a whole map for the
+    next position on a line (``with_next_position``). ``keep(df, name)`` writes
+    the parsed maps and the decoded positions, which are read twice."""
     keyed = source_maps.select("url", "map_json", F.sha2("map_json", 256).alias("map_id")).where(F.col("map_json").isNotNull())
     of_url = keyed.groupBy("url").agg(F.min("map_id").alias("map_id"))
     parts = _map_parts(keyed.groupBy("map_id").agg(F.min("map_json").alias("map_json")))
-    part_cols = ["map_id", "section_no", "off_line", "off_col", "is_section"]
-    mappings = F.coalesce("mappings", F.lit(""))
-    # a section starts with a 1-field segment at its column 0 (changes no VLQ state)
-    mappings = F.when(F.col("is_section"), F.concat(F.lit(SECTION_START), mappings)).otherwise(mappings)
-    m = posexplode_rows(parts, part_cols, F.split(mappings, ";"), "li", "line_text")
-    m = m.select(*part_cols, (F.col("li") + 1).cast("bigint").alias("rel_line"), "line_text")
-    segs = posexplode_rows(m, [*part_cols, "rel_line"], F.split("line_text", ","), "seg_no", "seg")
-    segs = segs.where(F.col("seg") != "")
-    segs = segs.select(*part_cols, "rel_line", "seg_no", F.floor(F.col("seg_no") / BLOCK).alias("block"),
-                       vlq.decode_segment(F.col("seg")).alias("f"), vlq.valid_segment(F.col("seg")).cast("int").alias("ok"))
-    field = [F.coalesce(F.try_element_at("f", F.lit(i)), F.lit(0)).cast("bigint").alias(f"f{i}") for i in range(1, 6)]
-    segs = segs.select(*part_cols, "rel_line", "seg_no", "block", F.size("f").alias("fields"), "ok", *field)
-    place = ["map_id", "section_no", "rel_line", "block"]
-    blocks = segs.groupBy(*place).agg(*[F.sum(f"f{i}").alias(f"b{i}") for i in range(1, 6)], F.min("ok").alias("ok"))
-    before = Window.partitionBy("map_id", "section_no").orderBy("rel_line", "block").rowsBetween(Window.unboundedPreceding, -1)
-    in_line = Window.partitionBy("map_id", "section_no", "rel_line").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    blocks = blocks.select(*place, F.coalesce(F.sum("b1").over(in_line), zero).alias("b1"),
-                           *[F.coalesce(F.sum(f"b{i}").over(before), zero).alias(f"b{i}") for i in range(2, 6)],
-                           F.min("ok").over(Window.partitionBy("map_id")).alias("map_ok"))
-    within = Window.partitionBy(*place).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = segs.drop("ok").join(blocks.where(F.col("map_ok") == 1), place)
-    total = {i: F.col(f"b{i}") + F.sum(f"f{i}").over(within) for i in range(1, 6)}
-    has_src = F.col("fields") >= 4
-    blocker = F.col("is_section") & (F.col("rel_line") == 1) & (F.col("seg_no") == 0)
-    d = d.select(
-        "map_id", "section_no", "seg_no",
-        (F.col("rel_line") + F.col("off_line")).alias("gen_line"),
-        (total[1] + F.when(F.col("rel_line") == 1, F.col("off_col")).otherwise(0)).alias("gen_col"),
-        F.when(has_src, total[2]).alias("src_idx"),
-        F.when(has_src, total[3] + 1).alias("orig_line"),
-        F.when(has_src, total[4]).alias("orig_col"),
-        F.when(F.col("fields") == 5, total[5]).alias("name_idx"),
-        blocker.cast("int").alias("blocker"))
+    if keep is not None:
+        parts = keep(parts, "map_parts")
+    d = _positions(parts)
     d = d.withColumn("col_range", F.floor(F.col("gen_col") / LEAD_COLUMNS))
     if keep is not None:
         d = keep(d, "positions")

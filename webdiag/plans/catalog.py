@@ -298,8 +298,9 @@ def _segments_table(frames, map_files, scripts):
     return materialize(SM.segments_for_frames(frames, map_files, scripts, materialize), "segments")
 
 
-def _frames_and_maps(spark, sf_dir):
-    frames = ST.explode_frames(A.stack_entries(spark, sf_dir))
+def _frames_and_maps(spark, sf_dir, keep=materialize):
+    """The frames (written, as a lookup reads them four times), map files and scripts."""
+    frames = keep(ST.explode_frames(A.stack_entries(spark, sf_dir)), "frames")
     map_files, scripts = A.map_files_and_scripts(spark, sf_dir)
     return frames, map_files, scripts
 
@@ -308,7 +309,7 @@ def _frames_and_maps(spark, sf_dir):
 select url, map_origin, map_url from sel
 """)
 def map_selected(spark, sf_dir):
-    frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
+    frames, map_files, scripts = _frames_and_maps(spark, sf_dir, lambda df, _name: df)
     urls = frames.where(FR.looks_minified(F.col("url"), F.col("line"), F.col("col"))).select("url")
     return SM.select_maps(urls, map_files, scripts).select("url", "map_origin", "map_url")
 
@@ -371,10 +372,9 @@ from res group by capture_id, seq
 """)
 def stack_resolved(spark, sf_dir):
     entries = A.stack_entries(spark, sf_dir)
-    _, map_files, scripts = _frames_and_maps(spark, sf_dir)
-    frames = ST.explode_frames(entries)
+    frames, map_files, scripts = _frames_and_maps(spark, sf_dir)
     segs = _segments_table(frames, map_files, scripts)
-    c = AS.compress_with_maps(entries, segs)
+    c = AS.compress_with_maps(entries, segs, keep=lambda *_: frames)
     return c.select("capture_id", "seq", F.array_join("stack_trace", "\n").alias("stack_trace"), "resolved_count")
 
 
@@ -613,7 +613,9 @@ select capture_id, selector, property, value from a6_long where {S.css_keep_sql(
 def styles_no_box_map(spark, sf_dir):
     """The box model dropped on the map path, as reports do it."""
     e = AU.filter_styles(A.element_styles(spark, sf_dir), include_box_model=False)
-    return e.select("capture_id", "selector", F.explode("styles").alias("property", "value"))
+    # ``explode`` would have Spark make and filter the map once more, to test its size
+    x = e.select("capture_id", "selector", F.explode_outer("styles").alias("property", "value"))
+    return x.where(F.col("property").isNotNull())
 
 
 @register("payload_error_summary", f"""with {S.console_payloads_sql()},

@@ -8,7 +8,7 @@ DuckDB. Shapes start from FIXTURES.md §3; README "Adapters" lists them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webdiag.operators.common import posexplode_rows
@@ -145,8 +145,10 @@ def map_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 facts: the intended (url, gen_line, gen_col) → original positions."""
     o = read_table(spark, sf_dir, "orders", A4_COLUMNS)
     f = o.select(*[F.expr(e).alias(n) for n, e in A4_FACTS])
-    first = f.groupBy("url", "gen_line", "gen_col").agg(F.min("okey").alias("okey"))
-    return f.join(first, ["url", "gen_line", "gen_col", "okey"], "inner")
+    f = f.where(F.col("url").isNotNull() & F.col("gen_line").isNotNull() & F.col("gen_col").isNotNull())
+    # dealt by map, as ``source_map_docs`` goes on
+    first = F.min("okey").over(Window.partitionBy("cust", "url", "gen_line", "gen_col"))
+    return f.repartition("cust", "url").withColumn("first", first).where(F.col("okey") == F.col("first")).drop("first")
 
 
 _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # digits of conv(x, 10, 32)
@@ -155,14 +157,21 @@ _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # digits of conv(x, 10, 32)
 def _vlq(v):
     """Base64 VLQ text of a bigint Column (test-data encoder): base-32
     digits of the sign-folded value, least significant first; every digit
-    but the last carries the continuation bit."""
+    but the last carries the continuation bit. Up to three digits are looked
+    up one by one."""
     from webdiag.functions.vlq import BASE64_ALPHABET
     u = F.when(v < 0, (-v) * 2 + 1).otherwise(v * 2)
     rev = F.reverse(F.conv(u.cast("string"), 10, 32))
     n = F.length(rev)
     head = F.translate(rev.substr(F.lit(1), n - 1), _B32, BASE64_ALPHABET[32:])
     tail = F.translate(rev.substr(n, F.lit(1)), _B32, BASE64_ALPHABET[:32])
-    return F.concat(head, tail)
+
+    def digit(k, more):
+        d = F.shiftright(u, 5 * k).bitwiseAND(31).cast("int")
+        return F.substr(F.lit(BASE64_ALPHABET), d + (33 if more else 1), F.lit(1))
+    return (F.when(u < 1 << 5, digit(0, False)).when(u < 1 << 10, F.concat(digit(0, True), digit(1, False)))
+            .when(u < 1 << 15, F.concat(digit(0, True), digit(1, True), digit(2, False)))
+            .otherwise(F.concat(head, tail)))
 
 
 def map_docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,51 +191,48 @@ A4_INDEXED = "cust % 5 = 4"  # these customers' maps are indexed: line 1, then l
 def source_map_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 maps: (cust, url, map_json) — a v3 source map per customer that
     encodes its facts (deltas, VLQ), 'version 2' for some, and an indexed
-    map (two sections split before generated line 2) for others. One
-    grouped aggregation per map part; the delta encoding is a fold over
-    the part's sorted segments."""
+    map (two sections split before generated line 2) for others. Deltas are
+    taken from the row before in the part's order; one grouped aggregation
+    per line, part and map. All of it on one shuffle, by map."""
     f = map_facts(spark, sf_dir)
     indexed = F.expr(A4_INDEXED)
     section = F.when(indexed & (F.col("gen_line") >= 2), 1).otherwise(0)
     f = f.withColumn("section", section).withColumn("gen_line", F.col("gen_line") - F.col("section"))
-    seg = F.struct("gen_line", "gen_col", "source", "orig_line", "orig_col", "name")
-    parts = f.groupBy("cust", "url", "section").agg(
-        F.array_sort(F.collect_list(seg)).alias("segs"),
-        F.array_sort(F.array_distinct(F.collect_list("source"))).alias("sources"),
-        F.array_sort(F.array_distinct(F.collect_list("name"))).alias("names"),
-        F.max("gen_line").alias("max_line"))
+    part = ["cust", "url", "section"]
+    w = Window.partitionBy(*part)
+    # indexes in the part's sorted sources and names
+    f = f.withColumn("src", F.when(F.col("source").isNotNull(), F.dense_rank().over(w.orderBy(F.col("source").asc_nulls_last())) - 1))
+    f = f.withColumn("nm", F.when(F.col("name").isNotNull(), F.dense_rank().over(w.orderBy(F.col("name").asc_nulls_last())) - 1))
+    o = w.orderBy("gen_line", "gen_col", "source", "orig_line", "orig_col", "name")
+    before = o.rowsBetween(Window.unboundedPreceding, -1)
+    has_src = F.col("src").isNotNull()
+    own = F.when(has_src, F.struct(F.col("src").cast("bigint").alias("src"), (F.col("orig_line") - 1).alias("oline"),
+                                   F.col("orig_col").alias("ocol")))
+    own_name = F.when(has_src, F.col("nm").cast("bigint"))
     zero = F.lit(0).cast("bigint")
-    init = F.struct(zero.alias("line"), zero.alias("col"), zero.alias("src"), zero.alias("oline"),
-                    zero.alias("ocol"), zero.alias("nm"),
-                    F.array().cast("array<struct<line:bigint,text:string>>").alias("out"))
-    sources, names = F.col("sources"), F.col("names")
-
-    def step(acc, x):
-        src = (F.array_position(sources, x["source"]) - 1).cast("bigint")
-        nm = (F.array_position(names, x["name"]) - 1).cast("bigint")
-        oline = x["orig_line"] - 1
-        has_src, has_name = x["source"].isNotNull(), x["source"].isNotNull() & x["name"].isNotNull()
-        base = F.when(x["gen_line"] == acc["line"], acc["col"]).otherwise(zero)
-        text = F.concat(
-            _vlq(x["gen_col"] - base),
-            F.when(has_src, F.concat(_vlq(src - acc["src"]), _vlq(oline - acc["oline"]),
-                                     _vlq(x["orig_col"] - acc["ocol"]))).otherwise(F.lit("")),
-            F.when(has_name, _vlq(nm - acc["nm"])).otherwise(F.lit("")))
-        return F.struct(
-            x["gen_line"].cast("bigint").alias("line"), x["gen_col"].cast("bigint").alias("col"),
-            F.when(has_src, src).otherwise(acc["src"]).alias("src"),
-            F.when(has_src, oline).otherwise(acc["oline"]).cast("bigint").alias("oline"),
-            F.when(has_src, x["orig_col"]).otherwise(acc["ocol"]).cast("bigint").alias("ocol"),
-            F.when(has_name, nm).otherwise(acc["nm"]).alias("nm"),
-            F.concat(acc["out"], F.array(F.struct(x["gen_line"].cast("bigint").alias("line"),
-                                                  text.alias("text")))).alias("out"))
-
-    out = F.aggregate("segs", init, step)["out"]
-    lines = F.transform(F.sequence(F.lit(1), F.col("max_line").cast("int")), lambda ln: F.array_join(
-        F.transform(F.filter(out, lambda o: o["line"] == ln), lambda o: o["text"]), ","))
-    part_map = F.struct(F.lit(3).alias("version"), sources.alias("sources"), names.alias("names"),
-                        F.array_join(lines, ";").alias("mappings"))
-    docs = parts.select("cust", "url", "section", part_map.alias("map")).groupBy("cust", "url").agg(
+    f = f.select("*", F.row_number().over(o).alias("no"), own.alias("own"), F.last(own, True).over(before).alias("prev"),
+                 own_name.alias("own_name"), F.coalesce(F.last(own_name, True).over(before), zero).alias("prev_name"),
+                 F.lag("gen_line").over(o).alias("prev_line"), F.lag("gen_col").over(o).alias("prev_col"))
+    base = F.when(F.col("gen_line") == F.col("prev_line"), F.col("prev_col")).otherwise(zero)
+    f = f.select("*", (F.col("gen_col") - base).alias("d_col"), (F.col("own_name") - F.col("prev_name")).alias("d_name"),
+                 *[(F.col(f"own.{c}") - F.when(F.col("prev").isNotNull(), F.col(f"prev.{c}")).otherwise(zero)).alias(f"d_{c}")
+                   for c in ("src", "oline", "ocol")])
+    f = f.select("*", *[_vlq(F.col(f"d_{c}")).alias(f"v_{c}") for c in ("col", "src", "oline", "ocol", "name")])
+    text = F.concat("v_col", F.when(has_src, F.concat("v_src", "v_oline", "v_ocol")).otherwise(F.lit("")),
+                    F.when(F.col("own_name").isNotNull(), F.col("v_name")).otherwise(F.lit("")))
+    lines = f.withColumn("text", text).groupBy(*part, "gen_line").agg(
+        F.array_sort(F.collect_list(F.struct("no", "text"))).alias("segs"),
+        F.collect_set("source").alias("sources"), F.collect_set("name").alias("names"))
+    lines = lines.select(*part, "sources", "names", F.struct(
+        "gen_line", F.array_join(F.transform("segs", lambda x: x["text"]), ",").alias("text")).alias("line"))
+    parts = lines.groupBy(*part).agg(
+        F.array_sort(F.collect_list("line")).alias("lines"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("sources", "names")])
+    mappings = F.array_join(F.transform("lines", lambda x, i: F.concat(
+        F.repeat(F.lit(";"), (x["gen_line"] - F.when(i > 0, F.get("lines", i - 1)["gen_line"]).otherwise(F.lit(1))).cast("int")),
+        x["text"])), "")
+    part_map = F.struct(F.lit(3).alias("version"), F.col("sources"), F.col("names"), mappings.alias("mappings"))
+    docs = parts.select(*part, part_map.alias("map")).groupBy("cust", "url").agg(
         F.array_sort(F.collect_list(F.struct("section", "map"))).alias("parts"))
     version = F.when(F.expr(A4_BAD_VERSION), 2).otherwise(3)
     file = F.concat(F.lit("app"), F.col("cust").cast("string"), F.lit(".min.js"))
