@@ -53,3 +53,15 @@ def test_maps_are_parsed_once_and_decoded_in_blocks(spark, monkeypatch):
         d = sourcemaps.build_segments(maps, keep)
         assert sorted(map(tuple, d.collect()), key=lambda r: r[:3]) == want
         assert [plan_of(df).count("from_json") for _, df in kept] == [1, 0] and "from_json" not in plan_of(d)
+
+
+def test_a_style_map_is_made_once(spark):
+    from webdiag.operators import audit
+    e = spark.range(2).select(F.lit("c").alias("capture_id"), F.col("id").cast("string").alias("selector"), F.map_from_entries(
+        F.filter(F.array(F.struct(F.lit("margin"), F.lit("1px")), F.struct(F.lit("display"), F.when(F.col("id") == 0, "none"))),
+                 lambda x: x["col2"].isNotNull())).alias("styles"))
+    rows = audit.style_rows(e, include_box_model=False)
+    assert plan_of(rows).count("map_from_entries") == 1
+    assert [tuple(r) for r in rows.collect()] == [("c", "0", "display", "none")]
+    empty = spark.sql("select 'c' as capture_id, 's' as selector, cast(map() as map<string,string>) as styles union all select 'c', 's', null")
+    assert audit.style_rows(empty).count() == 0

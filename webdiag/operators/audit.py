@@ -29,7 +29,8 @@ def style_rows(elements: DataFrame, include_box_model: bool = True, keys=("captu
     then filter rows, which stays in whole-stage codegen (``map_filter``
     runs an interpreted lambda per map entry)."""
     keys = as_keys(keys)
-    x = elements.select(*keys, F.explode("styles").alias("property", "value"))
+    # ``explode`` would have Spark make the map once more, to test its size
+    x = elements.select(*keys, F.explode_outer("styles").alias("property", "value")).where(F.col("property").isNotNull())
     keep = css.keep_property(F.col("property"), F.col("value"))
     if not include_box_model:
         keep = keep & ~F.col("property").isin(list(css.BOX_MODEL))
