@@ -151,10 +151,11 @@ class ByteBpe:
         else:
             words = text.split(" ")
             rest, memo = words[1:], self.spaced
-            own = {w: known(memo, w, " ") for w in set(rest).difference(memo)}
-            got = known(self.first, words[0], "") + (
-                b"".join([own[w] if w in own else memo[w] for w in rest]) if own
-                else b"".join(map(memo.__getitem__, rest)))
+            ids = list(map(memo.get, rest))
+            if None in ids:
+                own = {w: known(memo, w, " ") for w in {w for w, i in zip(rest, ids) if i is None}}
+                ids = [own[w] if i is None else i for w, i in zip(rest, ids)]
+            got = known(self.first, words[0], "") + b"".join(ids)
             if len(memo) > MEMO_WORDS:
                 forget_newer(memo)
         return got
