@@ -159,3 +159,39 @@ def test_stream_state_stays_flat_and_report_equals_batch(spark):
     store = ST.RollupStore(spark, f"{base}/out")
     assert len({r.capture_id[:2] for r in store.groups(ended=False).select("capture_id").distinct().collect()}) == 1
     assert rows(SR.latest_report(spark, f"{base}/out")) == rows(rollup.error_rollup(whole, severity="all", limit=20))
+
+
+def test_compactions_leave_texts_where_they_are(spark):
+    path = folder(spark)
+    store = ST.RollupStore.create(spark, path, severity="all")
+    long = entries(spark, [0], per_day=20).withColumn("message", F.concat(F.col("seq").cast("string"), F.repeat(F.lit(" word"), 4000)))
+    long = long.withColumn("capture_id", F.when(F.col("seq") % 2 == 0, F.col("capture_id")))  # null is a capture as well
+    store.add(0, long)
+    texts = files(f"{path}/texts")
+    store.compact()
+    store.add(1, long.withColumn("seq", F.col("seq") + 100).withColumn("message", F.concat(F.lit("1"), "message")))
+    store.compact()
+    whole = long.unionByName(long.withColumn("seq", F.col("seq") + 100).withColumn("message", F.concat(F.lit("1"), "message")))
+    assert texts.items() <= files(f"{path}/texts").items()
+    assert spark.read.parquet(f"{path}/bases/2/groups").columns == ["capture_id", *ST.NUMBERS]
+    key = lambda r: tuple(map(str, r))
+    want = rollup.error_rollup(whole, severity="all", limit=20, first_entry="min_by")
+    assert sorted(rows_of(store.report()), key=key) == sorted(rows_of(want), key=key)
+
+
+def rows_of(df):
+    return [tuple(r[c] for c in ("capture_id", "issue_no", "level", "message", "count", "source", "first_seq", "fingerprint"))
+            for r in df.collect()]
+
+
+def test_texts_of_replaced_entries_are_dropped(spark):
+    path = folder(spark)
+    store = ST.RollupStore.create(spark, path, severity="all")
+    e = spark.range(6).select(F.lit("c").alias("capture_id"), F.col("id").alias("seq"), F.lit("error").alias("level"),
+                              F.concat(F.lit("problem "), F.col("id").cast("string")).alias("message"))
+    for k in range(3):  # the same issues, each load earlier
+        store.add(k, e.withColumn("seq", F.col("seq") - 10 * k))
+        store.compact()
+    assert spark.read.parquet(*store._text_folders()).count() == 6
+    assert [(r["message"], r["count"], r["first_seq"]) for r in store.report().collect()] == [
+        (f"problem {i}", 3, i - 20) for i in range(6)]

@@ -17,7 +17,6 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from webdiag.functions import console as C
 from webdiag.operators.store import COMPACT_SHARE, RollupStore
@@ -33,7 +32,7 @@ def write_batch(entries: DataFrame, batch_id: int, store: RollupStore, time_col:
 def _ended_before(store: RollupStore, time_col: str | None, end_after: float | None):
     if time_col is None or end_after is None:
         return None
-    newest = store.groups(ended=False).agg(F.max("last_time")).first()[0]
+    newest = store.newest()
     return None if newest is None else newest - timedelta(seconds=end_after)
 
 
