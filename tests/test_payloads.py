@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from webdiag.sources import payloads as P
 
 
@@ -118,3 +120,18 @@ def test_empty_stack_in_a_payload(spark):
                               "capture_id string, payload string")
     got = {x.message: x.stack_trace for x in api.get_errors(p).issues.collect()}
     assert got == {"x": None, "y": []}
+
+
+def test_reports_of_many_captures_keep_their_partitions(spark):
+    """Rows much alike take few bytes, by which Spark would put all captures into one task or broadcast them."""
+    from webdiag.operators import reports
+    payloads = spark.range(60).select(F.col("id").cast("string").alias("capture_id"), F.lit(
+        '[{"level":"error","text":"x 1","source":"b"},{"level":"error","text":"x 1"},{"text":"y","stack":"at f (a.js:1:2)"}]').alias("payload"))
+    parsed = P.parse_console_payloads(payloads)
+    issues, summary = reports.error_report(P.console_entries(parsed), "all", 20, captures=parsed.select("capture_id"))
+    assert summary.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "BroadcastHashJoin" not in summary._jdf.queryExecution().executedPlan().toString()
+    assert {(r["total_log_entries"], r["unique_issues"], r["summary"]) for r in summary.collect()} == {
+        (3, 2, "2 unique issues (from 3 total log entries). Top: x 1")}
+    got = issues.where("capture_id = '7'").orderBy("issue_no").select("issue_no", "message", "count", "source", "first_seq", "stack_trace")
+    assert [tuple(r) for r in got.collect()] == [(1, "x 1", 2, "b", 0, None), (2, "y", 1, None, 2, ["at f (a.js:1:2)"])]

@@ -47,7 +47,8 @@ def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, b
         return issues.drop(key), summary.drop(key)
     # issues: severity pushed to the scan; totals: a count over the key
     # columns only (a narrow columnar scan of the same table)
-    issues = rollup.error_rollup(entries, severity=severity, limit=limit, by=keys, noise_patterns=noise_patterns)
+    issues = rollup.error_rollup(entries, severity=severity, limit=limit, by=keys, noise_patterns=noise_patterns,
+                                 many_captures=captures is not None)
     keep = keep or (lambda df, _name: df)
     if "stack" in issues.columns:
         if segments is not None:
@@ -62,13 +63,17 @@ def error_report(entries: DataFrame, severity: str = "error", limit: int = 20, b
             issues = compress_stacks(issues).withColumn("resolved_count", F.lit(None).cast("bigint"))
     totals = rollup.normalize(entries, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("total_log_entries"))
     if captures is not None:
-        totals = captures.select(*keys).distinct().join(totals, keys, "left").fillna(0, ["total_log_entries"])
+        # rows of captures are narrow and much alike, so by their bytes Spark would put
+        # millions into one task: dealt by number the partitions are not put together
+        n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        captures = captures.select(*keys).repartition(n, *keys).distinct()
+        totals = captures.hint("merge").join(totals, keys, "left").fillna(0, ["total_log_entries"])
     # count, resolved frames and the top message in one aggregate (one branch)
     aggs = [F.count(F.lit(1)).alias("unique_issues"), F.min_by("message", "issue_no").alias("top_message")]
     if "resolved_count" in issues.columns:
         aggs.append(F.sum("resolved_count").alias("sourcemap_resolved"))
     per = issues.groupBy(*keys).agg(*aggs)
-    s = totals.join(per, keys, "left")
+    s = (totals if captures is None else totals.hint("merge")).join(per, keys, "left")
     u = F.coalesce(F.col("unique_issues"), F.lit(0))
     none = "No " + ("" if severity == "all" else severity + " ") + "messages found in console."
     text = F.when(u == 0, F.lit(none)).otherwise(F.concat(
