@@ -57,3 +57,15 @@ def test_empty_table_and_null_ids(spark):
     assert packing.pack_texts(df.limit(0), "doc_id", "text", PATH).count() == 0
     assert packing.pack_texts(df, "doc_id", "text", PATH).agg({"length": "sum"}).first()[0] == sum(
         len(_ids(t)) for t in ("a b", None, "c", "c"))
+
+
+def test_places_of_ids_are_not_made(odd_texts):
+    tokenizer = packing.WordTokenizer(PATH)
+    real = tokenizer.tokenizer
+
+    class IdsOnly:  # ``encode_batch`` would find each id's place in the text as well
+        encode_batch_fast = staticmethod(real.encode_batch_fast)
+
+    tokenizer.tokenizer = IdsOnly()
+    for t, ids in zip(odd_texts, tokenizer.encode([t or "" for t in odd_texts], 2)):
+        assert np.frombuffer(ids, "<u4").tolist() == _ids(t).tolist()

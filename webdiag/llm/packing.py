@@ -62,7 +62,7 @@ class WordTokenizer:
         missing = list(set().union(*parts).difference(memo))
         for at in range(0, len(missing), 4096):
             some = missing[at:at + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 ids = array("I", e.ids).tobytes()
                 (memo if len(word) <= MEMO_CHARS else own)[word] = ids
         end = b"" if end_id is None else array("I", [end_id]).tobytes()
