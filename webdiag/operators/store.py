@@ -18,7 +18,8 @@ Layout of a store's folder::
 Loads and bases hold no texts: a group is named by a hash of its fingerprint and
 its entry by the entry's arrival. So merging moves a few numbers a group, and
 texts, the bulk of the bytes, are moved and written once, when they come.
-Reports rank the numbers and fetch the texts of the issues that they show. A
+Reports rank the numbers and fetch the texts of the issues that they show by a
+join, which may move the texts once more. A
 compaction rewrites the texts once half of them belong to entries that an
 earlier arrival has replaced; until then there is a folder of texts per load.
 
