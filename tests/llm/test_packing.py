@@ -1,7 +1,10 @@
+import json
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,3 +72,54 @@ def test_places_of_ids_are_not_made(odd_texts):
     tokenizer.tokenizer = IdsOnly()
     for t, ids in zip(odd_texts, tokenizer.encode([t or "" for t in odd_texts], 2)):
         assert np.frombuffer(ids, "<u4").tolist() == _ids(t).tolist()
+
+
+def test_plain_words_share_their_pre_tokens():
+    tokenizer, seen = packing.WordTokenizer(PATH), []
+    real = tokenizer.model
+
+    class Model:
+        @staticmethod
+        def tokenize(token):
+            seen.append(token)
+            return real.tokenize(token)
+
+    tokenizer.model, tokenizer.tokenizer = Model, None  # the whole tokenizer is not asked for plain words
+    texts = ["Zyxwab zyxwab, ZYXWAB! (zyxwab)\nzyxwab's 12", "ÉCLÀR éclàr. zyxWAB;"]
+    for t, ids in zip(texts, tokenizer.encode(texts, 2)):
+        assert np.frombuffer(ids, "<u4").tolist() == _ids(t).tolist()
+    assert seen.count("zyxwab") == 1 and len(seen) == len(set(seen))
+
+
+def test_odd_words_have_the_ids_of_the_library(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_WORDS", 3)
+    tokenizer, rnd = packing.WordTokenizer(PATH), random.Random(3)
+    odd = ["<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "'re", "h\u0331", "H\u0331", "\u212a", "\u0130", "\u03a3",
+           "\x1c", "\x85", "\xa0", "\u3000", "\xaa", "\xb5", "\xb2", "\xd7", "\xdf", "\ufb01", "\u4e2d", "\U0001f600", " ", "\n"]
+    odd += [chr(c) for c in range(0x20, 0x180)]
+    texts = ["".join(rnd.choices(odd, k=rnd.randrange(30))) for _ in range(3000)]
+    for given in (texts, pa.array(["cut off", *texts]).slice(1)):
+        got = tokenizer.encode(given, 2)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [_ids(t).tolist() for t in texts]
+    assert tokenizer.encode([], 2) == [] and tokenizer.encode(["", ""], None) == [b"", b""]
+
+
+def test_other_tokenizers_encode_their_words_whole(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        config = json.load(f)
+    config["normalizer"]["normalizers"].pop()  # upper case stays
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(config, f)
+    texts = ["Alpha ALPHA's alpha", "Été, It's 12"]
+    truth = Tokenizer.from_file(path)
+    for t, ids in zip(texts, packing.WordTokenizer(path).encode(texts, None)):
+        assert np.frombuffer(ids, "<u4").tolist() == truth.encode(t, add_special_tokens=False).ids
+
+
+def test_parts_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 5)
+    texts = ["abc", "", "de", "f", "ghijklmn", "", "", "\u00e9\u00e9", "op"]
+    parts = [p.to_pylist() for p in packing._parts(pa.array(["cut off", *texts]).slice(1))]
+    assert parts == [["abc", "", "de"], ["f"], ["ghijklmn"], ["", "", "\u00e9\u00e9"], ["op"]]
+    assert list(packing._parts(pa.array([], pa.string()))) == []

@@ -19,17 +19,20 @@ Columns of the input other than the two named are not read.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, forget_newer, map_arrow, table, whole_text
+from .common import forget_newer, map_arrow, table, whole_text
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
@@ -40,41 +43,111 @@ QUADRATIC = 1.0 / 4096
 # Words remembered per Python worker; a full memory keeps its older half.
 MEMO_WORDS = 600_000
 MEMO_CHARS = 64
+# Bytes of texts encoded at a time, and words whose ids are put together at a time.
+PART_BYTES = 8 << 20
+BLOCK_WORDS = 1 << 18
+# The steps before the model that `PLAIN` and `PRE_TOKEN` stand for, as tokenizer files have them.
+RULES = {
+    "truncation": None, "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+# Printable ASCII but for the bar of special tokens, and the letters from U+00C0:
+# NFC keeps them, none is white space and each has one lower-case character.
+PLAIN = re.compile(r"[!-{}~\u00C0-\u00FF]+")
+_LETTERS = r"a-z\u00DF-\u00F6\u00F8-\u00FF"  # of lower-cased words
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose pre-tokens never span a space
     or line feed: the words between them are encoded alone, once while they
-    are remembered."""
+    are remembered. Where the tokenizer normalizes and splits as ``RULES`` say,
+    ``PLAIN`` words are lower-cased and split here, and its model encodes each
+    pre-token once for all words that it is in."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.model = self.tokenizer.model if _follows_rules(config) else None
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelled(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
-    def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array, end_id: int | None) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        own: dict[str, bytes] = {}
-        missing = list(set().union(*parts).difference(memo))
-        for at in range(0, len(missing), 4096):
-            some = missing[at:at + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = array("I", e.ids).tobytes()
-                (memo if len(word) <= MEMO_CHARS else own)[word] = ids
-        end = b"" if end_id is None else array("I", [end_id]).tobytes()
-        if own:
-            out = [b"".join([own[w] if w in own else memo[w] for w in p]) + end for p in parts]
-        else:
-            out = [b"".join(map(memo.__getitem__, p)) + end for p in parts]
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        of_word = parts.flatten().dictionary_encode()
+        words = of_word.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        ids = list(map(memo.get, words))
+        new = [k for k, i in enumerate(ids) if i is None]
+        for k, i in zip(new, self._learn([words[k] for k in new])):
+            ids[k] = i
         if len(memo) > MEMO_WORDS:
             forget_newer(memo)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(length) - length
+        at_word = of_word.indices.to_numpy(zero_copy_only=False)
+        ends = np.zeros(len(at_word) + 1, np.int64)
+        np.cumsum(length[at_word], out=ends[1:])
+        blocks = []
+        for at in range(0, len(at_word), BLOCK_WORDS):
+            some = at_word[at:at + BLOCK_WORDS]
+            first = ends[at:at + len(some)] - ends[at]
+            index = np.repeat(begin[some] - first, length[some])
+            index += np.arange(len(index))
+            blocks.append(flat[index].tobytes())
+        whole = b"".join(blocks)
+        bounds = parts.offsets.to_numpy(zero_copy_only=False)
+        cuts = (4 * ends[bounds - bounds[0]]).tolist() if len(bounds) else []
+        end = b"" if end_id is None else array("I", [end_id]).tobytes()
+        return [whole[a:b] + end for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of new words; remembers those that aren't long."""
+        memo = self.memo
+        out: list[bytes] = [b""] * len(words)
+        rest = []
+        for k, word in enumerate(words):
+            if self.model is None or len(word) > MEMO_CHARS or not PLAIN.fullmatch(word):
+                rest.append(k)
+                continue
+            lower = word.lower()
+            tokens = [lower] if lower.isalpha() else PRE_TOKEN.findall(lower)
+            for token in tokens:
+                if token not in memo:  # a pre-token is a word with the same ids
+                    spelled = token if token.isascii() else token.translate(self.spelling)
+                    memo[token] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            memo[word] = out[k] = b"".join([memo[t] for t in tokens]) if len(tokens) > 1 else memo[tokens[0]]
+        for at in range(0, len(rest), 4096):
+            some = rest[at:at + 4096]
+            texts = [words[k] for k in some]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                out[k] = array("I", e.ids).tobytes()
+                if len(words[k]) <= MEMO_CHARS:
+                    memo[words[k]] = out[k]
         return out
 
 
+def _follows_rules(config: dict) -> bool:
+    """Whether a tokenizer file is of a BPE model, does before it what ``RULES``
+    say and cuts nothing off; no added token may lie in a ``PLAIN`` word."""
+    return (config["model"]["type"] == "BPE" and {k: config.get(k) for k in RULES} == RULES
+            and all("|" in t["content"] for t in config.get("added_tokens") or []))
+
+
 @functools.cache
 def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -147,6 +220,17 @@ class Packer:
         return []
 
 
+def _parts(texts: pa.Array):
+    """Slices of at most ``PART_BYTES``, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def pack_texts(df: DataFrame, id_col: str, text_col: str, path: str, size: int = SEQUENCE_TOKENS,
                end_id: int | None = END_ID, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id,
@@ -183,16 +267,16 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, path: str, size: int =
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for part in batches_of(batch, 256):
-                texts = part.column(1).to_pylist()
-                for key, ids in zip(part.column(0).to_pylist(), tokenizer.encode(texts, end_id)):
+            keys, row = batch.column(0).to_pylist(), 0
+            for texts in _parts(batch.column(1)):
+                for ids in tokenizer.encode(texts, end_id):
                     n = len(ids) // 4
                     if n:
-                        docs[count] = (key, ids)
+                        docs[count] = (keys[row], ids)
                         pieces.append((count, 0, n))
-                    count, held = count + 1, held + n
-                if held >= group_tokens:
-                    yield flush(False, id_type)
+                    count, held, row = count + 1, held + n, row + 1
+                    if held >= group_tokens and (row % 256 == 0 or row == len(keys)):
+                        yield flush(False, id_type)
         if pieces:
             yield flush(True, id_type)
 
