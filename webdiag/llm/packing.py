@@ -44,7 +44,7 @@ QUADRATIC = 1.0 / 4096
 MEMO_WORDS = 600_000
 MEMO_CHARS = 64
 # Bytes of texts encoded at a time, and words whose ids are put together at a time.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 BLOCK_WORDS = 1 << 18
 # The steps before the model that `PLAIN` and `PRE_TOKEN` stand for, as tokenizer files have them.
 RULES = {
@@ -90,6 +90,9 @@ class WordTokenizer:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         of_word = parts.flatten().dictionary_encode()
         words = of_word.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        at_word = of_word.indices.to_numpy(zero_copy_only=False)
+        bounds = parts.offsets.to_numpy(zero_copy_only=False)
+        del parts, of_word  # a worker's peak is small: each step's rows go before the next
         ids = list(map(memo.get, words))
         new = [k for k, i in enumerate(ids) if i is None]
         for k, i in zip(new, self._learn([words[k] for k in new])):
@@ -99,7 +102,7 @@ class WordTokenizer:
         flat = np.frombuffer(b"".join(ids), "<u4")
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(length) - length
-        at_word = of_word.indices.to_numpy(zero_copy_only=False)
+        del words, ids, new
         ends = np.zeros(len(at_word) + 1, np.int64)
         np.cumsum(length[at_word], out=ends[1:])
         blocks = []
@@ -110,7 +113,7 @@ class WordTokenizer:
             index += np.arange(len(index))
             blocks.append(flat[index].tobytes())
         whole = b"".join(blocks)
-        bounds = parts.offsets.to_numpy(zero_copy_only=False)
+        del blocks
         cuts = (4 * ends[bounds - bounds[0]]).tolist() if len(bounds) else []
         end = b"" if end_id is None else array("I", [end_id]).tobytes()
         return [whole[a:b] + end for a, b in zip(cuts, cuts[1:])]
